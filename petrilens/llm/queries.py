@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from petrilens.llm.common import table
 from petrilens.llm.html_text import extract_main_text
 from petrilens.llm.mixing import mix_plan
+from petrilens.llm.simhash import near_duplicates
+from petrilens.llm.token_files import token_files
+from petrilens.llm.topk import top_k
+from petrilens.llm.toxicity import fit_toxicity, score_toxicity
+
+#: Vocabulary file of the token files; a parameter of the operator.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +27,39 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit_toxicity(docs, labels, use=~held_out)
+    scored = score_toxicity(docs.select("doc_id", "lang", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_html_text": op2_html_text,
+    "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
+    "op9_topk": op9_topk,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}
