@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilens.llm.common import cut
@@ -100,8 +100,96 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id (one row of it, if it is repeated)."""
-    ident = params.get("id_col", "doc_id")
-    keep = near_duplicates(docs, **params).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(ident) == F.col("_keep"), "left_semi").dropDuplicates([ident])
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_in: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group, the one with the least id (one row of it, if it is repeated); rows
+    with a null id stay.  Groups are the components of the fingerprint links and of the links of similar texts."""
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, words_in=words_in)
+    links = groups.filter("component_id < doc_id").select(F.col("component_id").cast("long").alias("a"), F.col("doc_id").cast("long").alias("b"))
+    links = links.union(similar_links(docs, id_col=id_col, text_col=text_col, words_in=words_in, similarity=similarity))
+    gone = components(links.distinct()).filter("node <> root").select(F.col("node").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    first = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).orderBy(text_col)
+    return kept.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+
+
+# Links of similar texts.  Texts at a shingle similarity of 0.8 differ in 5 to 16 of 64 fingerprint bits, far beyond the
+# radius for which blocks of Hamming balls stay small; so candidates come from bands of minima instead, and are verified
+# by the exact similarity of their whole shingle sets.
+
+_word_hash: dict[str, int] = {}
+
+
+def shingle_set(text: str | None, words_in: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a whole text's word shingles (fewer words: the whole sequence; none: empty)."""
+    words = _WORD.findall((text or "").translate(_UPPER))
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(_word_hash) > 300_000:
+        _word_hash.clear()
+    known, one = _word_hash, xxhash.xxh64_intdigest
+    for w in set(words).difference(known):
+        known[w] = one(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    k = min(words_in, len(h))
+    out = np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        out = (out ^ h[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _bands(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash per band of ``rows`` minima."""
+    r = np.random.default_rng(11)
+    odd = r.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(s), 4096):
+        low = np.minimum(low, (s[a : a + 4096, None] * odd).min(0))
+    out = np.zeros(bands, np.uint64)
+    for j in range(rows):
+        out = (out ^ low[j::rows]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def similar_links(docs: DataFrame, *, id_col: str, text_col: str, words_in: int, similarity: float, bands: int = 24, rows: int = 5) -> DataFrame:
+    """Links (a, b), a < b, of ids whose texts' shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    Equal shingle sets are one class, named by its least id.  A class is compared with the least class of every band
+    bucket it is in and with the one before it there, so the comparisons grow with the rows and not with a bucket's
+    square; links between others of a bucket follow as long as they meet in a band or through these.
+    """
+    narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, words_in) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "same": [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) for s in sets], "bands": [_bands(s, bands, rows).view(np.int64) for s in sets]})
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(t, words_in).tobytes() for t in b["text"]]})
+
+    made = cut(narrow.mapInPandas(banded, "id long, same long, bands array<long>"))
+    least = made.groupBy("same").agg(F.min("id").alias("rep"))
+    classes = made.groupBy("same", "bands").agg(F.min("id").alias("id"))
+    held = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    w = Window.partitionBy("band", "key").orderBy("id")
+    near = held.withColumn("hub", F.min("id").over(w)).withColumn("before", F.lag("id").over(w)).filter("before IS NOT NULL")
+    pairs = cut(near.select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("a"), F.col("id").alias("b")).distinct())
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    whole = cut(narrow.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, shingles binary"))
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pd.Series(out, dtype="float64")
+
+    left = whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    similar = pairs.join(left, "a").join(right, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
+    return made.join(least, "same").filter("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).union(similar)

@@ -19,11 +19,14 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,31 +43,35 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of the ids, packed greedily: each word takes the packing with the most ids that fit."""
     x = ids.astype(np.uint64)
     n = len(x)
-    if n and x.max() >> np.uint64(60):
+    if n and int(x.max()) >> 60:
         raise ValueError("an id needs more than 60 bits")
-    need = np.zeros(n, np.int64)  # bits of each id
-    need[x > 0] = np.floor(np.log2(x[x > 0].astype(np.float64))).astype(np.int64) + 1
-    fits = []
-    for count, bits, sel in _BY_COUNT:
-        bad = np.concatenate([[0], np.cumsum(need > bits)])
-        ok = np.zeros(n, bool)
-        if n >= count:
-            ok[: n - count + 1] = bad[count:] == bad[: n - count + 1]
-        fits.append((count, sel, ok))
-    best_n, best_s = np.ones(n, np.int64), np.zeros(n, np.int64)
-    for count, sel, ok in reversed(fits):
+    need = np.frexp(x.astype(np.float64))[1].astype(np.int8)  # bits of each id; from 2^53 on, one more at most
+    best_n, best_s = np.ones(n, np.uint8), np.zeros(n, np.uint8)
+    widest, k = need.copy(), 1  # widest[i]: most bits among the ids i to i + k - 1
+    for count, bits, sel in reversed(_BY_COUNT):
+        if count > n:
+            break
+        while k < count:
+            widest = np.maximum(widest[:-1], need[k:])
+            k += 1
+        ok = np.flatnonzero(widest <= bits)
         best_n[ok], best_s[ok] = count, sel
-    starts, i, jump = [], 0, best_n.tolist()
+        if not len(ok) and widest.min() > bits:
+            break
+    starts, i, jump = [], 0, best_n.tobytes()
     while i < n:
         starts.append(i)
         i += jump[i]
     at = np.array(starts, np.int64)
-    words = best_s[at].astype(np.uint64)
-    for s, (count, bits) in enumerate(PACKINGS):
-        k = np.flatnonzero(words == s) if len(at) else at
-        k = k[best_s[at[k]] == s] if len(k) else k
+    sel = best_s[at]
+    words = np.zeros(len(at), np.uint64)
+    for s in np.unique(sel):
+        k = np.flatnonzero(sel == s)
+        count, bits = PACKINGS[s]
+        first, word = at[k], np.full(len(k), s, np.uint64)
         for j in range(count):
-            words[k] |= x[at[k] + j] << np.uint64(4 + j * bits)
+            word |= x[first + j] << np.uint64(4 + j * bits)
+        words[k] = word
     return words
 
 
@@ -82,13 +89,13 @@ def decode_words(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def file_bytes(doc_ids: list[int], docs: list[np.ndarray], block_ids: int) -> bytes:
-    """A whole file of these documents."""
-    ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+def file_bytes(doc_ids: list[int], counts: list[int], parts: list[np.ndarray], block_ids: int) -> bytes:
+    """A whole file of documents with ``counts`` ids each; ``parts`` hold their ids in order."""
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     blocks = [encode_block(ids[a : a + block_ids]) for a in range(0, len(ids), block_ids)]
     offsets = np.cumsum([0, *map(len, blocks)])[:-1]
-    table = np.array([doc_ids, [len(d) for d in docs]], np.int64).T if docs else np.zeros((0, 2), np.int64)
-    tail = np.array([len(docs), len(blocks), len(ids), block_ids], np.int64)
+    table = np.array([doc_ids, counts], np.int64).T if doc_ids else np.zeros((0, 2), np.int64)
+    tail = np.array([len(doc_ids), len(blocks), len(ids), block_ids], np.int64)
     return b"".join([_MAGIC, *(b.astype("<u8").tobytes() for b in blocks), table.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), tail.astype("<i8").tobytes()])
 
 
@@ -110,7 +117,10 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r"\s | \s")
+#: Texts that are not cut at every space and line end: other white space, and runs or ends of white space.
+_ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}|^[ \n]|[ \n]$"
+#: Characters of text that are cut up and looked up together.
+_CHUNK = 4 << 20
 
 
 @lru_cache(maxsize=4)
@@ -120,45 +130,130 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Letters(dict):
+    """Code point -> its bytes in the vocabulary's alphabet, as the tokenizer's own pre-tokenizer writes them."""
+
+    def __init__(self, tok) -> None:
+        super().__init__()
+        self.tok = tok
+
+    def __missing__(self, code: int) -> str:
+        made = self[code] = self.tok.pre_tokenizer.pre_tokenize_str(chr(code))[0][0]
+        return made
+
+
+class _Kept(dict):
+    """A lookup in two generations: when the younger is full it becomes the older, and what is asked for again comes
+    back from there."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        self[key] = made
+        return made
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Latin letters, perhaps with ASCII punctuation behind them: two pre-tokens of the vocabulary's pattern.
+_SIMPLE = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+
+
 class Encoder:
     """Token ids of whole texts by a byte-level BPE of the tokenizers library.
 
-    Its pre-tokenizer always cuts before a single space between two other characters, and merges never cross such a
-    cut; so a text is encoded piece by piece, and pieces met before are looked up.  Texts that hold one of the
+    Its pre-tokenizer always cuts before a single space, and around a single line end, that stand between two other
+    characters, and merges never cross such a cut; so a text is encoded piece by piece, and pieces met before are
+    looked up.  Texts with longer or other white space are cut at single spaces only; texts that hold one of the
     vocabulary's special strings are encoded whole.
     """
 
-    def __init__(self, path: str, most_kept: int = 300_000) -> None:
-        self.tok, self.most_kept, self.kept = _tokenizer(path), most_kept, {}
+    def __init__(self, path: str, most_kept: int = 250_000) -> None:
+        self.tok = _tokenizer(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.plain = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None and not self.tok.pre_tokenizer.add_prefix_space
+        self.line_end, self.letters, self.merge = self._whole("\n"), _Letters(self.tok), self.tok.model.tokenize
+        self.cores, self.tails = _Kept(self._word, most_kept), _Kept(self._whole, 10_000)
+        self.spaced, self.bare = _Kept(lambda p: self._piece(" ", p), most_kept), _Kept(lambda p: self._piece("", p), most_kept // 4)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A single pre-token goes straight to the merges."""
+        return array("I", [t.id for t in self.merge(word.translate(self.letters))]).tobytes()
+
+    def _piece(self, before: str, piece: str) -> bytes:
+        if piece.isalpha() and max(piece) < "\u0250":
+            return self.cores[before + piece] if before else self._word(piece)
+        m = _SIMPLE.fullmatch(piece)
+        if m and max(m[1]) < "\u0250":
+            return self.cores[before + m[1]] + self.tails[m[2]]
+        return self._whole(before + piece)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        out, a = [], 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + _CHUNK, "right")))
+            out += self._chunk(texts.slice(a, b - a))
+            a = b
+        return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[p] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.kept) > self.most_kept:
-            self.kept.clear()
-        cut_up: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            if any(s in t for s in self.special):
-                cut_up.append(None)
-                continue
-            parts = _SPLIT.split(t) if _UNSAFE.search(t) else t.split(" ")
-            cut_up.append([parts[0], *[" " + p for p in parts[1:]]] if t else [])
-        missing = {p for parts in cut_up if parts for p in parts if p not in self.kept}
-        if missing:
-            self._learn(missing)
-        out = []
-        for t, parts in zip(texts, cut_up, strict=True):
-            if parts is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join([self.kept[p] for p in parts]), np.uint32))
+    def _chunk(self, texts: pa.Array) -> list[np.ndarray]:
+        for kept in (self.cores, self.tails, self.spaced, self.bare):
+            kept.age()
+        if not self.plain:
+            return [np.frombuffer(self._whole(t), np.uint32) for t in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, "|".join([_ODD, *map(re.escape, self.special)]))
+        lines = pc.split_pattern(pc.if_else(odd, "", texts), "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        coded = words.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        first_line, first_word = lines.offsets.to_numpy() - lines.offsets[0].as_py(), words.offsets.to_numpy() - words.offsets[0].as_py()
+        form = np.zeros(len(code), np.int64)  # 0 after a space, 1 at a line's start, 2 at a text's start
+        form[first_word[:-1]] = 1
+        form[first_word[first_line[:-1]]] = 2
+        key = code + len(pieces) * form
+        asked = np.zeros(3 * len(pieces), bool)
+        asked[key] = True
+        asked = np.flatnonzero(asked)
+        n, spaced, bare = len(pieces), self.spaced, self.bare
+        made = [spaced[pieces[k]] if k < n else self.line_end + bare[pieces[k - n]] if k < 2 * n else bare[pieces[k - 2 * n]] for k in asked.tolist()]
+        ids = np.frombuffer(b"".join(made), np.uint32)
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        slot = np.zeros(3 * n, np.int64)
+        slot[asked] = np.arange(len(asked))
+        at = slot[key]
+        counts = size[at]
+        ends = np.cumsum(counts)
+        take = np.repeat((np.cumsum(size) - size)[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        bounds = np.concatenate([[0], ends])[first_word[first_line]]
+        all_ids = ids[take]
+        out = [all_ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.frombuffer(self._odd(texts[i].as_py()), np.uint32)
         return out
 
+    def _odd(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._whole(text)
+        parts = _SPLIT.split(text)
+        return self._whole(parts[0]) + b"".join([self.spaced[p] for p in parts[1:]])
+
 
 def _write(path: str, data: bytes) -> None:
     from pyarrow import fs
@@ -189,30 +284,28 @@ def write_token_files(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, attempt = _encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex
         ids, held, size, k = [], [], 0, 0
         end = np.array([end_id], np.uint32)
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             path = f"{out_dir}/part-{part:06d}-{k:05d}-{attempt}.s8b"
-            _write(path, file_bytes(ids, held, block_ids))
-            return pd.DataFrame({"part": [part], "file": [k], "path": [path], "n_docs": [len(ids)], "n_ids": [size]})
+            _write(path, file_bytes(ids, [len(x) + 1 for x in held[::2]], held, block_ids))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "path": [path], "n_docs": [len(ids)], "n_ids": [size]})
 
         for b in batches:
-            texts = b["text"].tolist()
-            for a in range(0, len(texts), 256):
-                for i, x in zip(b["doc_id"].iloc[a : a + 256], encoder.encode(texts[a : a + 256]), strict=True):
-                    ids.append(-(2**63) if pd.isna(i) else int(i))
-                    held.append(np.concatenate([x, end]))
-                    size += len(x) + 1
-                    if size >= file_ids:
-                        yield close()
-                        ids, held, size, k = [], [], 0, k + 1
+            for i, x in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1)), strict=True):
+                ids.append(-(2**63) if i is None else i)
+                held += [x, end]
+                size += len(x) + 1
+                if size >= file_ids:
+                    yield close()
+                    ids, held, size, k = [], [], 0, k + 1
         if ids:
             yield close()
 
-    return cut(rows.mapInPandas(run, "part int, file int, path string, n_docs long, n_ids long"))
+    return cut(rows.mapInArrow(run, "part int, file int, path string, n_docs long, n_ids long"))
 
 
 @lru_cache(maxsize=4)
