@@ -15,6 +15,7 @@ text; repeated rows are written again; an empty table gives no file and no rows.
 
 from __future__ import annotations
 
+import operator
 import os
 import re
 import uuid
@@ -120,7 +121,7 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts that are not cut at every space and line end: other white space, and runs or ends of white space.
 _ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}|^[ \n]|[ \n]$"
 #: Characters of text that are cut up and looked up together.
-_CHUNK = 4 << 20
+_CHUNK = 8 << 20
 
 
 @lru_cache(maxsize=4)
@@ -142,29 +143,8 @@ class _Letters(dict):
         return made
 
 
-class _Kept(dict):
-    """A lookup in two generations: when the younger is full it becomes the older, and what is asked for again comes
-    back from there."""
-
-    def __init__(self, make, most: int) -> None:
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        made = self.old.get(key)
-        if made is None:
-            made = self.make(key)
-        self[key] = made
-        return made
-
-    def age(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-
 #: Latin letters, perhaps with ASCII punctuation behind them: two pre-tokens of the vocabulary's pattern.
-_SIMPLE = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+_SIMPLE = r"^(?P<core>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[!-/:-@\[-^`{-~]*)$"
 
 
 class Encoder:
@@ -176,13 +156,13 @@ class Encoder:
     vocabulary's special strings are encoded whole.
     """
 
-    def __init__(self, path: str, most_kept: int = 250_000) -> None:
-        self.tok = _tokenizer(path)
+    def __init__(self, path: str, most_kept: int = 500_000) -> None:
+        self.tok, self.most_kept = _tokenizer(path), most_kept
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.plain = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None and not self.tok.pre_tokenizer.add_prefix_space
         self.line_end, self.letters, self.merge = self._whole("\n"), _Letters(self.tok), self.tok.model.tokenize
-        self.cores, self.tails = _Kept(self._word, most_kept), _Kept(self._whole, 10_000)
-        self.spaced, self.bare = _Kept(lambda p: self._piece(" ", p), most_kept), _Kept(lambda p: self._piece("", p), most_kept // 4)
+        self.words: dict[str, bytes] = {}  # single pre-tokens, a space in front where the text has one
+        self.others: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -191,13 +171,31 @@ class Encoder:
         """A single pre-token goes straight to the merges."""
         return array("I", [t.id for t in self.merge(word.translate(self.letters))]).tobytes()
 
-    def _piece(self, before: str, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < "\u0250":
-            return self.cores[before + piece] if before else self._word(piece)
-        m = _SIMPLE.fullmatch(piece)
-        if m and max(m[1]) < "\u0250":
-            return self.cores[before + m[1]] + self.tails[m[2]]
-        return self._whole(before + piece)
+    @staticmethod
+    def _look_up(kept: dict[str, bytes], keys: list[str], make, most: int) -> list[bytes]:
+        """What is kept under the keys, made where it is new; a full lookup starts afresh with these keys."""
+        found = list(map(kept.get, keys))
+        if None in found:
+            for i, f in enumerate(found):
+                if f is None:
+                    found[i] = kept[keys[i]] = make(keys[i])
+        if len(kept) > most:
+            kept.clear()
+            kept.update(zip(keys, found, strict=True))
+        return found
+
+    def _pieces(self, pieces: pa.Array, spaced: bool) -> tuple[list[bytes], np.ndarray]:
+        """The ids of distinct pieces, all after a space or none, and which piece each of them is."""
+        before = " " if spaced else ""
+        parts = pc.extract_regex(pieces, _SIMPLE)
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        core, tail = (x.dictionary_encode() for x in parts.filter(parts.is_valid()).flatten())
+        cores = self._look_up(self.words, [before + w for w in core.dictionary.to_pylist()], self._word, self.most_kept)
+        tails = self._look_up(self.others, tail.dictionary.to_pylist(), self._whole, self.most_kept)
+        made = list(map(operator.add, map(cores.__getitem__, core.indices.to_pylist()), map(tails.__getitem__, tail.indices.to_pylist())))
+        rest = np.flatnonzero(~simple)
+        whole = self._look_up(self.others, [before + w for w in pieces.take(pa.array(rest)).to_pylist()], self._whole, self.most_kept)
+        return made + whole, np.concatenate([np.flatnonzero(simple), rest])
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
@@ -214,25 +212,25 @@ class Encoder:
         return out
 
     def _chunk(self, texts: pa.Array) -> list[np.ndarray]:
-        for kept in (self.cores, self.tails, self.spaced, self.bare):
-            kept.age()
         if not self.plain:
             return [np.frombuffer(self._whole(t), np.uint32) for t in texts.to_pylist()]
         odd = pc.match_substring_regex(texts, "|".join([_ODD, *map(re.escape, self.special)]))
         lines = pc.split_pattern(pc.if_else(odd, "", texts), "\n")
         words = pc.split_pattern(lines.flatten(), " ")
         coded = words.flatten().dictionary_encode()
-        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        code, pieces = coded.indices.to_numpy(), coded.dictionary
+        n = len(pieces)
         first_line, first_word = lines.offsets.to_numpy() - lines.offsets[0].as_py(), words.offsets.to_numpy() - words.offsets[0].as_py()
-        form = np.zeros(len(code), np.int64)  # 0 after a space, 1 at a line's start, 2 at a text's start
-        form[first_word[:-1]] = 1
-        form[first_word[first_line[:-1]]] = 2
-        key = code + len(pieces) * form
-        asked = np.zeros(3 * len(pieces), bool)
+        key = code.astype(np.int64)  # after a space; + n at a line's start, + 2 n at a text's start
+        key[first_word[:-1]] += n
+        key[first_word[first_line[:-1]]] += n
+        asked = np.zeros(3 * n, bool)
         asked[key] = True
-        asked = np.flatnonzero(asked)
-        n, spaced, bare = len(pieces), self.spaced, self.bare
-        made = [spaced[pieces[k]] if k < n else self.line_end + bare[pieces[k - n]] if k < 2 * n else bare[pieces[k - 2 * n]] for k in asked.tolist()]
+        after_space, at_start = np.flatnonzero(asked[:n]), np.flatnonzero(asked[n : 2 * n] | asked[2 * n :])
+        bare, bare_at = self._pieces(pieces.take(pa.array(at_start)), False)
+        made, made_at = self._pieces(pieces.take(pa.array(after_space)), True)
+        made = made + [self.line_end + b for b in bare] + bare
+        asked = np.concatenate([after_space[made_at], at_start[bare_at] + n, at_start[bare_at] + 2 * n])
         ids = np.frombuffer(b"".join(made), np.uint32)
         size = np.fromiter(map(len, made), np.int64, len(made)) // 4
         slot = np.zeros(3 * n, np.int64)
@@ -252,7 +250,7 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._whole(text)
         parts = _SPLIT.split(text)
-        return self._whole(parts[0]) + b"".join([self.spaced[p] for p in parts[1:]])
+        return self._whole(parts[0]) + b"".join(self._look_up(self.others, [" " + p for p in parts[1:]], self._whole, self.most_kept))
 
 
 def _write(path: str, data: bytes) -> None:
