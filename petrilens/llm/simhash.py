@@ -124,7 +124,7 @@ def shingle_set(text: str | None, words_in: int = 5) -> np.ndarray:
     words = _WORD.findall((text or "").translate(_UPPER))
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_word_hash) > 300_000:
+    if len(_word_hash) > 100_000:
         _word_hash.clear()
     known, one = _word_hash, xxhash.xxh64_intdigest
     for w in set(words).difference(known):
@@ -169,6 +169,7 @@ def similar_links(docs: DataFrame, *, id_col: str, text_col: str, words_in: int,
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(t, words_in).tobytes() for t in b["text"]]})
+        _word_hash.clear()
 
     made = cut(narrow.mapInPandas(banded, "id long, same long, bands array<long>"))
     least = made.groupBy("same").agg(F.min("id").alias("rep"))
