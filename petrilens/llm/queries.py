@@ -14,6 +14,7 @@ from petrilens.llm.licenses import scan_licenses
 from petrilens.llm.mixing import mix_plan
 from petrilens.llm.pii import find_pii, fit_field
 from petrilens.llm.simhash import near_duplicates
+from petrilens.llm.sql import SQL  # noqa: F401
 from petrilens.llm.token_files import token_files
 from petrilens.llm.topk import top_k
 from petrilens.llm.toxicity import fit_toxicity, score_toxicity
@@ -75,7 +76,8 @@ def url_changes(pages: DataFrame) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(url_captures(pages), url_changes(pages))
+    found = filter_urls(url_captures(pages), url_changes(pages))
+    return found.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "listed_on")})
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +110,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_token_files": op10_token_files,
 }
-
-SQL: dict[str, str] = {}
