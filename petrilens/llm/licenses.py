@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines with a license cue, joined with the following cue lines of a paragraph.  A block is
+Candidate blocks are lines with a license cue, and runs of such lines of which none is confirmed alone.  A block is
 compressed alone and with each template as a raw zstandard dictionary; templates are ranked by the size they save.  The
 winner is confirmed by exact wording differences: the words of the block and the template are aligned, and the block
 counts if at most ``most_changed`` of the template's words are missing or changed and every distinguishing word
@@ -58,17 +58,18 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str | None) -> list[tuple[int, str]]:
-    """(line number, block) of a whole text: runs of consecutive cue lines."""
-    out: list[tuple[int, str]] = []
+def blocks(text: str | None) -> list[tuple[int, list[str]]]:
+    """(number of the first line, lines) of the runs of consecutive cue lines of a whole text."""
+    out: list[tuple[int, list[str]]] = []
     if not text or not _CUE.search(text):
         return out
     last = -2
     for k, line in enumerate(text.split("\n")):
         if _CUE.search(line):
             if k == last + 1:
-                out[-1] = (out[-1][0], f"{out[-1][1]} {line}")
-            out.append((k, line)) if k != last + 1 else None
+                out[-1][1].append(line)
+            else:
+                out.append((k, [line]))
             last = k
     return out
 
@@ -108,19 +109,27 @@ def _scanner() -> Scanner:
     return Scanner(TEMPLATES)
 
 
+def identify(block: str, scanner: Scanner, least_saved: float, most_changed: float) -> tuple[str, float, int, int] | None:
+    """(license, saved, missing, extra) of a block, or None.  Templates that save ``least_saved`` are tried in order of
+    what they save until one is confirmed; among equal savings the fewest differences win."""
+    best = None
+    for saved, name, template in scanner.rank(block):
+        if saved < least_saved or best and saved < best[1]:
+            break
+        told = scanner.confirm(block, template, most_changed)
+        if told:
+            best = min(filter(None, (best, (name, saved, *told))), key=lambda x: (-x[1], x[2] + x[3], x[0]))
+    return best
+
+
 def scan(text: str | None, scanner: Scanner, least_saved: float = 0.15, most_changed: float = 0.2) -> Iterator[tuple[int, str, float, int, int]]:
-    """(line, license, saved, missing, extra) of every confirmed block.  Templates that save ``least_saved`` are tried
-    in order of what they save until one is confirmed; among equal savings the fewest differences win."""
-    for line, block in blocks(text):
-        best = None
-        for saved, name, template in scanner.rank(block):
-            if saved < least_saved or best and saved < best[0][0]:
-                break
-            told = scanner.confirm(block, template, most_changed)
-            if told:
-                best = min(filter(None, (best, ((saved, name), told))), key=lambda x: (-x[0][0], sum(x[1]), x[0][1]))
-        if best:
-            yield line, best[0][1], best[0][0], *best[1]
+    """(line, license, saved, missing, extra) of every confirmed block: each cue line, or a run of them as a whole where
+    no line of it is confirmed alone."""
+    for first, lines in blocks(text):
+        found = [(first + k, *told) for k, line in enumerate(lines) if (told := identify(line, scanner, least_saved, most_changed))]
+        if not found and len(lines) > 1 and (told := identify(" ".join(lines), scanner, least_saved, most_changed)):
+            found = [(first, *told)]
+        yield from found
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ Span = tuple[str, int, int]
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("obfuscated_email", "national_phone", "secret")
 KINDS = (*BASE, *ADDED)
-MOST_TOKENS = 16
+MOST_TOKENS = 26
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -79,8 +79,7 @@ _REGION = re.compile(
     r"|(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|Token|Secret|Password|API[_-]?KEY|TOKEN|SECRET|PASSWORD) ?[=:] ?[\"']?[A-Za-z0-9+/_\-]{8,160}"
     r"|[\[({<] ?(?:at|AT|At) ?[\])}>]|@|\bdot\b"
 )
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
-_TRIM = 80
+_TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]|\s+")
 
 
 def regions(text: str) -> list[tuple[int, int]]:
@@ -146,7 +145,7 @@ class SegmentField:
             digits = marks = False
             for j in range(i + 1, min(i + MOST_TOKENS, len(cuts) - 1) + 1):
                 t = text[cuts[j - 1] : cuts[j]]
-                digits, marks = digits or t.isdigit() and len(t) > 1, marks or t in ("@", "at", "dot", "=", ":")
+                digits, marks = digits or t[0].isdigit() and len(t) > 1, marks or t in ("@", "at", "dot", "=", ":")
                 if t.isspace() or t in ".,;:([{=-+" or not (digits or marks) or cuts[j] - cuts[i] < 7:
                     continue
                 s = text[cuts[i] : cuts[j]]
@@ -164,7 +163,8 @@ class SegmentField:
         by_end: dict[int, list] = defaultdict(list)
         for i, j, f in segs:
             if all(cuts[j] <= s or cuts[i] >= e for _, s, e in taken):
-                k, v = max(((k, self.score(k, f)) for k in ADDED), key=lambda x: x[1])
+                may = {"obfuscated_email": "spelled mail" in f, "secret": any(x.startswith("assigned=") for x in f), "national_phone": "letters=none" in f}
+                k, v = max(((k, self.score(k, f)) for k in ADDED if may[k]), key=lambda x: x[1], default=("", 0.0))
                 if v > 0:
                     by_end[j].append((i, k, v))
         for j in range(1, len(cuts)):
