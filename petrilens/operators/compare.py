@@ -37,12 +37,12 @@ def rank_sum(df: DataFrame, *, bin: str, condition: str, value: str, pairs: Sequ
     """
     d = df.where(F.col(value).isNotNull())
     contrasts = d.sparkSession.createDataFrame(list(pairs), "a string, b string")
-    cells = d.groupBy(bin, condition, value).agg(F.count(F.lit(1)).alias("k"))
+    cells = d.groupBy(bin, condition, value).agg(F.count(F.lit(1)).alias("_k"))
     j = cells.join(F.broadcast(contrasts), (F.col(condition) == F.col("a")) | (F.col(condition) == F.col("b")))
-    v = j.groupBy(bin, "a", "b", value).agg(F.sum(F.when(F.col(condition) == F.col("a"), F.col("k")).otherwise(0)).alias("ka"), F.sum("k").alias("k"))
+    v = j.groupBy(bin, "a", "b", value).agg(F.sum(F.when(F.col(condition) == F.col("a"), F.col("_k")).otherwise(0)).alias("_ka"), F.sum("_k").alias("_k"))
     w = Window.partitionBy(bin, "a", "b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("rank", F.sum("k").over(w) - (F.col("k") - 1) / 2)
-    g = v.groupBy(bin, "a", "b").agg(F.sum("ka").alias("n_a"), (F.sum("k") - F.sum("ka")).alias("n_b"), F.sum(F.col("ka") * F.col("rank")).alias("_w"), F.sum(F.pow(F.col("k").cast("double"), F.lit(3)) - F.col("k")).alias("_t"))
+    v = v.withColumn("rank", F.sum("_k").over(w) - (F.col("_k") - 1) / 2)
+    g = v.groupBy(bin, "a", "b").agg(F.sum("_ka").alias("n_a"), (F.sum("_k") - F.sum("_ka")).alias("n_b"), F.sum(F.col("_ka") * F.col("rank")).alias("_w"), F.sum(F.pow(F.col("_k").cast("double"), F.lit(3)) - F.col("_k")).alias("_t"))
     n = F.col("n_a") + F.col("n_b")
     u = F.col("_w") - F.col("n_a") * (F.col("n_a") + 1) / 2
     mean = F.col("n_a") * F.col("n_b") / 2
