@@ -52,3 +52,12 @@ def maybe_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
 def n_words(text):
     """Number of words of a text column (0 for null)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows: texts can be long, and a batch stands several times in the memory of an
+    executor and of its Python worker.  A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

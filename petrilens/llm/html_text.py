@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from petrilens.llm.common import bounded_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|textarea|select|title|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
@@ -166,6 +168,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
             b["n_chars"] = b["text"].str.len().astype("int64")
             yield b
 
+    bounded_batches(pages.sparkSession)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = narrow.schema["page_id"].dataType.simpleString()
     return narrow.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from petrilens.llm.common import bounded_batches
+
 _CUE = re.compile(r"licen[sc]|copyright|\(c\)|warrant|permission is|redistribut|public domain|all rights reserved|lizenz|licencia", re.I)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 
@@ -141,5 +143,6 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             rows = [(i, *found) for i, t in zip(b["doc_id"], b["text"], strict=True) for found in scan(t, scanner)]
             yield pd.DataFrame(rows, columns=["doc_id", "line", "license", "saved", "missing", "extra"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, line long, license string, saved double, missing long, extra long")

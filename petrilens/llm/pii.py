@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from petrilens.llm.common import bounded_batches
+
 Span = tuple[str, int, int]
 
 BASE = ("email", "ip", "card", "phone")
@@ -267,6 +269,7 @@ def all_spans(text: str, field: SegmentField) -> list[Span]:
 
 def find_pii(docs: DataFrame, field: SegmentField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base (list of kind:start:end), spans (all)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dict(field.w))
     kind = docs.schema[id_col].dataType.simpleString()
 

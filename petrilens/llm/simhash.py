@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import cut
+from petrilens.llm.common import bounded_batches, cut
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, words_in) for t in b["text"]], np.uint64).view(np.int64)})
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
 
@@ -171,6 +172,7 @@ def similar_links(docs: DataFrame, *, id_col: str, text_col: str, words_in: int,
             yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(t, words_in).tobytes() for t in b["text"]]})
         _word_hash.clear()
 
+    bounded_batches(docs.sparkSession)
     made = cut(narrow.mapInPandas(banded, "id long, same long, bands array<long>"))
     least = made.groupBy("same").agg(F.min("id").alias("rep"))
     classes = made.groupBy("same", "bands").agg(F.min("id").alias("id"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import cut, fresh_path
+from petrilens.llm.common import bounded_batches, cut, fresh_path
 
 #: Selector -> (ids in a word, bits of an id); selector 0 is the escape: one id of up to 60 bits.
 PACKINGS = ((1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
@@ -278,6 +278,7 @@ def write_token_files(
     ascending document order.  A task closes a file after ``file_ids`` ids.  Every attempt of a task writes files with
     names of its own; the manifest names those of the attempt that counted: part, file, path, n_docs, n_ids.
     """
+    bounded_batches(docs.sparkSession, 3000)
     n = partitions or max(1, docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
