@@ -394,3 +394,38 @@ def normalise_patch(patches: DataFrame, keys: Sequence[str], value: str = "inten
     """Values over their patch's largest, unchanged where that is 0 or less."""
     top = F.max(value).over(Window.partitionBy(*keys))
     return patches.withColumn(value, F.when(top > 0, F.col(value) / top).otherwise(F.col(value)))
+
+
+def droplet_focus(px: DataFrame, droplets: DataFrame, plane: Sequence[str], *, ring: float = 2.0) -> DataFrame:
+    """Per plane and droplet: variance of the Laplacian in the interior and in the ring of pixels within ``ring`` of the
+    droplet's end, and the contrast of their mean intensities."""
+    d = laplacian(px, "intensity", plane).join(inside_distance(droplets, plane, ring, "droplet_id"), [*plane, "y", "x"])
+    inner = F.col("depth") > ring
+    g = d.groupBy(*plane, "droplet_id").agg(F.var_pop(F.when(inner, F.col("lap"))).alias("interior"), F.var_pop(F.when(~inner, F.col("lap"))).alias("ring"), F.avg(F.when(inner, F.col("intensity"))).alias("_a"), F.avg(F.when(~inner, F.col("intensity"))).alias("_b"))
+    return g.withColumn("contrast", F.try_divide(F.abs(F.col("_a") - F.col("_b")), F.abs("_a") + F.abs("_b"))).drop("_a", "_b")
+
+
+def best_droplet_plane(scores: DataFrame, *, series: Sequence[str], z: str, metrics: Sequence[str], floor: float) -> DataFrame:
+    """Per series and droplet: its plane with the best score by the series's metric, which is the one with the highest
+    peak (ties: first listed); droplets whose best score is under ``floor`` have none."""
+    peak = scores.groupBy(*series).agg(F.max(F.greatest(*[F.struct(F.coalesce(F.col(m), F.lit(-1.0)).alias("v"), F.lit(-i).alias("i")) for i, m in enumerate(metrics)])).alias("_p"))
+    named = F.element_at(F.array(*map(F.lit, metrics)), 1 - F.col("_p.i"))
+    d = scores.join(peak.select(*series, named.alias("metric")), list(series))
+    score = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in metrics])
+    best = d.groupBy(*series, "droplet_id", "metric").agg(F.max(F.struct(score.alias("s"), (-F.col(z)).alias("z"))).alias("b"))
+    return best.select(*series, "droplet_id", "metric", (-F.col("b.z")).alias("best_z"), F.col("b.s").alias("score")).where(F.col("score") >= floor)
+
+
+def derive_mask(px: DataFrame, plane: Sequence[str], *, sigma: float, factor: float, least_area: int, hole: int, width: int, height: int, largest_only: bool = False, bins: int = 128) -> DataFrame:
+    """Mask of each plane by one rule: smooth, robust z, over ``factor`` times the Otsu threshold, components of at least
+    ``least_area`` pixels (or the largest alone), small holes filled."""
+    from petrilens.operators.summaries import robust_z
+
+    d = robust_z(separable(px, "intensity", gaussian_kernel(sigma), plane, "_g"), "_g", plane, "_z")
+    on = above_otsu(d.select(*plane, "y", "x", "_z"), plane, "_z", bins, factor).select(*plane, "y", "x")
+    lab = label_mask(on, plane)
+    sizes = lab.groupBy(*plane, "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_area)
+    if largest_only:
+        sizes = sizes.groupBy(*plane).agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("b")).select(*plane, "b.component")
+    kept = lab.join(sizes.select(*plane, "component"), [*plane, "component"], "left_semi")
+    return clean_mask(kept.select(*plane, "y", "x"), plane, width=width, height=height, small=least_area, hole=hole)

@@ -249,3 +249,13 @@ def max_projection(spark, sf):
 def patch_stitch(spark, sf):
     d = M.cut_patches(_px(spark, sf), width=80, height=80, size=32, stride=16)
     return M.stitch(M.normalise_patch(d, ["t", "patch_y", "patch_x"]), ["t", "y", "x"], "intensity").select("t", "y", "x", r("intensity").alias("intensity"), "n_patches")
+
+
+@query("droplet_focus")
+def droplet_focus(spark, sf):
+    """Focus of each droplet on the planes of a series (frames taken in pairs), and its best plane."""
+    px = _px(spark, sf).withColumn("z", F.col("t") % 2).withColumn("t", F.floor(F.col("t") / 2))
+    drops = px.select("t", "z", "y", "x", (F.floor(F.col("y") / 20) * 4 + F.floor(F.col("x") / 20)).alias("droplet_id"))
+    s = M.droplet_focus(px, drops, ["t", "z"])
+    d = M.best_droplet_plane(s, series=["t"], z="z", metrics=["interior", "contrast", "ring"], floor=0.0)
+    return d.select("t", "droplet_id", "metric", "best_z", r("score").alias("score"))
