@@ -157,8 +157,8 @@ def similar_links(docs: DataFrame, *, id_col: str, text_col: str, words_in: int,
     """Links (a, b), a < b, of ids whose texts' shingle sets have a Jaccard similarity of at least ``similarity``.
 
     Equal shingle sets are one class, named by its least id.  A class is compared with the least class of every band
-    bucket it is in and with the one before it there, so the comparisons grow with the rows and not with a bucket's
-    square; links between others of a bucket follow as long as they meet in a band or through these.
+    bucket it is in and with the one before it there.  That leaves pairs of buckets of four or more open; unless these
+    links already join all of such a bucket, its classes go through ``open_pairs``, which misses no similar pair.
     """
     narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -178,8 +178,9 @@ def similar_links(docs: DataFrame, *, id_col: str, text_col: str, words_in: int,
     classes = made.groupBy("same", "bands").agg(F.min("id").alias("id"))
     held = classes.select("id", F.posexplode("bands").alias("band", "key"))
     w = Window.partitionBy("band", "key").orderBy("id")
-    near = held.withColumn("hub", F.min("id").over(w)).withColumn("before", F.lag("id").over(w)).filter("before IS NOT NULL")
-    pairs = cut(near.select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("a"), F.col("id").alias("b")).distinct())
+    size = F.count(F.lit(1)).over(Window.partitionBy("band", "key"))
+    near = cut(held.withColumn("hub", F.min("id").over(w)).withColumn("before", F.lag("id").over(w)).withColumn("size", size).filter("size > 1").select("id", "hub", "before", "size", "band", "key"))
+    pairs = cut(near.filter("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("a"), F.col("id").alias("b")).distinct())
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     whole = cut(narrow.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, shingles binary"))
 
@@ -192,7 +193,43 @@ def similar_links(docs: DataFrame, *, id_col: str, text_col: str, words_in: int,
             out.append(both / max(1, len(x) + len(y) - both))
         return pd.Series(out, dtype="float64")
 
-    left = whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    similar = pairs.join(left, "a").join(right, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
-    return made.join(least, "same").filter("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).union(similar)
+    def verified(asked: DataFrame) -> DataFrame:
+        left = whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+        right = whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        return asked.join(left, "a").join(right, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
+
+    similar = cut(verified(pairs))
+    root = components(similar).select(F.col("node").alias("id"), "root")
+    crowd = near.filter("size > 3").select("id", "band", "key").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = crowd.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+    rest = cut(crowd.join(split.select("band", "key"), ["band", "key"], "left_semi").select("id", "root").distinct())
+    more = verified(open_pairs(whole.join(rest, "id"), similarity))
+    return made.join(least, "same").filter("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).union(similar).union(more)
+
+
+def open_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of ``sets(id, root, shingles)`` with different roots, among them all at ``similarity`` or more.
+
+    Two sets that share ``least`` shingles share one of the first ``size - least + 1`` of each in any common order of
+    the shingles.  The order is by the number of sets that hold a shingle, rare ones first: what a crowd has in common
+    comes last, so texts on one template do not meet by the template.  Under a shingle only sets outside the root that
+    is most frequent there look for partners, so a large joined family costs no pairs of its own.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "root": b["root"], "shingles": [np.frombuffer(x, np.int64) for x in b["shingles"]]})
+
+    lists = sets.select("id", "root", "shingles").mapInPandas(listed, "id long, root long, shingles array<long>")
+    held = cut(lists.select("id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ranked = held.join(common, "shingle").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
+    first = cut(ranked.filter(F.col("pos") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).filter("df > 1").select("id", "root", "n", "shingle", "pos"))
+    by_root = first.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_root.groupBy("shingle").agg(F.max_by("root", "c").alias("big"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", "big")
+    x = first.join(mixed, "shingle").filter("root <> big").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "n", "pos")])
+    y = first.join(mixed, "shingle").select("shingle", "big", *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "n", "pos")])
+    least = F.ceil(similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    met = x.join(y, "shingle").filter("x_root <> y_root AND (y_root = big OR x_id < y_id)")
+    met = met.filter((F.col("x_pos") <= F.col("x_n") - least + 1) & (F.col("y_pos") <= F.col("y_n") - least + 1) & (F.least("x_n", "y_n") >= least))
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()

@@ -220,6 +220,20 @@ def test_pipeline_groups_equal_brute_force(spark):
     assert sorted(kept) == [rows["doc_id"][k] for k in range(len(rows)) if g[k] == k]
 
 
+def test_similar_pairs_in_a_crowd(spark):
+    shared = " ".join(f"s{i}" for i in range(253))
+    own = lambda k, n=42: " ".join(f"o{k}x{i}" for i in range(n))
+    texts = {i: f"{shared} {own(i)}" for i in range(10, 410)}
+    planted = [(11 + 3 * i, 409 - 2 * i) for i in range(30)]
+    for a, b in planted:
+        texts[b] = f"{shared} {own(a, 11)} {own(b, 31)}"
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["a"], r["b"]) for r in simhash.similar_links(d, id_col="doc_id", text_col="text", words_in=5, similarity=0.8).collect()}
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.74 < sim(10, 14) < 0.76 and got == {p for p in planted if sim(*p) >= 0.8} == set(planted)
+
+
 # 5
 
 
