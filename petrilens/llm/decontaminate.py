@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows and multi-index Hamming blocks.
 
 Words are runs of letters and digits, lower-cased; shingles have ``shingle`` words (an item with fewer is one shingle).
-Windows have an item's number of shingles.  A window at a similarity above 0 shares a shingle with the item, so windows
-are laid where the text and an item share one, at the same offset in both (moved inside the text at its ends).  Their
+Windows have an item's number of shingles.  Windows are laid where the text and an item share a shingle, at the same
+offset in both (moved inside the text at its ends), and at every start between two such of one item that one window can
+hold, as far as the window has enough shared shingles for ``similarity``.  No window beyond these is better: while all
+shared shingles in a window say that it starts too early (or too late), a step their way loses none of them.  Their
 64-bit SimHash fingerprints are looked up in a table of the items' fingerprints: five blocks of 12 or 13 bits, each
 stored with its Hamming ball of radius 3, so that every pair within 19 bits meets in a block.  Pairs verified at
 that distance are compared exactly: shingle counts, sum of minima over sum of maxima, ``similarity`` at least.
@@ -77,7 +79,7 @@ def find_leaks(
         table = table.unionByName(t)
     table = cut(table.select("item_id", "k", "sh", F.size("sh").alias("n_sh")).distinct())
     places = table.select("item_id", "k", "n_sh", F.posexplode("sh").alias("item_pos", "shingle"))
-    places = maybe_broadcast(places.groupBy("k", "shingle").agg(F.collect_set(F.struct("n_sh", "item_pos")).alias("places")), 200_000)
+    places = maybe_broadcast(places.groupBy("k", "shingle").agg(F.collect_set(F.struct("n_sh", "item_pos", "item_id")).alias("places")), 200_000)
 
     hashed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col).alias("doc_id"), F.transform(_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("h"))
     found = None
@@ -89,7 +91,15 @@ def find_leaks(
     hits = found.join(places, ["k", "shingle"]).select("row_key", "k", "n_doc", "pos", F.explode("places").alias("p"))
     n = F.least(F.col("p.n_sh"), F.col("n_doc"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("p.item_pos"), F.col("n_doc") - n))
-    windows = cut(hits.select("row_key", "k", F.col("p.n_sh").alias("n_sh"), n.alias("n"), start.alias("start")).distinct())
+    hits = cut(hits.select("row_key", "k", F.col("p.n_sh").alias("n_sh"), "p.item_id", n.alias("n"), "pos", start.alias("start")))
+    aligned = hits.select("row_key", "k", "n_sh", "n", "start")
+    # The least number of shared shingles, and the aligned starts of one item with those between them.
+    enough = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n_sh")) - 1e-9)
+    runs = hits.groupBy("row_key", "k", "n_sh", "n", "item_id").agg(F.collect_set("pos").alias("at"), F.sort_array(F.collect_set("start")).alias("s"))
+    runs = runs.filter((F.size("s") > 1) & (F.size("at") >= enough))
+    gaps = F.expr("flatten(transform(sequence(1, size(s) - 1), j -> CASE WHEN s[j] - s[j - 1] BETWEEN 2 AND 2 * n - 1 THEN sequence(s[j - 1] + 1, s[j] - 1) ELSE slice(s, 1, 0) END))")
+    between = runs.withColumn("start", F.explode(gaps)).filter(F.expr("size(filter(at, q -> q BETWEEN start AND start + n - 1))") >= enough)
+    windows = cut(aligned.union(between.select("row_key", "k", "n_sh", "n", "start")).distinct())
 
     keys = maybe_broadcast(windows.select("row_key").distinct(), 1_000_000)
     texts = hashed.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"])

@@ -249,6 +249,30 @@ def test_leaks_in_edited_and_short_texts(spark):
     assert decontaminate.find_leaks(d, items.where("item_id < 0")).count() == 0 and decontaminate.find_leaks(d.where("doc_id < 0"), items).count() == 0
 
 
+def test_leaks_equal_all_windows(spark):
+    w = [f"w{i}" for i in range(58)]
+    shifted = ["x0", *w[1:29], "y0", "y1", *w[29:57], "x1"]
+    moved = w[30:] + w[:30]
+    r, texts = np.random.default_rng(3), [shifted, moved, w]
+    for _ in range(40):
+        t = list(w)
+        for _ in range(int(r.integers(1, 5))):
+            k = int(r.integers(0, len(t)))
+            t[k : k + int(r.integers(0, 2))] = [f"z{int(r.integers(1000))}"] * int(r.integers(0, 3))
+        texts.append(t)
+    texts = [[f"a{i}" for i in range(9)] + t + [f"b{i}" for i in range(9)] for t in texts]
+    shingles = lambda t: [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
+    item, want = Counter(shingles(w)), {}
+    for i, t in enumerate(texts):
+        sh, n = shingles(t), 54
+        same = max(sum((item & Counter(sh[p : p + n])).values()) for p in range(len(sh) - n + 1))
+        if same / (2 * n - same) >= 0.8:
+            want[i] = round(same / (2 * n - same), 9)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: round(r["similarity"], 9) for r in decontaminate.find_leaks(d, spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")).collect()}
+    assert want[0] == 0.8 and len(want) > 10 and got == want
+
+
 # 6
 
 
