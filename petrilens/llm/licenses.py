@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines with a license cue, and runs of such lines of which none is confirmed alone.  A block is
-compressed alone and with each template as a raw zstandard dictionary; templates are ranked by the size they save.  The
+Candidate blocks are stretches of words around each license cue, up to a template's length on both sides and across line
+ends; then lines with a cue that no such stretch touches, and runs of such lines of which none is confirmed alone.  A
+block is compressed alone and with each template as a raw zstandard dictionary; templates are ranked by the size they save.  The
 winner is confirmed by exact wording differences: the words of the block and the template are aligned, and the block
 counts if at most ``most_changed`` of the template's words are missing or changed and every distinguishing word
 (numbers, versions and names) is there.
@@ -12,6 +13,7 @@ repeated rows each give theirs; empty tables give no rows; other columns never m
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -49,7 +51,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "Proprietary": ("Copyright. All rights reserved.",),
+    "Proprietary": ("Copyright. All rights reserved.", "All rights reserved."),
 }
 
 #: Words that every license statement shares; all others must be met exactly.
@@ -124,14 +126,57 @@ def identify(block: str, scanner: Scanner, least_saved: float, most_changed: flo
     return best
 
 
+def stretches(text: str, scanner: Scanner, least_saved: float, most_changed: float) -> list[tuple[int, int, str, float, int, int]]:
+    """(first line, last line, license, saved, missing, extra) of the statements around the cues of a whole text: words
+    aligned with a template, with at most ``most_changed`` of its words missing and as many beyond them, every
+    distinguishing word inside, and ``least_saved`` of the stretch's own size saved.  Of stretches that overlap, the one
+    with the most words met counts."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    found = [text[a:b].lower() for a, b in spans]
+    starts = [a for a, _ in spans]
+    cues = sorted({max(0, bisect.bisect_right(starts, m.start()) - 1) for m in _CUE.finditer(text)})
+    met: dict[tuple[int, int, str], tuple] = {}
+    for name, template, packer in scanner.named:
+        n, own = len(template), {w for w in template if w not in _COMMON}
+        slack = max(1, int(most_changed * n))
+        todo = [(max(0, c - n - slack), min(len(found), c + n + slack + 1)) for c in cues]
+        seen = set()
+        while todo:
+            lo, hi = todo.pop()
+            if (lo, hi) in seen or hi - lo < n - slack or not own.issubset(found[lo:hi]):
+                continue
+            seen.add((lo, hi))
+            parts = [m for m in difflib.SequenceMatcher(None, template, found[lo:hi], autojunk=False).get_matching_blocks() if m.size]
+            a, b, same = lo + parts[0].b, lo + parts[-1].b + parts[-1].size, sum(m.size for m in parts)
+            if n - same > most_changed * n or b - a - same > slack or not own.issubset(found[a:b]):
+                continue
+            data = text[spans[a][0] : spans[b - 1][1]].encode("utf-8", "replace")
+            saved = 1 - len(packer.compress(data)) / len(scanner.plain.compress(data))
+            if saved >= least_saved:
+                met[a, b, name] = (n - 2 * (n - same) - (b - a - same), saved, n - same, b - a - same)
+            todo += [(lo, a), (b, hi)]
+    out, taken = [], set()
+    for (a, b, name), (_, saved, missing, extra) in sorted(met.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
+        if taken.isdisjoint(range(a, b)):
+            taken.update(range(a, b))
+            first = text.count("\n", 0, spans[a][0])
+            out.append((first, first + text.count("\n", spans[a][0], spans[b - 1][1]), name, saved, missing, extra))
+    return sorted(out)
+
+
 def scan(text: str | None, scanner: Scanner, least_saved: float = 0.15, most_changed: float = 0.2) -> Iterator[tuple[int, str, float, int, int]]:
-    """(line, license, saved, missing, extra) of every confirmed block: each cue line, or a run of them as a whole where
-    no line of it is confirmed alone."""
-    for first, lines in blocks(text):
-        found = [(first + k, *told) for k, line in enumerate(lines) if (told := identify(line, scanner, least_saved, most_changed))]
-        if not found and len(lines) > 1 and (told := identify(" ".join(lines), scanner, least_saved, most_changed)):
-            found = [(first, *told)]
-        yield from found
+    """(line, license, saved, missing, extra) of every confirmed block: the stretches around cues, then each other cue
+    line, or a run of them as a whole where no line of it is confirmed."""
+    runs = blocks(text)
+    told = stretches(text, scanner, least_saved, most_changed) if runs else []
+    held = {k for first, last, *_ in told for k in range(first, last + 1)}
+    found = [(first, *rest) for first, _, *rest in told]
+    for first, lines in runs:
+        alone = [(first + k, *got) for k, line in enumerate(lines) if first + k not in held and (got := identify(line, scanner, least_saved, most_changed))]
+        if not alone and len(lines) > 1 and held.isdisjoint(range(first, first + len(lines))) and (got := identify(" ".join(lines), scanner, least_saved, most_changed)):
+            alone = [(first, *got)]
+        found += alone
+    yield from sorted(found)
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

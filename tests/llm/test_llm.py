@@ -337,6 +337,18 @@ def test_licenses(spark, edge, none):
     assert licenses.scan_licenses(edge).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_inside_long_and_wrapped_text():
+    def names(text):
+        return [(line, name) for line, name, *_ in licenses.scan(text, licenses._scanner())]
+
+    r = np.random.default_rng(1)
+    prose = " ".join("".join(r.choice(list("abcdefghijklmno"), 6)) for _ in range(600))
+    assert names("x\nAll rights reserved.\ny") == [(1, "Proprietary")]
+    assert names(f"{prose} Released under the MIT License. {prose} Licensed under the Apache License, Version 2.0. {prose}") == [(0, "Apache-2.0"), (0, "MIT")]
+    assert names("poem\nThis work is licensed under the GNU\nGeneral Public\nLicense, version 3.\nend") == [(1, "GPL-3.0")]
+    assert names(f"{prose} licensed under a tree, all rights of {prose}") == []
+
+
 def test_licenses_equal_exact_lines(spark, docs):
     exact = {t: name for name, ts in licenses.TEMPLATES.items() for t in ts}
     want = sorted((r["doc_id"], k, exact[line]) for r in docs.select("doc_id", "text").collect() for k, line in enumerate(r["text"].split("\n")) if line in exact)
