@@ -1,14 +1,17 @@
 """Near duplicates by SimHash fingerprints and multi-index hashing.
 
-A 64-bit fingerprint has two 32-bit segments.  The table entry of a fingerprint is stored under every member of the
-Hamming ball of radius 1 in each segment, the other segment as it is; two fingerprints at 2 or fewer differing bits then
-always share an entry (one flip from either side), and no entry ever holds more than 65 fingerprints, whatever the
-data, so no bucket becomes hot.  Matches of an entry are verified by their complete distance.  Equal fingerprints are
-one row before any of this, and components are found by hooking and halving paths over the links.
-
-Rows: a null text counts as an empty one; texts without words have fingerprint zero and link like any other; documents
-with a null id are left out of the result (they could not be named); repeated rows of one id give one row each; empty
-tables give no rows.
+A 64-bit fingerprint has two segments of 32 bits, each with a table of the fingerprints by the segment's value.  Two
+fingerprints at 2 or fewer differing bits differ in at most one bit of the first segment or in none of the second, so
+looking up the Hamming ball of radius 1 around the first segment and the second segment's own value meets every such
+pair.  Matches are verified by their complete distance.
+
+Equal fingerprints are one row before any of this.  A table entry with over ``_MOST`` fingerprints (a family that
+differs in one segment only) is split by the ball of radius 1 in the other segment: two fingerprints of the entry at 2
+or fewer bits share a member of it, and no such entry ever holds more than 33 fingerprints, whatever the data.
+
+Rows: a null text counts as an empty one; texts without words have fingerprint zero and link like any other; a null id
+is never the least one (a component of null ids has none); repeated rows of one id give one row each; empty tables
+give no rows; other columns never matter.
 """
 
 from __future__ import annotations
@@ -19,14 +22,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import bounded_batches, cut
+from petrilens.llm.common import bounded_batches, cut, maybe_broadcast, spread
+from petrilens.operators.graph import connected_components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 16
+#: Fingerprints under one value of a segment beyond which the entry is split by the other segment.
+_MOST = 64
+
+
+def _majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), _CHUNK):
+        part = np.ascontiguousarray(h[a : a + _CHUNK])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.dtype("<u8"))[0])
 
 
 def fingerprint(text: str | None, words_in: int = 3) -> int:
@@ -34,16 +49,12 @@ def fingerprint(text: str | None, words_in: int = 3) -> int:
     words = _WORD.findall((text or "").translate(_UPPER))
     if not words:
         return 0
-    n = max(1, len(words) - words_in + 1)
-    ones, one = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for a in range(0, n, _CHUNK):
-        h = np.array([one(" ".join(words[i : i + words_in]), 42) for i in range(a, min(n, a + _CHUNK))], np.dtype("<u8"))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.dtype("<u8"))[0])
+    n, one = max(1, len(words) - words_in + 1), xxhash.xxh64_intdigest
+    return _majority(np.array([one(" ".join(words[i : i + words_in]), 42) for i in range(n)], np.dtype("<u8")))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_in: int = 3) -> DataFrame:
-    """Per row with an id: doc_id, fp (the fingerprint's 64 bits as a long)."""
+    """Per row: doc_id, fp (the fingerprint's 64 bits as a long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -51,48 +62,45 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, that join all fingerprints of ``distinct(fp)`` at 2 or fewer differing bits.
-
-    The fingerprints under one entry are within 2 bits of each other, so each is linked to the entry's least one.
-    """
-    ball = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(63)), -(1 << 63))])
-    entries = distinct.withColumn("_flip", F.explode(ball)).select(F.col("fp").bitwiseXOR(F.col("_flip")).alias("entry"), "fp")
-    held = entries.groupBy("entry").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    pairs = held.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+def _ball(value: Column) -> Column:
+    """The 33 values at most one bit from a 32-bit value."""
+    return F.transform(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)]), lambda m: value.bitwiseXOR(m))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): each node of ``edges(a, b)``, a < b, with the least node it reaches.
-
-    Rounds of two steps, each a grouped minimum and joins on narrow rows: every node hooks its neighbours' neighbours
-    to its least neighbour, then every node keeps its smaller neighbours tied to their least.  Paths halve, so the
-    number of rounds grows with the logarithm of the longest; each round is cut by a checkpoint.
-    """
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-    now = cut(edges.select("a", "b").distinct())
-    seen = mark(now)
-    while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        tied = large.join(low, "b").filter("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y")).union(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        after = cut(tied.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        last, seen, now = seen, mark(after), after
-        if seen == last:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+def links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, between all fingerprints of ``distinct(fp)`` at 2 or fewer differing bits."""
+    fps = spread(distinct.select("fp"), "fp")
+    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    high = F.shiftrightunsigned("fp", 32)
+    entry = lambda segment, value: F.struct(F.lit(segment).cast("tinyint").alias("segment"), value.alias("value"))
+    table = fps.select("fp", F.explode(F.array(entry(0, low), entry(1, high))).alias("e")).select("fp", "e.segment", "e.value")
+    asked = F.concat(F.transform(_ball(low), lambda v: entry(0, v)), F.array(entry(1, high)))
+    probes = fps.select("fp", F.explode(asked).alias("e")).select(F.col("fp").alias("q"), "e.segment", "e.value")
+    hot = cut(table.groupBy("segment", "value").count().filter(F.col("count") > _MOST).select("segment", "value"))
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("q")))
+
+    def matched(t: DataFrame, p: DataFrame, key: list[str]) -> DataFrame:
+        met = t.join(p, key).filter((F.col("fp") != F.col("q")) & (distance <= 2))
+        return met.select(F.least("fp", "q").alias("a"), F.greatest("fp", "q").alias("b"))
+
+    key = ["segment", "value"]
+    if hot.isEmpty():
+        return matched(table, probes, key).distinct()
+    hot = maybe_broadcast(hot)
+    other = lambda c: F.when(F.col("segment") == 0, F.shiftrightunsigned(c, 32)).otherwise(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    finer = lambda d, c: d.join(hot, key, "left_semi").withColumn("near", F.explode(_ball(other(c))))
+    cold = matched(table.join(hot, key, "left_anti"), probes.join(hot, key, "left_anti"), key)
+    return cold.union(matched(finer(table, "fp"), finer(probes, "q"), [*key, "near"])).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_in: int = 3) -> DataFrame:
-    """Per row with an id: doc_id, fingerprint (16 hex digits), component_id (the least doc_id of its component)."""
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (the least doc_id of its component)."""
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words_in=words_in))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
+    least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    root = connected_components(links(least)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     classes = cut(least.join(root, "fp").select("fp", "root", "least"))
     best = classes.groupBy("root").agg(F.min("least").alias("component"))
     linked = classes.join(best, "root").select("fp", "component")
@@ -101,31 +109,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_in: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id (one row of it, if it is repeated); rows
-    with a null id stay.  Groups are the components of the fingerprint links and of the links of similar texts."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, words_in=words_in)
-    links = groups.filter("component_id < doc_id").select(F.col("component_id").cast("long").alias("a"), F.col("doc_id").cast("long").alias("b"))
-    links = links.union(similar_links(docs, id_col=id_col, text_col=text_col, words_in=words_in, similarity=similarity))
-    gone = components(links.distinct()).filter("node <> root").select(F.col("node").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    first = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).orderBy(text_col)
-    return kept.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-
-
-# Links of similar texts.  Texts at a shingle similarity of 0.8 differ in 5 to 16 of 64 fingerprint bits, far beyond the
-# radius for which blocks of Hamming balls stay small; so candidates come from bands of minima instead, and are verified
-# by the exact similarity of their whole shingle sets.
+# One document of each group.  Texts at a shingle similarity of 0.8 differ in 5 to 16 of 64 fingerprint bits, far beyond
+# the radius for which balls in segments stay small; so besides the fingerprint links, candidates come from bands of
+# minima, and are verified by the exact similarity of their whole shingle sets.
 
 _word_hash: dict[str, int] = {}
 
 
-def shingle_set(text: str | None, words_in: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a whole text's word shingles (fewer words: the whole sequence; none: empty)."""
+def shingle_hashes(text: str | None, words_in: int = 5) -> np.ndarray:
+    """64-bit hashes of a whole text's word shingles in order (fewer words: the whole sequence; none: empty)."""
     words = _WORD.findall((text or "").translate(_UPPER))
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_word_hash) > 100_000:
+    if len(_word_hash) > 50_000:
         _word_hash.clear()
     known, one = _word_hash, xxhash.xxh64_intdigest
     for w in set(words).difference(known):
@@ -136,75 +132,152 @@ def shingle_set(text: str | None, words_in: int = 5) -> np.ndarray:
     for j in range(k):
         out = (out ^ h[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
 
 
-def _bands(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash per band of ``rows`` minima."""
-    r = np.random.default_rng(11)
-    odd = r.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(s), 4096):
-        low = np.minimum(low, (s[a : a + 4096, None] * odd).min(0))
+def shingle_set(text: str | None, words_in: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's word shingles."""
+    return np.unique(shingle_hashes(text, words_in))
+
+
+def _set_name(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64))
+
+
+def _bands(s: np.ndarray, odd: np.ndarray, bands: int) -> np.ndarray:
+    """One hash per band of minima."""
+    low = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(s), 1024):
+        low = np.minimum(low, (s[a : a + 1024, None] * odd).min(0))
     out = np.zeros(bands, np.uint64)
-    for j in range(rows):
-        out = (out ^ low[j::rows]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for j in range(len(odd) // bands):
+        out = (out ^ low[j * bands : (j + 1) * bands]) * np.uint64(0xC2B2AE3D27D4EB4F)
         out ^= out >> np.uint64(31)
     return out
 
 
-def similar_links(docs: DataFrame, *, id_col: str, text_col: str, words_in: int, similarity: float, bands: int = 24, rows: int = 5) -> DataFrame:
-    """Links (a, b), a < b, of ids whose texts' shingle sets have a Jaccard similarity of at least ``similarity``.
+def signatures(docs: DataFrame, *, id_col: str, text_col: str, words_in: int, bands: int, rows: int) -> DataFrame:
+    """Per row, from one pass over the texts: id, fp, same (names the shingle set), n (its size), bands."""
+    odd = np.random.default_rng(11).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Equal shingle sets are one class, named by its least id.  A class is compared with the least class of every band
-    bucket it is in and with the one before it there.  That leaves pairs of buckets of four or more open; unless these
-    links already join all of such a bucket, its classes go through ``open_pairs``, which misses no similar pair.
-    """
-    narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t, words_in) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "same": [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) for s in sets], "bands": [_bands(s, bands, rows).view(np.int64) for s in sets]})
+            made = []
+            for t in b["text"]:
+                h = shingle_hashes(t, words_in)
+                s = np.unique(h)
+                fp = np.uint64(_majority(h) if len(h) else 0).astype(np.int64)
+                made.append((int(fp), _set_name(s), len(s), _bands(s, odd, bands).view(np.int64)))
+            yield pd.DataFrame({"id": b["id"], **dict(zip(("fp", "same", "n", "bands"), zip(*made, strict=True), strict=True))} if made else {c: [] for c in ("id", "fp", "same", "n", "bands")})
+        _word_hash.clear()
+
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long, same long, n long, bands array<long>")
+
+
+def similar_sets(texts: DataFrame, made: DataFrame, *, words_in: int, similarity: float) -> DataFrame:
+    """Links (a, b), a < b, of shingle sets (by their names) that join all sets with a Jaccard similarity of at least
+    ``similarity`` which share a band.  ``made`` has the signatures of ``texts(id, text)``.
+
+    A set is compared with the first and the last set of every bucket it is in.  That leaves pairs of buckets of four
+    or more open; unless these links already join all of such a bucket, its sets go through ``open_pairs``, which
+    misses no similar pair.
+    """
+    classes = made.groupBy("same", "n", "bands").agg(F.min("id").alias("rep"))
+    held = classes.select("same", "n", F.posexplode("bands").alias("band", "key"))
+    one = F.struct("same", "n")
+    ends = held.groupBy("band", "key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    near = cut(held.join(ends, ["band", "key"]))
+    sides = [near.select(F.col(f"{e}.same").alias("a"), F.col(f"{e}.n").alias("n_a"), F.col("same").alias("b"), F.col("n").alias("n_b")) for e in ("lo", "hi")]
+    # Sizes bound the similarity from above.
+    pairs = sides[0].union(sides[1]).filter("a <> b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = cut(pairs.select("a", "b", "n_b").distinct())
+    crowds = near.filter("size > 3").select("same", "band", "key")
+    asked = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).union(crowds.select("same")).distinct()
+    reps = maybe_broadcast(cut(classes.join(asked, "same").select("rep").distinct()), 1_000_000)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(t, words_in).tobytes() for t in b["text"]]})
+            found = [shingle_set(t, words_in) for t in b["text"]]
+            yield pd.DataFrame({"same": [_set_name(s) for s in found], "shingles": [s.tobytes() for s in found]})
         _word_hash.clear()
 
-    bounded_batches(docs.sparkSession)
-    made = cut(narrow.mapInPandas(banded, "id long, same long, bands array<long>"))
-    least = made.groupBy("same").agg(F.min("id").alias("rep"))
-    classes = made.groupBy("same", "bands").agg(F.min("id").alias("id"))
-    held = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    w = Window.partitionBy("band", "key").orderBy("id")
-    size = F.count(F.lit(1)).over(Window.partitionBy("band", "key"))
-    near = cut(held.withColumn("hub", F.min("id").over(w)).withColumn("before", F.lag("id").over(w)).withColumn("size", size).filter("size > 1").select("id", "hub", "before", "size", "band", "key"))
-    pairs = cut(near.filter("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("a"), F.col("id").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    whole = cut(narrow.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, shingles binary"))
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pd.Series(out, dtype="float64")
-
-    def verified(asked: DataFrame) -> DataFrame:
-        left = whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        right = whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        return asked.join(left, "a").join(right, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
-
-    similar = cut(verified(pairs))
-    root = components(similar).select(F.col("node").alias("id"), "root")
-    crowd = near.filter("size > 3").select("id", "band", "key").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    whole = texts.join(reps, F.col("id") == F.col("rep"), "left_semi").mapInPandas(sets, "same long, shingles binary")
+    whole = cut(whole.groupBy("same").agg(F.first("shingles").alias("shingles")))
+    similar = cut(verified(pairs, whole, similarity))
+    root = connected_components(similar).select(F.col("node").alias("same"), F.col("component").alias("root"))
+    crowd = crowds.join(root, "same", "left").withColumn("root", F.coalesce("root", "same"))
     split = crowd.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
-    rest = cut(crowd.join(split.select("band", "key"), ["band", "key"], "left_semi").select("id", "root").distinct())
-    more = verified(open_pairs(whole.join(rest, "id"), similarity))
-    return made.join(least, "same").filter("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).union(similar).union(more)
+    rest = cut(crowd.join(split.select("band", "key"), ["band", "key"], "left_semi").select("same", "root").distinct())
+    if rest.isEmpty():
+        return similar
+    sizes = rest.join(classes.select("same", "n"), "same")
+    more = open_pairs(whole.join(rest, "same").select(F.col("same").alias("id"), "root", "shingles"), similarity)
+    more = cut(more.join(sizes.select(F.col("same").alias("b"), F.col("n").alias("n_b")).distinct(), "b").select("a", "b", "n_b"))
+    return similar.union(verified(more, whole, similarity))
+
+
+def verified(pairs: DataFrame, whole: DataFrame, similarity: float, most: int = 1 << 20) -> DataFrame:
+    """The links (a, b), a < b, of ``pairs(a, b, n_b)`` whose sets in ``whole(same, shingles)`` are similar enough.
+
+    The partners of a set are dealt to parts of about ``most`` shingles, so a set with many partners is no hot key.  A
+    part is a run of sorted rows, the set itself first and its partners after it; a task keeps one set and one batch.
+    """
+    load = pairs.groupBy("a").agg((F.ceil(F.sum("n_b") / most)).cast("long").alias("parts")).filter("parts > 1")
+    dealt = pairs.join(maybe_broadcast(cut(load)), "a", "left")
+    dealt = cut(dealt.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("part")))
+    firsts = dealt.select("a", "part").distinct().join(whole, F.col("a") == F.col("same")).select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = firsts.unionByName(dealt.join(whole, F.col("b") == F.col("same")).select("a", "part", "b", "shingles"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for a, b, blob in zip(batch["a"], batch["b"], batch["shingles"], strict=True):
+                s = np.frombuffer(blob, np.uint64)
+                if b is None or b != b:
+                    mine = s.copy()
+                    continue
+                at = np.searchsorted(mine, s)
+                both = int((mine[np.minimum(at, len(mine) - 1)] == s).sum()) if len(mine) else 0
+                if both >= similarity * max(1, len(mine) + len(s) - both):
+                    out.append((min(a, int(b)), max(a, int(b))))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    # Text keeps all 64 bits of a name beside a null.
+    keyed = rows.select("a", "part", F.col("b").cast("string").alias("b"), "shingles")
+    return spread(keyed, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInPandas(run, "a long, b long").distinct()
+
+
+def drop_near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_in: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5
+) -> DataFrame:
+    """``docs`` with one document of each group, the one with the least id (one row of it, with the least text, if it
+    is repeated); rows with a null id stay.  Groups are the components of the fingerprint links, of the links of
+    similar texts and of the rows that repeat an id."""
+    named = docs.filter(F.col(id_col).isNotNull())
+    made = cut(signatures(named, id_col=id_col, text_col=text_col, words_in=words_in, bands=bands, rows=rows))
+    texts = named.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    of_fp = cut(made.groupBy("fp").agg(F.min("same").alias("first"), F.max("same").alias("last")))
+    first = of_fp.select("fp", "first")
+    near = links(first).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    equal = made.join(of_fp.filter("first < last"), "fp").select("first", "same")
+    repeats = made.groupBy("id").agg(F.min("same").alias("x"), F.max("same").alias("y")).filter("x < y")
+    again = made.join(maybe_broadcast(cut(repeats)), "id").select("x", "same")
+    edges = near.union(equal).union(again).toDF("a", "b").union(similar_sets(texts, made, words_in=words_in, similarity=similarity))
+    root = cut(connected_components(edges.filter("a <> b")).select(F.col("node").alias("same"), F.col("component").alias("root")))
+    whose = made.select("id", "same").join(root, "same", "left").select("id", F.coalesce("root", "same").alias("root"))
+    least = whose.groupBy("root").agg(F.min("id").alias("least"))
+    gone = maybe_broadcast(cut(whose.join(least, "root").filter("id <> least").select(F.col("id").alias("_gone")).distinct()), 1_000_000)
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    often = cut(made.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_often")))
+    if often.isEmpty():
+        return kept
+    often = maybe_broadcast(often, 1_000_000)
+    w = Window.partitionBy(id_col).orderBy(text_col)
+    one_each = kept.join(often, F.col(id_col) == F.col("_often"), "left_semi").withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+    return kept.join(often, F.col(id_col) == F.col("_often"), "left_anti").unionByName(one_each)
 
 
 def open_pairs(sets: DataFrame, similarity: float) -> DataFrame:

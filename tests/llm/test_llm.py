@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from petrilens.llm import decontaminate, html_text, licenses, mixing, pii, queries, simhash, token_files, topk, toxicity, url_lists
 from petrilens.llm.sql import SQL
+from petrilens.operators.graph import connected_components
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -188,9 +189,12 @@ def test_simhash_equals_brute_force(spark):
 def test_links_equal_brute_force(spark):
     r = np.random.default_rng(4)
     base = r.integers(0, 2**63, 20, dtype=np.uint64) * np.uint64(2)
-    fps = sorted({int(b) ^ sum(1 << int(k) for k in r.choice(64, int(r.integers(0, 5)), replace=False)) for b in np.repeat(base, 12)})
+    fps = {int(b) ^ sum(1 << int(k) for k in r.choice(64, int(r.integers(0, 5)), replace=False)) for b in np.repeat(base, 12)}
+    # Families that share one segment: their table entries are split.
+    fps |= {int(base[0]) ^ sum(1 << int(k) + half for k in r.choice(32, 3, replace=False)) for half in (0, 32) for _ in range(150)}
+    fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    comp = {x["node"]: x["root"] for x in simhash.components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))).collect()}
+    comp = {x["node"]: x["component"] for x in connected_components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))).collect()}
     order = sorted(range(len(fps)), key=lambda k: signed[k])
     g = _groups(len(fps), lambda a, b: (fps[order[a]] ^ fps[order[b]]).bit_count() <= 2)
     assert [comp.get(signed[order[k]], signed[order[k]]) for k in range(len(fps))] == [signed[order[x]] for x in g]
@@ -198,8 +202,8 @@ def test_links_equal_brute_force(spark):
 
 def test_simhash_edges(edge, none):
     got = simhash.near_duplicates(edge).toPandas()
-    assert len(got) == len(EDGE) - 1
-    by = got.drop_duplicates().set_index("doc_id")
+    assert len(got) == len(EDGE) and got["doc_id"].isna().sum() == 1
+    by = got.dropna(subset="doc_id").drop_duplicates().set_index("doc_id")
     assert by.loc[2, "fingerprint"] == "0" * 16 and by.loc[[2, 3, 4], "component_id"].tolist() == [2, 2, 2] and by.loc[7, "component_id"] == 1
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.drop_near_duplicates(edge)
@@ -227,13 +231,40 @@ def test_similar_pairs_in_a_crowd(spark):
     planted = [(11 + 3 * i, 409 - 2 * i) for i in range(30)]
     for a, b in planted:
         texts[b] = f"{shared} {own(a, 11)} {own(b, 31)}"
-    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {(r["a"], r["b"]) for r in simhash.similar_links(d, id_col="doc_id", text_col="text", words_in=5, similarity=0.8).collect()}
+    d = spark.createDataFrame(list(texts.items()), "id long, text string")
+    made = simhash.signatures(d, id_col="id", text_col="text", words_in=5, bands=24, rows=5)
+    named = {r["same"]: r["id"] for r in made.collect()}
+    got = {tuple(sorted((named[r["a"]], named[r["b"]]))) for r in simhash.similar_sets(d, made, words_in=5, similarity=0.8).collect()}
     sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
     sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert 0.74 < sim(10, 14) < 0.76 and got == {p for p in planted if sim(*p) >= 0.8} == set(planted)
 
 
+def test_near_copies_of_one_text(spark):
+    """A family of edited copies with a hot first member, dealt over small parts; text ids; repeated ids."""
+    r = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        for k in r.choice(300, int(r.integers(1, 5)), replace=False):
+            t[k] = f"x{i}"
+        rows.append((f"d{i:03}", " ".join(t)))
+    other = [(f"e{i:03}", " ".join(f"o{i}w{k}" for k in range(50))) for i in range(40)]
+    d = spark.createDataFrame(rows + other + other[:5] + [("e000", "again another text"), (None, "x")], "doc_id string, text string")
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    g = _groups(len(rows), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = [x["doc_id"] for x in simhash.drop_near_duplicates(d).collect()]
+    alone = {rows[k][0] for k in range(len(rows)) if g[k] == k}
+    assert sorted(str(k) for k in kept) == sorted([*alone, *(i for i, _ in other), "None"]) and len(alone) < 30
+    made = simhash.signatures(d, id_col="doc_id", text_col="text", words_in=5, bands=24, rows=5)
+    hub = simhash._set_name(simhash.shingle_set(rows[0][1]))
+    pairs = made.where(f"id like 'd%' and same <> {hub}").select(F.lit(hub).alias("a"), F.col("same").alias("b"), F.col("n").alias("n_b"))
+    whole = spark.createDataFrame([(simhash._set_name(np.array(sorted(s), np.uint64)), bytearray(np.array(sorted(s), np.uint64).tobytes())) for s in sets], "same long, shingles binary")
+    got = simhash.verified(pairs, whole, 0.8, most=1000).count()
+    assert got == sum(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets[1:])
+
+
 # 5
 
 
