@@ -1,13 +1,15 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows and multi-index Hamming blocks.
 
 Words are runs of letters and digits, lower-cased; shingles have ``shingle`` words (an item with fewer is one shingle).
-Windows have an item's number of shingles.  Windows are laid where the text and an item share a shingle, at the same
-offset in both (moved inside the text at its ends), and at every start between two such of one item that one window can
-hold, as far as the window has enough shared shingles for ``similarity``.  No window beyond these is better: while all
-shared shingles in a window say that it starts too early (or too late), a step their way loses none of them.  Their
-64-bit SimHash fingerprints are looked up in a table of the items' fingerprints: five blocks of 12 or 13 bits, each
-stored with its Hamming ball of radius 3, so that every pair within 19 bits meets in a block.  Pairs verified at
-that distance are compared exactly: shingle counts, sum of minima over sum of maxima, ``similarity`` at least.
+Windows have an item's number of shingles (a shorter text is one window).  A window at ``similarity`` to any item has
+at least ``similarity / (1 + similarity)`` of both sizes in shingles that some item holds, so every window of every
+item size and every start with that many is laid, whatever the items are; no window that counts is left out.
+
+The 64-bit SimHash fingerprints of all laid windows come from rolling counts of bits: sums of the shingles' bits up to
+each position, several counts packed into one long, whose difference at a window's ends tells the counts inside it.
+Fingerprints are looked up in a table of the items' fingerprints: five blocks of 12 or 13 bits, each stored with its
+Hamming ball of radius 3, so that every pair within 19 bits meets in a block.  Pairs verified at that distance are
+compared exactly: shingle counts, sum of minima over sum of maxima, ``similarity`` at least.
 
 Only DataFrame operations are used.  Two windows at 0.8 differ in 9.7 of 64 bits on average (standard deviation 2.9).
 
@@ -17,7 +19,7 @@ one row a pair; a null id is kept as one; empty tables give no rows; other colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilens.llm.common import cut, maybe_broadcast
@@ -43,6 +45,26 @@ def _fingerprint(shingles: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | CASE WHEN 2 * {ones} > size({shingles}) THEN shiftleft(1L, b) ELSE 0L END)")
 
 
+class _Counts:
+    """Counts of set bits, packed: the bits ``half * 32 + k``, + ``width``, ... of a half stand side by side in one
+    long.  A lane holds a window's count; sums over a whole text run over into the next lane, but the difference of
+    two such sums is again the packed counts of what lies between."""
+
+    def __init__(self, most: int) -> None:
+        self.width = next(w for w in (8, 16, 32) if most < 1 << (w - 1))
+        self.mask = sum(1 << i for i in range(0, 32, self.width))
+        self.parts = [32 * half + k for half in (0, 1) for k in range(self.width)]
+
+    def packed(self, h: str) -> list[Column]:
+        return [F.expr(f"shiftrightunsigned({h}, {s}) & {self.mask}L").alias(f"c{s}") for s in self.parts]
+
+    def fingerprint(self, sums: str, first: str, n: str) -> str:
+        """From ``sums[i]``, the packed counts of the first i shingles: bits set in over half of ``n`` shingles."""
+        over = f"({(1 << (self.width - 1)) - 1}L - {n} div 2) * {self.mask}L"
+        bits = [f"shiftleft(shiftrightunsigned({sums}[{first} + {n}].c{s} - {sums}[{first}].c{s} + {over}, {self.width - 1}) & {self.mask}L, {s})" for s in self.parts]
+        return " | ".join(bits)
+
+
 def _blocks(fp: Column, ball: bool) -> Column:
     """(block, value) of a fingerprint; with ``ball``, of every value within ``_BALL`` bits in the block."""
     parts = []
@@ -60,14 +82,29 @@ def _entries(masks: Column, block: int, value: Column) -> Column:
 def _similarity(a: str, b: str) -> Column:
     """Sum of minima over sum of maxima of the shingle counts of two arrays."""
     least = f"aggregate(array_intersect({a}, {b}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
-    return F.expr(f"{least} / (size({a}) + size({b}) - {least})")
+    plain = f"size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b})"
+    same = f"CASE WHEN {plain} THEN size(array_intersect({a}, {b})) ELSE {least} END"
+    return F.expr(f"{same} / (size({a}) + size({b}) - {same})")
+
+
+def _windows(hits: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """row_key, k, n_sh, n, start of every window in which at least the needed number of positions are ``hits``."""
+    texts = hits.groupBy("row_key", "k", "n_doc").agg(F.sort_array(F.collect_set("pos")).alias("at")).join(F.broadcast(sizes), "k")
+    need = lambda n: F.ceil(similarity / (1 + similarity) * (F.least(n, F.col("n_doc")) + n) - 1e-9)
+    sized = texts.withColumn("n_sh", F.explode(F.filter("sizes", lambda n: need(n) <= F.size("at"))))
+    sized = sized.withColumn("n", F.least("n_sh", "n_doc")).withColumn("need", need(F.col("n_sh")).cast("int"))
+    # A window holds the hits j to j + need - 1 if it starts at the first of these or before and ends at the last or after.
+    lo, hi = "greatest(0, at[j + need - 1] - n + 1)", "least(at[j], n_doc - n)"
+    starts = f"array_distinct(flatten(transform(sequence(0, size(at) - need), j -> CASE WHEN {lo} <= {hi} THEN sequence({lo}, {hi}) ELSE slice(at, 1, 0) END)))"
+    return sized.select("row_key", "k", "n_sh", "n", F.explode(F.expr(starts)).alias("start"))
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similarity: float = 0.8, span: int = 4096
 ) -> DataFrame:
     """Per document and item found in it: doc_id, item_id, start (word offset of the best window, ties to the first),
-    n_words, similarity, distance (differing fingerprint bits), and row_key, which names the row of ``docs``."""
+    n_words, similarity, distance (differing fingerprint bits), and row_key, which names the row of ``docs``.  Counts
+    roll over ``span`` starts at a time, so a row of the work is bounded for texts of any length."""
     wanted = items.select(F.col(item_col).alias("item_id"), F.transform(_words(F.col(item_text_col)), lambda w: F.xxhash64(w)).alias("h")).filter("size(h) > 0")
     wanted = wanted.withColumn("k", F.least(F.lit(shingle), F.size("h")))
     ks = [r["k"] for r in wanted.select("k").distinct().collect()]  # 1 to ``shingle``
@@ -78,8 +115,9 @@ def find_leaks(
     for t in sized[1:]:
         table = table.unionByName(t)
     table = cut(table.select("item_id", "k", "sh", F.size("sh").alias("n_sh")).distinct())
-    places = table.select("item_id", "k", "n_sh", F.posexplode("sh").alias("item_pos", "shingle"))
-    places = maybe_broadcast(places.groupBy("k", "shingle").agg(F.collect_set(F.struct("n_sh", "item_pos", "item_id")).alias("places")), 200_000)
+    sizes = table.groupBy("k").agg(F.collect_set("n_sh").alias("sizes"))  # ``shingle`` rows at most
+    longest = table.agg(F.max("n_sh")).head()[0] or 0
+    held_by_items = maybe_broadcast(table.select("k", F.explode("sh").alias("shingle")).distinct(), 500_000)
 
     hashed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col).alias("doc_id"), F.transform(_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("h"))
     found = None
@@ -88,33 +126,35 @@ def find_leaks(
         n_doc = F.greatest(F.size("h") - (k - 1), F.lit(0))
         at = hashed.select("row_key", F.lit(k).alias("k"), n_doc.alias("n_doc"), F.posexplode(_shingles("h", k)).alias("pos", "shingle"))
         found = at if found is None else found.unionByName(at)
-    hits = found.join(places, ["k", "shingle"]).select("row_key", "k", "n_doc", "pos", F.explode("places").alias("p"))
-    n = F.least(F.col("p.n_sh"), F.col("n_doc"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("p.item_pos"), F.col("n_doc") - n))
-    hits = cut(hits.select("row_key", "k", F.col("p.n_sh").alias("n_sh"), "p.item_id", n.alias("n"), "pos", start.alias("start")))
-    aligned = hits.select("row_key", "k", "n_sh", "n", "start")
-    # The least number of shared shingles, and the aligned starts of one item with those between them.
-    enough = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n_sh")) - 1e-9)
-    runs = hits.groupBy("row_key", "k", "n_sh", "n", "item_id").agg(F.collect_set("pos").alias("at"), F.sort_array(F.collect_set("start")).alias("s"))
-    runs = runs.filter((F.size("s") > 1) & (F.size("at") >= enough))
-    gaps = F.expr("flatten(transform(sequence(1, size(s) - 1), j -> CASE WHEN s[j] - s[j - 1] BETWEEN 2 AND 2 * n - 1 THEN sequence(s[j - 1] + 1, s[j] - 1) ELSE slice(s, 1, 0) END))")
-    between = runs.withColumn("start", F.explode(gaps)).filter(F.expr("size(filter(at, q -> q BETWEEN start AND start + n - 1))") >= enough)
-    windows = cut(aligned.union(between.select("row_key", "k", "n_sh", "n", "start")).distinct())
-
-    keys = maybe_broadcast(windows.select("row_key").distinct(), 1_000_000)
+    hits = found.join(held_by_items, ["k", "shingle"], "left_semi").select("row_key", "k", "n_doc", "pos")
+    windows = cut(_windows(hits, sizes, similarity))
+
+    by_span = ["row_key", "k", "span"]
+    spans = windows.withColumn("span", F.expr(f"start div {span}")).groupBy(*by_span)
+    spans = cut(spans.agg(F.min("start").alias("lo"), F.max(F.col("start") + F.col("n")).alias("hi"), F.collect_list(F.struct("start", "n", "n_sh")).alias("windows")))
+    keys = maybe_broadcast(spans.select("row_key").distinct(), 1_000_000)
     texts = hashed.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"])
-    laid = None
+    parts = None
     for k in ks or [shingle]:
-        part = texts.withColumn("sh", _shingles("h", k)).drop("h").join(windows.filter(F.col("k") == k), "row_key")
-        laid = part if laid is None else laid.unionByName(part)
-    laid = laid.withColumn("w", F.expr("slice(sh, start + 1, n)")).drop("sh")
-    laid = cut(laid.withColumn("fp", _fingerprint("w")))
+        part = texts.withColumn("sh", _shingles("h", k)).drop("h").join(spans.filter(F.col("k") == k), "row_key")
+        part = part.select(*by_span, "doc_id", "lo", "windows", F.expr("slice(sh, lo + 1, hi - lo)").alias("sh"))
+        parts = part if parts is None else parts.unionByName(part)
+    parts = cut(parts)
+    counts = _Counts(longest)
+    rolled = parts.repartition(*by_span).select(*by_span, F.posexplode(F.concat("sh", F.array(F.lit(0).cast("long")))).alias("pos", "h")).select(*by_span, "pos", *counts.packed("h"))
+    before = Window.partitionBy(*by_span).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rolled = rolled.select(*by_span, "pos", *[F.coalesce(F.sum(f"c{s}").over(before), F.lit(0)).alias(f"c{s}") for s in counts.parts])
+    rolled = rolled.groupBy(*by_span).agg(F.sort_array(F.collect_list(F.struct("pos", *[f"c{s}" for s in counts.parts]))).alias("sums"))
+    printed = F.expr(f"transform(windows, w -> struct(w.start AS start, w.n AS n, w.n_sh AS n_sh, {counts.fingerprint('sums', '(w.start - lo)', 'w.n')} AS fp))")
+    laid = parts.select(*by_span, "lo", "windows").join(rolled, by_span).select(*by_span, F.explode(printed).alias("w")).select(*by_span, "w.*")
+
     index = table.withColumn("item_fp", _fingerprint("sh")).select("item_id", "k", "n_sh", "item_fp", F.explode(_blocks(F.col("item_fp"), True)).alias("b")).select("item_id", "k", "n_sh", "item_fp", "b.block", "b.value")
-    probes = laid.select("row_key", "k", "n_sh", "start", "fp", F.explode(_blocks(F.col("fp"), False)).alias("b")).select("row_key", "k", "n_sh", "start", "fp", "b.block", "b.value")
-    near = probes.join(index, ["k", "n_sh", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    near = near.filter(F.col("distance") <= _RADIUS).select("row_key", "k", "n_sh", "start", "item_id", "distance").distinct()
-    pairs = near.join(laid.select("row_key", "doc_id", "k", "n_sh", "start", "n", "w"), ["row_key", "k", "n_sh", "start"])
-    pairs = pairs.join(table.select(F.col("item_id").alias("_i"), F.col("k").alias("_k"), F.col("n_sh").alias("_n"), "sh"), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")) & (F.col("n_sh") == F.col("_n")))
+    probes = laid.select(*by_span, "n_sh", "start", "n", "fp", F.explode(_blocks(F.col("fp"), False)).alias("b")).select(*by_span, "n_sh", "start", "n", "fp", "b.block", "b.value")
+    near = probes.join(maybe_broadcast(cut(index), 500_000), ["k", "n_sh", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    near = cut(near.filter(F.col("distance") <= _RADIUS).select(*by_span, "n_sh", "start", "n", "item_id", "distance").distinct())
+    pairs = near.join(parts.select(*by_span, "doc_id", "lo", F.col("sh").alias("near_sh")), by_span).withColumn("w", F.expr("slice(near_sh, start - lo + 1, n)")).drop("near_sh", "lo")
+    exact = maybe_broadcast(table.select(F.col("item_id").alias("_i"), F.col("k").alias("_k"), F.col("n_sh").alias("_n"), "sh"))
+    pairs = pairs.join(exact, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")) & (F.col("n_sh") == F.col("_n")))
     scored = pairs.withColumn("similarity", _similarity("w", "sh")).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("row_key", "doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", (F.col("n") + F.col("k") - 1).alias("n_words"), "similarity", "distance")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"), "best.similarity", F.col("best.distance").cast("long").alias("distance"), "row_key")

@@ -41,8 +41,8 @@ LEAKS = f"""WITH i AS (SELECT item_id, w, least(5, len(w))::BIGINT AS k FROM (SE
 ish AS (SELECT item_id, k, len(w) - k + 1 AS n, p, array_to_string(w[p + 1 : p + k], ' ') AS sh FROM i, unnest(generate_series(0, len(w) - k)) AS u(p)),
 dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 dsh AS (SELECT doc_id, k, len(w) - k + 1 AS nd, p, array_to_string(w[p + 1 : p + k], ' ') AS sh FROM (SELECT doc_id, w, k FROM dw JOIN (SELECT DISTINCT k FROM i) ON len(w) >= k), unnest(generate_series(0, len(w) - k)) AS u(p)),
-win AS (SELECT DISTINCT d.doc_id, d.k, x.n, least(x.n, d.nd) AS m, greatest(0, least(d.p - x.p, d.nd - least(x.n, d.nd))) AS start FROM dsh d JOIN ish x ON d.k = x.k AND d.sh = x.sh),
-cand AS (SELECT win.*, t.item_id FROM win JOIN (SELECT DISTINCT item_id, k, n FROM ish) t ON win.k = t.k AND win.n = t.n),
+met AS (SELECT DISTINCT d.doc_id, d.k, x.item_id, x.n, least(x.n, d.nd) AS m, d.nd, d.p FROM dsh d JOIN ish x ON d.k = x.k AND d.sh = x.sh),
+cand AS (SELECT DISTINCT doc_id, k, item_id, n, m, u.start FROM met, unnest(generate_series(greatest(0, p - m + 1), least(p, nd - m))) AS u(start)),
 wc AS (SELECT c.doc_id, c.item_id, c.k, c.n, c.m, c.start, d.sh, count(*) AS cnt FROM cand c JOIN dsh d ON c.doc_id = d.doc_id AND c.k = d.k AND d.p BETWEEN c.start AND c.start + c.m - 1 GROUP BY 1, 2, 3, 4, 5, 6, 7),
 ic AS (SELECT item_id, sh, count(*) AS cnt FROM ish GROUP BY 1, 2),
 sc AS (SELECT wc.doc_id, wc.item_id, wc.k, wc.n, wc.m, wc.start, sum(least(wc.cnt, ic.cnt)) AS same FROM wc JOIN ic ON wc.item_id = ic.item_id AND wc.sh = ic.sh GROUP BY 1, 2, 3, 4, 5, 6),

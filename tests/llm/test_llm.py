@@ -304,6 +304,33 @@ def test_leaks_equal_all_windows(spark):
     assert want[0] == 0.8 and len(want) > 10 and got == want
 
 
+def test_leaks_of_many_sizes_and_long_texts(spark):
+    """Two halves in turn; items of other sizes; windows over the ends of spans; repeated shingles; clashing columns."""
+    r = np.random.default_rng(7)
+    items = {i: [f"i{i}w{k}" for k in range(n)] for i, n in enumerate((5, 14, 20, 41, 100, 140))}
+    items[9] = ["a", "b", "c"] * 10
+    filler = lambda n: [f"f{int(x)}" for x in r.integers(0, 10**6, n)]
+    texts = [filler(60) + items[4][50:] + items[4][:50] + filler(60), items[4][50:] + items[4][:50], items[3][10:], items[9][1:] + ["a"], filler(3), ["a", "b", "c"] * 40]
+    long = filler(9000)
+    for at, i in ((1000, 0), (2040, 1), (4090, 3), (6000, 5), (8900, 2)):
+        long[at : at + len(items[i])] = items[i]
+    texts += [long, *(items[5][a:b] + filler(30) for a, b in ((0, 130), (4, 140), (0, 60)))]
+    shingles = lambda t: [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
+    want = {}
+    for d, t in enumerate(texts):
+        sh = shingles(t)
+        for i, w in items.items():
+            item = Counter(shingles(w))
+            n, size = min(len(w) - 4, len(sh)), len(w) - 4
+            best = max(((sum((item & Counter(sh[p : p + n])).values()), -p) for p in range(len(sh) - n + 1)), default=(0, 0)) if n > 0 else (0, 0)
+            if best[0] and best[0] / (n + size - best[0]) >= 0.8:
+                want[d, i] = (-best[1], n + 4, round(best[0] / (n + size - best[0]), 9))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] * 2, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("k", F.lit(0))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["start"], x["n_words"], round(x["similarity"], 9)) for x in decontaminate.find_leaks(docs, bench, span=1024).collect()}
+    assert got == want and {(0, 4), (1, 4), (6, 0), (6, 1), (6, 3), (6, 5), (6, 2)} <= set(want)
+
+
 # 6
 
 
