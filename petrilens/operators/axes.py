@@ -74,14 +74,14 @@ def ensure_axes(px: DataFrame, value: str = "intensity", stack: str = "stack_id"
     return px.select(*[c for c in (stack,) if c in px.columns], *AXES, value)
 
 
-def layers_to_long(wide: DataFrame, layers: DataFrame, name: str = "layer") -> DataFrame:
-    """Long pixel table of a wide one (y, x and a column per layer) joined to ``layers(layer, ...)``.  A layer without a
-    row, or a row without a layer, is an error."""
-    cols = [c for c in wide.columns if c not in ("y", "x")]
+def layers_to_long(wide: DataFrame, layers: DataFrame, name: str = "layer", keys: Sequence[str] = ("y", "x")) -> DataFrame:
+    """Long pixel table of a wide one (``keys`` and a column per layer) joined to ``layers(layer, ...)``.  A layer without
+    a row, or a row without a layer, is an error."""
+    cols = [c for c in wide.columns if c not in keys]
     listed = {r[name] for r in layers.select(name).collect()}  # one row a column
     if set(cols) != listed:
         raise ValueError(f"layers don't match: {sorted(set(cols) ^ listed)}")
-    return wide.unpivot(["y", "x"], cols, name, "intensity").join(F.broadcast(layers), name)
+    return wide.unpivot(list(keys), cols, name, "intensity").join(F.broadcast(layers), name)
 
 
 def layer_grid(spark, sizes: dict[str, int]) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from petrilens.functions.broadcasts import with_totals
+from petrilens.functions.broadcasts import exact_quantiles, with_totals
 from petrilens.functions.columns import circularity, edge_touching, fill_fraction
 
 
@@ -86,19 +86,23 @@ def within_sd(df: DataFrame, columns: Sequence[str], k: float = 2.0) -> DataFram
 
 def within_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Rows inside the quartiles widened by ``k`` quartile distances, column after column: bounds come anew from what
-    the column before left."""
+    the column before left.  Bounds are found when the function is called."""
     for n in columns:
-        q = with_totals(df, _q=F.percentile(n, F.array(F.lit(0.25), F.lit(0.75))))
-        low, high = F.element_at("_q", 1), F.element_at("_q", 2)
-        df = q.where(F.col(n).between(low - k * (high - low), high + k * (high - low))).drop("_q")
+        low, high = exact_quantiles(df, n, (0.25, 0.75))
+        df = df.where(F.col(n).between(F.lit(low) - k * (F.lit(high) - F.lit(low)), F.lit(high) + k * (F.lit(high) - F.lit(low)))) if low is not None else df.where(F.lit(False))
     return df
 
 
+def _deviation(df: DataFrame, column: str) -> tuple[float | None, float | None]:
+    """Median and median absolute deviation of a whole column."""
+    (median,) = exact_quantiles(df, column, (0.5,))
+    return median, None if median is None else exact_quantiles(df, F.abs(F.col(column) - F.lit(median)), (0.5,))[0]
+
+
 def with_robust_z(df: DataFrame, column: str, out: str, scale: float = 1.4826) -> DataFrame:
-    """Adds (x - median) / (scale * MAD); null where the MAD is 0."""
-    d = with_totals(df, _med=F.median(column))
-    d = with_totals(d, _mad=F.median(F.abs(F.col(column) - F.col("_med"))))
-    return d.withColumn(out, F.try_divide(F.col(column) - F.col("_med"), F.col("_mad") * scale)).drop("_med", "_mad")
+    """Adds (x - median) / (scale * MAD); null where the MAD is 0.  Both are found when the function is called."""
+    median, mad = _deviation(df, column)
+    return df.withColumn(out, F.try_divide(F.col(column) - F.lit(median).cast("double"), F.lit(mad).cast("double") * scale))
 
 
 def within_mad(df: DataFrame, column: str, limit: float = 3.5) -> DataFrame:
@@ -106,18 +110,16 @@ def within_mad(df: DataFrame, column: str, limit: float = 3.5) -> DataFrame:
 
 
 def combined_keep(df: DataFrame, columns: Sequence[str], *, mad: float = 3.5, iqr: float = 1.5, quantiles: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
-    """Rows that pass the MAD, the quartile and the quantile rule in every column, all bounds from the same input."""
-    out = df
-    for i, n in enumerate(columns):
-        out = with_totals(out, **{f"_q{i}": F.percentile(n, F.array(*map(F.lit, (0.25, 0.5, 0.75, *quantiles))))})
-    dev = {f"_d{i}": F.median(F.abs(F.col(n) - F.element_at(f"_q{i}", 2))) for i, n in enumerate(columns)}
-    out = with_totals(out, **dev)
+    """Rows that pass the MAD, the quartile and the quantile rule in every column, all bounds from the same input and
+    found when the function is called."""
     keep = F.lit(True)
-    for i, n in enumerate(columns):
-        q = lambda k, i=i: F.element_at(f"_q{i}", k)
-        spread = q(3) - q(1)
-        keep = keep & (F.abs(F.try_divide(F.col(n) - q(2), F.col(f"_d{i}") * 1.4826)) <= mad) & F.col(n).between(q(1) - iqr * spread, q(3) + iqr * spread) & F.col(n).between(q(4), q(5))
-    return out.where(keep).drop(*[f"_q{i}" for i in range(len(columns))], *dev)
+    for n in columns:
+        q1, median, q3, low, high = exact_quantiles(df, n, (0.25, 0.5, 0.75, *quantiles))
+        if median is None:
+            return df.where(F.lit(False))
+        (spread,) = exact_quantiles(df, F.abs(F.col(n) - F.lit(median)), (0.5,))
+        keep = keep & (F.abs(F.try_divide(F.col(n) - median, F.lit(spread * 1.4826))) <= mad) & F.col(n).between(q1 - iqr * (q3 - q1), q3 + iqr * (q3 - q1)) & F.col(n).between(low, high)
+    return df.where(keep)
 
 
 def exclude(df: DataFrame, column: str, values: Sequence) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.operators.graph import components_of
+from petrilens.operators.graph import components_of, cut
 from petrilens.operators.spatial import near_pairs
 from petrilens.operators.summaries import histogram, min_max, otsu
 
@@ -23,19 +23,29 @@ PLANE = ("stack_id", "t", "z", "c")
 
 def along(df: DataFrame, value: str, kernel: Sequence[float], axis: str, plane: Sequence[str], out: str) -> DataFrame:
     """Adds the sum of kernel taps along an axis; beyond the ends the image is mirrored (edge pixel repeated).  A line
-    of the dense plane is one window of as many rows as the image is wide or high."""
+    of the dense plane is one window of as many rows as the image is wide or high; a tap is a row ``lag`` or ``lead``
+    away, also where it is mirrored.  On a line shorter than the taps the end pixel stands for what lies beyond."""
     other = "x" if axis == "y" else "y"
     line = Window.partitionBy(*plane, other)
     w, half = line.orderBy(axis), len(kernel) // 2
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(line))
-    d = d.withColumn("_all", F.collect_list(F.col(value)).over(line.orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    d = d.withColumn("_head", F.first(value).over(whole)).withColumn("_tail", F.last(value).over(whole))
+    offsets = range(-half, half + 1)
+    d = d.withColumns({f"_s{k}": F.lead(value, k - half).over(w) for k, _ in enumerate(offsets)})
+    at = lambda k: F.col(f"_s{k + half}")
+    i, back = F.col("_i"), F.col("_n") - F.col("_i") + 1  # the place from either end
     total = F.lit(0.0)
-    for k, weight in enumerate(kernel):
+    for o, weight in zip(offsets, kernel, strict=True):
         if weight:
-            j = F.col("_i") + (k - half)
-            j = F.when(j < 1, 1 - j).when(j > F.col("_n"), 2 * F.col("_n") + 1 - j).otherwise(j)
-            total = total + float(weight) * F.element_at("_all", F.least(F.greatest(j, F.lit(1)), F.col("_n")).cast("int"))
-    return d.withColumn(out, total).drop("_i", "_n", "_all")
+            tap = F.when((i + o >= 1) & (back - o >= 1), at(o))
+            for j in range(1, abs(o) + 1):  # mirrored at the near end, from the j-th pixel
+                if o < 0:
+                    tap = tap.when(i == j, F.when(F.col("_n") >= 1 - j - o, at(1 - 2 * j - o)).otherwise(F.col("_tail")))
+                else:
+                    tap = tap.when(back == j, F.when(F.col("_n") >= 1 - j + o, at(2 * j - 1 - o)).otherwise(F.col("_head")))
+            total = total + float(weight) * tap
+    return d.withColumn(out, total).drop("_i", "_n", "_head", "_tail", *[f"_s{k}" for k, _ in enumerate(offsets)])
 
 
 def separable(df: DataFrame, value: str, kernel: Sequence[float], plane: Sequence[str], out: str) -> DataFrame:
@@ -184,16 +194,27 @@ def solidity(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return labels.select(*keys, "y", "x").groupBy(*keys).applyInPandas(hull, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", solidity double")
 
 
-def focus_objects(px: DataFrame, plane: Sequence[str] = PLANE, *, sigma: float = 1.5, k: float = 1.0, area: tuple[int, int] = (20, 5000), sharp: float = 0.5) -> DataFrame:
+def focus_objects(
+    px: DataFrame, plane: Sequence[str] = PLANE, *, sigma: float = 1.5, k: float = 1.5, area: tuple[int, int] = (20, 5000), sharp: float = 0.5, signal: float = 0.005, least_objects: int = 1
+) -> DataFrame:
     """object_focus per plane: over the components of the smoothed plane above mean + k sd with an area in the band, the
-    sum of area x mean x roundness x solidity x (1 + sharp x mean squared Laplacian); planes without one score 0."""
+    sum of area x mean x roundness x solidity x (1 + sharp x variance of the Laplacian in the object over the plane's).
+
+    Roundness (1 - eccentricity) and solidity count 0.05 at least.  A plane scores 0 if under ``signal`` of its pixels
+    lie over its mean, if the threshold reaches the top, or with under ``least_objects`` objects."""
     d = laplacian(separable(px.withColumn("v", min_max("intensity", plane)), "v", gaussian_kernel(sigma), plane, "smooth"), "v", plane)
-    lab = label_mask(above_mean_sd(d, k, plane, "smooth"), plane)
+    d = cut(d)
+    g = d.groupBy(*plane).agg(F.avg("v").alias("_m"), F.stddev_pop("smooth").alias("_s"), F.var_pop("lap").alias("_var"))
+    d = d.join(g, list(plane)).withColumn("_thr", F.col("_m") + k * F.col("_s"))
+    lit = d.groupBy(*plane).agg(F.avg((F.col("v") > F.col("_m")).cast("double")).alias("_lit")).where(F.col("_lit") >= signal).select(*plane)
+    on = d.where((F.col("smooth") > F.col("_thr")) & (F.col("_thr") < 1)).join(lit, list(plane), "left_semi")
+    lab = cut(label_mask(on.select(*plane, "y", "x", "v", "lap", "_var"), plane))
     keys = [*plane, "component"]
     reg = regions(lab, keys).where(F.col("area_px").between(*area)).join(solidity(lab, keys), keys)
-    stat = lab.groupBy(*keys).agg(F.avg("v").alias("_m"), F.avg(F.col("lap") * F.col("lap")).alias("_l"))
-    one = F.col("area_px") * F.col("_m") * (1 - F.col("eccentricity")) * F.col("solidity") * (1 + sharp * F.col("_l"))
-    s = reg.join(stat, keys).groupBy(*plane).agg(F.sum(one).alias("object_focus"), F.count(F.lit(1)).alias("n_objects"))
+    stat = lab.groupBy(*keys).agg(F.avg("v").alias("_m"), F.var_pop("lap").alias("_l"), F.first("_var").alias("_var"))
+    at_least = lambda c: F.greatest(F.lit(0.05), c)
+    one = F.col("area_px") * F.col("_m") * at_least(1 - F.col("eccentricity")) * at_least(F.col("solidity")) * (1 + sharp * F.col("_l") / (F.col("_var") + 1e-12))
+    s = reg.join(stat, keys).groupBy(*plane).agg(F.sum(one).alias("object_focus"), F.count(F.lit(1)).alias("n_objects")).where(F.col("n_objects") >= least_objects)
     return px.select(*plane).distinct().join(s, list(plane), "left").fillna(0, subset=["object_focus", "n_objects"])
 
 
@@ -214,11 +235,21 @@ def class_map(prob: DataFrame, pixel: Sequence[str]) -> DataFrame:
     return prob.groupBy(*pixel).agg(F.max_by("class_id", F.struct(F.col("prob"), -F.col("class_id"))).alias("class_id"), F.max("prob").alias("prob"))
 
 
-def plane_index(planes: DataFrame, included: DataFrame, classes: DataFrame, plane: Sequence[str], names: dict[int, str]) -> DataFrame:
-    """Every plane: included, reason, and pixels per class (null unless included)."""
+def plane_index(planes: DataFrame, included: DataFrame, classes: DataFrame, plane: Sequence[str], names: dict[int, str], *, series: Sequence[str] = (), z: str | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """Every plane: included, reason, and pixels per class (null unless included).  Reasons: segmented, else skipped
+    (listed there), edge_z_excluded (first or last ``z`` of its series), outside_best_focus_window."""
     counts = classes.groupBy(*plane).agg(*[F.count_if(F.col("class_id") == k).alias(f"{n}_pixels") for k, n in names.items()])
     d = planes.join(included.select(*plane, F.lit(True).alias("included")), list(plane), "left").join(counts, list(plane), "left")
-    d = d.withColumn("included", F.coalesce("included", F.lit(False))).withColumn("reason", F.when(F.col("included"), "segmented").otherwise("outside_best_focus_window"))
+    d = d.withColumn("included", F.coalesce("included", F.lit(False)))
+    reason = F.when(F.col("included"), "segmented")
+    if skipped is not None:
+        d = d.join(skipped.select(*plane, F.lit(True).alias("_skip")).distinct(), list(plane), "left")
+        reason = reason.when(F.col("_skip"), "skipped")
+    if z is not None:
+        ends = planes.groupBy(*series).agg(F.min(z).alias("_z0"), F.max(z).alias("_z1"))
+        d = d.join(ends, list(series)) if series else d.join(F.broadcast(ends))
+        reason = reason.when(F.col(z).isin(F.col("_z0"), F.col("_z1")), "edge_z_excluded")
+    d = d.withColumn("reason", reason.otherwise("outside_best_focus_window"))
     return d.select(*plane, "included", "reason", *[F.when(F.col("included"), F.coalesce(f"{n}_pixels", F.lit(0))).alias(f"{n}_pixels") for n in names.values()])
 
 
@@ -231,27 +262,60 @@ def overlap_scores(truth: DataFrame, predicted: DataFrame, pixel: Sequence[str],
     return d.select("class_id", ((2 * F.col("i") + smooth) / (F.col("t") + F.col("p") + smooth)).alias("dice"), ((F.col("i") + smooth) / (F.col("t") + F.col("p") - F.col("i") + smooth)).alias("iou"), "t")
 
 
+def overlap_totals(scores: DataFrame, weights: dict[int, float], background: int = 0) -> DataFrame:
+    """One row from ``overlap_scores``: mean Dice, Dice weighted by class, and the mean IoU of all but ``background``."""
+    weight = F.coalesce(*[F.when(F.col("class_id") == k, F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
+    return scores.agg(F.avg("dice").alias("mean_dice"), (F.sum(weight * F.col("dice")) / F.sum(weight)).alias("weighted_dice"), F.avg(F.when(F.col("class_id") != background, F.col("iou"))).alias("macro_iou"))
+
+
+_FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
+
+
+def _steps(offsets: Sequence[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in offsets])
+
+
+def border_pixels(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, y, x of the pixels of each label that have a 4-neighbour outside it."""
+    at = labels.select(*keys, "y", "x")
+    asked = at.withColumn("s", F.explode(_steps(_FOUR))).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+    held = asked.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("_n4"))
+    return at.join(held, [*keys, "y", "x"], "left").where(F.coalesce("_n4", F.lit(0)) < 4).select(*keys, "y", "x")
+
+
 def distances(px: DataFrame, labels: DataFrame, plane: Sequence[str], radius: float, key: str = "label") -> DataFrame:
     """(plane, y, x, label, distance) of every pixel and every label with a pixel within ``radius``: pairs are kept for
-    all labels, so halos of neighbours may overlap.  Distance 0 is inside."""
-    l = labels.select(*[F.col(p).alias(f"_l_{p}") for p in plane], F.col("y").alias("_ly"), F.col("x").alias("_lx"), F.col(key))  # noqa: E741
+    all labels, so halos of neighbours may overlap.  Distance 0 is inside; a pixel outside is nearest to a border pixel
+    of the label, so only these meet it."""
+    l = border_pixels(labels, [*plane, key]).select(*[F.col(p).alias(f"_l_{p}") for p in plane], F.col("y").alias("_ly"), F.col("x").alias("_lx"), key)  # noqa: E741
     pairs = near_pairs(px.select(*plane, "y", "x"), l, radius=radius, on=[(p, f"_l_{p}") for p in plane], xy=("x", "y"), right_xy=("_lx", "_ly"))
-    return pairs.groupBy(*plane, "y", "x", key).agg(F.min("distance").alias("distance"))
+    own = px.select(*plane, "y", "x").join(labels.select(*plane, "y", "x", key), [*plane, "y", "x"]).select(*plane, "y", "x", key, F.lit(0.0).alias("distance"))
+    return pairs.select(*plane, "y", "x", key, "distance").union(own).groupBy(*plane, "y", "x", key).agg(F.min("distance").alias("distance"))
 
 
-def inside_distance(labels: DataFrame, plane: Sequence[str], radius: float, key: str = "label") -> DataFrame:
-    """``labels`` with depth: distance of a pixel to the nearest pixel outside its label, at most ``radius`` + 1."""
-    r = math.ceil(radius)
-    steps = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if 0 < i * i + j * j <= radius * radius]
+def inside_distance(labels: DataFrame, plane: Sequence[str], radius: float, key: str = "label", px: DataFrame | None = None) -> DataFrame:
+    """``labels`` with depth: distance of a pixel to the nearest pixel outside its label, ``radius`` + 1 where none is
+    within ``radius``.  With ``px`` only pixels of the image count as outside, else also places beyond its ends.  The
+    nearest one is a 4-neighbour of the label, so only these meet its pixels."""
     slim = labels.select(*plane, key, "y", "x")
-    asked = slim.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in steps])))
-    there = slim.select(*[F.col(p).alias(f"_p_{p}") for p in plane], F.col(key).alias("_k"), F.col("y").alias("_y"), F.col("x").alias("_x"))
-    on = [F.col(p) == F.col(f"_p_{p}") for p in plane] + [F.col(key) == F.col("_k"), F.col("y") + F.col("s.dy") == F.col("_y"), F.col("x") + F.col("s.dx") == F.col("_x")]
-    out = asked.join(there, on, "left_anti")
-    near = out.groupBy(*plane, key, "y", "x").agg(F.min(F.sqrt(F.col("s.dy") * F.col("s.dy") + F.col("s.dx") * F.col("s.dx"))).alias("_d"))
+    rim = slim.withColumn("s", F.explode(_steps(_FOUR))).select(*plane, key, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).distinct()
+    rim = rim.join(slim, [*plane, key, "y", "x"], "left_anti")
+    if px is not None:
+        rim = rim.join(px.select(*plane, "y", "x"), [*plane, "y", "x"], "left_semi")
+    rim = rim.select(*[F.col(p).alias(f"_r_{p}") for p in plane], F.col(key).alias("_rk"), F.col("y").alias("_ry"), F.col("x").alias("_rx"))
+    pairs = near_pairs(slim, rim, radius=radius, on=[*((p, f"_r_{p}") for p in plane), (key, "_rk")], xy=("x", "y"), right_xy=("_rx", "_ry"))
+    near = pairs.groupBy(*plane, key, "y", "x").agg(F.min("distance").alias("_d"))
     return labels.join(near, [*plane, key, "y", "x"], "left").withColumn("depth", F.coalesce("_d", F.lit(radius + 1.0))).drop("_d")
 
 
+def signed_distances(px: DataFrame, labels: DataFrame, plane: Sequence[str], radius: float, key: str = "label") -> DataFrame:
+    """(plane, label, y, x, d): distance to the label of the pixels around it, and minus the depth of those inside; both
+    up to ``radius``."""
+    out = distances(px, labels, plane, radius, key).where("distance > 0").select(*plane, key, "y", "x", F.col("distance").alias("d"))
+    ins = inside_distance(labels, plane, radius, key, px).where(F.col("depth") <= radius).select(*plane, key, "y", "x", (-F.col("depth")).alias("d"))
+    return out.union(ins)
+
+
 def halos(px: DataFrame, labels: DataFrame, plane: Sequence[str], *, step: float, n: int = 4, erode: float = 2.0, key: str = "label") -> DataFrame:
     """Per label: area, intden and mean of the nucleus, its eroded core, cumulative halos, rings, cytoplasm (all halos),
     and the N/C ratio and fraction."""
@@ -271,23 +335,30 @@ def halos(px: DataFrame, labels: DataFrame, plane: Sequence[str], *, step: float
 
 
 def signed_shells(px: DataFrame, labels: DataFrame, plane: Sequence[str], *, radius: float, width: float, key: str = "label") -> DataFrame:
-    """Per label and shell of signed distance (negative inside): shell (from 0), side, n, sum, mean; empty shells too."""
-    out = distances(px, labels, plane, radius, key).where("distance > 0").select(*plane, key, "y", "x", F.col("distance").alias("d"))
-    ins = inside_distance(labels, plane, radius, key).select(*plane, key, "y", "x", (-F.least("depth", F.lit(radius))).alias("d"))
-    d = out.union(ins).join(px, [*plane, "y", "x"]).withColumn("shell", F.floor((F.col("d") + radius) / width).cast("int"))
-    stats = d.groupBy(*plane, key, "shell").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("sum"), F.avg("intensity").alias("mean"))
-    grid = labels.select(*plane, key).distinct().withColumn("shell", F.explode(F.sequence(F.lit(0), F.lit(int(2 * radius / width)))))
-    mid = (F.col("shell") + 0.5) * width - radius
-    side = F.when(F.abs(mid) <= width, "boundary").when(mid < 0, "inside").otherwise("outside")
+    """Per label and shell of signed distance (negative inside; from d_min, before d_max): side, n, sum, mean, median,
+    sd; shells without a pixel too.  Pixels deeper or farther than ``radius`` are in no shell."""
+    d = signed_distances(px, labels, plane, radius, key).where(F.col("d") < radius).join(px, [*plane, "y", "x"])
+    d = d.withColumn("shell", F.floor((F.col("d") + radius) / width).cast("int"))
+    v = F.col("intensity")
+    stats = d.groupBy(*plane, key, "shell").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("sd"))
+    grid = labels.select(*plane, key).distinct().withColumn("shell", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(2 * radius / width) - 1))))
+    grid = grid.withColumn("d_min", F.col("shell") * width - radius).withColumn("d_max", F.col("d_min") + width)
+    side = F.when(F.col("d_max") <= 0, "inside").when(F.col("d_min") >= 0, "outside").otherwise("boundary")
     return grid.join(stats, [*plane, key, "shell"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("side", side)
 
 
 def boundary_halos(px: DataFrame, labels: DataFrame, plane: Sequence[str], *, step: float, key: str = "label") -> DataFrame:
-    """Per label: means of four bands around the boundary, H1 (outermost inside) to H4, and H4 - H3."""
-    s = signed_shells(px, labels, plane, radius=2 * step, width=step, key=key)
-    mean = lambda k: F.max(F.when(F.col("shell") == k, F.col("mean"))).alias(f"h{k + 1}")
-    g = s.groupBy(*plane, key).agg(*[mean(k) for k in range(4)])
-    return g.withColumn("ring_difference", F.col("h4") - F.col("h3"))
+    """Per label: area, sum and mean of the nucleus and of bands around its boundary: h1 (inside, less than ``step``
+    deep), h2 (at most half a pixel from the boundary), h3 (up to ``step`` outside), h4 (from there to twice that); the
+    ring between the cumulative outer halos, and the ratio of the nucleus's mean to the ring's."""
+    d = signed_distances(px, labels, plane, 2 * step, key).join(px, [*plane, "y", "x"])
+    bands = {"h1": (F.col("d") > -step) & (F.col("d") <= 0), "h2": F.abs("d") <= 0.5, "h3": (F.col("d") > 0) & (F.col("d") <= step), "h4": (F.col("d") > step) & (F.col("d") <= 2 * step), "h4_cum": (F.col("d") > 0) & (F.col("d") <= 2 * step)}
+    aggs = [x for n, on in bands.items() for x in (F.count_if(on).alias(f"{n}_area_px"), F.coalesce(F.sum(F.when(on, F.col("intensity"))), F.lit(0.0)).alias(f"{n}_sum"), F.avg(F.when(on, F.col("intensity"))).alias(f"{n}_mean"))]
+    g = d.groupBy(*plane, key).agg(*aggs)
+    inside = labels.join(px, [*plane, "y", "x"]).groupBy(*plane, key).agg(F.count(F.lit(1)).alias("nuclear_area_px"), F.sum("intensity").alias("nuclear_sum"), F.avg("intensity").alias("nuclear_mean"))
+    g = inside.join(g, [*plane, key], "left").withColumn("ring_area_px", F.col("h4_cum_area_px") - F.col("h3_area_px")).withColumn("ring_sum", F.col("h4_cum_sum") - F.col("h3_sum"))
+    g = g.withColumn("ring_mean", F.try_divide("ring_sum", "ring_area_px"))
+    return g.withColumn("nc_ratio", F.try_divide("nuclear_mean", "ring_mean"))
 
 
 def territories(px: DataFrame, nuclei: DataFrame, droplets: DataFrame, plane: Sequence[str], radius: float) -> DataFrame:
@@ -301,27 +372,46 @@ def territories(px: DataFrame, nuclei: DataFrame, droplets: DataFrame, plane: Se
     return j.where(F.col("droplet_id") == F.col("_home")).drop("_home")
 
 
-def clean_mask(mask: DataFrame, plane: Sequence[str], *, width: int, height: int, small: int, hole: int) -> DataFrame:
-    """``mask`` without components under ``small`` pixels, and with background components under ``hole`` pixels that don't
-    touch the border filled (4 neighbours)."""
-    lab = label_mask(mask.select(*plane, "y", "x"), plane)
-    big = lab.groupBy(*plane, "component").count().where(F.col("count") >= small).drop("count")
-    kept = lab.join(big, [*plane, "component"], "left_semi").select(*plane, "y", "x")
-    grid = kept.select(*plane).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    back = label_mask(grid.join(kept, [*plane, "y", "x"], "left_anti"), plane, 4)
+def _filled(mask: DataFrame, plane: Sequence[str], width: int, height: int, hole: int | None) -> DataFrame:
+    """``mask`` with background components (4 neighbours) of under ``hole`` pixels filled; without ``hole`` those of any
+    size that do not touch the image's edge."""
+    grid = mask.select(*plane).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    back = label_mask(grid.join(mask, [*plane, "y", "x"], "left_anti"), plane, 4)
     edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)
-    holes = back.groupBy(*plane, "component").agg(F.count(F.lit(1)).alias("n"), F.max(edge).alias("e")).where((F.col("n") < hole) & ~F.col("e"))
-    return kept.union(back.join(holes, [*plane, "component"], "left_semi").select(*plane, "y", "x"))
+    sizes = back.groupBy(*plane, "component").agg(F.count(F.lit(1)).alias("n"), F.max(edge).alias("e"))
+    holes = sizes.where(~F.col("e") if hole is None else F.col("n") < hole)
+    return mask.union(back.join(holes, [*plane, "component"], "left_semi").select(*plane, "y", "x"))
+
+
+def clean_mask(
+    mask: DataFrame, plane: Sequence[str], *, width: int, height: int, small: int, hole: int, opening: int = 0, least_circularity: float | None = None, neighbours: int = 4
+) -> DataFrame:
+    """``mask`` without components under ``small`` pixels, with holes under ``hole`` pixels filled; then opened with a
+    disk of radius ``opening`` and with all enclosed holes filled; then only components (8 neighbours) of at least
+    ``small`` pixels and, if named, at least ``least_circularity`` stay."""
+    lab = label_mask(mask.select(*plane, "y", "x"), plane, neighbours)
+    big = lab.groupBy(*plane, "component").count().where(F.col("count") >= small).drop("count")
+    kept = _filled(cut(lab.join(big, [*plane, "component"], "left_semi").select(*plane, "y", "x")), plane, width, height, hole)
+    if opening:
+        kept = morph(morph(kept, plane, disk(opening), width=width, height=height, erode=True), plane, disk(opening), width=width, height=height, erode=False)
+        kept = _filled(cut(kept), plane, width, height, None)
+    if least_circularity is None:
+        return kept
+    lab = cut(label_mask(cut(kept), plane, 8))
+    good = regions(lab, [*plane, "component"], small).where(F.col("circularity") >= least_circularity)
+    return lab.join(good, [*plane, "component"], "left_semi").select(*plane, "y", "x")
 
 
 def morph(mask: DataFrame, plane: Sequence[str], offsets: Sequence[tuple[int, int]], *, width: int, height: int, erode: bool) -> DataFrame:
-    """Dilation of a mask by offsets, or erosion (pixels all of whose offsets lie in the mask)."""
-    steps = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in offsets])
+    """Dilation of a mask by offsets, or erosion (pixels all of whose offsets in the image lie in the mask)."""
     sign = -1 if erode else 1
-    moved = mask.select(*plane, "y", "x").withColumn("s", F.explode(steps)).select(*plane, (F.col("y") + sign * F.col("s.dy")).alias("y"), (F.col("x") + sign * F.col("s.dx")).alias("x"))
+    moved = mask.select(*plane, "y", "x").withColumn("s", F.explode(_steps(offsets))).select(*plane, (F.col("y") + sign * F.col("s.dy")).alias("y"), (F.col("x") + sign * F.col("s.dx")).alias("x"))
     moved = moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     n = moved.groupBy(*plane, "y", "x").agg(F.count(F.lit(1)).alias("_n"))
-    return (n.where(F.col("_n") == len(offsets)) if erode else n).drop("_n")
+    if not erode:
+        return n.drop("_n")
+    there = sum(((F.col("y") + i).between(0, height - 1) & (F.col("x") + j).between(0, width - 1)).cast("int") for i, j in offsets)
+    return n.where(F.col("_n") == there).drop("_n")
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -342,21 +432,39 @@ def rim_contrast(px: DataFrame, mask: DataFrame, plane: Sequence[str], *, value:
     return d.withColumn("contrast", F.try_divide(F.col("inner") - F.col("outer"), F.col("inner") + F.col("outer"))).withColumn("tag", F.when(F.col("inner").isNull(), "empty-mask").otherwise("ok"))
 
 
-def tail_cutoff(px: DataFrame, keys: Sequence[str], *, bins: int = 64, smooth: int = 2, band: tuple[float, float] = (0.9, 0.999)) -> DataFrame:
-    """Per group: the value at the steepest fall of the smoothed log histogram past its peak, inside the quantile band."""
+def tail_cutoff(px: DataFrame, keys: Sequence[str], *, bins: int = 64, smooth: int = 5, start: float = 0.9, band: tuple[float, float] = (0.95, 0.999)) -> DataFrame:
+    """Per group, from the image scaled to 0..1 and its values over 0: the histogram in ``bins`` bins, a running mean of
+    ``smooth`` bins, its log, the log's slope, the running mean of the slope past the ``start`` quantile; the steepest
+    fall's share of values, kept inside ``band``, is the quantile to cut at.  With under ``smooth`` bins past the start
+    the band's upper end is taken.  Columns: keys, cutoff, quantile (on the 0..1 scale; no value over 0: 1)."""
+    smooth = max(3, smooth) | 1
+    d = px.select(*keys, min_max("intensity", keys).alias("v")).where("v > 0")
+    counts = d.groupBy(*keys, F.least(F.floor(F.col("v") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = d.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     w = Window.partitionBy(*keys).orderBy("bin")
-    h = histogram(px, "intensity", bins, keys).withColumn("s", F.avg(F.log1p("n")).over(w.rowsBetween(-smooth, smooth)))
-    peak = h.groupBy(*keys).agg(F.max_by("bin", F.struct("s", -F.col("bin"))).alias("_peak"))
-    h = h.withColumn("slope", (F.lead("s").over(w) - F.lag("s").over(w)) / 2).join(peak, list(keys)).where(F.col("bin") > F.col("_peak"))
-    steep = h.where("slope IS NOT NULL").groupBy(*keys).agg(F.min_by("bin_high", F.struct(F.round("slope", 9), "bin")).alias("_cut"))
-    q = px.groupBy(*keys).agg(F.percentile("intensity", F.array(*map(F.lit, band))).alias("_q"))
-    return q.join(steep, list(keys), "left").select(*keys, F.least(F.greatest(F.coalesce("_cut", F.element_at("_q", 2)), F.element_at("_q", 1)), F.element_at("_q", 2)).alias("cutoff"))
+    near = w.rowsBetween(-(smooth // 2), smooth // 2)
+    h = grid.join(counts, [*keys, "bin"], "left").withColumn("s", F.log1p(F.sum(F.coalesce("n", F.lit(0))).over(near) / smooth))
+    mid = (F.col("bin") + 0.5) / bins
+    rise = F.coalesce(F.lead("s").over(w), F.col("s")) - F.coalesce(F.lag("s").over(w), F.col("s"))
+    h = h.withColumn("slope", rise * bins / F.when(F.col("bin").isin(0, bins - 1), 1).otherwise(2)).withColumn("mid", mid)
+    q = d.groupBy(*keys).agg(F.percentile("v", F.lit(start)).alias("_from"), F.count(F.lit(1)).alias("_n"))
+    tail = h.join(q, list(keys)).where(F.col("mid") >= F.col("_from")).withColumn("fall", F.sum("slope").over(near) / smooth)
+    steep = tail.groupBy(*keys).agg(F.min_by("mid", F.struct(F.round("fall", 9), "bin")).alias("_raw"), F.count(F.lit(1)).alias("_bins"))
+    share = d.join(steep, list(keys)).groupBy(*keys).agg(F.avg((F.col("v") <= F.col("_raw")).cast("double")).alias("_share"), F.first("_bins").alias("_bins"))
+    chosen = q.join(share, list(keys), "left").select(*keys, F.when(F.coalesce("_bins", F.lit(0)) < smooth, F.lit(band[1])).otherwise(F.least(F.greatest("_share", F.lit(band[0])), F.lit(band[1]))).alias("quantile"))
+    # The quantile differs by group: linear between the two values around its place in the group's order.
+    order = Window.partitionBy(*keys).orderBy("v")
+    ranked = d.withColumn("_i", F.row_number().over(order) - 1).withColumn("_next", F.lead("v").over(order)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    at = ranked.join(chosen, list(keys)).withColumn("_at", F.col("quantile") * (F.col("_k") - 1)).where(F.col("_i") == F.floor("_at"))
+    value = F.col("v") + (F.coalesce("_next", "v") - F.col("v")) * (F.col("_at") - F.floor("_at"))
+    cuts = at.select(*keys, value.alias("cutoff"), "quantile")
+    return px.select(*keys).distinct().join(cuts, list(keys), "left").fillna(1.0, subset=["cutoff", "quantile"])
 
 
 def clip_tail(px: DataFrame, keys: Sequence[str], **params) -> DataFrame:
-    """``px`` with clipped: intensity cut at the group's cutoff and scaled to 0..1."""
-    d = px.join(tail_cutoff(px, keys, **params), list(keys)).withColumn("_c", F.least("intensity", "cutoff"))
-    return d.withColumn("clipped", min_max("_c", keys)).drop("_c", "cutoff")
+    """``px`` with clipped: the image scaled to 0..1, cut at the group's cutoff and scaled to 0..1 again."""
+    d = px.withColumn("_v", min_max("intensity", keys)).join(tail_cutoff(px, keys, **params), list(keys)).withColumn("_c", F.least("_v", "cutoff"))
+    return d.withColumn("clipped", min_max("_c", keys)).drop("_c", "_v")
 
 
 def parent_threshold(px: DataFrame, parents: DataFrame, plane: Sequence[str], *, k: float, parent: str = "droplet_id", flat: float = 1e-6) -> DataFrame:
@@ -366,6 +474,18 @@ def parent_threshold(px: DataFrame, parents: DataFrame, plane: Sequence[str], *,
     return d.join(g, [*plane, parent]).where(F.col("intensity") > F.col("_m") + k * F.col("_s")).drop("_m", "_s", "_r")
 
 
+def parent_otsu(px: DataFrame, parents: DataFrame, plane: Sequence[str], *, bins: int = 256, area: tuple[int, int], parent: str = "droplet_id", flat: float = 1e-6) -> DataFrame:
+    """Pixels of each parent over its own Otsu threshold, in components (8 neighbours, inside one parent) with an area in
+    the band; parents with a range under ``flat`` have none."""
+    d = px.join(parents, [*plane, "y", "x"])
+    keys = [*plane, parent]
+    wide = d.groupBy(*keys).agg((F.max("intensity") - F.min("intensity")).alias("_r")).where(F.col("_r") >= flat).select(*keys)
+    d = d.join(wide, keys, "left_semi")
+    lab = label_mask(cut(above_otsu(d, keys, "intensity", bins).select(*keys, "y", "x", "intensity")), keys)
+    good = lab.groupBy(*keys, "component").count().where(F.col("count").between(*area)).drop("count")
+    return lab.join(good, [*keys, "component"], "left_semi")
+
+
 def max_projection(px: DataFrame) -> DataFrame:
     return px.groupBy("stack_id", "t", "c", "y", "x").agg(F.max("intensity").alias("intensity"))
 
@@ -397,23 +517,28 @@ def normalise_patch(patches: DataFrame, keys: Sequence[str], value: str = "inten
 
 
 def droplet_focus(px: DataFrame, droplets: DataFrame, plane: Sequence[str], *, ring: float = 2.0) -> DataFrame:
-    """Per plane and droplet: variance of the Laplacian in the interior and in the ring of pixels within ``ring`` of the
-    droplet's end, and the contrast of their mean intensities."""
-    d = laplacian(px, "intensity", plane).join(inside_distance(droplets, plane, ring, "droplet_id"), [*plane, "y", "x"])
-    inner = F.col("depth") > ring
-    g = d.groupBy(*plane, "droplet_id").agg(F.var_pop(F.when(inner, F.col("lap"))).alias("interior"), F.var_pop(F.when(~inner, F.col("lap"))).alias("ring"), F.avg(F.when(inner, F.col("intensity"))).alias("_a"), F.avg(F.when(~inner, F.col("intensity"))).alias("_b"))
-    return g.withColumn("contrast", F.try_divide(F.abs(F.col("_a") - F.col("_b")), F.abs("_a") + F.abs("_b"))).drop("_a", "_b")
-
-
-def best_droplet_plane(scores: DataFrame, *, series: Sequence[str], z: str, metrics: Sequence[str], floor: float) -> DataFrame:
-    """Per series and droplet: its plane with the best score by the series's metric, which is the one with the highest
-    peak (ties: first listed); droplets whose best score is under ``floor`` have none."""
-    peak = scores.groupBy(*series).agg(F.max(F.greatest(*[F.struct(F.coalesce(F.col(m), F.lit(-1.0)).alias("v"), F.lit(-i).alias("i")) for i, m in enumerate(metrics)])).alias("_p"))
-    named = F.element_at(F.array(*map(F.lit, metrics)), 1 - F.col("_p.i"))
-    d = scores.join(peak.select(*series, named.alias("metric")), list(series))
-    score = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in metrics])
-    best = d.groupBy(*series, "droplet_id", "metric").agg(F.max(F.struct(score.alias("s"), (-F.col(z)).alias("z"))).alias("b"))
-    return best.select(*series, "droplet_id", "metric", (-F.col("b.z")).alias("best_z"), F.col("b.s").alias("score")).where(F.col("score") >= floor)
+    """Per plane and droplet, on the plane scaled to 0..1: laplacian (mean squared Laplacian of the interior, the pixels
+    at least ``ring`` deep), contrast (mean of the interior over that of the ring + 1e-6; null without one of them) and
+    ring (mean squared Laplacian of the ring).  Droplets are one mask: what lies deep in it is interior."""
+    one = droplets.select(*plane, "y", "x", F.lit(1).alias("_mask"))
+    deep = inside_distance(one, plane, ring, "_mask", px).select(*plane, "y", "x", "depth").join(droplets, [*plane, "y", "x"])
+    d = laplacian(px.withColumn("v", min_max("intensity", plane)), "v", plane).join(deep, [*plane, "y", "x"])
+    inner, sq = F.col("depth") >= ring, F.col("lap") * F.col("lap")
+    g = d.groupBy(*plane, "droplet_id").agg(F.avg(F.when(inner, sq)).alias("laplacian"), F.avg(F.when(~inner, sq)).alias("ring"), F.avg(F.when(inner, F.col("v"))).alias("_a"), F.avg(F.when(~inner, F.col("v"))).alias("_b"))
+    return g.withColumn("contrast", F.col("_a") / (F.col("_b") + 1e-6)).drop("_a", "_b")
+
+
+def best_droplet_plane(scores: DataFrame, *, series: Sequence[str], z: str, signal: float, texture: float, floor: float) -> DataFrame:
+    """Per series and droplet: its plane with the best score (ties: the lowest) by the series's metric.
+
+    The metric follows from the series's highest Laplacian score: ``ring`` under ``signal``, ``contrast`` under
+    ``texture``, else ``laplacian``.  Droplets whose best score is under ``floor`` have none."""
+    peak = scores.groupBy(*series).agg(F.coalesce(F.max("laplacian"), F.lit(0.0)).alias("peak"))
+    named = F.when(F.col("peak") < signal, "ring").when(F.col("peak") < texture, "contrast").otherwise("laplacian")
+    d = scores.join(peak.withColumn("metric", named), list(series))
+    score = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in ("laplacian", "contrast", "ring")])
+    best = d.where(score.isNotNull()).groupBy(*series, "droplet_id", "metric", "peak").agg(F.max(F.struct(score.alias("s"), (-F.col(z)).alias("z"))).alias("b"))
+    return best.select(*series, "droplet_id", "metric", "peak", (-F.col("b.z")).alias("best_z"), F.col("b.s").alias("score")).where(F.col("score") >= floor)
 
 
 def derive_mask(px: DataFrame, plane: Sequence[str], *, sigma: float, factor: float, least_area: int, hole: int, width: int, height: int, largest_only: bool = False, bins: int = 128) -> DataFrame:

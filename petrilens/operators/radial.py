@@ -122,6 +122,12 @@ def reconstruct(profile: DataFrame, modes: DataFrame, keys: Sequence[str], angle
     return d.withColumn("mode_component", 2.0 / angles * (F.col("re") * F.cos(arg) - F.col("im") * F.sin(arg))).drop("re", "im")
 
 
+def mode_profile(modes: DataFrame, mode: int, angles: int) -> DataFrame:
+    """One mode by ring: its amplitude (2 / n times the modulus) and phase."""
+    m = modes.where(F.col("mode") == mode)
+    return m.withColumn("amplitude", 2.0 / angles * F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).withColumn("phase", F.atan2("im", "re"))
+
+
 def power_spectrum(px: DataFrame, plane: Sequence[str]) -> DataFrame:
     """Centred 2-D power spectrum of each mean-removed plane: plane, fy, fx (cycles per pixel), power.  A group is one
     plane, whose size is bounded; only the transform runs on it."""

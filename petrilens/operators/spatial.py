@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from petrilens.operators.graph import cut
+
 
 def _cell(x: str, y: str, size: float) -> tuple[Column, Column]:
     return F.floor(F.col(x) / size), F.floor(F.col(y) / size)
@@ -69,16 +71,17 @@ def nearest_neighbour(df: DataFrame, *, key: str, on: Sequence[str], xy: tuple[s
     """
     slim = df.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(on)], F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y"))
     groups = [f"_g{i}" for i in range(len(on))]
+    slim = cut(slim)
     alone = slim.groupBy(*groups).count().where("count > 1").drop("count")
     ask = slim.join(alone, groups, "left_semi") if groups else slim
     other = prefixed(slim, "_n")
     found, radius = None, start
     while True:
         pairs = near_pairs(ask, other, radius=radius, on=[(g, f"_n{g}") for g in groups], xy=("_x", "_y"), right_xy=("_n_x", "_n_y")).where(F.col("_k") != F.col("_n_k"))
-        got = pairs.groupBy("_k").agg(F.min("distance").alias("_d"))
+        got = cut(pairs.groupBy("_k").agg(F.min("distance").alias("_d")))
         found = got if found is None else found.union(got)
-        ask = ask.join(got.select("_k"), "_k", "left_anti")
-        if not ask.limit(1).count():
+        ask = cut(ask.join(got.select("_k"), "_k", "left_anti"))
+        if ask.isEmpty():
             break
         radius *= 4
     return df.join(found, F.col(key) == F.col("_k"), "left").withColumn(out, F.col("_d")).drop("_k", "_d")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilens.functions.broadcasts import with_totals
+from petrilens.operators.graph import dense_ids
 
 
 def describe_groups(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -78,6 +79,33 @@ def otsu(df: DataFrame, value: str, keys: Sequence[str], bins: int = 256) -> Dat
     return h.groupBy(*keys).agg(F.max_by("mid", F.struct(F.round(between, 9), -F.col("bin"))).alias("threshold"))
 
 
+def otsu_trimmed(df: DataFrame, value: str, keys: Sequence[str], bins: int = 256, trim: float = 0.001) -> DataFrame:
+    """Threshold per group from its values between the ``trim`` and 1 - ``trim`` quantiles; a group with fewer such values
+    than ``bins`` has their mean."""
+    ends = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(trim), F.lit(1 - trim))).alias("_q"))
+    d = df.join(ends, list(keys)).where(F.col(value).between(F.element_at("_q", 1), F.element_at("_q", 2))).drop("_q")
+    mean = d.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    return mean.join(otsu(d, value, keys, bins), list(keys)).select(*keys, F.when(F.col("_n") < bins, F.col("_mean")).otherwise(F.col("threshold")).alias("threshold"))
+
+
+def cluster_summary(df: DataFrame, keys: Sequence[str], *, distance: str, intensity: str, xy: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Per cluster: mean distance, total intensity, pixels, intensity per pixel, centroid; nulls don't count."""
+    total, n = F.coalesce(F.sum(intensity), F.lit(0.0)), F.count(F.lit(1))
+    return df.groupBy(*keys).agg(
+        F.avg(distance).alias("mean_distance"), total.alias("total_intensity"), n.alias("area_pixels"), (total / n).alias("intensity_density"), F.avg(xy[0]).alias("cluster_centroid_x"), F.avg(xy[1]).alias("cluster_centroid_y"),
+    )
+
+
+def weighted_focus(df: DataFrame, weights: dict[str, float], keys: Sequence[str], fallback: str, out: str = "focus") -> DataFrame:
+    """Adds the weighted sum of the robust z of several scores within the group; where a score is null, the robust z of
+    ``fallback``."""
+    d = df
+    for i, n in enumerate([*weights, fallback]):
+        d = robust_z(d, n, keys, f"_z{i}")
+    total = sum((w * F.col(f"_z{i}") for i, w in enumerate(weights.values())), F.lit(0.0))
+    return d.withColumn(out, F.coalesce(total, F.col(f"_z{len(weights)}"))).drop(*[f"_z{i}" for i in range(len(weights) + 1)])
+
+
 def histogram_gap(df: DataFrame, value: str, bins: int = 100, share: float = 0.1) -> DataFrame:
     """One row ``cutoff``: the low end of the first bin after which the count falls by more than ``share`` of the
     largest count; null if none does."""
@@ -159,6 +187,18 @@ def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
     return out
 
 
+def normalised_tables(flat: DataFrame, *, experiment: Sequence[str], cell: Sequence[str], measures: Sequence[str], row: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables experiments, cells and measurements of a flat one.  Ids are 1, 2, ... in the order of the columns that
+    name an experiment, a cell (beside its experiment) and a row; cells point to experiments, measurements to cells."""
+    exp = dense_ids(flat.select(*experiment).distinct().withColumn("_k", F.struct(*experiment)), "_k", "experiment_id").drop("_k")
+    d = flat.join(exp, list(experiment))
+    names = ["experiment_id", *cell]
+    cells = dense_ids(d.select(*names).distinct().withColumn("_k", F.struct(*names)), "_k", "cell_id").drop("_k")
+    d = d.join(cells, names)
+    made = dense_ids(d.withColumn("_k", F.struct("cell_id", *row)), "_k", "measurement_id").drop("_k")
+    return {"experiments": exp.select("experiment_id", *experiment), "cells": cells.select("cell_id", *names), "measurements": made.select("measurement_id", "cell_id", *measures)}
+
+
 def key_violations(df: DataFrame, key: Sequence[str], parent: DataFrame | None = None, parent_key: Sequence[str] | None = None) -> DataFrame:
     """One row: rows with a null key, keys that occur twice or more, and keys without a parent row."""
     nulls = df.where(" OR ".join(f"{k} IS NULL" for k in key)).agg(F.count(F.lit(1)).alias("null_keys"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def _hash(seed: int, *cols: str) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    """60 bits of the seeded MD5 of the columns, as other engines can compute it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])), 1, 15), 16, 10).cast("long")
 
 
 def patch_centres(strata: DataFrame, plane: Sequence[str], quotas: dict[str, int], *, size: int, width: int, height: int, jitter: int = 0, seed: int = 7) -> DataFrame:

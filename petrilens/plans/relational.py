@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrilens.functions import columns as P
+from petrilens.functions.broadcasts import exact_quantiles
 from petrilens.operators import clean, summaries
 from petrilens.plans import fixtures as X
 
@@ -128,8 +129,9 @@ def derive_qc_score(spark, sf):
 
 @query("scale_factor", f"""WITH {X.MEASUREMENTS} SELECT round(max(N_C_V2) / max(Nuclear_Area), 9) AS max_ratio, round(quantile_cont(N_C_V2, 0.99) / quantile_cont(Nuclear_Area, 0.99), 9) AS q99_ratio FROM measurements""")
 def scale_factor(spark, sf):
-    q = lambda n: F.percentile(n, F.lit(0.99))
-    return X.measurements(spark, sf).agg(r(F.try_divide(F.max("N_C_V2"), F.max("Nuclear_Area")), 9).alias("max_ratio"), r(F.try_divide(q("N_C_V2"), q("Nuclear_Area")), 9).alias("q99_ratio"))
+    m = X.measurements(spark, sf)
+    (a,), (b,) = exact_quantiles(m, "N_C_V2", (0.99,)), exact_quantiles(m, "Nuclear_Area", (0.99,))
+    return m.agg(r(F.try_divide(F.max("N_C_V2"), F.max("Nuclear_Area")), 9).alias("max_ratio")).withColumn("q99_ratio", r(F.try_divide(F.lit(a).cast("double"), F.lit(b).cast("double")), 9))
 
 
 @query("clean_pre", f"WITH {PRE} SELECT label, round(fill_fraction, 6) AS fill_fraction, round(circ, 6) AS circ FROM pre")
@@ -301,6 +303,58 @@ def union_conditions(spark, sf):
     return d.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count("N_C_V2").alias("with_ratio"), F.countDistinct("cluster").alias("clusters"))
 
 
+@query("cluster_summary", f"""WITH {X.OBJECTS} SELECT t, z, label % 4 AS cluster, round(avg(sqrt(centroid_x_px * centroid_x_px + centroid_y_px * centroid_y_px)), 4) AS mean_distance, round(sum(perimeter_px), 3) AS total_intensity, count(*) AS area_pixels, round(sum(perimeter_px) / count(*), 4) AS intensity_density, round(avg(centroid_x_px), 4) AS cluster_centroid_x, round(avg(centroid_y_px), 4) AS cluster_centroid_y FROM objects GROUP BY 1, 2, 3""")
+def cluster_summary(spark, sf):
+    o = X.objects(spark, sf).withColumn("cluster", F.col("label") % 4).withColumn("d", F.hypot("centroid_x_px", "centroid_y_px"))
+    d = summaries.cluster_summary(o, ["t", "z", "cluster"], distance="d", intensity="perimeter_px", xy=("centroid_x_px", "centroid_y_px"))
+    return d.select("t", "z", "cluster", r("mean_distance", 4).alias("mean_distance"), r("total_intensity", 3).alias("total_intensity"), "area_pixels", *[r(n, 4).alias(n) for n in ("intensity_density", "cluster_centroid_x", "cluster_centroid_y")])
+
+
+@query("weighted_focus", f"""WITH {X.OBJECTS}, s AS (SELECT t, label, CASE WHEN label % 7 = 0 THEN NULL ELSE area_px::DOUBLE END AS a, perimeter_px AS p FROM objects), m AS (SELECT *, median(a) OVER w AS ma, median(p) OVER w AS mp FROM s WINDOW w AS (PARTITION BY t)), d AS (SELECT *, median(abs(a - ma)) OVER w AS da, median(abs(p - mp)) OVER w AS dp FROM m WINDOW w AS (PARTITION BY t))
+ SELECT label, round(coalesce(0.7::DOUBLE * ((a - ma) / (da + 1e-9)) + 0.3::DOUBLE * ((p - mp) / (dp + 1e-9)), (p - mp) / (dp + 1e-9)), 5) AS focus FROM d""")
+def weighted_focus(spark, sf):
+    """Focus of objects from two scores, one of which is missing now and then."""
+    o = X.objects(spark, sf).withColumn("a", F.when(F.col("label") % 7 != 0, F.col("area_px").cast("double")))
+    return summaries.weighted_focus(o, {"a": 0.7, "perimeter_px": 0.3}, ["t"], "perimeter_px").select("label", r("focus", 5).alias("focus"))
+
+
+@query("otsu_trimmed", f"""WITH {X.MEASUREMENTS}, e AS (SELECT cluster % 40 AS g, quantile_cont(Nuclear_Area, 0.001) AS lo, quantile_cont(Nuclear_Area, 0.999) AS hi FROM measurements GROUP BY 1), d AS (SELECT cluster % 40 AS g, Nuclear_Area AS v FROM measurements JOIN e ON cluster % 40 = e.g AND Nuclear_Area BETWEEN lo AND hi), l AS (SELECT g AS lg, min(v) AS lo, (max(v) - min(v)) / 256 AS w, count(*) AS k, avg(v) AS m FROM d GROUP BY 1),
+ c AS (SELECT g, least(floor((v - lo) / w), 255)::INT AS bin, count(*) AS n FROM d JOIN l ON g = lg GROUP BY 1, 2), h AS (SELECT lg AS g, b.bin, (lo + b.bin * w + lo + (b.bin + 1) * w) / 2 AS mid, coalesce(n, 0) AS n FROM l CROSS JOIN (SELECT unnest(generate_series(0, 255)) AS bin) b LEFT JOIN c ON c.g = lg AND c.bin = b.bin), p AS (SELECT *, n / sum(n) OVER (PARTITION BY g) AS p FROM h),
+ q AS (SELECT *, sum(p) OVER u AS cw, sum(p * mid) OVER u AS cm, sum(p * mid) OVER (PARTITION BY g) AS mt FROM p WINDOW u AS (PARTITION BY g ORDER BY bin ROWS UNBOUNDED PRECEDING)), v AS (SELECT *, CASE WHEN cw <= 1e-12 OR cw >= 1 - 1e-12 THEN 0 ELSE (mt * cw - cm) * (mt * cw - cm) / (cw * (1 - cw)) END AS s FROM q),
+ x AS (SELECT g, mid FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(s, 9) DESC, bin) = 1) SELECT g, round(CASE WHEN k < 256 THEN m ELSE mid END, 4) AS threshold FROM x JOIN l ON g = lg""")
+def otsu_trimmed(spark, sf):
+    m = X.measurements(spark, sf).withColumn("g", F.col("cluster") % 40)
+    return summaries.otsu_trimmed(m, "Nuclear_Area", ["g"]).select("g", r("threshold", 4).alias("threshold"))
+
+
+@query("column_surgery", f"""WITH {X.FIJI} SELECT suppkey AS cluster_id, count(*) AS n, round(sum("Mean"), 4) AS mean_total, round(sum(Area / 1000), 4) AS area_k, round(sum(Mean + 1), 4) AS "Mean.1" FROM fiji GROUP BY 1""")
+def column_surgery(spark, sf):
+    """Columns dropped if present, renamed, made unique, reordered and derived in one go."""
+    f = X.fiji_rows(spark, sf).drop("npc_IntDen", "not_there").withColumnsRenamed({"suppkey": "cluster_id"})
+    f = f.select([c for c in f.columns if not c.startswith("m_")])
+    wide = f.select("cluster_id", "Mean", (F.col("Area") / 1000).alias("area_k"), (F.col("Mean") + 1).alias("Mean")).toDF(*P.unique_names(["cluster_id", "Mean", "area_k", "Mean"]))
+    return wide.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("Mean"), 4).alias("mean_total"), r(F.sum("area_k"), 4).alias("area_k"), r(F.sum("`Mean.1`"), 4).alias("Mean.1"))
+
+
+@query("unnest_values", f"""WITH {X.MEASUREMENTS}, g AS (SELECT cluster, avg(Nuclear_Area) AS m FROM measurements GROUP BY 1) SELECT d.cluster, Slice, count(*) AS n, round(any_value(m), 4) AS cluster_mean, round(max(Nuclear_Area) - any_value(m), 4) AS over FROM measurements d JOIN g USING (cluster) GROUP BY 1, 2""")
+def unnest_values(spark, sf):
+    """Lists of a cluster's slices unnested to rows again, features bound by key."""
+    m = X.measurements(spark, sf).groupBy("cluster", "Slice").agg(F.count(F.lit(1)).alias("n"), F.max("Nuclear_Area").alias("top"))
+    nested = m.groupBy("cluster").agg(F.collect_list(F.struct("Slice", "n", "top")).alias("res"))  # a cluster has a few slices
+    features = X.measurements(spark, sf).groupBy("cluster").agg(F.avg("Nuclear_Area").alias("m"))
+    flat = nested.join(features, "cluster").select("cluster", "m", F.inline("res"))
+    return flat.select("cluster", "Slice", "n", r("m", 4).alias("cluster_mean"), r(F.col("top") - F.col("m"), 4).alias("over"))
+
+
+@query("normalised_rows", f"""WITH {X.MEASUREMENTS}, e AS (SELECT Condition, dense_rank() OVER (ORDER BY Condition) AS experiment_id FROM (SELECT DISTINCT Condition FROM measurements)), c AS (SELECT Condition, experiment_id, cluster, Slice, row_number() OVER (ORDER BY experiment_id, cluster, Slice) AS cell_id FROM (SELECT DISTINCT Condition, cluster, Slice FROM measurements) JOIN e USING (Condition))
+ SELECT cell_id, experiment_id, cluster, Slice, count(*) AS n, round(sum(Nuclear_Area), 2) AS area, count(DISTINCT row_number) AS ids FROM (SELECT c.*, Nuclear_Area, row_number() OVER (ORDER BY cell_id) AS row_number FROM measurements m JOIN c USING (Condition, cluster, Slice)) GROUP BY 1, 2, 3, 4""")
+def normalised_rows(spark, sf):
+    """Experiments, cells and measurements made of the flat table, and joined again by their ids."""
+    t = summaries.normalised_tables(X.measurements(spark, sf), experiment=["Condition"], cell=["cluster", "Slice"], measures=["Nuclear_Area"], row=["row_key", "Time", "Nuclear_Area", "N_C_V2"])
+    back = t["measurements"].join(t["cells"], "cell_id").join(t["experiments"], "experiment_id")
+    return back.groupBy("cell_id", "experiment_id", "cluster", "Slice").agg(F.count(F.lit(1)).alias("n"), r(F.sum("Nuclear_Area"), 2).alias("area"), F.countDistinct("measurement_id").alias("ids"))
+
+
 @query("normalise_tables", """SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS null_keys, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS repeated_keys, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS orphans""")
 def normalise_tables(spark, sf):
     parent = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))

@@ -68,25 +68,32 @@ def axes_split(spark, sf):
     return d.groupBy("part", "t", "stream").agg(F.count(F.lit(1)).alias("n"), r(F.sum("intensity")).alias("total"))
 
 
-@query("axes_layers", f"""WITH {X.PIXELS} SELECT t, (t % 3)::INT AS z, count(*) AS n, round(sum(intensity), 6) AS total FROM pixels WHERE t < 3 GROUP BY 1, 2""")
+@query("axes_layers", f"""WITH {X.PIXELS} SELECT t, (t % 3)::INT AS z, count(*) AS n, round(sum(intensity), 6) AS total FROM pixels GROUP BY 1, 2""")
 def axes_layers(spark, sf):
-    px = X.pixels(spark, sf).where("t < 3")
+    """Frames in blocks of three, each block's frames as wide layers of one row a pixel."""
+    px = X.pixels(spark, sf).withColumn("block", F.floor(F.col("t") / 3)).withColumn("layer_t", F.col("t") % 3)
     names = ["t0_z0_c0", "t1_z1_c0", "t2_z2_c0"]
-    wide = px.groupBy("y", "x").agg(*[F.max(F.when(F.col("t") == i, F.col("intensity"))).alias(n) for i, n in enumerate(names)])
+    wide = px.groupBy("block", "y", "x").agg(*[F.max(F.when(F.col("layer_t") == i, F.col("intensity"))).alias(n) for i, n in enumerate(names)])
     layers = axes.layer_grid(spark, {"t": 3, "z": 3, "c": 1}).where("t = z").select("layer")
-    long = axes.layers_to_long(wide, layers).where("intensity IS NOT NULL")
-    d = long.select(axes.parse_layer("layer", "t").alias("t"), axes.parse_layer("layer", "z").alias("z"), "intensity")
+    long = axes.layers_to_long(wide, layers, keys=("block", "y", "x")).where("intensity IS NOT NULL")
+    d = long.select((F.col("block") * 3 + axes.parse_layer("layer", "t")).cast("int").alias("t"), axes.parse_layer("layer", "z").alias("z"), "intensity")
     return d.groupBy("t", "z").agg(F.count(F.lit(1)).alias("n"), r(F.sum("intensity")).alias("total"))
 
 
-def _centres(spark: SparkSession, sf: str) -> DataFrame:
+def _centres(spark: SparkSession, sf: str, keep_size: bool = False) -> DataFrame:
     g = _labels(spark, sf).groupBy("t", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n"))
-    return g.where("n >= 2").withColumn("object_id", F.col("label")).drop("n", "label")
+    return g.where("n >= 2").withColumn("object_id", F.col("label")).drop("label", *([] if keep_size else ["n"]))
 
 
 KEYS = ["t", "object_id"]
 
 
+def _modes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    grid = radial.polar_grid(_centres(spark, sf), angles=36, radii=8, first=2.0)
+    prof = radial.sample_bilinear(grid, _px(spark, sf), T, KEYS, 80, 80)
+    return prof, radial.angular_modes(prof, KEYS, 36, 6)
+
+
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
     grid = radial.polar_grid(_centres(spark, sf), angles=36, radii=30)
     return radial.sample_nearest(grid, _px(spark, sf), T, KEYS)
@@ -99,10 +106,10 @@ PROFILE = f"""{LABELS}, cen AS (SELECT t, label AS object_id, avg(x) AS cx, avg(
 
 @query("radial_summary", f"""WITH RECURSIVE {X.PIXELS}, {PROFILE}, m AS (SELECT t, object_id, r_index, avg(intensity) AS m FROM prof GROUP BY 1, 2, 3), pk AS (SELECT t, object_id, r_index::DOUBLE AS radial_peak_distance_px FROM m QUALIFY row_number() OVER (PARTITION BY t, object_id ORDER BY round(m, 9) DESC, r_index) = 1),
  ln AS (SELECT t, object_id, avg(len) AS l FROM (SELECT DISTINCT t, object_id, len FROM (SELECT t, object_id, theta_index, max(distance_px) AS len FROM prof GROUP BY 1, 2, 3)) GROUP BY 1, 2)
- SELECT t, object_id, count(*) AS n_samples, round(avg(intensity), 6) AS radial_mean_intensity, round(max(intensity), 6) AS radial_max_intensity, round(any_value(l), 6) AS radial_mean_ray_length_px FROM prof JOIN ln USING (t, object_id) JOIN pk USING (t, object_id) GROUP BY 1, 2""")
+ SELECT t, object_id, count(*) AS n_samples, round(avg(intensity), 6) AS radial_mean_intensity, round(max(intensity), 6) AS radial_max_intensity, round(any_value(l), 6) AS radial_mean_ray_length_px, any_value(radial_peak_distance_px) AS radial_peak_distance_px FROM prof JOIN ln USING (t, object_id) JOIN pk USING (t, object_id) GROUP BY 1, 2""")
 def radial_summary(spark, sf):
     d = radial.radial_summary(_profile(spark, sf), KEYS)
-    return d.select(*KEYS, "n_samples", r("radial_mean_intensity").alias("radial_mean_intensity"), r("radial_max_intensity").alias("radial_max_intensity"), r("radial_mean_ray_length_px").alias("radial_mean_ray_length_px"))
+    return d.select(*KEYS, "n_samples", *[r(n).alias(n) for n in ("radial_mean_intensity", "radial_max_intensity", "radial_mean_ray_length_px")], "radial_peak_distance_px")
 
 
 @query("radial_compaction", f"""WITH RECURSIVE {X.PIXELS}, {PROFILE}, p AS (SELECT t, object_id, theta_index, max(intensity) AS peak FROM prof GROUP BY 1, 2, 3) SELECT t, object_id, round(stddev_pop(peak) / nullif(avg(peak), 0), 5) AS compaction FROM p GROUP BY 1, 2""")
@@ -110,13 +117,32 @@ def radial_compaction(spark, sf):
     return radial.compaction(_profile(spark, sf), KEYS).select(*KEYS, r("compaction", 5).alias("compaction"))
 
 
-@query("radial_metrics")
+@query("radial_metrics", f"""WITH RECURSIVE {X.PIXELS}, {PROFILE}, m AS (SELECT t, object_id, r_index, avg(intensity) AS m FROM prof GROUP BY 1, 2, 3), ev AS (SELECT t, object_id, r_index AS er, m AS ep FROM m WHERE r_index < 12 QUALIFY row_number() OVER (PARTITION BY t, object_id ORDER BY m DESC, r_index) = 1),
+ b AS (SELECT t, object_id, avg(m) AS base FROM m WHERE r_index < 3 GROUP BY 1, 2), o AS (SELECT p.t, p.object_id, p.theta_index, p.intensity FROM prof p JOIN ev USING (t, object_id) WHERE r_index > er AND r_index < 28), h AS (SELECT t, object_id, stddev_pop(intensity) / nullif(abs(avg(intensity)), 0) AS het FROM o GROUP BY 1, 2),
+ a AS (SELECT t, object_id, stddev_pop(m) / nullif(abs(avg(m)), 0) AS asy FROM (SELECT t, object_id, theta_index, avg(intensity) AS m FROM o GROUP BY 1, 2, 3) GROUP BY 1, 2)
+ SELECT t, object_id, er AS envelope_radius, round(ep, 6) AS envelope_peak, round(base, 6) AS baseline, round((ep - base) / nullif(abs(base), 0), 4) AS sharpness, round(het, 4) AS heterogeneity, round(asy, 3) AS asymmetry FROM ev LEFT JOIN b USING (t, object_id) LEFT JOIN h USING (t, object_id) LEFT JOIN a USING (t, object_id)""")
 def radial_metrics(spark, sf):
     d = radial.radial_metrics(_profile(spark, sf), KEYS, search=12, inner=3, outer=28)
-    return d.select(*KEYS, "envelope_radius", *[r(n).alias(n) for n in ("envelope_peak", "baseline", "sharpness", "heterogeneity", "asymmetry")])
-
-
-@query("radial_rays_to_edge")
+    return d.select(*KEYS, "envelope_radius", r("envelope_peak").alias("envelope_peak"), r("baseline").alias("baseline"), r("sharpness", 4).alias("sharpness"), r("heterogeneity", 4).alias("heterogeneity"), r("asymmetry", 3).alias("asymmetry"))
+
+
+@query("best_plane_metrics", f"""WITH RECURSIVE {X.PIXELS}, {PROFILE}, top AS (SELECT t AS bt, label AS object_id, n, t // 2 AS s FROM (SELECT t, label, count(*) AS n FROM labels GROUP BY 1, 2 HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY t // 2 ORDER BY n DESC, t, label) = 1),
+ p AS (SELECT s, t, theta_index, max(intensity) AS peak FROM prof JOIN top ON t = bt AND prof.object_id = top.object_id GROUP BY 1, 2, 3), m AS (SELECT s, r_index, avg(intensity) AS m FROM prof JOIN top ON t = bt AND prof.object_id = top.object_id GROUP BY 1, 2)
+ SELECT p.s AS series, any_value(t) AS best_plane, round(stddev_pop(peak) / nullif(avg(peak), 0), 5) AS compaction, any_value(er) AS envelope_radius FROM p JOIN (SELECT s, r_index AS er FROM m WHERE r_index < 12 QUALIFY row_number() OVER (PARTITION BY s ORDER BY m DESC, r_index) = 1) e ON p.s = e.s GROUP BY 1""")
+def best_plane_metrics(spark, sf):
+    """Planes in series of two: the plane with the largest object, and that object's compaction and envelope."""
+    c = _centres(spark, sf, keep_size=True).withColumn("series", F.floor(F.col("t") / 2))
+    best = c.groupBy("series").agg(F.min(F.struct((-F.col("n")).alias("n"), "t", "object_id", "cx", "cy")).alias("b")).select("series", "b.t", "b.object_id", "b.cx", "b.cy")
+    prof = radial.sample_nearest(radial.polar_grid(best, angles=36, radii=30), _px(spark, sf), T, ["series", *KEYS])
+    keys = ["series", *KEYS]
+    d = radial.compaction(prof, keys).join(radial.radial_metrics(prof, keys, search=12, inner=3, outer=28), keys)
+    return d.select("series", F.col("t").alias("best_plane"), r("compaction", 5).alias("compaction"), "envelope_radius")
+
+
+@query("radial_rays_to_edge", f"""WITH RECURSIVE {X.PIXELS}, {LABELS}, cen AS (SELECT t, label AS object_id, avg(x) AS cx, avg(y) AS cy FROM labels GROUP BY 1, 2 HAVING count(*) >= 2), c AS (SELECT *, floor(round_even(cy, 0) / 40)::BIGINT * 2 + floor(round_even(cx, 0) / 40)::BIGINT AS droplet_id FROM cen),
+ grid AS (SELECT t, object_id, droplet_id, a, q, q::DOUBLE AS dist, round_even(cx + q * cos(a * {2 * math.pi / 36!r}::DOUBLE), 0)::INT AS x, round_even(cy + q * sin(a * {2 * math.pi / 36!r}::DOUBLE), 0)::INT AS y FROM c CROSS JOIN (SELECT unnest(generate_series(0, 35)) AS a) CROSS JOIN (SELECT unnest(generate_series(0, 39)) AS q)),
+ s AS (SELECT g.*, p.intensity, p.t IS NULL OR (g.y // 40) * 2 + g.x // 40 <> droplet_id AS outside FROM grid g LEFT JOIN pixels p ON p.t = g.t AND p.y = g.y AND p.x = g.x), xt AS (SELECT *, min(CASE WHEN outside THEN q END) OVER (PARTITION BY t, object_id, a) AS ex FROM s), k AS (SELECT *, max(dist) OVER (PARTITION BY t, object_id, a) AS len FROM xt WHERE ex IS NULL OR q < ex)
+ SELECT t, object_id, droplet_id, count(*) AS n, round(avg(intensity), 6) AS mean, round(avg(dist / nullif(len, 0)), 6) AS mean_norm, round(max(len), 6) AS longest FROM k ANTI JOIN labels l ON l.t = k.t AND l.y = k.y AND l.x = k.x GROUP BY 1, 2, 3""")
 def radial_rays_to_edge(spark, sf):
     px = _px(spark, sf)
     drops = px.select("t", "y", "x", (F.floor(F.col("y") / 40) * 2 + F.floor(F.col("x") / 40)).alias("droplet_id"))
@@ -126,35 +152,71 @@ def radial_rays_to_edge(spark, sf):
     return d.groupBy(*KEYS, "droplet_id").agg(F.count(F.lit(1)).alias("n"), r(F.avg("intensity")).alias("mean"), r(F.avg("distance_norm")).alias("mean_norm"), r(F.max("ray_length_px")).alias("longest"))
 
 
-@query("fourier_modes")
+#: Rings of bilinear samples (radius 2 to 9, 36 angles), and their angular modes 0 to 6.
+RINGS = f"""{LABELS}, cen AS (SELECT t, label AS object_id, avg(x) AS cx, avg(y) AS cy FROM labels GROUP BY 1, 2 HAVING count(*) >= 2), g AS (SELECT t, object_id, a, q, least(greatest(cx + (2.0::DOUBLE + q) * cos(a * {2 * math.pi / 36!r}::DOUBLE), 0), 79) AS gx, least(greatest(cy + (2.0::DOUBLE + q) * sin(a * {2 * math.pi / 36!r}::DOUBLE), 0), 79) AS gy
+  FROM cen CROSS JOIN (SELECT unnest(generate_series(0, 35)) AS a) CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS q)), f AS (SELECT *, least(floor(gx), 78)::INT AS x0, least(floor(gy), 78)::INT AS y0 FROM g),
+ smp AS (SELECT f.t, f.object_id, f.a, f.q, sum((CASE WHEN p.x = x0 THEN 1 - (gx - x0) ELSE gx - x0 END) * (CASE WHEN p.y = y0 THEN 1 - (gy - y0) ELSE gy - y0 END) * p.intensity) AS v FROM f JOIN pixels p ON p.t = f.t AND p.y BETWEEN y0 AND y0 + 1 AND p.x BETWEEN x0 AND x0 + 1 GROUP BY 1, 2, 3, 4),
+ modes AS (SELECT t, object_id, q, m, sum(v * cos({-2 * math.pi / 36!r}::DOUBLE * m * a)) AS re, sum(v * sin({-2 * math.pi / 36!r}::DOUBLE * m * a)) AS im FROM smp CROSS JOIN (SELECT unnest(generate_series(0, 6)) AS m) GROUP BY 1, 2, 3, 4)"""
+
+
+@query("fourier_modes", f"""WITH RECURSIVE {X.PIXELS}, {RINGS}, p AS (SELECT t, object_id, m, sum((re * re + im * im) / 36) AS p FROM modes GROUP BY 1, 2, 3), d AS (SELECT t, object_id, m AS dm FROM p WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY t, object_id ORDER BY p DESC, m) = 1),
+ s AS (SELECT t, object_id, max(p) FILTER (WHERE m > 0) AS top, sum(p) FILTER (WHERE m > 0) AS turning, sum(p) AS whole FROM p GROUP BY 1, 2), c AS (SELECT t, object_id, avg(pow(2.0::DOUBLE / 36 * (re * cos({4 * math.pi / 36!r}::DOUBLE * a) - im * sin({4 * math.pi / 36!r}::DOUBLE * a)), 2)) AS m2 FROM smp JOIN modes USING (t, object_id, q) WHERE m = 2 GROUP BY 1, 2)
+ SELECT t, object_id, dm::INT AS dominant_mode, round(top / turning, 6) AS dominant_share, round(turning / whole, 6) AS anisotropy_index, round(m2, 6) AS mode2_power FROM d JOIN s USING (t, object_id) JOIN c USING (t, object_id)""")
 def fourier_modes(spark, sf):
     """Rings by bilinear samples, angular modes, the dominant mode, and the mean square of its second mode's part."""
-    grid = radial.polar_grid(_centres(spark, sf), angles=36, radii=8, first=2.0)
-    prof = radial.sample_bilinear(grid, _px(spark, sf), T, KEYS, 80, 80)
-    modes = radial.angular_modes(prof, KEYS, 36, 6)
+    prof, modes = _modes(spark, sf)
     part = radial.reconstruct(prof, modes, KEYS, 36, 2).groupBy(*KEYS).agg(r(F.avg(F.col("mode_component") * F.col("mode_component"))).alias("mode2_power"))
     d = radial.dominant_mode(modes, KEYS).join(part, KEYS)
     return d.select(*KEYS, "dominant_mode", r("dominant_share").alias("dominant_share"), r("anisotropy_index").alias("anisotropy_index"), "mode2_power")
 
 
-@query("fourier_spectrum")
+@query("fourier_mode_profile", f"""WITH RECURSIVE {X.PIXELS}, {RINGS} SELECT t, object_id, q::INT AS r_index, round(2 * sqrt(re * re + im * im) / 36, 6) AS amplitude, round(atan2(im, re), 4) AS phase FROM modes WHERE m = 2""")
+def fourier_mode_profile(spark, sf):
+    d = radial.mode_profile(_modes(spark, sf)[1], 2, 36)
+    return d.select(*KEYS, "r_index", r("amplitude").alias("amplitude"), r("phase", 4).alias("phase"))
+
+
+@query("fourier_spectrum", f"""WITH {X.PIXELS}, k AS (SELECT t AS kt, max(y) + 1 AS h, max(x) + 1 AS w, avg(intensity) AS m FROM pixels GROUP BY 1), d AS (SELECT t, y, x, h, w, intensity - m AS v FROM pixels JOIN k ON t = kt),
+ a AS (SELECT t, h, w, y, u, sum(v * cos({2 * math.pi!r}::DOUBLE * ((u * x) % w) / w)) AS re, -sum(v * sin({2 * math.pi!r}::DOUBLE * ((u * x) % w) / w)) AS im FROM d, unnest(generate_series(0, w - 1)) AS j(u) GROUP BY 1, 2, 3, 4, 5),
+ b AS (SELECT t, h, w, u, v, sum(re * cos({2 * math.pi!r}::DOUBLE * ((v * y) % h) / h) + im * sin({2 * math.pi!r}::DOUBLE * ((v * y) % h) / h)) AS re, sum(im * cos({2 * math.pi!r}::DOUBLE * ((v * y) % h) / h) - re * sin({2 * math.pi!r}::DOUBLE * ((v * y) % h) / h)) AS im FROM a, unnest(generate_series(0, h - 1)) AS j(v) GROUP BY 1, 2, 3, 4, 5),
+ s AS (SELECT t, (CASE WHEN 2 * u >= w THEN u - w ELSE u END) * (1.0::DOUBLE / w) AS fx, (CASE WHEN 2 * v >= h THEN v - h ELSE v END) * (1.0::DOUBLE / h) AS fy, (re * re + im * im) / (h * w) AS power FROM b), f AS (SELECT *, sqrt(fx * fx + fy * fy) AS f FROM s),
+ g AS (SELECT t, coalesce(sum(power) FILTER (WHERE f >= 0 AND f < 0.1::DOUBLE), 0) AS band_0, coalesce(sum(power) FILTER (WHERE f >= 0.1::DOUBLE AND f < 0.25::DOUBLE), 0) AS band_1, coalesce(sum(power) FILTER (WHERE f >= 0.25::DOUBLE AND f < 0.5::DOUBLE), 0) AS band_2, sum(f * power) / sum(power) AS centroid, sum(CASE WHEN abs(fx) > abs(fy) THEN power ELSE -power END) / sum(power) AS anisotropy FROM f GROUP BY 1),
+ p AS (SELECT t, floor(f * 2 * 20) AS bin, avg(power) AS p, avg(f) AS f FROM f WHERE f > 0 GROUP BY 1, 2), l AS (SELECT t, regr_slope(ln(p), ln(f)) AS slope FROM p WHERE p > 0 GROUP BY 1)
+ SELECT t, round(band_0, 5) AS band_0, round(band_1, 5) AS band_1, round(band_2, 5) AS band_2, round(centroid, 5) AS centroid, round(anisotropy, 5) AS anisotropy, round(slope, 5) AS slope FROM g JOIN l USING (t)""")
 def fourier_spectrum(spark, sf):
     d = radial.spectral_features(radial.power_spectrum(_px(spark, sf), T), T)
     return d.select("t", *[r(n, 5).alias(n) for n in ("band_0", "band_1", "band_2", "centroid", "anisotropy", "slope")])
 
 
-@query("training_patches")
+def _h(seed: int, *cols: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(cols)})), 1, 15))::BIGINT"
+
+
+def _move(axis: str, seed: int, cols: tuple[str, ...], jitter: int) -> str:
+    shift = f" + {_h(seed, *cols)} % {2 * jitter + 1} - {jitter}" if jitter else ""
+    return f"least(greatest({axis}{shift}, 8), 72)::INT AS centre_{axis}"
+
+
+@query("training_patches", f"""WITH RECURSIVE {X.PIXELS}, {LABELS}, px AS (SELECT p.t, p.y, p.x, coalesce(label, 0) AS label, intensity FROM pixels p LEFT JOIN labels l ON l.t = p.t AND l.y = p.y AND l.x = p.x), st AS (SELECT t, y, x, CASE WHEN label > 0 THEN 'object' WHEN intensity > 0.1 THEN 'context' ELSE 'negative' END AS stratum FROM px),
+ rn AS (SELECT *, row_number() OVER (PARTITION BY t, stratum ORDER BY {_h(7, "t", "y", "x")}, y, x) <= CASE stratum WHEN 'object' THEN 6 WHEN 'context' THEN 4 ELSE 3 END AS inn FROM st), need AS (SELECT t, 13 - count(*) FILTER (WHERE inn) AS k FROM rn GROUP BY 1),
+ rest AS (SELECT rn.t, y, x, k, row_number() OVER (PARTITION BY rn.t ORDER BY {_h(8, "rn.t", "y", "x")}, y, x) AS o FROM rn JOIN need USING (t) WHERE NOT inn), tk AS (SELECT t, y, x, stratum FROM rn WHERE inn UNION ALL SELECT t, y, x, 'fill' FROM rest WHERE o <= k),
+ mv AS (SELECT t, stratum, {_move("y", 9, ("t", "y", "x"), 2)}, {_move("x", 10, ("t", "y", "x"), 2)} FROM tk), c AS (SELECT t, centre_y, centre_x, min(stratum) AS stratum FROM mv GROUP BY 1, 2, 3),
+ pt AS (SELECT c.*, count(*) AS n, count(*) FILTER (WHERE label > 0) AS lab FROM c JOIN px ON px.t = c.t AND px.y BETWEEN centre_y - 8 AND centre_y + 7 AND px.x BETWEEN centre_x - 8 AND centre_x + 7 GROUP BY ALL)
+ SELECT t, CASE WHEN t IN (1, 3) THEN 'validation' ELSE 'train' END AS split, stratum, count(*) AS patches, sum(n)::BIGINT AS n_pixels, sum(lab)::BIGINT AS labelled FROM pt WHERE lab >= 1 GROUP BY 1, 2, 3""")
 def training_patches(spark, sf):
     """Seeded centres, their patches, a split by time and the summary per frame and kind."""
     px = _px(spark, sf).join(_labels(spark, sf), ["t", "y", "x"], "left").fillna(0, subset=["label"])
     strata = px.select("t", "y", "x", F.when(F.col("label") > 0, "object").when(F.col("intensity") > 0.1, "context").otherwise("negative").alias("stratum"))
     c = training.patch_centres(strata, T, {"object": 6, "context": 4, "negative": 3}, size=16, width=80, height=80, jitter=2)
-    cut = training.cut_patches_at(c.dropDuplicates(["t", "centre_y", "centre_x"]), px, T, 16, 1)
+    c = c.groupBy("t", "centre_y", "centre_x").agg(F.min("stratum").alias("stratum"))
+    cut = training.cut_patches_at(c, px, T, 16, 1)
     d = training.split_by_time(cut, [1, 3])
     return d.groupBy("t", "split", "stratum").agg(F.countDistinct("centre_y", "centre_x").alias("patches"), F.count(F.lit(1)).alias("n_pixels"), F.count_if(F.col("label") > 0).alias("labelled"))
 
 
-@query("training_negatives")
+@query("training_negatives", f"""WITH {X.PIXELS}, rn AS (SELECT t, z, y, x FROM pixels QUALIFY row_number() OVER (PARTITION BY t, z ORDER BY {_h(7, "t", "z", "y", "x")}, y, x) <= 5), d AS (SELECT t, {_move("y", 9, ("t", "z", "y", "x"), 0)}, {_move("x", 10, ("t", "z", "y", "x"), 0)} FROM rn),
+ h AS (SELECT *, {_h(11, "t", "centre_y", "centre_x")} % 1073741824 AS h FROM d), k AS (SELECT *, h < 0.2 * 1073741824 OR row_number() OVER (ORDER BY h, t, centre_y, centre_x) = 1 AS val FROM h)
+ SELECT t, CASE WHEN val THEN 'validation' ELSE 'train' END AS split, count(*) AS n, min(centre_y) AS least_y, 0 AS label FROM k GROUP BY 1, 2""")
 def training_negatives(spark, sf):
     px = X.pixels(spark, sf).select("t", "z", "y", "x")
     d = training.hard_negatives(px, ["t", "z"], z="z", z_range=(0, 1), n=5, size=16, width=80, height=80)
@@ -176,23 +238,33 @@ def training_labels(spark, sf):
     return d.groupBy("t", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("bundle_round_trip", f"""WITH {X.OBJECTS} SELECT 'best' AS stage, count(*) AS n, round(avg(area_px), 6) AS mean_area, 0.0::DOUBLE AS minute FROM objects WHERE z = 0""")
+@query("training_labels_four", f"""WITH {X.PIXELS}, k AS (SELECT t, abs(intensity) > 0.25 AS pore, intensity > 0.1 AS nucleus, abs(intensity) > 0.05 AND x >= 8 AS droplet FROM pixels) SELECT t, CASE WHEN pore AND droplet THEN 2 WHEN nucleus AND droplet THEN 3 WHEN droplet THEN 1 ELSE 0 END AS class_id, count(*) AS n FROM k GROUP BY 1, 2""")
+def training_labels_four(spark, sf):
+    """Four classes: pores win over the nucleus, both only inside the droplet."""
+    px = _px(spark, sf)
+    masks = {"pore": px.where("abs(intensity) > 0.25"), "nucleus": px.where("intensity > 0.1"), "droplet": px.where("abs(intensity) > 0.05 AND x >= 8")}
+    d = training.compose_labels(px.select("t", "y", "x"), masks, T, order=[("pore", 2), ("nucleus", 3), ("droplet", 1)], inside={"pore": "droplet", "nucleus": "droplet"})
+    return d.groupBy("t", "class_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bundle_round_trip", f"""WITH {X.OBJECTS} SELECT 'best' AS stage, z, count(*) AS n, round(avg(area_px), 6) AS mean_area, 0.0::DOUBLE AS minute FROM objects GROUP BY 2""")
 def bundle_round_trip(spark, sf):
     """Stage tables saved as a bundle and loaded by the first name present, with an absent time column added."""
     folder = _folder(spark)
     o = X.objects(spark, sf)
-    tables.export_bundle({"best": o.where("z = 0"), "objects": o}, folder, {"eps": 46.3})
-    d, name = tables.load_bundle(spark, folder, ["tracked", "best", "objects"], {"true_time_min": F.lit(0.0)})
-    return d.groupBy(F.lit(name).alias("stage")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("area_px")).alias("mean_area"), F.max("true_time_min").alias("minute"))
+    tables.export_bundle({"best": o, "frames": o.select("t").distinct()}, folder, {"eps": 46.3})
+    d, name = tables.load_bundle(spark, folder, ["tracked", "best", "frames"], {"true_time_min": F.lit(0.0)})
+    return d.groupBy(F.lit(name).alias("stage"), "z").agg(F.count(F.lit(1)).alias("n"), r(F.avg("area_px")).alias("mean_area"), F.max("true_time_min").alias("minute"))
 
 
-@query("csv_measurements", f"""WITH {X.MEASUREMENTS} SELECT Condition, count(*) AS n, round(sum(Nuclear_Area), 2) AS area FROM measurements WHERE Slice IN (1, 2) GROUP BY 1""")
+@query("csv_measurements", f"""WITH {X.MEASUREMENTS} SELECT Condition, count(*) AS n, round(sum(Nuclear_Area), 2) AS area FROM measurements GROUP BY 1""")
 def csv_measurements(spark, sf):
+    """One folder of CSV files for each remainder of the slice, read as one table."""
     folder = _folder(spark)
-    m = X.measurements(spark, sf)
-    for k in (1, 2):
-        m.where(F.col("Slice") == k).select("Condition", "Nuclear_Area", "Slice").write.option("header", True).csv(f"{folder}/part{k}")
-    d = tables.read_measurements(spark, [f"{folder}/part1", f"{folder}/part2"], "Condition string, Nuclear_Area double, Slice int")
+    m = X.measurements(spark, sf).select("Condition", "Nuclear_Area", "Slice")
+    for k in range(3):
+        m.where(F.col("Slice") % 3 == k).write.option("header", True).csv(f"{folder}/part{k}")
+    d = tables.read_measurements(spark, [f"{folder}/part{k}" for k in range(3)], "Condition string, Nuclear_Area double, Slice int")
     return d.groupBy("Condition").agg(F.count(F.lit(1)).alias("n"), r(F.sum("Nuclear_Area"), 2).alias("area"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petrilens.operators import cluster, spatial, summaries, track
@@ -28,22 +28,23 @@ D2 = "(a.centroid_x_px - b.centroid_x_px) * (a.centroid_x_px - b.centroid_x_px)
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every object, and every object under the plane before its own."""
     o = X.objects(spark, sf).select("t", "z", "label", *XY, "area_px")
-    return o.where("z = 0"), spatial.prefixed(o.where("z = 1"), "b_")
+    return o, spatial.prefixed(o.withColumn("z", F.col("z") - 1), "b_")
 
 
 def _near(spark: SparkSession, sf: str, radius: float, strict: bool = False) -> DataFrame:
     a, b = _sides(spark, sf)
-    return spatial.near_pairs(a, b, radius=radius, on=[("t", "b_t")], xy=XY, right_xy=("b_centroid_x_px", "b_centroid_y_px"), strict=strict)
+    return spatial.near_pairs(a, b, radius=radius, on=[("t", "b_t"), ("z", "b_z")], xy=XY, right_xy=("b_centroid_x_px", "b_centroid_y_px"), strict=strict)
 
 
-@query("match_one_to_one", f"""WITH {X.OBJECTS}, p AS (SELECT a.label, b.label AS b_label, sqrt({D2}) AS distance FROM objects a JOIN objects b ON a.t = b.t AND a.z = 0 AND b.z = 1 AND {D2} <= 92.6 * 92.6),
+@query("match_one_to_one", f"""WITH {X.OBJECTS}, p AS (SELECT a.label, b.label AS b_label, sqrt({D2}) AS distance FROM objects a JOIN objects b ON a.t = b.t AND b.z = a.z + 1 AND {D2} <= 92.6 * 92.6),
  f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, b_label) = 1) SELECT label, b_label, round(distance, 6) AS distance FROM f QUALIFY row_number() OVER (PARTITION BY b_label ORDER BY distance, label) = 1""")
 def match_one_to_one(spark, sf):
     return spatial.match_one_to_one(_near(spark, sf, 92.6), "label", "b_label").select("label", "b_label", r("distance").alias("distance"))
 
 
-@query("match_many_to_one", f"""WITH {X.OBJECTS}, p AS (SELECT a.label, b.label AS b_label, sqrt({D2}) AS distance FROM objects a JOIN objects b ON a.t = b.t AND a.z = 0 AND b.z = 1 AND {D2} < 92.6 * 92.6)
+@query("match_many_to_one", f"""WITH {X.OBJECTS}, p AS (SELECT a.label, b.label AS b_label, sqrt({D2}) AS distance FROM objects a JOIN objects b ON a.t = b.t AND b.z = a.z + 1 AND {D2} < 92.6 * 92.6)
  SELECT label, b_label, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, b_label) = 1""")
 def match_many_to_one(spark, sf):
     return spatial.match_many_to_one(_near(spark, sf, 92.6, True), "label", "b_label").select("label", "b_label", r("distance").alias("distance"))
@@ -146,7 +147,7 @@ def kmeans_groups(spark, sf):
 def kmeans_foreground(spark, sf):
     m = X.pixels(spark, sf).withColumn("i2", F.col("intensity") * F.col("intensity"))
     d = cluster.kmeans(m, ["intensity", "i2"], 3, seed=123)
-    return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r(F.avg("intensity"), 4).alias("mean")).withColumn("foreground", F.col("cluster") == F.lit(2))
+    return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r(F.avg("intensity"), 4).alias("mean")).withColumn("foreground", F.col("mean") == F.max("mean").over(Window.partitionBy()))
 
 
 @query("pca_components")

@@ -31,26 +31,44 @@ def _binned(spark, sf):
 PAIR = "(VALUES ('Control', 'P150'), ('Control', 'CDR2'), ('P150', 'CDR2')) AS k(a, b)"
 
 
-@query("welch_per_bin", f"""WITH {X.MEASUREMENTS}, g AS (SELECT greatest(floor(Time / 6) * 6, 6) AS bin, Condition, count(*) AS n, avg(Nuclear_Area) AS m, var_samp(Nuclear_Area) AS v FROM measurements GROUP BY 1, 2)
- SELECT x.bin, a, b, x.n AS n_a, y.n AS n_b, round(y.m - x.m, 4) AS effect, round((y.m - x.m) / sqrt(x.v / x.n + y.v / y.n), 6) AS t, round(power(x.v / x.n + y.v / y.n, 2) / (power(x.v / x.n, 2) / (x.n - 1) + power(y.v / y.n, 2) / (y.n - 1)), 4) AS df FROM {PAIR} JOIN g x ON x.Condition = a JOIN g y ON y.Condition = b AND x.bin = y.bin""")
+WELCH = f"""g AS (SELECT greatest(floor(Time / 6) * 6, 6) AS bin, Condition, count(*) AS n, avg(Nuclear_Area) AS m, var_samp(Nuclear_Area) AS v FROM measurements GROUP BY 1, 2),
+ wt AS (SELECT x.bin, a, b, x.n AS n_a, y.n AS n_b, y.m - x.m AS effect, (y.m - x.m) / sqrt(x.v / x.n + y.v / y.n) AS t, power(x.v / x.n + y.v / y.n, 2) / (power(x.v / x.n, 2) / (x.n - 1) + power(y.v / y.n, 2) / (y.n - 1)) AS df FROM {PAIR} JOIN g x ON x.Condition = a JOIN g y ON y.Condition = b AND x.bin = y.bin),
+ wp AS (SELECT bin, a, b, any_value(n_a) AS n_a, any_value(n_b) AS n_b, any_value(effect) AS effect, any_value(t) AS t, any_value(df) AS df, least(1, 2 * any_value(exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())) * 0.01 / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(df + 1) / 2 * ln(1 + (abs(t) + i * 0.01::DOUBLE) * (abs(t) + i * 0.01::DOUBLE) / df)))) AS p
+  FROM wt CROSS JOIN (SELECT unnest(generate_series(0, 4000)) AS i) GROUP BY 1, 2, 3)"""
+
+
+@query("welch_per_bin", f"WITH {X.MEASUREMENTS}, {WELCH} SELECT bin, a, b, n_a, n_b, round(effect, 4) AS effect, round(t, 6) AS t, round(df, 4) AS df, round(p, 6) AS p FROM wp")
 def welch_per_bin(spark, sf):
+    """The SQL integrates the t density by Simpson's rule."""
     d = compare.welch(_binned(spark, sf), bin="bin", condition="Condition", value="Nuclear_Area", pairs=PAIRS)
-    return d.select("bin", "a", "b", "n_a", "n_b", r("effect", 4).alias("effect"), r("t").alias("t"), r("df", 4).alias("df"))
+    return d.select("bin", "a", "b", "n_a", "n_b", r("effect", 4).alias("effect"), r("t").alias("t"), r("df", 4).alias("df"), r("p").alias("p"))
 
 
 @query("rank_sum_per_bin", f"""WITH {X.MEASUREMENTS}, d AS (SELECT greatest(floor(Time / 6) * 6, 6) AS bin, a, b, Condition = a AS is_a, Nuclear_Area AS v FROM measurements JOIN {PAIR} ON Condition = a OR Condition = b), k AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY bin, a, b, v) - 1) / 2 AS rk, count(*) OVER (PARTITION BY bin, a, b, v) AS ties FROM d WINDOW w AS (PARTITION BY bin, a, b ORDER BY v)),
- g AS (SELECT bin, a, b, count(*) FILTER (WHERE is_a) AS n_a, count(*) FILTER (WHERE NOT is_a) AS n_b, sum(rk) FILTER (WHERE is_a) AS w, sum(ties * ties - 1)::DOUBLE AS tt FROM k GROUP BY 1, 2, 3), u AS (SELECT *, w - n_a * (n_a + 1) / 2 AS u, n_a * n_b / 2 AS mu FROM g)
- SELECT bin, a, b, n_a, n_b, round(u, 1) AS u, round((u - mu - sign(u - mu) * 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - tt / ((n_a + n_b) * (n_a + n_b - 1)))), 6) AS z FROM u""")
+ g AS (SELECT bin, a, b, count(*) FILTER (WHERE is_a) AS n_a, count(*) FILTER (WHERE NOT is_a) AS n_b, sum(rk) FILTER (WHERE is_a) AS w, sum(ties * ties - 1)::DOUBLE AS tt, median(v) FILTER (WHERE NOT is_a) - median(v) FILTER (WHERE is_a) AS md FROM k GROUP BY 1, 2, 3), u AS (SELECT *, w - n_a * (n_a + 1) / 2 AS u, n_a * n_b / 2 AS mu FROM g),
+ z AS (SELECT *, (u - mu - sign(u - mu) * 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - tt / ((n_a + n_b) * (n_a + n_b - 1)))) AS z FROM u),
+ p AS (SELECT bin, a, b, least(1, 2 / sqrt(2 * pi()) * 0.01 / 3 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(abs(z) + i * 0.01::DOUBLE) * (abs(z) + i * 0.01::DOUBLE) / 2))) AS p FROM z CROSS JOIN (SELECT unnest(generate_series(0, 2000)) AS i) GROUP BY 1, 2, 3)
+ SELECT bin, a, b, n_a, n_b, round(u, 1) AS u, round(z, 6) AS z, round(p, 6) AS p, round(md, 4) AS median_difference FROM z JOIN p USING (bin, a, b)""")
 def rank_sum_per_bin(spark, sf):
     d = compare.rank_sum(_binned(spark, sf), bin="bin", condition="Condition", value="Nuclear_Area", pairs=PAIRS)
-    return d.select("bin", "a", "b", "n_a", "n_b", r("u", 1).alias("u"), r("z").alias("z"))
+    return d.select("bin", "a", "b", "n_a", "n_b", r("u", 1).alias("u"), r("z").alias("z"), r("p").alias("p"), r("median_difference", 4).alias("median_difference"))
+
+
+def _wide(c: str) -> str:
+    at = f"FILTER (WHERE a || ' vs ' || b = '{c}')"
+    stars = "CASE WHEN q IS NULL THEN '' WHEN q < 0.0001 THEN '****' WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE 'ns' END"
+    return f"""max(round(effect, 4)) {at} AS "effect | {c}", max(round(q, 6)) {at} AS "p_adj | {c}", max({stars}) {at} AS "stars | {c}\""""
 
 
-@query("contrasts_wide")
+CONTRASTS = ["Control vs P150", "Control vs CDR2", "P150 vs CDR2"]
+
+
+@query("contrasts_wide", f"""WITH {X.MEASUREMENTS}, {WELCH}, n AS (SELECT *, count(p) OVER (PARTITION BY a, b) AS k, row_number() OVER (PARTITION BY a, b ORDER BY p, bin) AS rn FROM wp), q AS (SELECT *, least(1, min(p * k / rn) OVER (PARTITION BY a, b ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM n)
+ SELECT bin, {", ".join(map(_wide, CONTRASTS))} FROM q GROUP BY 1""")
 def contrasts_wide(spark, sf):
     d = compare.contrast_table(_binned(spark, sf), bin="bin", condition="Condition", value="Nuclear_Area", pairs=PAIRS)
     d = d.withColumn("effect", r("effect", 4)).withColumn("p_adj", r("p_adj"))
-    return compare.contrast_wide(d, "bin", ["Control vs P150", "Control vs CDR2", "P150 vs CDR2"])
+    return compare.contrast_wide(d, "bin", CONTRASTS)
 
 
 @query("adjusted_p", """WITH d AS (SELECT p_partkey AS k, p_brand AS fam, CASE WHEN p_size % 11 = 0 THEN NULL ELSE (p_partkey * 37 % 1000) / 1000.0::DOUBLE END AS p FROM part), n AS (SELECT *, count(p) OVER (PARTITION BY fam) AS n, row_number() OVER (PARTITION BY fam, p IS NULL ORDER BY p, k) AS rn FROM d)
@@ -60,8 +78,12 @@ def adjusted_p(spark, sf):
     return compare.adjust_bh(p, ["fam"], "p", ["k"]).select("k", "fam", r("p_adj", 9).alias("p_adj"))
 
 
-@query("anova")
+@query("anova", f"""WITH {X.GROWTH}, a AS (SELECT count(*) AS n, regr_syy(Nuclear_Area, Time) AS yy, regr_sxx(Nuclear_Area, Time) AS xx, regr_sxy(Nuclear_Area, Time) AS xy FROM growth), g AS (SELECT Condition, regr_syy(Nuclear_Area, Time) AS yy, regr_sxx(Nuclear_Area, Time) AS xx, regr_sxy(Nuclear_Area, Time) AS xy FROM growth GROUP BY 1),
+ r AS (SELECT n - 6 AS rest, yy AS r0, yy - xy * xy / xx AS r1, (SELECT sum(yy) - sum(xy) * sum(xy) / sum(xx) FROM g) AS r2, (SELECT sum(yy - xy * xy / xx) FROM g) AS r3 FROM a),
+ t AS (SELECT rest, r3, u.term, u.df::DOUBLE AS df, CASE u.k WHEN 0 THEN r0 - r1 WHEN 1 THEN r1 - r2 WHEN 2 THEN r2 - r3 ELSE r3 END AS ss, k FROM r CROSS JOIN (VALUES ('Time', 1, 0), ('Condition', 2, 1), ('Time:Condition', 2, 2), ('residuals', NULL, 3)) AS u(term, df, k)), f AS (SELECT *, CASE WHEN k < 3 THEN ss / df / (r3 / rest) END AS f FROM t)
+ SELECT term, coalesce(df, rest) AS df, round(ss, 2) AS ss, round(f, 4) AS f, round(CASE WHEN k = 0 AND f > 1000 THEN 0 WHEN k IN (1, 2) THEN power(1 + 2 * f / rest, -rest / 2) END, 6) AS p FROM f""")
 def anova(spark, sf):
+    """The SQL's p values: in closed form for 2 degrees of freedom; the trend in time is far beyond any table."""
     d = compare.anova_two_way(X.growth(spark, sf), y="Nuclear_Area", x="Time", condition="Condition", levels=["Control", "P150", "CDR2"])
     return d.select("term", "df", r("ss", 2).alias("ss"), r("f", 4).alias("f"), r("p").alias("p"))
 
@@ -72,23 +94,34 @@ def linear_trend(spark, sf):
     return d.select("Condition", r("slope").alias("slope"), r("intercept", 5).alias("intercept"), r("r2").alias("r2"))
 
 
-@query("growth_plateau")
+def _plateau(rounds: int = 6) -> str:
+    """CTEs up to ``fit(Condition, A, k, sse)``: the grid of k in the bracket around the round before's best."""
+    out = ["""sums AS (SELECT Condition, Time::DOUBLE AS t, count(*)::DOUBLE AS n, sum(Nuclear_Area) AS sy, sum(Nuclear_Area * Nuclear_Area) AS syy FROM growth GROUP BY 1, 2), g0 AS (SELECT DISTINCT Condition, ln(0.0001::DOUBLE) AS lo, ln(2.0::DOUBLE) AS hi FROM sums)"""]
+    gt = "(1 - exp(-exp(lk) * t))"
+    for i in range(rounds):
+        out.append(f"""p{i} AS (SELECT Condition, lo, hi, lo + (hi - lo) * j / 32 AS lk FROM g{i} CROSS JOIN (SELECT unnest(generate_series(0, 32)) AS j)), s{i} AS (SELECT Condition, lo, hi, lk, sum(sy * {gt}) AS yg, sum(n * {gt} * {gt}) AS gg, sum(syy) AS yy FROM p{i} JOIN sums USING (Condition) GROUP BY 1, 2, 3, 4),
+ b{i} AS (SELECT *, coalesce(yg / nullif(gg, 0), 0) AS A, yy - coalesce(yg / nullif(gg, 0), 0) * yg AS sse FROM s{i} QUALIFY row_number() OVER (PARTITION BY Condition ORDER BY sse, lk) = 1), g{i + 1} AS (SELECT Condition, lk - (hi - lo) / 32 AS lo, lk + (hi - lo) / 32 AS hi FROM b{i})""")
+    return ",\n ".join([*out, f"fit AS (SELECT Condition, A, exp(lk) AS k, sse FROM b{rounds - 1})"])
+
+
+@query("growth_plateau", f"WITH {X.GROWTH}, {_plateau()} SELECT Condition, round(A, 2) AS A, round(k, 5) AS k, round(A * k, 3) AS v0, round(ln(2.0::DOUBLE) / k, 3) AS t_half, round(A * k / 2, 3) AS v_half, round(sse, 0) AS sse FROM fit")
 def growth_plateau(spark, sf):
     d = fit.growth_summary(fit.fit_plateau(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area"))
-    return d.select("Condition", *[r(n, 4).alias(n) for n in ("A", "k", "v0", "t_half", "v_half")], r("sse", 0).alias("sse"))
+    return d.select("Condition", r("A", 2).alias("A"), r("k", 5).alias("k"), *[r(n, 3).alias(n) for n in ("v0", "t_half", "v_half")], r("sse", 0).alias("sse"))
 
 
-@query("growth_predictions")
+@query("growth_predictions", f"""WITH {X.GROWTH}, {_plateau()}, m AS (SELECT g.Condition, round(avg(Nuclear_Area - A * (1 - exp(-k * Time))), 4) AS mean_residual FROM growth g JOIN fit USING (Condition) GROUP BY 1)
+ SELECT Condition, i * 0.5::DOUBLE AS t, round(A * (1 - exp(-k * i * 0.5::DOUBLE)), 2) AS fit, round(A * k * exp(-k * i * 0.5::DOUBLE), 3) AS velocity, mean_residual FROM fit JOIN m USING (Condition) CROSS JOIN (SELECT unnest(generate_series(0, 100)) AS i)""")
 def growth_predictions(spark, sf):
     f = fit.fit_plateau(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area")
     d = fit.predict_grid(f, ["Condition"], 50)
     back = fit.with_fitted(X.growth(spark, sf), f, ["Condition"], "Time").groupBy("Condition").agg(r(F.avg(F.col("Nuclear_Area") - F.col("fitted")), 4).alias("mean_residual"))
-    return d.join(back, "Condition").select("Condition", "t", r("fit", 3).alias("fit"), r("velocity", 4).alias("velocity"), "mean_residual")
+    return d.join(back, "Condition").select("Condition", "t", r("fit", 2).alias("fit"), r("velocity", 3).alias("velocity"), "mean_residual")
 
 
 @query("growth_bootstrap")
 def growth_bootstrap(spark, sf):
-    d = fit.bootstrap_band(X.growth(spark, sf), ["Condition"], ["row_key", "Time", "Nuclear_Area"], "Time", "Nuclear_Area", replicates=50, last=50, step=5.0)
+    d = fit.bootstrap_band(X.growth(spark, sf), ["Condition"], ["row_key", "Time", "Nuclear_Area"], "Time", "Nuclear_Area", replicates=200, last=50, step=5.0)
     return d.select("Condition", "t", r("low", 3).alias("low"), r("high", 3).alias("high"), "replicates")
 
 
@@ -108,8 +141,10 @@ def loess_trend(spark, sf):
     return fit.loess(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area").select("Condition", "t", r("trend", 4).alias("trend"))
 
 
-@query("monotone_trend")
+@query("monotone_trend", f"""WITH {X.GROWTH}, s AS (SELECT Condition, greatest(0, Time - 3)::DOUBLE AS t, count(*) AS n, sum(Nuclear_Area) AS sy FROM growth GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w AS cn, sum(sy) OVER w AS cs FROM s WINDOW w AS (PARTITION BY Condition ORDER BY t)),
+ m AS (SELECT a.Condition, k.t, a.t AS t0, min((b.cs - a.cs + a.sy) / (b.cn - a.cn + a.n)) AS v FROM c a JOIN c k ON k.Condition = a.Condition AND a.t <= k.t JOIN c b ON b.Condition = a.Condition AND b.t >= k.t GROUP BY 1, 2, 3) SELECT Condition, t, round(max(v), 4) AS trend FROM m GROUP BY 1, 2""")
 def monotone_trend(spark, sf):
+    """The SQL takes the largest of the least means of all runs of times around a time."""
     return fit.monotone_trend(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area", onset=3.0).select("Condition", "t", r("trend", 4).alias("trend"))
 
 
