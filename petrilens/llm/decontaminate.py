@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import cut, maybe_broadcast
+from petrilens.llm.common import cut, maybe_broadcast, spread
 
 #: First bit and width of the fingerprint blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -65,18 +65,20 @@ class _Counts:
         return " | ".join(bits)
 
 
-def _blocks(fp: Column, ball: bool) -> Column:
-    """(block, value) of a fingerprint; with ``ball``, of every value within ``_BALL`` bits in the block."""
+def _blocks(fp: Column, k: Column, n_sh: Column, ball: bool) -> Column:
+    """The table keys of a fingerprint, one a block; with ``ball``, of every value within ``_BALL`` bits in the block.  A
+    key packs value, block, shingle length and window size into one long."""
     parts = []
-    for k, (first, width) in enumerate(BLOCKS):
+    for b, (first, width) in enumerate(BLOCKS):
         value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
         masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= _BALL) if ball else F.array(F.lit(0))
-        parts.append(_entries(masks, k, value))
-    return F.concat(*parts)
+        parts.append(_keys(masks, b, value))
+    size = F.shiftleft(n_sh.cast("long"), 24) + F.shiftleft(k.cast("long"), 16)
+    return F.transform(F.concat(*parts), lambda key: key + size)
 
 
-def _entries(masks: Column, block: int, value: Column) -> Column:
-    return F.transform(masks, lambda m: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(m.cast("long")).alias("value")))
+def _keys(masks: Column, block: int, value: Column) -> Column:
+    return F.transform(masks, lambda m: value.bitwiseXOR(m.cast("long")) + F.lit(block << 13))
 
 
 def _similarity(a: str, b: str) -> Column:
@@ -114,7 +116,7 @@ def find_leaks(
     table = sized[0]
     for t in sized[1:]:
         table = table.unionByName(t)
-    table = cut(table.select("item_id", "k", "sh", F.size("sh").alias("n_sh")).distinct())
+    table = cut(table.select("item_id", "k", "sh", F.size("sh").alias("n_sh")).distinct().withColumn("item_no", F.monotonically_increasing_id()))
     sizes = table.groupBy("k").agg(F.collect_set("n_sh").alias("sizes"))  # ``shingle`` rows at most
     longest = table.agg(F.max("n_sh")).head()[0] or 0
     held_by_items = maybe_broadcast(table.select("k", F.explode("sh").alias("shingle")).distinct(), 500_000)
@@ -141,20 +143,19 @@ def find_leaks(
         parts = part if parts is None else parts.unionByName(part)
     parts = cut(parts)
     counts = _Counts(longest)
-    rolled = parts.repartition(*by_span).select(*by_span, F.posexplode(F.concat("sh", F.array(F.lit(0).cast("long")))).alias("pos", "h")).select(*by_span, "pos", *counts.packed("h"))
+    rolled = spread(parts, *by_span).select(*by_span, F.posexplode(F.concat("sh", F.array(F.lit(0).cast("long")))).alias("pos", "h")).select(*by_span, "pos", *counts.packed("h"))
     before = Window.partitionBy(*by_span).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rolled = rolled.select(*by_span, "pos", *[F.coalesce(F.sum(f"c{s}").over(before), F.lit(0)).alias(f"c{s}") for s in counts.parts])
     rolled = rolled.groupBy(*by_span).agg(F.sort_array(F.collect_list(F.struct("pos", *[f"c{s}" for s in counts.parts]))).alias("sums"))
     printed = F.expr(f"transform(windows, w -> struct(w.start AS start, w.n AS n, w.n_sh AS n_sh, {counts.fingerprint('sums', '(w.start - lo)', 'w.n')} AS fp))")
-    laid = parts.select(*by_span, "lo", "windows").join(rolled, by_span).select(*by_span, F.explode(printed).alias("w")).select(*by_span, "w.*")
+    laid = spread(parts.select(*by_span, "lo", "windows"), *by_span).join(rolled, by_span).select(*by_span, F.explode(printed).alias("w")).select(*by_span, "w.*")
 
-    index = table.withColumn("item_fp", _fingerprint("sh")).select("item_id", "k", "n_sh", "item_fp", F.explode(_blocks(F.col("item_fp"), True)).alias("b")).select("item_id", "k", "n_sh", "item_fp", "b.block", "b.value")
-    probes = laid.select(*by_span, "n_sh", "start", "n", "fp", F.explode(_blocks(F.col("fp"), False)).alias("b")).select(*by_span, "n_sh", "start", "n", "fp", "b.block", "b.value")
-    near = probes.join(maybe_broadcast(cut(index), 500_000), ["k", "n_sh", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    near = cut(near.filter(F.col("distance") <= _RADIUS).select(*by_span, "n_sh", "start", "n", "item_id", "distance").distinct())
+    index = table.withColumn("item_fp", _fingerprint("sh")).select("item_no", "item_fp", F.explode(_blocks(F.col("item_fp"), F.col("k"), F.col("n_sh"), True)).alias("key"))
+    probes = laid.select(*by_span, "start", "n", "fp", F.explode(_blocks(F.col("fp"), F.col("k"), F.col("n_sh"), False)).alias("key"))
+    near = probes.join(maybe_broadcast(cut(index), 500_000), "key").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    near = cut(near.filter(F.col("distance") <= _RADIUS).select(*by_span, "start", "n", "item_no", "distance").distinct())
     pairs = near.join(parts.select(*by_span, "doc_id", "lo", F.col("sh").alias("near_sh")), by_span).withColumn("w", F.expr("slice(near_sh, start - lo + 1, n)")).drop("near_sh", "lo")
-    exact = maybe_broadcast(table.select(F.col("item_id").alias("_i"), F.col("k").alias("_k"), F.col("n_sh").alias("_n"), "sh"))
-    pairs = pairs.join(exact, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")) & (F.col("n_sh") == F.col("_n")))
+    pairs = pairs.join(maybe_broadcast(table.select("item_no", "item_id", "sh")), "item_no")
     scored = pairs.withColumn("similarity", _similarity("w", "sh")).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("row_key", "doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", (F.col("n") + F.col("k") - 1).alias("n_words"), "similarity", "distance")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"), "best.similarity", F.col("best.distance").cast("long").alias("distance"), "row_key")
