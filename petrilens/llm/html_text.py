@@ -1,9 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block of the page; each line weighs the text it could give to an article, and lines
-of page furniture (menus, adverts, forms, comments ...) weigh nothing.  Weights are summed over a sliding window of
-lines: text starts where a window surges over the threshold and ends where the windows dive to zero, and everything
-between is kept.
+Markup is stripped to one line per block of the page, and lines of page furniture (menus, adverts, forms, comments ...)
+are set aside.  The others weigh their text less twice the part in links; ``article`` and ``main`` are a prior: on a
+page that has one, lines inside weigh four times as much and lines outside a quarter, less a short line's worth.
+Weights are summed over a sliding window of lines.  Text lies between dives, the places where whole windows weigh
+nothing; a stretch between two dives is kept if a window in it surges over the threshold, from its first weighty line to
+its last.  A page on which no window surges keeps what weighs anything.
 
 Rows: a null page is an empty one, an empty page gives an empty text, cut-off markup is read as far as it goes,
 repeated rows stay, and other columns of the input never matter.
@@ -12,6 +14,7 @@ repeated rows stay, and other columns of the input never matter.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,12 +39,24 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - {"br"}
 _FURNITURE = frozenset("nav footer aside form button menu dialog input label fieldset search head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words in class names and ids of furniture; a name counts if all its words are of these or of the layout words.
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead topbar toolbar "
-    "cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended "
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion teaser sidebar sidenav menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead topbar toolbar "
+    "cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing social related recommended "
     "recommendations widget pagination pager copyright disclaimer tags".split()
 )
-_IN_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement sponsored teaser promo".split())
+_LAYOUT = frozenset("site page main top bottom left right upper lower box block area section wrapper wrap container list inner outer bar item items panel form header head body thread links link buttons button icons policy modal unit slot".split())
+#: Elements that hold other blocks; inside an article only these can be furniture by their name.
+_HOLDERS = frozenset("div section aside ul ol nav form table article header footer figure iframe details menu".split())
+
+
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether a class or id value has a name made of the words ``names`` (and layout words or numbers) alone."""
+    for name in value.split():
+        words = [w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name) if w]
+        if any(w in names for w in words) and all(w in names or w in _LAYOUT or w.isdigit() for w in words):
+            return True
+    return False
 
 
 def _is_furniture(tag: str, attrs: str, in_body: bool) -> bool:
@@ -49,13 +64,12 @@ def _is_furniture(tag: str, attrs: str, in_body: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    named = _IN_ARTICLE if tag == "article" else _NAMES
     for m in _ATTR.finditer(attrs):
         if m[5]:
             return True
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            if any(w.lower() in named for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)) or not in_body and tag != "article" and "header" in value.lower().replace("_", "-").split("-")[:1]:
+            if (not in_body or tag in _HOLDERS) and _named(value, _NAMES) or not in_body and tag != "article" and _named(value, frozenset(["header"])):
                 return True
         elif key == "role" and value.lower() in _ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -66,6 +80,7 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     """Lines of a page in its order: text, characters of it inside links, of furniture, inside an article."""
     lines, parts, link_chars = [], [], 0
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, article, link; each with what stands around it
+    opened: Counter[str] = Counter()  # tags on the stack
     furniture = article = link = False
 
     def flush() -> None:
@@ -80,6 +95,15 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal furniture, article, link
         _, furniture, article, link = stack[-1] if stack else ("", False, False, False)
 
+    def close(tag: str) -> None:
+        """Takes the last open ``tag`` off the stack, with all that is open inside it."""
+        while True:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == tag:
+                break
+        state()
+
     def add(raw: str) -> None:
         nonlocal link_chars
         text = unescape(raw) if "&" in raw else raw
@@ -100,22 +124,18 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if tag in _BLOCK:
             flush()
         if m["end"] or m["end2"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                del stack[k:]
-                state()
+            if opened[tag]:
+                close(tag)
             continue
         if tag in _CLOSES_P and any(s[0] == "p" for s in stack[-4:]):
-            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p")
-            del stack[k:]
-            state()
+            close("p")
         if tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
-            stack.pop()
-            state()
+            close(tag)
         if tag in _VOID or m[0].endswith("/>"):
             continue
         bad = furniture or _is_furniture(tag, m["attrs"] or "", article)
         stack.append((tag, bad, article or not bad and tag in ("article", "main"), link or tag == "a"))
+        opened[tag] += 1
         state()
     if at < len(html):
         add(html[at:])
@@ -123,43 +143,40 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def line_weights(lines: list[tuple[str, int, bool, bool]], threshold: int) -> list[int]:
-    """Characters by which a line speaks for an article: none for furniture, none outside an article that the markup
-    names, the threshold and more inside it; elsewhere the text without its links."""
-    named = any(article and not bad for _, _, bad, article in lines)
+def line_weights(lines: list[tuple[str, int, bool, bool]]) -> list[float]:
+    """Weights of lines without furniture: characters less twice those in links, times four (and never nothing) inside an
+    article that the markup names, a quarter less 22 outside it."""
+    named = any(article for _, _, _, article in lines)
     out = []
-    for text, links, bad, article in lines:
-        if bad or named and not article:
-            out.append(0)
-        else:
-            out.append(len(text) + threshold + 1 if article else max(0, len(text) - 2 * links))
+    for text, links, _, article in lines:
+        free = max(0, len(text) - 2 * links)
+        out.append(len(text) + 3 * free if article else max(0.0, free / 4 - 22) if named else free)
     return out
 
 
-def text_regions(weights: list[int], window: int = 3, threshold: int = 86) -> list[tuple[int, int]]:
-    """Line ranges [surge, dive): from the first weighty line of a window that sums over ``threshold`` to the line
-    after which a whole window weighs nothing.  A page on which no window surges has regions at threshold zero."""
-    n, found, i = len(weights), [], 0
-    sums = [sum(weights[k : k + window]) for k in range(n)]
-    while i < n:
-        if sums[i] > threshold and weights[i] > 0:
-            j = i
-            while j < n and sums[j] > 0:
-                j += 1
-            found.append((i, j))
-            i = j
-        i += 1
+def text_regions(weights: list[float], window: int = 3, threshold: float = 86) -> list[tuple[int, int]]:
+    """Line ranges between two dives (``window`` lines that weigh nothing) in which a window sums over ``threshold``,
+    each from its first weighty line to its last.  If none surges, those at threshold zero."""
+    found, first, last = [], None, -1
+    for k, w in [*enumerate(weights), (len(weights) + window, 1)]:
+        if w <= 0:
+            continue
+        if first is not None and k - last > window:
+            if any(sum(weights[i : min(i + window, last + 1)]) > threshold for i in range(first, last + 1)):
+                found.append((first, last + 1))
+            first = None
+        first, last = k if first is None else first, k
     return found or (text_regions(weights, window, 0) if threshold else [])
 
 
-def main_text(html: str | None, window: int = 3, threshold: int = 86) -> str:
+def main_text(html: str | None, window: int = 3, threshold: float = 86) -> str:
     """The page's article: its lines between surge and dive, furniture left out, joined by one space."""
-    lines = page_lines(html or "")
-    weights = line_weights(lines, threshold)
+    lines = [line for line in page_lines(html or "") if not line[2]]
+    weights = line_weights(lines)
     return " ".join(lines[k][0] for a, b in text_regions(weights, window, threshold) for k in range(a, b) if weights[k] > 0)
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, threshold: int = 86) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, threshold: float = 86) -> DataFrame:
     """Per row of ``pages``: page_id, url, text (empty if none), n_chars (code points)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

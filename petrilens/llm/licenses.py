@@ -27,28 +27,63 @@ from pyspark.sql import functions as F
 from petrilens.llm.common import bounded_batches
 
 _CUE = re.compile(r"licen[sc]|copyright|\(c\)|warrant|permission is|redistribut|public domain|all rights reserved|lizenz|licencia", re.I)
-_WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
+_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*")
 
 #: Wordings of license statements, by SPDX name.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.",
     ),
     "MIT": (
         "Released under the MIT License.",
+        "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.",
+    ),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "Released under the BSD 3-Clause License."),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "Released under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "Zlib": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Proprietary": ("Copyright. All rights reserved.", "All rights reserved."),
@@ -78,6 +113,12 @@ def blocks(text: str | None) -> list[tuple[int, list[str]]]:
     return out
 
 
+def own_words(template: list[str]) -> set[str]:
+    """The words of a statement that must be met exactly: all but the common ones; of a text longer than a sentence none,
+    as its other words tell it from all others."""
+    return {w for w in template if w not in _COMMON} if len(template) <= 40 else set()
+
+
 class Scanner:
     """Compressors with one template each as raw dictionary."""
 
@@ -103,7 +144,7 @@ class Scanner:
         inside = [m for m in match if m.size]
         if not inside or len(template) - same > most_changed * len(template):
             return None
-        if any(w not in _COMMON and w not in found for w in template):
+        if not own_words(template).issubset(found):
             return None
         return len(template) - same, inside[-1].b + inside[-1].size - inside[0].b - same
 
@@ -137,7 +178,7 @@ def stretches(text: str, scanner: Scanner, least_saved: float, most_changed: flo
     cues = sorted({max(0, bisect.bisect_right(starts, m.start()) - 1) for m in _CUE.finditer(text)})
     met: dict[tuple[int, int, str], tuple] = {}
     for name, template, packer in scanner.named:
-        n, own = len(template), {w for w in template if w not in _COMMON}
+        n, own = len(template), own_words(template)
         slack = max(1, int(most_changed * n))
         todo = [(max(0, c - n - slack), min(len(found), c + n + slack + 1)) for c in cues]
         seen = set()
@@ -147,6 +188,8 @@ def stretches(text: str, scanner: Scanner, least_saved: float, most_changed: flo
                 continue
             seen.add((lo, hi))
             parts = [m for m in difflib.SequenceMatcher(None, template, found[lo:hi], autojunk=False).get_matching_blocks() if m.size]
+            if not parts:
+                continue
             a, b, same = lo + parts[0].b, lo + parts[-1].b + parts[-1].size, sum(m.size for m in parts)
             if n - same > most_changed * n or b - a - same > slack or not own.issubset(found[a:b]):
                 continue

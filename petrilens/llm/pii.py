@@ -1,11 +1,14 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The base spans (email, ip, card, phone) follow fixed patterns and always stay.  The field adds spans of other forms in
-the text between them: obfuscated emails, phones without a plus, and secrets that are assigned to a name.  It scores
-whole segments of a region's tokens, up to ``MOST_TOKENS`` long, by features of the whole span and its surroundings;
-a dynamic program over the tokens chooses boundaries and kinds together.  Weights are trained by gradient ascent on
-the log-likelihood (exact expectations from the forward and backward sums) over regions of a bounded sample of rows,
-with the base spans as truth and with rewritten copies of them as truth for the added kinds.
+the text between them, such as obfuscated emails, phones without a plus, and secrets that are assigned to a name.  It
+scores whole segments of a region's tokens, up to ``MOST_TOKENS`` long (a run of characters of a secret is one token,
+however long), by features of the whole span and its surroundings; a dynamic program over the tokens chooses
+boundaries and kinds together, every kind being open to every segment; a segment that it reads as of a base kind, whose
+pattern has not found it, is no span.  Ties go to the kind listed first and to the
+reading with fewer spans.  Weights are trained by gradient ascent on the log-likelihood (exact expectations from the
+forward and backward sums) over regions of a bounded sample of rows, with the base spans as truth and with rewritten
+copies of them as truth for the added kinds.  Work is linear in the length of a text.
 
 Rows: null and empty texts have no span; spans count code points of the whole text, end exclusive; repeated rows give
 one row each; an empty table gives no rows; other columns never matter.
@@ -76,24 +79,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-_REGION = re.compile(
-    r"[0-9][0-9 ().\-]{7,40}[0-9]"
-    r"|(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|Token|Secret|Password|API[_-]?KEY|TOKEN|SECRET|PASSWORD) ?[=:] ?[\"']?[A-Za-z0-9+/_\-]{8,160}"
-    r"|[\[({<] ?(?:at|AT|At) ?[\])}>]|@|\bdot\b"
-)
-_TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]|\s+")
+_NAMED = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)"
+_REGION = re.compile(rf"[0-9][0-9 ().\-]{{7,}}[0-9]|{_NAMED} ?[=:] ?[\"']?[A-Za-z0-9+/_\-]{{8,}}|[\[({{<] ?at ?[\])}}>]|@|\b(?:at|dot)\b(?= [a-z0-9-]+ (?:dot|at)\b)|\bdot\b", re.I)
+#: Long runs of characters that secrets are made of are one token.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_\-]{24,}|[A-Za-z0-9]+|[^\sA-Za-z0-9]|\s+")
+_AROUND = 48
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that could hold a span: matches of a wide pattern with what touches them, overlapping ones joined.
-    No stretch crosses a line end."""
+    """Stretches that could hold a span: matches of a wide pattern with what stands around them, overlapping ones joined.
+    No stretch crosses a line end but inside a match."""
     out: list[tuple[int, int]] = []
     for m in _REGION.finditer(text):
         a, b = m.span()
-        a = max(a - 48, text.rfind("\n", 0, a) + 1, 0)
-        end = text.find("\n", b)
-        b = min(b + 48, end if end >= 0 else len(text))
-        a = m.start() if a > m.start() else a
+        a = max(a - _AROUND, text.rfind("\n", max(0, a - _AROUND), a) + 1, 0)
+        end = text.find("\n", b, b + _AROUND)
+        b = end if end >= 0 else min(b + _AROUND, len(text))
         if out and a < out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -115,7 +116,7 @@ def segment_features(text: str, a: int, b: int) -> list[str]:
     if "@" in s:
         f.append(f"at={s.count('@')}")
     if re.fullmatch(r"[a-z0-9._%+-]+ ?[\[({<] ?at ?[\])}>] ?[a-z0-9-]+(?: ?(?:\.|[\[({<] ?dot ?[\])}>]) ?[a-z0-9-]+)+", low) or re.fullmatch(r"[a-z0-9._%+-]+ at [a-z0-9-]+(?: dot [a-z0-9-]+)+", low):
-        f.append("spelled mail")
+        f += ["spelled mail", f"spelled {'in brackets' if low.count('[') + low.count('(') + low.count('{') + low.count('<') else 'in words'}"]
     groups = re.findall(r"[0-9]+", s)
     if digits and not letters:
         f.append(f"groups={','.join(str(len(g)) for g in groups)[:12]}")
@@ -137,17 +138,25 @@ class SegmentField:
         self.w = defaultdict(float, weights or {})
 
     @staticmethod
-    def segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-        """Token bounds of a region and its candidate segments (first token, token after, features)."""
+    def segments(text: str, a: int, b: int, taken: Iterable[Span] = ()) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
+        """Token bounds of a region and its candidate segments (first token, token after, features), those that touch a
+        span of ``taken`` (in order of start and end) left out."""
         cuts = [a + m.start() for m in _TOKEN.finditer(text[a:b])] + [b]
+        spans, at, free = list(taken), 0, []  # whether a token touches no taken span
+        for i in range(len(cuts) - 1):
+            while at < len(spans) and spans[at][2] <= cuts[i]:
+                at += 1
+            free.append(at == len(spans) or spans[at][1] >= cuts[i + 1])
         out = []
         for i in range(len(cuts) - 1):
-            if text[cuts[i]].isspace() or text[cuts[i]] in ".,;:)]}\"'=-":
+            if not free[i] or text[cuts[i]].isspace() or text[cuts[i]] in ".,;:)]}\"'=-":
                 continue
             digits = marks = False
             for j in range(i + 1, min(i + MOST_TOKENS, len(cuts) - 1) + 1):
+                if not free[j - 1]:
+                    break
                 t = text[cuts[j - 1] : cuts[j]]
-                digits, marks = digits or t[0].isdigit() and len(t) > 1, marks or t in ("@", "at", "dot", "=", ":")
+                digits, marks = digits or t[0].isdigit() and len(t) > 1, marks or t in ("@", "=", ":") or t.lower() in ("at", "dot")
                 if t.isspace() or t in ".,;:([{=-+" or not (digits or marks) or cuts[j] - cuts[i] < 7:
                     continue
                 s = text[cuts[i] : cuts[j]]
@@ -159,16 +168,14 @@ class SegmentField:
         return sum(self.w[kind, x] for x in feats if (kind, x) in self.w)
 
     def decode(self, text: str, a: int, b: int, taken: list[Span]) -> list[Span]:
-        """The best spans of a region beside those ``taken``."""
-        cuts, segs = self.segments(text, a, b)
+        """The best spans of a region beside those ``taken``, which lie in it in the order of their starts."""
+        cuts, segs = self.segments(text, a, b, taken)
         best, back = [0.0] * len(cuts), [None] * len(cuts)
         by_end: dict[int, list] = defaultdict(list)
         for i, j, f in segs:
-            if all(cuts[j] <= s or cuts[i] >= e for _, s, e in taken):
-                may = {"obfuscated_email": "spelled mail" in f, "secret": any(x.startswith("assigned=") for x in f), "national_phone": "letters=none" in f}
-                k, v = max(((k, self.score(k, f)) for k in ADDED if may[k]), key=lambda x: x[1], default=("", 0.0))
-                if v > 0:
-                    by_end[j].append((i, k, v))
+            v, n = max((self.score(k, f), -n) for n, k in enumerate(KINDS))
+            if v > 0:
+                by_end[j].append((i, KINDS[-n], v))
         for j in range(1, len(cuts)):
             best[j] = best[j - 1]
             for i, k, v in by_end.get(j, ()):
@@ -178,13 +185,14 @@ class SegmentField:
         while j > 0:
             if back[j]:
                 i, k = back[j]
-                out.append((k, cuts[i], cuts[j]))
+                if k in ADDED:
+                    out.append((k, cuts[i], cuts[j]))
                 j = i
             else:
                 j -= 1
         return out[::-1]
 
-    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float = 0.3, decay: float = 1e-4) -> None:
+    def train(self, examples: list[tuple[str, list[Span]]], rounds: int = 10, rate: float = 0.4, decay: float = 1e-4) -> None:
         """Stochastic gradient ascent: features seen in the truth less those expected under the field."""
         ready = []
         for text, truth in examples:
@@ -225,28 +233,36 @@ def rewritten(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
         if kind == "email":
             local, _, domain = s.partition("@")
             forms = [(f"{local} [at] {domain.replace('.', ' [dot] ')}", "obfuscated_email"), (f"{local}(at){domain}", "obfuscated_email"), (f"{local} at {domain.replace('.', ' dot ')}", "obfuscated_email")]
+            plain = re.sub(r"[0-9]", "", local).strip("._%+-"), ".".join(x for x in re.sub(r"[0-9]", "", domain).split(".") if x)
+            if all(plain) and "." in plain[1]:
+                forms += [(f"{plain[0]} [at] {plain[1].replace('.', ' [dot] ')}", "obfuscated_email"), (f"{plain[0]} at {plain[1].replace('.', ' dot ')}", "obfuscated_email")]
         elif kind == "phone":
             digits = "".join(c for c in s if c.isdigit())[-10:]
             if len(digits) == 10:
                 forms = [(f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", "national_phone"), (f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", "national_phone"), (f"{digits[:3]} {digits[3:6]} {digits[6:]}", "national_phone")]
         for new, k in forms:
             out.append((text[:a] + new + text[b:], [(k, a, a + len(new))]))
+        # Words and numbers that only look alike are no span.
+        for new in (f"met at the {domain.replace('.', ' or ')}; the dot was {local}",) if kind == "email" else (f"{s[-7:]} of {s[1:8]}", "12 05 2021, 1234567") if kind == "phone" else ():
+            out.append((text[:a] + new + text[b:], []))
     return out
 
 
-_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9]{20,64}(?![A-Za-z0-9])[\"']?", re.I)
+_SECRET = re.compile(rf"{_NAMED} ?[=:] ?[\"']?[A-Za-z0-9+/_\-]{{16,}}(?![A-Za-z0-9+/_\-])[\"']?", re.I)
 
 
-def fit_field(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 1500, most_examples: int = 4000) -> SegmentField:
-    """A field trained on the regions of at most ``most_rows`` rows with a region (by the order of a hash of id and
-    text) and on at most ``most_examples`` regions of them."""
+def fit_field(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 1000, most_examples: int = 2000) -> SegmentField:
+    """A field trained on the regions of at most ``most_rows`` rows that could have one (by the order of a hash of id and
+    text) and on at most ``most_examples`` regions of them.  Only hashes are ordered; the chosen rows are read by them."""
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"region": [t[max(a, 0) : min(e, a + 400)] for t in b["text"] for a, e in regions(t)]}, dtype=str)
 
-    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"@|[0-9][0-9 ().\-]{7}|[=:] ?[\"'][A-Za-z0-9]{12}"))
-    some = some.orderBy(F.xxhash64("_id", "text")).limit(most_rows).select("text")
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
+    rows = rows.filter(F.col("text").rlike(r"@|[0-9][0-9 ().\-]{7}|(?i:token|secret|passw|pwd|key) ?[=:] ?[\"']?[A-Za-z0-9+/_\-]{8}"))
+    keys = [r["_key"] for r in rows.select("_key").orderBy("_key").limit(most_rows).collect()]  # ``most_rows`` numbers at most
+    some = rows.filter(F.col("_key").isin(keys) if keys else F.lit(False)).select("text")
     found = sorted(set(some.mapInPandas(cut_out, "region string").toPandas()["region"]), key=lambda s: hashlib.md5(s.encode("utf-8", "replace")).digest())[:most_examples]
     examples = []
     for r in found:
@@ -263,7 +279,23 @@ def fit_field(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def all_spans(text: str, field: SegmentField) -> list[Span]:
     """Base spans and those the field adds, by kind as listed, then start."""
     base = base_spans(text)
-    added = [s for a, b in regions(text) for s in field.decode(text, a, b, base)]
+    in_order = sorted(base, key=lambda s: s[1:])
+    added, first = [], 0
+    for a, b in regions(text):
+        while first < len(in_order) and in_order[first][2] <= a:
+            first += 1
+        taken, k = [], first
+        while k < len(in_order) and in_order[k][1] < b:
+            taken.append(in_order[k])
+            k += 1
+        # Spans of several kinds can overlap: joined, they are in order of both ends.
+        joined: list[Span] = []
+        for s in taken:
+            if joined and s[1] < joined[-1][2]:
+                joined[-1] = (joined[-1][0], joined[-1][1], max(s[2], joined[-1][2]))
+            else:
+                joined.append(s)
+        added += field.decode(text, a, b, joined)
     return base + sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -278,7 +310,7 @@ def find_pii(docs: DataFrame, field: SegmentField, *, id_col: str = "doc_id", te
         for b in batches:
             rows = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
-                found = all_spans(t or "", f)
+                found = all_spans(t or "", f)  # the field adds no span of a base kind
                 counts = [sum(s[0] == k for s in found) for k in BASE]
                 told = [f"{k}:{s}:{e}" for k, s, e in found]
                 rows.append((i, *counts, ",".join(told[: sum(counts)]), ",".join(told)))
