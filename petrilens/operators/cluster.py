@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.functions.broadcasts import with_totals
 from petrilens.operators.graph import cut
 from petrilens.operators.summaries import robust_z, rolling_mode
 
@@ -120,4 +119,4 @@ def smooth_best_z(df: DataFrame, *, series: str, t: str, z: str, score: str, pen
     return out.select(series, t, "best_z", F.round(F.col("best_z") + F.col("_shift"), 6).alias("refined_z"), "mode_z")
 
 
-__all__ = ["group_kmeans", "kmeans", "pca", "smooth_best_z", "standardised", "with_totals"]
+__all__ = ["group_kmeans", "kmeans", "pca", "smooth_best_z", "standardised"]

@@ -6,6 +6,7 @@ runs on tables as small as the times of all groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -61,14 +62,15 @@ def with_fitted(df: DataFrame, fit: DataFrame, keys: Sequence[str], time: str) -
 
 
 def bootstrap_band(df: DataFrame, keys: Sequence[str], row: Sequence[str], time: str, value: str, *, replicates: int = 200, last: float, step: float = 1.0, seed: int = 123) -> DataFrame:
-    """2.5 and 97.5 % of the plateau curve over replicates with Poisson(1) row weights from seeded hashes.  Weights are
-    summed per group, replicate and time before anything is shuffled."""
-    limits = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, i + 1))) for i in range(8)]).tolist()
-    d = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", *row), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    weight = F.lit(0.0)
-    for x in limits:
-        weight = weight + F.when(u >= x, 1.0).otherwise(0.0)
+    """2.5 and 97.5 % of the plateau curve over replicates with Poisson(1) row weights from seeded hashes of the columns
+    ``row``, which name a row.  Weights are summed per group, replicate and time before anything is shuffled; weights of
+    8 and more (one in 100,000) count as 8."""
+    limits = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(8)]).tolist()
+    d = df.select(*keys, time, value, *[c for c in row if c not in (*keys, time, value)]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), *[F.col(c).cast("string") for c in row]))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    d = d.withColumn("_u", u)
+    weight = sum((F.when(F.col("_u") >= x, 1.0).otherwise(0.0) for x in limits), F.lit(0.0))
     g = [*keys, "rep"]
     fit = plateau_from_sums(cut(time_sums(d, g, time, value, weight).where("n > 0")), g, rounds=4)
     p = predict_grid(fit, g, last, step)

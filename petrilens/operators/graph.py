@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder that all executors share (``spark.checkpoint.dir``); where the
-    session names none, as in tests on one machine, a fresh temporary folder is set."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` of the session names it.  Where a session on one
+    machine names none (tests), a fresh temporary folder is set; on a cluster that is an error."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return named or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder: lineage ends, and an executor's loss costs nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -58,6 +58,23 @@ def gaussian_kernel(sigma: float, half: int | None = None) -> list[float]:
     return (k / k.sum()).tolist()
 
 
+def median_filter(df: DataFrame, value: str, plane: Sequence[str], out: str, half: int = 1) -> DataFrame:
+    """Adds the median of the square of pixels around (those of them that the image has)."""
+    steps = _steps([(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1)])
+    dealt = df.select(*plane, "y", "x", F.col(value).alias("_v")).withColumn("s", F.explode(steps)).select(*plane, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "_v")
+    return df.join(dealt.groupBy(*plane, "y", "x").agg(F.median("_v").alias(out)), [*plane, "y", "x"])
+
+
+def pixel_features(px: DataFrame, plane: Sequence[str], sigmas: Sequence[float] = (1.0, 2.0)) -> DataFrame:
+    """``px`` with feature columns: a smoothed value and the size of its gradient per sigma, and the 3 x 3 median."""
+    d = px
+    for i, s in enumerate(sigmas):
+        d = separable(d, "intensity", gaussian_kernel(s), plane, f"smooth_{i}")
+        d = along(along(d, f"smooth_{i}", [-0.5, 0, 0.5], "x", plane, "_gx"), f"smooth_{i}", [-0.5, 0, 0.5], "y", plane, "_gy")
+        d = d.withColumn(f"gradient_{i}", F.hypot("_gx", "_gy")).drop("_gx", "_gy")
+    return median_filter(d, "intensity", plane, "median")
+
+
 def neighbour_shift(df: DataFrame, value: str, dy: int, dx: int, plane: Sequence[str], out: str) -> DataFrame:
     """Adds the value at (y + dy, x + dx), null outside."""
     near = df.select(*[F.col(p).alias(f"_p_{p}") for p in plane], (F.col("y") - dy).alias("_y"), (F.col("x") - dx).alias("_x"), F.col(value).alias(out))
@@ -104,6 +121,18 @@ def best_focus_window(scores: DataFrame, *, series: Sequence[str], z: str, score
     return d.where(inside).drop("_z0", "_z1")
 
 
+def choose_plane(planes: DataFrame, *, series: Sequence[str], z: str, mode: str, score: str | None = None) -> DataFrame:
+    """One plane per series: ``largest`` by a score such as its mask's pixels or its largest object's area (ties: the
+    lowest plane), or the ``middle`` one, half the number of planes from the first."""
+    if mode == "largest":
+        return planes.groupBy(*series).agg(F.max_by(z, F.struct(F.col(score), -F.col(z))).alias("chosen_z"))
+    if mode == "middle":
+        w = Window.partitionBy(*series)
+        d = planes.select(*series, z).distinct().withColumn("_i", F.row_number().over(w.orderBy(z)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+        return d.where(F.col("_i") == F.floor(F.col("_n") / 2)).select(*series, F.col(z).alias("chosen_z"))
+    raise ValueError("mode is largest or middle")
+
+
 def keep_planes(scores: DataFrame, *, series: Sequence[str], z: str, score: str, q: float, margin: int) -> DataFrame:
     """``scores`` with in_focus (at least the ``q`` quantile of the series), in_margin (not within ``margin`` of an end) and keep."""
     g = scores.groupBy(*series).agg(F.percentile(score, F.lit(q)).alias("_cut"), F.min(z).alias("_z0"), F.max(z).alias("_z1"))
@@ -150,11 +179,7 @@ def regions(labels: DataFrame, keys: Sequence[str], least_area: int = 1) -> Data
     The perimeter sums border pixels (with a background 4-neighbour) by the weights of their border neighbours: 1 for
     straight, sqrt 2 for diagonal and their mean for mixed steps.
     """
-    at = labels.select(*keys, "y", "x")
-    four = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))])
-    asked = at.withColumn("s", F.explode(four)).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    n4 = asked.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("n4"))
-    border = at.join(n4, [*keys, "y", "x"], "left").where(F.coalesce("n4", F.lit(0)) < 4).select(*keys, "y", "x")
+    border = border_pixels(labels, keys)
     eight = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx"), F.lit(1 if i and j else 0).alias("d")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     code = border.withColumn("s", F.explode(eight)).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "s.d")
     code = border.join(code, [*keys, "y", "x"]).groupBy(*keys, "y", "x").agg(F.sum(1 - F.col("d")).alias("s"), F.sum("d").alias("d"))

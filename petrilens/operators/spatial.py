@@ -63,38 +63,43 @@ def flag_near(df: DataFrame, *, key: str, radius: float, on: Sequence[str] = (),
     return df.join(hit, F.col(key) == F.col("_hit"), "left").withColumn(out, F.col("_hit").isNotNull()).drop("_hit")
 
 
-def nearest_neighbour(df: DataFrame, *, key: str, on: Sequence[str], xy: tuple[str, str] = ("x", "y"), start: float, out: str = "nearest_px") -> DataFrame:
-    """``df`` with the distance to the nearest other row of the group, null if there is none.
-
-    Rings grow: rows without a neighbour within the radius are asked again at four times the radius, until none of
-    them has another row in its group.
-    """
-    slim = df.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(on)], F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y"))
-    groups = [f"_g{i}" for i in range(len(on))]
-    slim = cut(slim)
-    alone = slim.groupBy(*groups).count().where("count > 1").drop("count")
-    ask = slim.join(alone, groups, "left_semi") if groups else slim
-    other = prefixed(slim, "_n")
+def _by_rings(ask: DataFrame, other: DataFrame, groups: Sequence[str], start: float, same: bool) -> DataFrame:
+    """(_k, _b) with _b the least (distance, key) of ``other`` in the row's group, for rows whose group has one.  Rows of
+    ``ask`` without one within the radius are asked again at four times the radius; every round is checkpointed.  With
+    ``same`` a row is no neighbour of its own."""
     found, radius = None, start
     while True:
-        pairs = near_pairs(ask, other, radius=radius, on=[(g, f"_n{g}") for g in groups], xy=("_x", "_y"), right_xy=("_n_x", "_n_y")).where(F.col("_k") != F.col("_n_k"))
-        got = cut(pairs.groupBy("_k").agg(F.min("distance").alias("_d")))
+        pairs = near_pairs(ask, other, radius=radius, on=[(g, f"_n{g}") for g in groups], xy=("_x", "_y"), right_xy=("_n_x", "_n_y"))
+        pairs = pairs.where(F.col("_k") != F.col("_n_k")) if same else pairs
+        got = cut(pairs.groupBy("_k").agg(F.min(F.struct("distance", F.col("_n_k").alias("key"))).alias("_b")))
         found = got if found is None else found.union(got)
         ask = cut(ask.join(got.select("_k"), "_k", "left_anti"))
         if ask.isEmpty():
-            break
+            return found
         radius *= 4
-    return df.join(found, F.col(key) == F.col("_k"), "left").withColumn(out, F.col("_d")).drop("_k", "_d")
 
 
-def nearest_centroid(points: DataFrame, centroids: DataFrame, *, on: Sequence[str], point: str, centroid: str, xy: tuple[str, str], centroid_xy: tuple[str, str]) -> DataFrame:
+def _slim(df: DataFrame, key: str, on: Sequence[str], xy: tuple[str, str]) -> DataFrame:
+    return df.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(on)], F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y"))
+
+
+def nearest_neighbour(df: DataFrame, *, key: str, on: Sequence[str], xy: tuple[str, str] = ("x", "y"), start: float, out: str = "nearest_px") -> DataFrame:
+    """``df`` with the distance to the nearest other row of the group, null if there is none."""
+    slim, groups = cut(_slim(df, key, on, xy)), [f"_g{i}" for i in range(len(on))]
+    shared = slim.groupBy(*groups).count().where("count > 1").drop("count")
+    ask = slim.join(shared, groups, "left_semi") if groups else slim
+    found = _by_rings(ask, prefixed(slim, "_n"), groups, start, True)
+    return df.join(found, F.col(key) == F.col("_k"), "left").withColumn(out, F.col("_b.distance")).drop("_k", "_b")
+
+
+def nearest_centroid(points: DataFrame, centroids: DataFrame, *, on: Sequence[str], point: str, centroid: str, xy: tuple[str, str], centroid_xy: tuple[str, str], start: float = 100.0) -> DataFrame:
     """``points`` with the nearest centroid of their group and its distance; null where the group has none, ties to the
-    least centroid.  A group's centroids are few (one per object of a plane), so they meet the points by group."""
-    c = prefixed(centroids.select(*on, centroid, *centroid_xy), "_c_")
-    cond = [F.col(k) == F.col(f"_c_{k}") for k in on]
-    d = F.sqrt(F.pow(F.col(xy[0]) - F.col(f"_c_{centroid_xy[0]}"), F.lit(2)) + F.pow(F.col(xy[1]) - F.col(f"_c_{centroid_xy[1]}"), F.lit(2)))
-    best = points.join(c, cond).withColumn("_d", d).groupBy(F.col(point).alias("_p")).agg(F.min(F.struct("_d", F.col(f"_c_{centroid}").alias("c"))).alias("_b"))
-    return points.join(best, F.col(point) == F.col("_p"), "left").withColumn("nearest", F.col("_b.c")).withColumn("nearest_px", F.col("_b._d")).drop("_p", "_b")
+    least centroid."""
+    slim, other = cut(_slim(points, point, on, xy)), cut(_slim(centroids, centroid, on, centroid_xy))
+    groups = [f"_g{i}" for i in range(len(on))]
+    ask = slim.join(other.select(*groups).distinct(), groups, "left_semi") if groups else slim
+    found = _by_rings(ask, prefixed(other, "_n"), groups, start, False)
+    return points.join(found, F.col(point) == F.col("_k"), "left").withColumn("nearest", F.col("_b.key")).withColumn("nearest_px", F.col("_b.distance")).drop("_k", "_b")
 
 
 def parent_by_overlap(children: DataFrame, parents: DataFrame, *, pixel: Sequence[str], child: str = "child", parent: str = "parent") -> DataFrame:

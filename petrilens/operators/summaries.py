@@ -199,6 +199,13 @@ def normalised_tables(flat: DataFrame, *, experiment: Sequence[str], cell: Seque
     return {"experiments": exp.select("experiment_id", *experiment), "cells": cells.select("cell_id", *names), "measurements": made.select("measurement_id", "cell_id", *measures)}
 
 
+def with_object_id(df: DataFrame, t: str, order: Sequence[str], out: str) -> DataFrame:
+    """Adds ids such as t003_obj0042: the frame and the row's number in the whole table, from 0, in the order of the
+    columns ``order``, which name a row.  Rows are numbered per range, so no task sees them all."""
+    d = dense_ids(df.withColumn("_order", F.struct(*order)), "_order", "_number").drop("_order")
+    return d.withColumn(out, F.format_string("t%03d_obj%04d", F.col(t), F.col("_number") - 1)).drop("_number")
+
+
 def key_violations(df: DataFrame, key: Sequence[str], parent: DataFrame | None = None, parent_key: Sequence[str] | None = None) -> DataFrame:
     """One row: rows with a null key, keys that occur twice or more, and keys without a parent row."""
     nulls = df.where(" OR ".join(f"{k} IS NULL" for k in key)).agg(F.count(F.lit(1)).alias("null_keys"))

@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CONDITION = {"A": "Control", "N": "P150", "R": "CDR2"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,11 +80,11 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     cond = F.when(F.col("l_returnflag") == "A", "Control").when(F.col("l_returnflag") == "N", "P150").otherwise("CDR2")
     area = 300 * F.col("l_quantity") / (F.col("l_quantity") + 15) + F.col("l_extendedprice") % 40 - 20
-    return l.select(cond.alias("Condition"), F.col("l_quantity").alias("Time"), area.alias("Nuclear_Area"), F.col("l_orderkey").alias("row_key"))
+    return l.select(cond.alias("Condition"), F.col("l_quantity").alias("Time"), area.alias("Nuclear_Area"), F.col("l_orderkey").alias("row_key"), F.col("l_linenumber").alias("Slice"))
 
 
 GROWTH = """growth AS (SELECT CASE l_returnflag WHEN 'A' THEN 'Control' WHEN 'N' THEN 'P150' ELSE 'CDR2' END AS Condition, l_quantity AS Time,
-  300 * l_quantity / (l_quantity + 15) + l_extendedprice % 40 - 20 AS Nuclear_Area, l_orderkey AS row_key FROM lineitem)"""
+  300 * l_quantity / (l_quantity + 15) + l_extendedprice % 40 - 20 AS Nuclear_Area, l_orderkey AS row_key, l_linenumber AS Slice FROM lineitem)"""
 
 
 def fiji_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,3 +371,19 @@ def derive_mask(spark, sf):
     """Masks by the global rule: smooth, robust z, over Otsu, components of some size, small holes filled."""
     d = M.derive_mask(_px(spark, sf), T, sigma=1.0, factor=1.0, least_area=5, hole=4, width=80, height=80)
     return d.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
+
+
+@query("pixel_features", f"""WITH {X.PIXELS}, {SIZE}, {_conv("b1", "v0", M.gaussian_kernel(1.0), "x")}, {_conv("g1", "b1", M.gaussian_kernel(1.0), "y")}, {_conv("b2", "v0", M.gaussian_kernel(2.0), "x")}, {_conv("g2", "b2", M.gaussian_kernel(2.0), "y")}, {_conv("x1", "g1", [-0.5, 0, 0.5], "x")}, {_conv("y1", "g1", [-0.5, 0, 0.5], "y")}, {_conv("x2", "g2", [-0.5, 0, 0.5], "x")}, {_conv("y2", "g2", [-0.5, 0, 0.5], "y")},
+ md AS (SELECT a.t, a.y, a.x, median(b.v) AS m FROM v0 a CROSS JOIN {SQUARE} JOIN v0 b ON b.t = a.t AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3)
+ SELECT t, y, x, round(g1.v, 6) AS smooth_0, round(sqrt(x1.v * x1.v + y1.v * y1.v), 6) AS gradient_0, round(g2.v, 6) AS smooth_1, round(sqrt(x2.v * x2.v + y2.v * y2.v), 6) AS gradient_1, round(m, 6) AS median FROM g1 JOIN x1 USING (t, y, x) JOIN y1 USING (t, y, x) JOIN g2 USING (t, y, x) JOIN x2 USING (t, y, x) JOIN y2 USING (t, y, x) JOIN md USING (t, y, x)""")
+def pixel_features(spark, sf):
+    d = M.pixel_features(_px(spark, sf), T)
+    return d.select("t", "y", "x", *[r(n).alias(n) for n in ("smooth_0", "gradient_0", "smooth_1", "gradient_1", "median")])
+
+
+@query("choose_planes", f"""WITH {X.OBJECTS}, s AS (SELECT t, z, sum(area_px) AS mask, max(area_px) AS top FROM objects GROUP BY 1, 2), m AS (SELECT t, z, row_number() OVER (PARTITION BY t ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM s)
+ SELECT t, (SELECT arg_max(z, (mask, -z)) FROM s a WHERE a.t = m.t) AS max_mask_z, (SELECT arg_max(z, (top, -z)) FROM s a WHERE a.t = m.t) AS largest_area_z, z AS middle_z FROM m WHERE i = n // 2""")
+def choose_planes(spark, sf):
+    s = X.objects(spark, sf).groupBy("t", "z").agg(F.sum("area_px").alias("mask"), F.max("area_px").alias("top"))
+    one = lambda name, **how: M.choose_plane(s, series=["t"], z="z", **how).withColumnRenamed("chosen_z", name)
+    return one("max_mask_z", mode="largest", score="mask").join(one("largest_area_z", mode="largest", score="top"), "t").join(one("middle_z", mode="middle"), "t")

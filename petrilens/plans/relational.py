@@ -127,6 +127,12 @@ def derive_qc_score(spark, sf):
     return s.where("qc_keep").select("label", r("qc_score").alias("qc_score"))
 
 
+@query("derive_object_ids", f"WITH {X.OBJECTS} SELECT label, printf('t%03d_obj%04d', t, row_number() OVER (ORDER BY t, label) - 1) AS object_id FROM objects")
+def derive_object_ids(spark, sf):
+    """Ids of the frame and the object's number in the whole table, from 0, in the order of frame and label."""
+    return summaries.with_object_id(X.objects(spark, sf).select("t", "label"), "t", ["t", "label"], "object_id").select("label", "object_id")
+
+
 @query("scale_factor", f"""WITH {X.MEASUREMENTS} SELECT round(max(N_C_V2) / max(Nuclear_Area), 9) AS max_ratio, round(quantile_cont(N_C_V2, 0.99) / quantile_cont(Nuclear_Area, 0.99), 9) AS q99_ratio FROM measurements""")
 def scale_factor(spark, sf):
     m = X.measurements(spark, sf)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrilens.operators import axes, pixels, radial, training
+from petrilens.operators.graph import shared_dir
 from petrilens.plans import fixtures as X
 from petrilens.plans.pixel import LABELS, _labels, _px
 from petrilens.plans.relational import r
@@ -31,9 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names, else (on one machine) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
 
 
 def _stacks(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,9 +48,13 @@ def axes_concat(spark, sf):
     return px.groupBy("stack_id", F.col("t").cast("long").alias("t")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("intensity")).alias("total"))
 
 
-@query("axes_concat_log", "SELECT * FROM (VALUES ('e1', 'joined', 2, 'ok', NULL), ('e2', 'lost', 1, 'error', '1 inputs missing')) AS v(experiment_id, output_file, n_inputs, status, error)")
+@query("axes_concat_log", f"""WITH {X.PIXELS}, s AS (SELECT DISTINCT concat('s', t % 2) AS stack FROM pixels), m AS (SELECT DISTINCT t, concat('s', (t + k) % 3) AS input FROM pixels CROSS JOIN (VALUES (0), (1)) AS u(k)), j AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE stack IS NULL) AS lost FROM m LEFT JOIN s ON input = stack GROUP BY 1)
+ SELECT 'e' || t AS experiment_id, 'out' || t AS output_file, n::INT AS n_inputs, CASE WHEN lost > 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN lost > 0 THEN lost || ' inputs missing' END AS error FROM j""")
 def axes_concat_log(spark, sf):
-    manifest = spark.createDataFrame([("e1", 1, "s0", "joined"), ("e1", 2, "s1", "joined"), ("e2", 1, "none", "lost")], "experiment_id string, `order` int, input_file string, output_file string")
+    """A job per frame, two stacks each, one of which does not exist for two jobs in three."""
+    frames = X.pixels(spark, sf).select("t").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    manifest = frames.select(name("e", F.col("t")).alias("experiment_id"), F.col("k").alias("order"), name("s", (F.col("t") + F.col("k")) % 3).alias("input_file"), name("out", F.col("t")).alias("output_file"))
     _, log = axes.concat_from_manifest(_stacks(spark, sf), manifest)
     return log.select("experiment_id", "output_file", F.col("n_inputs").cast("int").alias("n_inputs"), "status", "error")
 
@@ -268,10 +271,14 @@ def csv_measurements(spark, sf):
     return d.groupBy("Condition").agg(F.count(F.lit(1)).alias("n"), r(F.sum("Nuclear_Area"), 2).alias("area"))
 
 
-@query("file_groups")
+@query("file_groups", f"""WITH {X.OBJECTS} SELECT (t % 10)::VARCHAR AS "group", string_agg('frame_' || t || '.parquet', ',' ORDER BY t) AS files, count(*)::INT AS n_files FROM (SELECT DISTINCT t FROM objects) GROUP BY 1""")
 def file_groups(spark, sf):
-    """The given tables' files by the first letter of their name, in natural order."""
-    return tables.group_files(tables.file_inventory(spark, sf, "*.parquet"), "^([a-z])")
+    """Files of one frame each, listed, and grouped by the last digit of the frame in natural order."""
+    folder = _folder(spark)
+    X.objects(spark, sf).withColumn("frame", F.col("t")).repartition("frame").write.partitionBy("frame").parquet(folder)
+    found = tables.file_inventory(spark, folder, "*.parquet").withColumn("name", F.concat(F.lit("frame_"), F.regexp_extract("path", "frame=([0-9]+)", 1), F.lit(".parquet")))
+    d = tables.group_files(found, r"([0-9])\.parquet$")
+    return d.select("group", F.array_join("files", ",").alias("files"), "n_files")
 
 
 @query("resume_ledger", f"""WITH {X.OBJECTS} SELECT DISTINCT t FROM objects WHERE t NOT IN (SELECT t FROM objects WHERE t % 3 = 0)""")

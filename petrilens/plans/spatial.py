@@ -131,12 +131,30 @@ def track_hybrid(spark, sf):
     return d.select("label", "track_id", r("track_link_distance_px").alias("track_link_distance_px"), r("track_link_cost").alias("track_link_cost"), "track_dbscan_cluster_size", "track_dbscan_is_crowded", "track_link_method")
 
 
+@query("track_optimal")
+def track_optimal(spark, sf):
+    return track.track_optimal(X.objects(spark, sf), key="label", t="t", xy=XY, most=12.0).select("label", "track_id")
+
+
 @query("tracking_summary")
 def tracking_summary(spark, sf):
     return track.tracking_summary(track.track_hybrid(X.objects(spark, sf), key="label", t="t", xy=XY, area="area_px", gate=46.3, eps=46.3))
 
 
-@query("kmeans_groups")
+def _lloyd(rounds: int = 12) -> str:
+    """CTEs ``near0`` to ``near<rounds>``: rows with their nearest centroid, from centroids at even quantiles."""
+    start = " UNION ALL ".join(f"SELECT Condition, {k} AS k, {j} AS j, quantile_cont(f0, {(j + 0.5) / k!r}::DOUBLE) AS c0, avg(f1) AS c1 FROM d GROUP BY 1" for k in range(1, 6) for j in range(k))
+    out = [f"cent0 AS ({start})"]
+    for i in range(rounds + 1):
+        gap = "(f0 - c0) * (f0 - c0) + (f1 - c1) * (f1 - c1)"
+        out.append(f"near{i} AS MATERIALIZED (SELECT d.*, k, j, {gap} AS gap FROM d JOIN cent{i} USING (Condition) QUALIFY row_number() OVER (PARTITION BY Condition, cluster, Slice, k ORDER BY {gap}, j) = 1)")
+        out.append(f"cent{i + 1} AS (SELECT Condition, k, j, avg(f0) AS c0, avg(f1) AS c1 FROM near{i} GROUP BY 1, 2, 3)")
+    return ",\n ".join(out[:-1])
+
+
+@query("kmeans_groups", f"""WITH {X.MEASUREMENTS}, m AS (SELECT Condition, cluster, Slice, avg(Nuclear_Area) AS a, avg(N_C_V2) AS n FROM measurements GROUP BY 1, 2, 3), d AS (SELECT Condition, cluster, Slice, coalesce((a - avg(a) OVER w) / nullif(stddev_samp(a) OVER w, 0), 0) AS f0, coalesce((n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0), 0) AS f1 FROM m WINDOW w AS (PARTITION BY Condition)),
+ {_lloyd()}, s AS (SELECT Condition, k, count(*) AS n, sum(gap) AS wss FROM near12 GROUP BY 1, 2), f AS (SELECT *, (lag(wss) OVER w - wss) / nullif(lag(wss) OVER w, 0) AS fall FROM s WINDOW w AS (PARTITION BY Condition ORDER BY k))
+ SELECT Condition, k, n, round(wss, 4) AS wss, round(fall, 6) AS drop, coalesce(min(CASE WHEN fall < 0.1 THEN k END) OVER (PARTITION BY Condition) - 1, max(k) OVER (PARTITION BY Condition))::INT AS best_k FROM f""")
 def kmeans_groups(spark, sf):
     """Clusters of measurements per condition, all groups and numbers of clusters together, with the elbow's choice."""
     m = X.measurements(spark, sf).groupBy("Condition", "cluster", "Slice").agg(F.avg("Nuclear_Area").alias("a"), F.avg("N_C_V2").alias("n"))
@@ -156,7 +174,13 @@ def pca_components(spark, sf):
     return cluster.pca(m, ["Area", "IntDen", "m_IntDen", "npc_IntDen", "Mean"], 5, keep=["row_key", "Slice"])
 
 
-@query("best_z_path")
+@query("best_z_path", f"""WITH RECURSIVE {X.OBJECTS}, o AS (SELECT label % 16 AS series, t, z, avg(area_px) AS score FROM objects GROUP BY 1, 2, 3), m AS (SELECT *, median(score) OVER (PARTITION BY series, t) AS med FROM o), d AS (SELECT series, t, z, (score - med) / (median(abs(score - med)) OVER (PARTITION BY series, t) + 1e-9) AS s FROM m),
+ g AS (SELECT a.series, a.t, a.i, b.z, coalesce(d.s, -1e6) AS s FROM (SELECT series, t, dense_rank() OVER (PARTITION BY series ORDER BY t) AS i FROM (SELECT DISTINCT series, t FROM d)) a JOIN (SELECT DISTINCT series, z FROM d) b USING (series) LEFT JOIN d ON d.series = a.series AND d.t = a.t AND d.z = b.z),
+ fw(series, i, z, best, back) AS (SELECT series, i, z, s, z FROM g WHERE i = 1 UNION ALL SELECT series, i, z, best, back FROM (SELECT g.series, g.i, g.z, f.best - 0.2::DOUBLE * abs(g.z - f.z) - CASE WHEN abs(g.z - f.z) > 2 THEN 1e9 ELSE 0 END AS before, g.s + before AS best, f.z AS back FROM fw f JOIN g ON g.series = f.series AND g.i = f.i + 1) QUALIFY row_number() OVER (PARTITION BY series, i, z ORDER BY before DESC, back) = 1),
+ bt(series, i, z) AS (SELECT series, i, z FROM (SELECT * FROM fw QUALIFY row_number() OVER (PARTITION BY series ORDER BY i DESC, best DESC, z) = 1) UNION ALL SELECT b.series, b.i - 1, f.back FROM bt b JOIN fw f ON f.series = b.series AND f.i = b.i AND f.z = b.z WHERE b.i > 1),
+ n AS (SELECT series, t, z, s, lag(s) OVER w AS a, lead(s) OVER w AS b FROM d WINDOW w AS (PARTITION BY series, t ORDER BY z)), c AS (SELECT DISTINCT bt.series, g.t, bt.z AS best_z FROM bt JOIN g ON g.series = bt.series AND g.i = bt.i),
+ r AS (SELECT c.series, c.t, c.best_z, c.best_z + CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE least(greatest(coalesce(0.5::DOUBLE * (a - b) / nullif(a - 2 * s + b, 0), 0), -1), 1) END AS refined FROM c JOIN n ON n.series = c.series AND n.t = c.t AND n.z = c.best_z),
+ k AS (SELECT *, lag(best_z) OVER w AS p, lead(best_z) OVER w AS q FROM r WINDOW w AS (PARTITION BY series ORDER BY t)) SELECT series, t, best_z, round(refined, 6) AS refined_z, CASE WHEN p = best_z OR q = best_z THEN best_z WHEN p = q THEN p ELSE least(p, best_z, q) END AS mode_z FROM k""")
 def best_z_path(spark, sf):
     o = X.objects(spark, sf).groupBy((F.col("label") % 16).alias("series"), "t", "z").agg(F.avg("area_px").alias("score"))
     return cluster.smooth_best_z(o, series="series", t="t", z="z", score="score", penalty=0.2, max_step=2)

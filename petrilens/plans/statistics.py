@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from petrilens.functions.columns import time_bin
@@ -94,23 +96,26 @@ def linear_trend(spark, sf):
     return d.select("Condition", r("slope").alias("slope"), r("intercept", 5).alias("intercept"), r("r2").alias("r2"))
 
 
-def _plateau(rounds: int = 6) -> str:
-    """CTEs up to ``fit(Condition, A, k, sse)``: the grid of k in the bracket around the round before's best."""
-    out = ["""sums AS (SELECT Condition, Time::DOUBLE AS t, count(*)::DOUBLE AS n, sum(Nuclear_Area) AS sy, sum(Nuclear_Area * Nuclear_Area) AS syy FROM growth GROUP BY 1, 2), g0 AS (SELECT DISTINCT Condition, ln(0.0001::DOUBLE) AS lo, ln(2.0::DOUBLE) AS hi FROM sums)"""]
+SUMS = "sums AS (SELECT Condition, Time::DOUBLE AS t, count(*)::DOUBLE AS n, sum(Nuclear_Area) AS sy, sum(Nuclear_Area * Nuclear_Area) AS syy FROM growth GROUP BY 1, 2)"
+
+
+def _plateau(rounds: int = 6, keys: str = "Condition") -> str:
+    """CTEs up to ``fit(keys, A, k, sse)`` from ``sums``: the grid of k in the bracket around the round before's best."""
+    out = [f"g0 AS (SELECT DISTINCT {keys}, ln(0.0001::DOUBLE) AS lo, ln(2.0::DOUBLE) AS hi FROM sums)"]
     gt = "(1 - exp(-exp(lk) * t))"
     for i in range(rounds):
-        out.append(f"""p{i} AS (SELECT Condition, lo, hi, lo + (hi - lo) * j / 32 AS lk FROM g{i} CROSS JOIN (SELECT unnest(generate_series(0, 32)) AS j)), s{i} AS (SELECT Condition, lo, hi, lk, sum(sy * {gt}) AS yg, sum(n * {gt} * {gt}) AS gg, sum(syy) AS yy FROM p{i} JOIN sums USING (Condition) GROUP BY 1, 2, 3, 4),
- b{i} AS (SELECT *, coalesce(yg / nullif(gg, 0), 0) AS A, yy - coalesce(yg / nullif(gg, 0), 0) * yg AS sse FROM s{i} QUALIFY row_number() OVER (PARTITION BY Condition ORDER BY sse, lk) = 1), g{i + 1} AS (SELECT Condition, lk - (hi - lo) / 32 AS lo, lk + (hi - lo) / 32 AS hi FROM b{i})""")
-    return ",\n ".join([*out, f"fit AS (SELECT Condition, A, exp(lk) AS k, sse FROM b{rounds - 1})"])
+        out.append(f"""p{i} AS (SELECT {keys}, lo, hi, lo + (hi - lo) * j / 32 AS lk FROM g{i} CROSS JOIN (SELECT unnest(generate_series(0, 32)) AS j)), s{i} AS (SELECT {keys}, lo, hi, lk, sum(sy * {gt}) AS yg, sum(n * {gt} * {gt}) AS gg, sum(syy) AS yy FROM p{i} JOIN sums USING ({keys}) GROUP BY {keys}, lo, hi, lk),
+ b{i} AS MATERIALIZED (SELECT *, coalesce(yg / nullif(gg, 0), 0) AS A, yy - coalesce(yg / nullif(gg, 0), 0) * yg AS sse FROM s{i} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY sse, lk) = 1), g{i + 1} AS (SELECT {keys}, lk - (hi - lo) / 32 AS lo, lk + (hi - lo) / 32 AS hi FROM b{i})""")
+    return ",\n ".join([*out, f"fit AS (SELECT {keys}, A, exp(lk) AS k, sse FROM b{rounds - 1})"])
 
 
-@query("growth_plateau", f"WITH {X.GROWTH}, {_plateau()} SELECT Condition, round(A, 2) AS A, round(k, 5) AS k, round(A * k, 3) AS v0, round(ln(2.0::DOUBLE) / k, 3) AS t_half, round(A * k / 2, 3) AS v_half, round(sse, 0) AS sse FROM fit")
+@query("growth_plateau", f"WITH {X.GROWTH}, {SUMS}, {_plateau()} SELECT Condition, round(A, 2) AS A, round(k, 5) AS k, round(A * k, 3) AS v0, round(ln(2.0::DOUBLE) / k, 3) AS t_half, round(A * k / 2, 3) AS v_half, round(sse, 0) AS sse FROM fit")
 def growth_plateau(spark, sf):
     d = fit.growth_summary(fit.fit_plateau(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area"))
     return d.select("Condition", r("A", 2).alias("A"), r("k", 5).alias("k"), *[r(n, 3).alias(n) for n in ("v0", "t_half", "v_half")], r("sse", 0).alias("sse"))
 
 
-@query("growth_predictions", f"""WITH {X.GROWTH}, {_plateau()}, m AS (SELECT g.Condition, round(avg(Nuclear_Area - A * (1 - exp(-k * Time))), 4) AS mean_residual FROM growth g JOIN fit USING (Condition) GROUP BY 1)
+@query("growth_predictions", f"""WITH {X.GROWTH}, {SUMS}, {_plateau()}, m AS (SELECT g.Condition, round(avg(Nuclear_Area - A * (1 - exp(-k * Time))), 4) AS mean_residual FROM growth g JOIN fit USING (Condition) GROUP BY 1)
  SELECT Condition, i * 0.5::DOUBLE AS t, round(A * (1 - exp(-k * i * 0.5::DOUBLE)), 2) AS fit, round(A * k * exp(-k * i * 0.5::DOUBLE), 3) AS velocity, mean_residual FROM fit JOIN m USING (Condition) CROSS JOIN (SELECT unnest(generate_series(0, 100)) AS i)""")
 def growth_predictions(spark, sf):
     f = fit.fit_plateau(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area")
@@ -119,9 +124,15 @@ def growth_predictions(spark, sf):
     return d.join(back, "Condition").select("Condition", "t", r("fit", 2).alias("fit"), r("velocity", 3).alias("velocity"), "mean_residual")
 
 
-@query("growth_bootstrap")
+POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(i + 1)) for i in range(8)]
+DRAWS = f"""u AS (SELECT Condition, Time::DOUBLE AS t, Nuclear_Area AS y, rep, ('0x' || substr(md5(concat_ws('|', 123, rep, row_key, Slice)), 1, 8))::BIGINT::DOUBLE / {float(1 << 32)!r}::DOUBLE AS u FROM growth CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS rep)), w AS (SELECT Condition, rep, t, y, {" + ".join(f"CASE WHEN u >= {x!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0 END" for x in POISSON)} AS w FROM u),
+ sums AS MATERIALIZED (SELECT Condition, rep, t, sum(w) AS n, sum(w * y) AS sy, sum(w * y * y) AS syy FROM w GROUP BY 1, 2, 3 HAVING sum(w) > 0)"""
+
+
+@query("growth_bootstrap", f"""WITH {X.GROWTH}, {DRAWS}, {_plateau(4, "Condition, rep")}, c AS (SELECT Condition, i * 5.0::DOUBLE AS t, A * (1 - exp(-k * i * 5.0::DOUBLE)) AS f FROM fit CROSS JOIN (SELECT unnest(generate_series(0, 10)) AS i))
+ SELECT Condition, t, round(quantile_cont(f, 0.025), 3) AS low, round(quantile_cont(f, 0.975), 3) AS high, count(*) AS replicates FROM c GROUP BY 1, 2""")
 def growth_bootstrap(spark, sf):
-    d = fit.bootstrap_band(X.growth(spark, sf), ["Condition"], ["row_key", "Time", "Nuclear_Area"], "Time", "Nuclear_Area", replicates=200, last=50, step=5.0)
+    d = fit.bootstrap_band(X.growth(spark, sf), ["Condition"], ["row_key", "Slice"], "Time", "Nuclear_Area", last=50, step=5.0)
     return d.select("Condition", "t", r("low", 3).alias("low"), r("high", 3).alias("high"), "replicates")
 
 
