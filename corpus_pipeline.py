@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each applying one operator to all that the stage before kept."""
+"""A training corpus from raw documents: five stages, each applying one operator to all that the stage before kept.
+
+Rows: null and empty texts pass every filter (their score is that of no word, they match no benchmark item; of the rows
+without words one stays) and have nothing for the mix to take, so they end there; rows with a null id are kept by
+``near_duplicates`` and named by null in the files; of rows that repeat an id one stays; a null language or source is
+one of its own; an empty table gives empty stages; a document without labels is scored like any other, and without
+labels of both kinds none is rejected.  Columns beside those of documents stay until the last stage.
+"""
 
 from __future__ import annotations
 
