@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from petrilens.operators.graph import cut, shared_dir
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,33 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests on one machine) a fresh temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return context.getCheckpointDir()
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a checkpoint in the shared folder: lineage ends and an executor's loss costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def maybe_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` narrow rows (counted), else unchanged."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -70,3 +49,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
         now = spark.conf.get(key).removesuffix("b")
         if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
+
+
+__all__ = ["WORD", "bounded_batches", "cut", "fresh_path", "maybe_broadcast", "n_words", "shared_dir", "spread", "table"]

@@ -108,7 +108,7 @@ def mix_plan(
     window sorts about ``shard_words`` words (past ``max_shards`` shards, evenly more).
     """
     kept = [F.col(c).alias(f"_c_{c}") for c in carry]
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *kept)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_salt"), *kept)
     if not carry:
         sized = cut(sized)
     src = cut(source_targets(sized, weights, share, most))
@@ -117,7 +117,7 @@ def mix_plan(
     src = cut(apportion(src, ["_one"], "target", blocks, "source_no", "source_blocks").drop("_one"))
     src = src.withColumn("n_shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
     s = maybe_broadcast(src.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "source_blocks", "n_shards"))
-    key = _digits(seed, F.col("doc_id"))
+    key = _digits(seed, F.coalesce(F.col("doc_id").cast("string"), F.col("_salt")))  # null ids are dealt by their text
     rows = sized.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_key", key)
     rows = rows.withColumn("shard", F.pmod(_number(F.col("_key")), F.col("n_shards")))
     shards = rows.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))

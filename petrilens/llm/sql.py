@@ -17,7 +17,7 @@ def _apportion(name: str, source: str, group: str, weight: str, seats: str, tie:
 {name} AS (SELECT {name}_d.*, base + sign(miss)::BIGINT * coalesce(moved, 0) AS {out} FROM {name}_d LEFT JOIN {name}_h ON {group} = mg AND {tie} = mt)"""
 
 
-MIX = rf"""WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+MIX = rf"""WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS key FROM documents),
 s1 AS (SELECT source, sum(size)::BIGINT AS source_size, 1 AS one FROM sized GROUP BY 1),
 s2 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS source_no FROM s1),
 s3 AS (SELECT *, CASE (source_no - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * source_size AS cap, 3 * sum(source_size) OVER () AS t2 FROM s2),
