@@ -42,7 +42,7 @@ def test_equals_sql(spark, db, name):
         assert all(abs(i - j) <= 2e-6 + 1e-9 * abs(i) if isinstance(i, float) and isinstance(j, float) else i == j for i, j in zip(p, q, strict=True)), (p, q)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+@pytest.mark.parametrize("name", ["kmeans_foreground", "pca_components", "growth_models", "track_hybrid"])
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
