@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def handing_back(run):
+    """``run``, a function on batches, that at its end gives the memory which Arrow and the allocator hold back to the
+    system: a Python worker lives on beside the executor's JVM, for other tasks and between them."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # other C libraries have no such call
+                pass
+
+    return wrapped
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Arrow batches of at most ``rows`` rows and about ``size`` bytes for the session from now on (results are
     evaluated later, so the bound can't end with the call): texts can be long, and a batch stands several times in the
@@ -51,4 +72,4 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
             spark.conf.set(key, str(most))
 
 
-__all__ = ["WORD", "bounded_batches", "cut", "fresh_path", "maybe_broadcast", "n_words", "shared_dir", "spread", "table"]
+__all__ = ["WORD", "bounded_batches", "cut", "fresh_path", "handing_back", "maybe_broadcast", "n_words", "shared_dir", "spread", "table"]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import bounded_batches, cut, maybe_broadcast, spread
+from petrilens.llm.common import bounded_batches, cut, handing_back, maybe_broadcast, spread
 from petrilens.operators.graph import connected_components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(handing_back(run), f"doc_id {kind}, fp long")
 
 
 def _ball(value: Column) -> Column:
@@ -173,12 +173,13 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, words_in: int, ba
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long, same long, n long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(handing_back(run), f"id {kind}, fp long, same long, n long, bands array<long>")
 
 
-def similar_sets(texts: DataFrame, made: DataFrame, *, words_in: int, similarity: float) -> DataFrame:
-    """Links (a, b), a < b, of shingle sets (by their names) that join all sets with a Jaccard similarity of at least
-    ``similarity`` which share a band.  ``made`` has the signatures of ``texts(id, text)``.
+def similar_groups(texts: DataFrame, made: DataFrame, known: DataFrame, *, words_in: int, similarity: float) -> DataFrame:
+    """(same, root): shingle sets (by their names) that are linked to another, with the least name they reach.  Links are
+    those of ``known(a, b)`` and of sets with a Jaccard similarity of at least ``similarity`` which share a band.
+    ``made`` has the signatures of ``texts(id, text)``.
 
     A set is compared with the first and the last set of every bucket it is in.  That leaves pairs of buckets of four
     or more open; unless these links already join all of such a bucket, its sets go through ``open_pairs``, which
@@ -203,19 +204,27 @@ def similar_sets(texts: DataFrame, made: DataFrame, *, words_in: int, similarity
             yield pd.DataFrame({"same": [_set_name(s) for s in found], "shingles": [s.tobytes() for s in found]})
         _word_hash.clear()
 
-    whole = texts.join(reps, F.col("id") == F.col("rep"), "left_semi").mapInPandas(sets, "same long, shingles binary")
+    whole = texts.join(reps, F.col("id") == F.col("rep"), "left_semi").mapInPandas(handing_back(sets), "same long, shingles binary")
     whole = cut(whole.groupBy("same").agg(F.first("shingles").alias("shingles")))
     similar = cut(verified(pairs, whole, similarity))
-    root = connected_components(similar).select(F.col("node").alias("same"), F.col("component").alias("root"))
+    root = cut(connected_components(known.union(similar)).select(F.col("node").alias("same"), F.col("component").alias("root")))
     crowd = crowds.join(root, "same", "left").withColumn("root", F.coalesce("root", "same"))
     split = crowd.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
     rest = cut(crowd.join(split.select("band", "key"), ["band", "key"], "left_semi").select("same", "root").distinct())
     if rest.isEmpty():
-        return similar
-    sizes = rest.join(classes.select("same", "n"), "same")
-    more = open_pairs(whole.join(rest, "same").select(F.col("same").alias("id"), "root", "shingles"), similarity)
-    more = cut(more.join(sizes.select(F.col("same").alias("b"), F.col("n").alias("n_b")).distinct(), "b").select("a", "b", "n_b"))
-    return similar.union(verified(more, whole, similarity))
+        return root
+    sizes = rest.join(classes.select(F.col("same").alias("b"), F.col("n").alias("n_b")).distinct(), F.col("same") == F.col("b")).select("b", "n_b")
+    open_ones = cut(open_pairs(whole.join(rest, "same").select(F.col("same").alias("id"), "root", "shingles"), similarity).join(sizes, "b").select("a", "b", "n_b"))
+    more = cut(verified(open_ones, whole, similarity))
+    if more.isEmpty():
+        return root
+    # The new links tie whole groups: only these are joined again.
+    for side in ("a", "b"):
+        more = more.join(root.select(F.col("same").alias(side), F.col("root").alias(f"r_{side}")), side, "left").withColumn(f"r_{side}", F.coalesce(f"r_{side}", side))
+    top = cut(connected_components(more.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).filter("a <> b")).toDF("node", "component"))
+    moved = root.join(top, F.col("root") == F.col("node"), "left").select("same", F.coalesce("component", "root").alias("root"))
+    single = top.join(root.select("same"), F.col("node") == F.col("same"), "left_anti").select(F.col("node").alias("same"), F.col("component").alias("root"))
+    return cut(moved.union(single))
 
 
 def verified(pairs: DataFrame, whole: DataFrame, similarity: float, most: int = 1 << 20) -> DataFrame:
@@ -247,7 +256,7 @@ def verified(pairs: DataFrame, whole: DataFrame, similarity: float, most: int =
 
     # Text keeps all 64 bits of a name beside a null.
     keyed = rows.select("a", "part", F.col("b").cast("string").alias("b"), "shingles")
-    return spread(keyed, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInPandas(run, "a long, b long").distinct()
+    return spread(keyed, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInPandas(handing_back(run), "a long, b long").distinct()
 
 
 def drop_near_duplicates(
@@ -265,8 +274,8 @@ def drop_near_duplicates(
     equal = made.join(of_fp.filter("first < last"), "fp").select("first", "same")
     repeats = made.groupBy("id").agg(F.min("same").alias("x"), F.max("same").alias("y")).filter("x < y")
     again = made.join(maybe_broadcast(cut(repeats)), "id").select("x", "same")
-    edges = near.union(equal).union(again).toDF("a", "b").union(similar_sets(texts, made, words_in=words_in, similarity=similarity))
-    root = cut(connected_components(edges.filter("a <> b")).select(F.col("node").alias("same"), F.col("component").alias("root")))
+    known = near.union(equal).union(again).toDF("a", "b").filter("a <> b")
+    root = similar_groups(texts, made, known, words_in=words_in, similarity=similarity)
     whose = made.select("id", "same").join(root, "same", "left").select("id", F.coalesce("root", "same").alias("root"))
     least = whose.groupBy("root").agg(F.min("id").alias("least"))
     gone = maybe_broadcast(cut(whose.join(least, "root").filter("id <> least").select(F.col("id").alias("_gone")).distinct()), 1_000_000)
@@ -293,7 +302,7 @@ def open_pairs(sets: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "root": b["root"], "shingles": [np.frombuffer(x, np.int64) for x in b["shingles"]]})
 
-    lists = sets.select("id", "root", "shingles").mapInPandas(listed, "id long, root long, shingles array<long>")
+    lists = sets.select("id", "root", "shingles").mapInPandas(handing_back(listed), "id long, root long, shingles array<long>")
     held = cut(lists.select("id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
     common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     ranked = held.join(common, "shingle").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import bounded_batches, cut, fresh_path
+from petrilens.llm.common import bounded_batches, cut, fresh_path, handing_back
 
 #: Selector -> (ids in a word, bits of an id); selector 0 is the escape: one id of up to 60 bits.
 PACKINGS = ((1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
@@ -304,7 +304,7 @@ def write_token_files(
         if ids:
             yield close()
 
-    return cut(rows.mapInArrow(run, "part int, file int, path string, n_docs long, n_ids long"))
+    return cut(rows.mapInArrow(handing_back(run), "part int, file int, path string, n_docs long, n_ids long"))
 
 
 @lru_cache(maxsize=4)
@@ -330,7 +330,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": who, "start": base + ends - counts, "n_tokens": counts, "ids_crc32": np.array(crc, np.int64)})
 
     spread = files.repartition(max(1, min(files.count(), 4096)), "part", "file")
-    return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInPandas(handing_back(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, *, tokenizer: str, out_dir: str | None = None, **params) -> DataFrame:

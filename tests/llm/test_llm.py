@@ -280,8 +280,10 @@ def test_similar_pairs_in_a_crowd(spark):
         texts[b] = f"{shared} {own(a, 11)} {own(b, 31)}"
     d = spark.createDataFrame(list(texts.items()), "id long, text string")
     made = simhash.signatures(d, id_col="id", text_col="text", words_in=5, bands=24, rows=5)
-    named = {r["same"]: r["id"] for r in made.collect()}
-    got = {tuple(sorted((named[r["a"]], named[r["b"]]))) for r in simhash.similar_sets(d, made, words_in=5, similarity=0.8).collect()}
+    named, groups = {r["same"]: r["id"] for r in made.collect()}, {}
+    for r in simhash.similar_groups(d, made, spark.createDataFrame([], "a long, b long"), words_in=5, similarity=0.8).collect():
+        groups.setdefault(r["root"], []).append(named[r["same"]])
+    got = {tuple(sorted(g)) for g in groups.values()}
     sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
     sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert 0.74 < sim(10, 14) < 0.76 and got == {p for p in planted if sim(*p) >= 0.8} == set(planted)
