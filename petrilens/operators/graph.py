@@ -29,23 +29,31 @@ def _mark(df: DataFrame, *cols: str):
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).head())
 
 
+#: Edges up to which a round runs in one task, without any exchange.
+_FEW = 100_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of the edges with the least node it reaches.
 
     Each round ties a node's larger neighbours, then its smaller ones, to its least neighbour; the longest path about
-    halves, and a checkpoint ends the round's lineage.
+    halves, and a checkpoint ends the round's lineage.  While at most ``_FEW`` edges are left (counted each round), they
+    lie in one partition, so that a round of a small graph shuffles nothing.
     """
     e = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    loops = e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("component")).distinct()
+    loops = cut(e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("component")).distinct())
     now = cut(e.where("x < y").distinct())
     seen = _mark(now, "x", "y")
+    pair = lambda p, q, p_name, q_name: F.struct(p.alias(p_name), q.alias(q_name))
     while True:
-        both = now.select(F.col("x").alias("u"), F.col("y").alias("v")).union(now.select(F.col("y").alias("u"), F.col("x").alias("v")))
+        work = now.coalesce(1) if seen[0] <= _FEW else now
+        x, y, m = F.col("x"), F.col("y"), F.col("m")
+        both = work.select(F.inline(F.array(pair(x, y, "u", "v"), pair(y, x, "u", "v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        up = both.where("v > u").join(least, "u").select(F.col("m").alias("x"), F.col("v").alias("y")).where("x < y").distinct()
+        up = both.where("v > u").join(least, "u").select(m.alias("x"), F.col("v").alias("y")).where("x < y").distinct()
         low = up.groupBy("y").agg(F.min("x").alias("m"))
-        down = up.join(low, "y").where("x <> m").select(F.col("m").alias("p"), F.col("x").alias("q")).union(low.select(F.col("m").alias("p"), F.col("y").alias("q")))
-        now = cut(down.select(F.col("p").alias("x"), F.col("q").alias("y")).distinct())
+        tied = up.join(low, "y").select(F.inline(F.array(pair(m, y, "x", "y"), pair(m, x, "x", "y"))))
+        now = cut(tied.where("x < y").distinct())
         last, seen = seen, _mark(now, "x", "y")
         if seen == last:
             break
