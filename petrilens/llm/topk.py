@@ -74,7 +74,9 @@ def make_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
 
     n = max(1, -(-rows.count() // (4 * block_rows)))
     keyed = rows.withColumn("size", F.size("terms"))
-    return keyed.repartitionByRange(n, "size", "place", "vec_id").sortWithinPartitions("size", "place", "vec_id").drop("size", "place").mapInPandas(run, _BLOCK)
+    # However many ranges the session makes of it, no more tasks cut blocks than the rows fill.
+    dealt = keyed.repartitionByRange(n, "size", "place", "vec_id").coalesce(n)
+    return dealt.sortWithinPartitions("size", "place", "vec_id").drop("size", "place").mapInPandas(run, _BLOCK)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
