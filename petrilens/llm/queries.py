@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrilens.llm.common import table
+from petrilens.llm.conversations import damage_and_repair
 from petrilens.llm.decontaminate import find_leaks
 from petrilens.llm.html_text import extract_main_text
 from petrilens.llm.licenses import scan_licenses
 from petrilens.llm.mixing import mix_plan
+from petrilens.llm.packing import pack
 from petrilens.llm.pii import find_pii, fit_field
 from petrilens.llm.simhash import near_duplicates
+from petrilens.llm.spellings import group_spellings
 from petrilens.llm.sql import SQL  # noqa: F401
 from petrilens.llm.token_files import token_files
 from petrilens.llm.topk import top_k
@@ -98,6 +101,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_html_text": op2_html_text,
@@ -109,4 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
     "op10_token_files": op10_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_packing": op13_packing,
 }
