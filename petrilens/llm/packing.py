@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilens.llm.common import bounded_batches, fresh_path, handing_back
@@ -63,13 +63,14 @@ def _filling(last: np.ndarray, room: int, first: int, stock: np.ndarray) -> Conf
     return tuple(sorted(held.items(), reverse=True))
 
 
-def fractional_cover(demand: np.ndarray, size: int, visits: int = 20, width: int = 16, eta: float = 3.0, curve: float = 0.5) -> dict[Configuration, float]:
+def fractional_cover(demand: np.ndarray, size: int, visits: int | None = None, width: int = 16, eta: float = 3.0, curve: float = 0.5) -> dict[Configuration, float]:
     """Uses of configurations that cover the demand (by length, index 0 unused) by multiplicative weights.
 
     The level of a length is the covered part of its demand.  A round prices the lengths by their share of a sequence
     (``curve`` prefers few long pieces to many short ones) times exp(-eta * level), solves the knapsack, and uses, for
     each of the ``width`` lengths of the lowest levels, the dearest configuration that holds it, for a ``visits``-th of
-    the demand of its scarcest length.  A covered length leaves the knapsack."""
+    the demand of its scarcest length (20, more for fewer than 50 lengths).  A covered length leaves the knapsack."""
+    visits = visits or max(20, 1000 // max(1, np.count_nonzero(demand)))
     share, some = np.arange(size + 1) / size, np.maximum(demand, 1).astype(float)
     worth, level = share * (1 + curve * share), np.where(demand > 0, 0.0, 1.0)
     used: dict[Configuration, float] = {}
@@ -162,11 +163,15 @@ def pieces(docs: DataFrame, *, tokenizer: str, size: int, end_id: int, id_col: s
     return spark.read.schema(made.schema).parquet(path)
 
 
-def pack(docs: DataFrame, *, tokenizer: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids, sequence_id, offset.  Documents
-    of more than ``size`` ids are cut to pieces of ``size``, the first one perhaps shorter."""
+    of more than ``size`` ids are cut to pieces of ``size``, the first one perhaps shorter.  ``carry``, a column made of
+    ids, stands for them where it is enough, so that the join with the places moves narrow rows."""
     spark = docs.sparkSession
-    made = pieces(docs, tokenizer=tokenizer, size=size, end_id=end_id, id_col=id_col, text_col=text_col)
+    carry = F.col("ids") if carry is None else carry
+    written = pieces(docs, tokenizer=tokenizer, size=size, end_id=end_id, id_col=id_col, text_col=text_col)
+    made = written.select("doc_id", "piece", "start", "length", "part", "nth", carry)
+    carried = [c for c in made.columns if c not in written.columns or c == "ids"]
     counts = made.groupBy("part", "length").agg(F.count(F.lit(1)).alias("k"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
@@ -188,4 +193,4 @@ def pack(docs: DataFrame, *, tokenizer: str, size: int = 1024, end_id: int = 2,
     ranked = made.join(base, ["part", "length"]).withColumn("rank", rank)
     found = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop(table["length"])
     sequence = F.col("first") + F.floor(place / F.col("copies")).cast("long")
-    return found.select("doc_id", "piece", "start", "length", "ids", sequence.alias("sequence_id"), (F.col("offset_1") + place % F.col("copies") * F.col("length")).alias("offset"))
+    return found.select("doc_id", "piece", "start", "length", *carried, sequence.alias("sequence_id"), (F.col("offset_1") + place % F.col("copies") * F.col("length")).alias("offset"))
