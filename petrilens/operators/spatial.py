@@ -63,42 +63,100 @@ def flag_near(df: DataFrame, *, key: str, radius: float, on: Sequence[str] = (),
     return df.join(hit, F.col(key) == F.col("_hit"), "left").withColumn(out, F.col("_hit").isNotNull()).drop("_hit")
 
 
-def _by_rings(ask: DataFrame, other: DataFrame, groups: Sequence[str], start: float, same: bool) -> DataFrame:
-    """(_k, _b) with _b the least (distance, key) of ``other`` in the row's group, for rows whose group has one.  Rows of
-    ``ask`` without one within the radius are asked again at four times the radius; every round is checkpointed.  With
-    ``same`` a row is no neighbour of its own."""
-    found, radius = None, start
+#: Distinct locations up to which a cell of the tree is a leaf, and the most levels (each cuts a cell in 4 x 4).
+LEAF, DEPTH = 64, 20
+
+
+def _small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df``, rows of a few numbers in checkpoint, with a broadcast hint if at most ``most`` are counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _gap2(x: Column, y: Column, box: Sequence[Column], far: bool) -> Column:
+    """Squared distance from (x, y) to the nearest, or for ``far`` the farthest, point of the box (x0, x1, y0, y1)."""
+    x0, x1, y0, y1 = box
+    if far:
+        dx, dy = F.greatest(x - x0, x1 - x), F.greatest(y - y0, y1 - y)
+    else:
+        dx, dy = F.greatest(x0 - x, x - x1, F.lit(0.0)), F.greatest(y0 - y, y - y1, F.lit(0.0))
+    return dx * dx + dy * dy
+
+
+def _nearest(ask: DataFrame, other: DataFrame, groups: Sequence[str], same: bool) -> DataFrame:
+    """(_k, _b) with _b the least (distance, key) of ``other`` in the row's group, for rows of ``ask`` (_k, groups, _x, _y)
+    whose group has one.  With ``same`` a row is no neighbour of its own, and only the distance counts.
+
+    A tree of counts over the distinct locations of ``other`` cuts a cell in 4 x 4 while it holds over ``LEAF`` of them,
+    so cells are as small as the points lie dense.  A row goes down to the smallest cell around it: the farthest point
+    of that cell's box bounds its distance.  Then it goes down again through all cells whose boxes come as near as the
+    bound, and meets the points of the leaves among them.  Every level is one join on the cell; levels of few cells are
+    broadcast, so that rows that share a large cell are no hot key.
+    """
+    x, y, box = F.col("_x"), F.col("_y"), [F.col(c) for c in ("_x0", "_x1", "_y0", "_y1")]
+    spots = cut(other.groupBy(*groups, "_x", "_y").agg(F.min("_k").alias("key"), F.count(F.lit(1)).alias("m")))
+    ends = spots.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).head()
+    if ends[0] is None:
+        return ask.select("_k", F.lit(None).cast("struct<distance:double,key:bigint>").alias("_b")).where("false")
+    width = max(ends[1] - ends[0], ends[3] - ends[2]) * 1.0001 or 1.0
+
+    def at(level: int) -> dict[str, Column]:
+        side, last = width / 4**level, float(4**level - 1)
+        along = lambda v, low: F.least(F.greatest(F.floor((v - low) / side), F.lit(0.0)), F.lit(last)).cast("long")
+        return {"_i": along(x, ends[0]), "_j": along(y, ends[2])}
+
+    cell, tree, left = [*groups, "_i", "_j"], [], spots
     while True:
-        pairs = near_pairs(ask, other, radius=radius, on=[(g, f"_n{g}") for g in groups], xy=("_x", "_y"), right_xy=("_n_x", "_n_y"))
-        pairs = pairs.where(F.col("_k") != F.col("_n_k")) if same else pairs
-        got = cut(pairs.groupBy("_k").agg(F.min(F.struct("distance", F.col("_n_k").alias("key"))).alias("_b")))
-        found = got if found is None else found.union(got)
-        ask = cut(ask.join(got.select("_k"), "_k", "left_anti"))
-        if ask.isEmpty():
-            return found
-        radius *= 4
+        placed = left.withColumns(at(len(tree)))
+        leaf = (F.count(F.lit(1)) <= LEAF) | F.lit(len(tree) == DEPTH)
+        counts = placed.groupBy(*cell).agg(F.sum("m").alias("_m"), leaf.alias("_leaf"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
+        counts = _small(cut(counts))
+        placed = cut(placed.join(counts.select(*cell, "_leaf"), cell))
+        tree.append((counts, placed.where("_leaf").drop("_leaf").withColumnsRenamed({"_x": "_nx", "_y": "_ny"})))
+        left = placed.where("not _leaf").drop("_leaf", "_i", "_j")
+        if left.isEmpty():
+            break
+
+    now, bounded = ask.withColumn("_r2", F.lit(None).cast("double")), None
+    for level, (counts, _) in enumerate(tree):
+        met = now.withColumns(at(level)).join(counts, cell, "left")
+        known = F.col("_m") >= (2 if same else 1)
+        met = met.withColumn("_r2", F.when(known, _gap2(x, y, box, True) * (1 + 1e-9)).otherwise(F.col("_r2"))).withColumn("_on", F.coalesce(known & ~F.col("_leaf"), F.lit(False)))
+        met = cut(met.select(*ask.columns, "_r2", "_on"))
+        done = met.where("not _on and _r2 is not null").drop("_on")
+        bounded, now = done if bounded is None else bounded.union(done), met.where("_on").drop("_on")
+
+    front, best = bounded.withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")}), None
+    for level, (counts, points) in enumerate(tree):
+        met = cut(front.join(counts, cell).where(_gap2(x, y, box, False) <= F.col("_r2")).drop("_m", "_x0", "_x1", "_y0", "_y1"))
+        d2 = (x - F.col("_nx")) * (x - F.col("_nx")) + (y - F.col("_ny")) * (y - F.col("_ny"))
+        pairs = met.where("_leaf").join(points, cell)
+        pairs = pairs.where((F.col("m") > 1) | (F.col("_nx") != x) | (F.col("_ny") != y)) if same else pairs
+        found = pairs.groupBy("_k").agg(F.min(F.struct(F.sqrt(d2).alias("distance"), "key")).alias("_b"))
+        best = found if best is None else best.union(found)
+        side = width / 4 ** (level + 1)
+        inner = [F.struct((F.col("_i") * 4 + a).alias("_i"), (F.col("_j") * 4 + b).alias("_j")) for a in range(4) for b in range(4)]
+        front = met.where("not _leaf").select(*ask.columns, "_r2", F.explode(F.array(*inner)).alias("_c")).select(*ask.columns, "_r2", "_c._i", "_c._j")
+        corner = [v * side + low for v, low in ((F.col("_i"), ends[0]), (F.col("_i") + 1, ends[0]), (F.col("_j"), ends[2]), (F.col("_j") + 1, ends[2]))]
+        front = front.where(_gap2(x, y, corner, False) <= F.col("_r2") + 1e-9 * width * width)
+    return cut(best.groupBy("_k").agg(F.min("_b").alias("_b")))
 
 
 def _slim(df: DataFrame, key: str, on: Sequence[str], xy: tuple[str, str]) -> DataFrame:
     return df.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(on)], F.col(xy[0]).alias("_x"), F.col(xy[1]).alias("_y"))
 
 
-def nearest_neighbour(df: DataFrame, *, key: str, on: Sequence[str], xy: tuple[str, str] = ("x", "y"), start: float, out: str = "nearest_px") -> DataFrame:
+def nearest_neighbour(df: DataFrame, *, key: str, on: Sequence[str], xy: tuple[str, str] = ("x", "y"), out: str = "nearest_px") -> DataFrame:
     """``df`` with the distance to the nearest other row of the group, null if there is none."""
     slim, groups = cut(_slim(df, key, on, xy)), [f"_g{i}" for i in range(len(on))]
-    shared = slim.groupBy(*groups).count().where("count > 1").drop("count")
-    ask = slim.join(shared, groups, "left_semi") if groups else slim
-    found = _by_rings(ask, prefixed(slim, "_n"), groups, start, True)
+    found = _nearest(slim, slim, groups, True)
     return df.join(found, F.col(key) == F.col("_k"), "left").withColumn(out, F.col("_b.distance")).drop("_k", "_b")
 
 
-def nearest_centroid(points: DataFrame, centroids: DataFrame, *, on: Sequence[str], point: str, centroid: str, xy: tuple[str, str], centroid_xy: tuple[str, str], start: float = 100.0) -> DataFrame:
+def nearest_centroid(points: DataFrame, centroids: DataFrame, *, on: Sequence[str], point: str, centroid: str, xy: tuple[str, str], centroid_xy: tuple[str, str]) -> DataFrame:
     """``points`` with the nearest centroid of their group and its distance; null where the group has none, ties to the
     least centroid."""
     slim, other = cut(_slim(points, point, on, xy)), cut(_slim(centroids, centroid, on, centroid_xy))
-    groups = [f"_g{i}" for i in range(len(on))]
-    ask = slim.join(other.select(*groups).distinct(), groups, "left_semi") if groups else slim
-    found = _by_rings(ask, prefixed(other, "_n"), groups, start, False)
+    found = _nearest(slim, other, [f"_g{i}" for i in range(len(on))], False)
     return points.join(found, F.col(point) == F.col("_k"), "left").withColumn("nearest", F.col("_b.key")).withColumn("nearest_px", F.col("_b.distance")).drop("_k", "_b")
 
 

@@ -57,7 +57,7 @@ def flag_close(spark, sf):
 
 @query("nearest_in_frame", f"""WITH {X.OBJECTS} SELECT a.label, round(min(sqrt({D2})), 6) AS nearest_px, coalesce(min(sqrt({D2})) < 60, FALSE) AS is_close FROM objects a LEFT JOIN objects b ON a.t = b.t AND a.label <> b.label GROUP BY 1""")
 def nearest_in_frame(spark, sf):
-    d = spatial.nearest_neighbour(X.objects(spark, sf), key="label", on=["t"], xy=XY, start=100.0)
+    d = spatial.nearest_neighbour(X.objects(spark, sf), key="label", on=["t"], xy=XY)
     return d.select("label", r("nearest_px").alias("nearest_px"), F.coalesce(F.col("nearest_px") < 60, F.lit(False)).alias("is_close"))
 
 

@@ -89,7 +89,7 @@ def test_one_to_one_conflict(spark):
 
 def test_nearest_neighbour_far_and_alone(spark):
     d = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 900.0, 0.0), (3, 1, 5.0, 5.0)], "k int, t int, x double, y double")
-    assert rows(spatial.nearest_neighbour(d, key="k", on=["t"], start=1.0), "k", "nearest_px") == [(1, 900.0), (2, 900.0), (3, None)]
+    assert rows(spatial.nearest_neighbour(d, key="k", on=["t"]), "k", "nearest_px") == [(1, 900.0), (2, 900.0), (3, None)]
 
 
 def test_components_long_chain_and_loop(spark):

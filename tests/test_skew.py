@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from petrilens.operators import auction, track
+from pyspark.sql import functions as F
+
+from petrilens.operators import auction, spatial, track
 
 
 def _frames(rng, n, gate):
@@ -56,3 +58,34 @@ def test_tracks_of_large_components(spark, monkeypatch):
     dense = run()
     monkeypatch.setattr(track, "DENSE", 10)
     assert run() == dense
+
+
+def _nearest(points, others, same):
+    out = []
+    for i, (x, y) in enumerate(points):
+        d = np.hypot(others[:, 0] - x, others[:, 1] - y)
+        if same:
+            d[i] = np.inf
+        out.append((d.min(), int(d.argmin())))
+    return out
+
+
+@pytest.mark.parametrize("leaf", [16, 64])
+def test_nearest_under_skew(spark, monkeypatch, leaf):
+    """A tight cluster, outliers far away, repeated locations, a group of one."""
+    monkeypatch.setattr(spatial, "LEAF", leaf)
+    rng = np.random.default_rng(3)
+    pts = np.concatenate([rng.normal(500, 0.1, (400, 2)), rng.uniform(0, 1000, (40, 2)), np.full((100, 2), 77.5)])
+    rows = [(i, 0, float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(10**6, 1, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "k long, g int, x double, y double")
+    got = {r["k"]: r["nearest_px"] for r in spatial.nearest_neighbour(df, key="k", on=["g"]).collect()}
+    want = _nearest(pts, pts.copy(), True)
+    assert got.pop(10**6) is None
+    assert [got[i] for i in range(len(pts))] == pytest.approx([d for d, _ in want], rel=1e-9)
+    centroids = spark.createDataFrame([(i, 0, float(x), float(y)) for i, (x, y) in enumerate(pts[::7])], "c long, g int, cx double, cy double")
+    far = df.withColumn("x", F.col("x") * 3 - 1e3)
+    told = {r["k"]: (r["nearest_px"], r["nearest"]) for r in spatial.nearest_centroid(far, centroids, on=["g"], point="k", centroid="c", xy=("x", "y"), centroid_xy=("cx", "cy")).collect()}
+    assert told.pop(10**6) == (None, None)
+    want = _nearest(pts * [3, 1] - [1e3, 0], pts[::7], False)
+    assert [told[i][0] for i in range(len(pts))] == pytest.approx([d for d, _ in want], rel=1e-9)
+    assert sum(told[i][1] == c for i, (_, c) in enumerate(want)) == len(pts)
