@@ -31,6 +31,18 @@ def _mark(df: DataFrame, *cols: str):
 
 #: Edges up to which a round runs in one task, without any exchange.
 _FEW = 100_000
+#: At most so many keys are split off as hot: those that have more than this part of the rows.
+_HOT = 5_000
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFrame:
+    """``left`` (of ``n`` rows) joined with ``right``, which has one row a key.  Keys with more than n / ``_HOT`` rows (a
+    hub and its neighbours) stay where they lie: their rows of ``right``, fewer than ``_HOT``, are broadcast to them."""
+    if n <= _FEW:
+        return left.join(right, key)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > n // _HOT).select(key)
+    light = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
+    return light.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,7 +50,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round ties a node's larger neighbours, then its smaller ones, to its least neighbour; the longest path about
     halves, and a checkpoint ends the round's lineage.  While at most ``_FEW`` edges are left (counted each round), they
-    lie in one partition, so that a round of a small graph shuffles nothing.
+    lie in one partition, so that a round of a small graph shuffles nothing.  A hub is no hot key (see ``join_one``).
     """
     e = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
     loops = cut(e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("component")).distinct())
@@ -50,9 +62,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         x, y, m = F.col("x"), F.col("y"), F.col("m")
         both = work.select(F.inline(F.array(pair(x, y, "u", "v"), pair(y, x, "u", "v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        up = both.where("v > u").join(least, "u").select(m.alias("x"), F.col("v").alias("y")).where("x < y").distinct()
+        up = join_one(both.where("v > u"), least, "u", seen[0]).select(m.alias("x"), F.col("v").alias("y")).where("x < y").distinct()
         low = up.groupBy("y").agg(F.min("x").alias("m"))
-        tied = up.join(low, "y").select(F.inline(F.array(pair(m, y, "x", "y"), pair(m, x, "x", "y"))))
+        tied = join_one(up, low, "y", seen[0]).select(F.inline(F.array(pair(m, y, "x", "y"), pair(m, x, "x", "y"))))
         now = cut(tied.where("x < y").distinct())
         last, seen = seen, _mark(now, "x", "y")
         if seen == last:
@@ -73,12 +85,12 @@ def chain_heads(links: DataFrame, child: str, parent: str) -> DataFrame:
     nodes = links.select(F.col(child).alias("node"), F.col(parent).alias("up"))
     roots = links.select(F.col(parent).alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
     now = cut(nodes.union(roots.select("node", F.col("node").alias("up"))))
+    seen = _mark(now, "node", "up")
     while True:
-        above = now.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
-        after = cut(now.join(above, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up")))
-        moved = after.join(above, (F.col("node") == F.col("_n")) & (F.col("up") != F.col("_u")), "left_semi").limit(1).count()
-        now = after
-        if not moved:
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("_u"))
+        now = cut(join_one(now, above, "up", seen[0]).select("node", F.col("_u").alias("up")))
+        last, seen = seen, _mark(now, "node", "up")
+        if seen == last:
             return now.select("node", F.col("up").alias("head"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,52 +88,68 @@ def _nearest(ask: DataFrame, other: DataFrame, groups: Sequence[str], same: bool
     whose group has one.  With ``same`` a row is no neighbour of its own, and only the distance counts.
 
     A tree of counts over the distinct locations of ``other`` cuts a cell in 4 x 4 while it holds over ``LEAF`` of them,
-    so cells are as small as the points lie dense.  A row goes down to the smallest cell around it: the farthest point
-    of that cell's box bounds its distance.  Then it goes down again through all cells whose boxes come as near as the
+    so cells are as small as the points lie dense.  A row goes down to the smallest cell around it: the nearest point
+    of that leaf, or the farthest of the cell's box, bounds its distance.  Then it goes down again through all cells whose boxes come as near as the
     bound, and meets the points of the leaves among them.  Every level is one join on the cell; levels of few cells are
     broadcast, so that rows that share a large cell are no hot key.
     """
     x, y, box = F.col("_x"), F.col("_y"), [F.col(c) for c in ("_x0", "_x1", "_y0", "_y1")]
     spots = cut(other.groupBy(*groups, "_x", "_y").agg(F.min("_k").alias("key"), F.count(F.lit(1)).alias("m")))
-    ends = spots.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).head()
-    if ends[0] is None:
+    size, many, *ends = spots.agg(F.count(F.lit(1)), F.count_distinct(F.struct(F.lit(0), *groups)), F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).head()
+    if not size:
         return ask.select("_k", F.lit(None).cast("struct<distance:double,key:bigint>").alias("_b")).where("false")
     width = max(ends[1] - ends[0], ends[3] - ends[2]) * 1.0001 or 1.0
+    base = min(DEPTH, max(0, math.ceil(math.log(size / many / LEAF, 16))))  # the level of leaves if the points lie evenly
+    cell = [*groups, "_i", "_j"]
 
     def at(level: int) -> dict[str, Column]:
         side, last = width / 4**level, float(4**level - 1)
         along = lambda v, low: F.least(F.greatest(F.floor((v - low) / side), F.lit(0.0)), F.lit(last)).cast("long")
         return {"_i": along(x, ends[0]), "_j": along(y, ends[2])}
 
-    cell, tree, left = [*groups, "_i", "_j"], [], spots
-    while True:
-        placed = left.withColumns(at(len(tree)))
-        leaf = (F.count(F.lit(1)) <= LEAF) | F.lit(len(tree) == DEPTH)
-        counts = placed.groupBy(*cell).agg(F.sum("m").alias("_m"), leaf.alias("_leaf"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
-        counts = _small(cut(counts))
-        placed = cut(placed.join(counts.select(*cell, "_leaf"), cell))
-        tree.append((counts, placed.where("_leaf").drop("_leaf").withColumnsRenamed({"_x": "_nx", "_y": "_ny"})))
+    tree, left = [], spots
+    while not tree or not left.isEmpty():
+        placed, level = left.withColumns(at(base + len(tree))), base + len(tree)
+        leaf = (F.count(F.lit(1)) <= LEAF) | F.lit(level >= DEPTH)
+        counts = cut(placed.groupBy(*cell).agg(F.sum("m").alias("_m"), leaf.alias("_leaf"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1")))
+        placed = cut(placed.join(_small(counts).select(*cell, "_leaf"), cell))
+        tree.append((_small(counts), placed.where("_leaf").drop("_leaf").withColumnsRenamed({"_x": "_nx", "_y": "_ny"})))
         left = placed.where("not _leaf").drop("_leaf", "_i", "_j")
-        if left.isEmpty():
-            break
+    above = tree[0][0]
+    for level in range(base - 1, -1, -1):  # cells above hold what theirs hold; none is a leaf
+        up = above.withColumns({c: F.shiftright(c, 2) for c in ("_i", "_j")}).groupBy(*cell)
+        above = up.agg(F.sum("_m").alias("_m"), F.lit(False).alias("_leaf"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"))
+        above = F.broadcast(above) if many * 16**level <= 50_000 else _small(cut(above))
+        tree.insert(0, (above, None))
 
-    now, bounded = ask.withColumn("_r2", F.lit(None).cast("double")), None
-    for level, (counts, _) in enumerate(tree):
+    d2 = (x - F.col("_nx")) * (x - F.col("_nx")) + (y - F.col("_ny")) * (y - F.col("_ny"))
+
+    def meet(rows: DataFrame, points: DataFrame) -> DataFrame:
+        pairs = rows.join(points, cell)
+        return pairs.where((F.col("m") > 1) | (F.col("_nx") != x) | (F.col("_ny") != y)) if same else pairs
+
+    now, bounded, own = ask.withColumn("_r2", F.lit(None).cast("double")), None, None
+    for level, (counts, points) in enumerate(tree):
         met = now.withColumns(at(level)).join(counts, cell, "left")
         known = F.col("_m") >= (2 if same else 1)
         met = met.withColumn("_r2", F.when(known, _gap2(x, y, box, True) * (1 + 1e-9)).otherwise(F.col("_r2"))).withColumn("_on", F.coalesce(known & ~F.col("_leaf"), F.lit(False)))
-        met = cut(met.select(*ask.columns, "_r2", "_on"))
-        done = met.where("not _on and _r2 is not null").drop("_on")
-        bounded, now = done if bounded is None else bounded.union(done), met.where("_on").drop("_on")
-
-    front, best = bounded.withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")}), None
+        met = met.select(*ask.columns, "_i", "_j", "_r2", "_on")
+        met = cut(met) if level % 3 == 2 else met
+        done = met.where("not _on and _r2 is not null")
+        if points is not None:  # the points of the own leaf bound better than its box
+            near = meet(done, points).groupBy("_k").agg(F.min(d2).alias("_d2"))
+            own = near if own is None else own.union(near)
+        done = done.drop("_on", "_i", "_j")
+        bounded, now = done if bounded is None else bounded.union(done), met.where("_on").drop("_on", "_i", "_j")
+
+    bounded = bounded.join(own, "_k", "left").withColumn("_r2", F.least("_r2", F.col("_d2") * (1 + 1e-9))).drop("_d2").select(*ask.columns, "_r2")
+    front, best = cut(bounded).withColumns({"_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")}), None
     for level, (counts, points) in enumerate(tree):
-        met = cut(front.join(counts, cell).where(_gap2(x, y, box, False) <= F.col("_r2")).drop("_m", "_x0", "_x1", "_y0", "_y1"))
-        d2 = (x - F.col("_nx")) * (x - F.col("_nx")) + (y - F.col("_ny")) * (y - F.col("_ny"))
-        pairs = met.where("_leaf").join(points, cell)
-        pairs = pairs.where((F.col("m") > 1) | (F.col("_nx") != x) | (F.col("_ny") != y)) if same else pairs
-        found = pairs.groupBy("_k").agg(F.min(F.struct(F.sqrt(d2).alias("distance"), "key")).alias("_b"))
-        best = found if best is None else best.union(found)
+        met = front.join(counts, cell).where(_gap2(x, y, box, False) <= F.col("_r2")).drop("_m", "_x0", "_x1", "_y0", "_y1")
+        met = cut(met) if level % 3 == 2 else met
+        if points is not None:
+            found = meet(met.where("_leaf"), points).groupBy("_k").agg(F.min(F.struct(F.sqrt(d2).alias("distance"), "key")).alias("_b"))
+            best = found if best is None else best.union(found)
         side = width / 4 ** (level + 1)
         inner = [F.struct((F.col("_i") * 4 + a).alias("_i"), (F.col("_j") * 4 + b).alias("_j")) for a in range(4) for b in range(4)]
         front = met.where("not _leaf").select(*ask.columns, "_r2", F.explode(F.array(*inner)).alias("_c")).select(*ask.columns, "_r2", "_c._i", "_c._j")

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from petrilens.operators import auction, spatial, track
+from petrilens.operators import auction, graph, spatial, track
 
 
 def _frames(rng, n, gate):
@@ -89,3 +89,17 @@ def test_nearest_under_skew(spark, monkeypatch, leaf):
     want = _nearest(pts * [3, 1] - [1e3, 0], pts[::7], False)
     assert [told[i][0] for i in range(len(pts))] == pytest.approx([d for d, _ in want], rel=1e-9)
     assert sum(told[i][1] == c for i, (_, c) in enumerate(want)) == len(pts)
+
+
+@pytest.mark.parametrize("hub", [0, 7, 10**6])
+def test_components_and_chains_with_a_hub(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "_FEW", 10)
+    monkeypatch.setattr(graph, "_HOT", 20)
+    edges = [(hub, i) for i in range(1, 400) if i != hub] + [(2000 + i, 2001 + i) for i in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.connected_components(df).collect()}
+    star = {hub, *range(1, 400)}
+    assert {got[i] for i in star} == {min(star)} and {got[2000 + i] for i in range(31)} == {2000} and len(got) == len(star) + 31
+    links = spark.createDataFrame([(i, hub) for i in range(1, 400) if i != hub] + [(5000 + i, 5001 + i) for i in range(40)] + [(5040, hub)], "c long, p long")
+    heads = {r["node"]: r["head"] for r in graph.chain_heads(links, "c", "p").collect()}
+    assert set(heads.values()) == {hub} and len(heads) == len(star) + 41
