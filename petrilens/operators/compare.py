@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from petrilens.functions.cdf import f_p, t_p, z_p
 from petrilens.functions.columns import stars
+from petrilens.functions.quantiles import group_quantiles
 from petrilens.operators.summaries import best_row, long_to_wide, nth_row
 
 
@@ -50,7 +51,7 @@ def rank_sum(df: DataFrame, *, bin: str, condition: str, value: str, pairs: Sequ
     g = g.withColumn("u", u).withColumn("_d", F.col("u") - mean)
     g = g.withColumn("z", F.try_divide(F.col("_d") - F.signum("_d") * 0.5, sd))
     g = g.withColumn("p", F.least(F.lit(1.0), z_p("z"))).where("n_a > 0 AND n_b > 0")
-    med = d.groupBy(bin, condition).agg(F.median(value).alias("_m"))
+    med = group_quantiles(d, (bin, condition), value, (0.5,)).select(bin, condition, F.col("q")[0].alias("_m"))
     for s in "ab":
         g = g.join(med.select(F.col(bin).alias(f"_x{s}"), F.col(condition).alias(f"_y{s}"), F.col("_m").alias(f"_m{s}")), (F.col(bin) == F.col(f"_x{s}")) & (F.col(s) == F.col(f"_y{s}")))
     return g.select(bin, "a", "b", "n_a", "n_b", "u", "z", "p", (F.col("_mb") - F.col("_ma")).alias("median_difference"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from petrilens.functions.quantiles import group_quantiles, with_group_quantiles
 from petrilens.operators.graph import components_of, cut
 from petrilens.operators.spatial import near_pairs
 from petrilens.operators.summaries import histogram, min_max, otsu
@@ -102,8 +103,8 @@ def focus_bright(px: DataFrame, plane: Sequence[str] = PLANE, q: float = 0.975,
     """Per plane: variance, bright (mean squared Laplacian of pixels over the ``q`` quantile, weighed by intensity; a
     quarter of the variance with under ``least_pixels`` such pixels) and hybrid, their mix."""
     d = laplacian(px.withColumn("v", min_max("intensity", plane)), "v", plane)
-    lim = d.groupBy(*plane).agg(F.percentile("v", F.lit(q)).alias("_lim"), F.var_pop("lap").alias("variance"))
-    d = d.join(lim, list(plane))
+    lim = group_quantiles(d, plane, "v", (q,)).select(*plane, F.col("q")[0].alias("_lim"))
+    d = d.join(d.groupBy(*plane).agg(F.var_pop("lap").alias("variance")), list(plane)).join(lim, list(plane))
     hot = F.col("v") >= F.col("_lim")
     g = d.groupBy(*plane).agg(F.first("variance").alias("variance"), F.count_if(hot).alias("_n"), F.try_divide(F.sum(F.when(hot, F.col("v") * F.col("lap") * F.col("lap"))), F.sum(F.when(hot, F.col("v")))).alias("_b"))
     g = g.withColumn("bright", F.when(F.col("_n") < least_pixels, 0.25 * F.col("variance")).otherwise(F.coalesce("_b", F.lit(0.0))))
@@ -135,8 +136,8 @@ def choose_plane(planes: DataFrame, *, series: Sequence[str], z: str, mode: str,
 
 def keep_planes(scores: DataFrame, *, series: Sequence[str], z: str, score: str, q: float, margin: int) -> DataFrame:
     """``scores`` with in_focus (at least the ``q`` quantile of the series), in_margin (not within ``margin`` of an end) and keep."""
-    g = scores.groupBy(*series).agg(F.percentile(score, F.lit(q)).alias("_cut"), F.min(z).alias("_z0"), F.max(z).alias("_z1"))
-    d = scores.join(g, list(series)).withColumn("in_focus", F.col(score) >= F.col("_cut")).withColumn("in_margin", F.col(z).between(F.col("_z0") + margin, F.col("_z1") - margin))
+    g = scores.groupBy(*series).agg(F.min(z).alias("_z0"), F.max(z).alias("_z1"))
+    d = with_group_quantiles(scores, series, score, _cut=q).join(g, list(series)).withColumn("in_focus", F.col(score) >= F.col("_cut")).withColumn("in_margin", F.col(z).between(F.col("_z0") + margin, F.col("_z1") - margin))
     return d.withColumn("keep", F.col("in_focus") & F.col("in_margin")).drop("_cut", "_z0", "_z1")
 
 
@@ -472,17 +473,14 @@ def tail_cutoff(px: DataFrame, keys: Sequence[str], *, bins: int = 64, smooth: i
     mid = (F.col("bin") + 0.5) / bins
     rise = F.coalesce(F.lead("s").over(w), F.col("s")) - F.coalesce(F.lag("s").over(w), F.col("s"))
     h = h.withColumn("slope", rise * bins / F.when(F.col("bin").isin(0, bins - 1), 1).otherwise(2)).withColumn("mid", mid)
-    q = d.groupBy(*keys).agg(F.percentile("v", F.lit(start)).alias("_from"), F.count(F.lit(1)).alias("_n"))
+    q = group_quantiles(d, keys, "v", (start,)).select(*keys, F.col("q")[0].alias("_from"))
     tail = h.join(q, list(keys)).where(F.col("mid") >= F.col("_from")).withColumn("fall", F.sum("slope").over(near) / smooth)
     steep = tail.groupBy(*keys).agg(F.min_by("mid", F.struct(F.round("fall", 9), "bin")).alias("_raw"), F.count(F.lit(1)).alias("_bins"))
     share = d.join(steep, list(keys)).groupBy(*keys).agg(F.avg((F.col("v") <= F.col("_raw")).cast("double")).alias("_share"), F.first("_bins").alias("_bins"))
     chosen = q.join(share, list(keys), "left").select(*keys, F.when(F.coalesce("_bins", F.lit(0)) < smooth, F.lit(band[1])).otherwise(F.least(F.greatest("_share", F.lit(band[0])), F.lit(band[1]))).alias("quantile"))
-    # The quantile differs by group: linear between the two values around its place in the group's order.
-    order = Window.partitionBy(*keys).orderBy("v")
-    ranked = d.withColumn("_i", F.row_number().over(order) - 1).withColumn("_next", F.lead("v").over(order)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    at = ranked.join(chosen, list(keys)).withColumn("_at", F.col("quantile") * (F.col("_k") - 1)).where(F.col("_i") == F.floor("_at"))
-    value = F.col("v") + (F.coalesce("_next", "v") - F.col("v")) * (F.col("_at") - F.floor("_at"))
-    cuts = at.select(*keys, value.alias("cutoff"), "quantile")
+    chosen = cut(chosen)
+    asked = chosen.select(*keys, F.array("quantile").alias("at"))  # the quantile differs by group
+    cuts = chosen.join(group_quantiles(d, keys, "v", asked, "_q"), list(keys)).select(*keys, F.col("_q")[0].alias("cutoff"), "quantile")
     return px.select(*keys).distinct().join(cuts, list(keys), "left").fillna(1.0, subset=["cutoff", "quantile"])
 
 

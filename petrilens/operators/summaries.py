@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilens.functions.broadcasts import with_totals
+from petrilens.functions.quantiles import group_quantiles, with_group_quantiles
 from petrilens.operators.graph import dense_ids
 
 
@@ -41,7 +42,7 @@ def nth_row(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataF
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str, k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last rows within ``k`` quartile distances, and the rows beyond them."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = group_quantiles(df, keys, value, (0.25, 0.5, 0.75))
     d = df.join(q, list(keys))
     low, high = F.element_at("q", 1), F.element_at("q", 3)
     inside = F.col(value).between(low - k * (high - low), high + k * (high - low))
@@ -82,7 +83,7 @@ def otsu(df: DataFrame, value: str, keys: Sequence[str], bins: int = 256) -> Dat
 def otsu_trimmed(df: DataFrame, value: str, keys: Sequence[str], bins: int = 256, trim: float = 0.001) -> DataFrame:
     """Threshold per group from its values between the ``trim`` and 1 - ``trim`` quantiles; a group with fewer such values
     than ``bins`` has their mean."""
-    ends = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(trim), F.lit(1 - trim))).alias("_q"))
+    ends = group_quantiles(df, keys, value, (trim, 1 - trim), "_q")
     d = df.join(ends, list(keys)).where(F.col(value).between(F.element_at("_q", 1), F.element_at("_q", 2))).drop("_q")
     mean = d.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_n"))
     return mean.join(otsu(d, value, keys, bins), list(keys)).select(*keys, F.when(F.col("_n") < bins, F.col("_mean")).otherwise(F.col("threshold")).alias("threshold"))
@@ -124,9 +125,8 @@ def min_max(value: str, keys: Sequence[str]) -> Column:
 
 def robust_z(df: DataFrame, value: str, keys: Sequence[str], out: str, eps: float = 1e-9) -> DataFrame:
     """Adds (x - median) / (MAD + eps) within the group."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumn("_med", F.median(value).over(w))
-    d = d.withColumn("_mad", F.median(F.abs(F.col(value) - F.col("_med"))).over(w))
+    d = with_group_quantiles(df, keys, value, _med=0.5)
+    d = with_group_quantiles(d, keys, F.abs(F.col(value) - F.col("_med")), _mad=0.5)
     return d.withColumn(out, (F.col(value) - F.col("_med")) / (F.col("_mad") + eps)).drop("_med", "_mad")
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from petrilens.functions import quantiles
 from petrilens.operators import auction, graph, spatial, track
 
 
@@ -103,3 +104,22 @@ def test_components_and_chains_with_a_hub(spark, monkeypatch, hub):
     links = spark.createDataFrame([(i, hub) for i in range(1, 400) if i != hub] + [(5000 + i, 5001 + i) for i in range(40)] + [(5040, hub)], "c long, p long")
     heads = {r["node"]: r["head"] for r in graph.chain_heads(links, "c", "p").collect()}
     assert set(heads.values()) == {hub} and len(heads) == len(star) + 41
+
+
+@pytest.mark.parametrize("most, bins, final", [(100_000, 1024, 10_000), (40, 8, 5), (0, 3, 2)])
+def test_quantiles_of_groups(spark, monkeypatch, most, bins, final):
+    for name, n in (("MOST", most), ("BINS", bins), ("FINAL", final)):
+        monkeypatch.setattr(quantiles, name, n)
+    rng = np.random.default_rng(4)
+    groups = {"hot": rng.normal(0, 1, 500), "steps": np.repeat([1.0, 2.0, 5.0], 60), "far": np.concatenate([np.zeros(50), [1e300, -1e300]]), "one": np.array([7.0]), None: rng.exponential(1, 90)}
+    rows = [(k, 1, float(v)) for k, values in groups.items() for v in values] + [("none", 1, None), ("hot", 1, None)]
+    d = spark.createDataFrame(rows, "g string, h int, v double")
+    at = (0.0, 0.1, 0.5, 0.975, 1.0)
+    got = {r["g"]: r["q"] for r in quantiles.group_quantiles(d, ["g", "h"], "v", at).collect()}
+    assert set(got) - {"none"} == set(groups)
+    for k, values in groups.items():
+        assert got[k] == pytest.approx(np.quantile(values, at).tolist(), rel=1e-12)
+    own = spark.createDataFrame([("hot", 1, [0.25]), ("steps", 1, [0.9])], "g string, h int, at array<double>")
+    assert {r["g"]: r["q"][0] for r in quantiles.group_quantiles(d, ["g", "h"], "v", own).collect()} == {"hot": pytest.approx(np.quantile(groups["hot"], 0.25)), "steps": 5.0}
+    told = quantiles.with_group_quantiles(d, ["g", "h"], F.abs("v"), _m=0.5).where("g = 'none' or g is null").select("g", "_m").distinct().collect()
+    assert {r["g"]: r["_m"] for r in told} == {"none": None, None: pytest.approx(np.median(groups[None]))}
