@@ -60,10 +60,15 @@ def gaussian_kernel(sigma: float, half: int | None = None) -> list[float]:
 
 
 def median_filter(df: DataFrame, value: str, plane: Sequence[str], out: str, half: int = 1) -> DataFrame:
-    """Adds the median of the square of pixels around (those of them that the image has)."""
-    steps = _steps([(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1)])
-    dealt = df.select(*plane, "y", "x", F.col(value).alias("_v")).withColumn("s", F.explode(steps)).select(*plane, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "_v")
-    return df.join(dealt.groupBy(*plane, "y", "x").agg(F.median("_v").alias(out)), [*plane, "y", "x"])
+    """Adds the median of the square of pixels around, of those that the image has.  The pixels of a plane are a whole
+    rectangle: a window along the row gathers the values beside a pixel, one along the column those rows above and
+    below it, so an axis costs one shuffle and no pixel is copied."""
+    row = F.collect_list(value).over(Window.partitionBy(*plane, "y").orderBy("x").rangeBetween(-half, half))
+    square = F.collect_list("_row").over(Window.partitionBy(*plane, "x").orderBy("y").rangeBetween(-half, half))
+    d = df.withColumn("_row", row).withColumn("_all", F.sort_array(F.flatten(square)))
+    n = F.size("_all")
+    middle = lambda k: F.try_element_at("_all", k.cast("int"))
+    return d.withColumn(out, (middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / 2).drop("_row", "_all")
 
 
 def pixel_features(px: DataFrame, plane: Sequence[str], sigmas: Sequence[float] = (1.0, 2.0)) -> DataFrame:
@@ -76,13 +81,6 @@ def pixel_features(px: DataFrame, plane: Sequence[str], sigmas: Sequence[float]
     return median_filter(d, "intensity", plane, "median")
 
 
-def neighbour_shift(df: DataFrame, value: str, dy: int, dx: int, plane: Sequence[str], out: str) -> DataFrame:
-    """Adds the value at (y + dy, x + dx), null outside."""
-    near = df.select(*[F.col(p).alias(f"_p_{p}") for p in plane], (F.col("y") - dy).alias("_y"), (F.col("x") - dx).alias("_x"), F.col(value).alias(out))
-    on = [F.col(p) == F.col(f"_p_{p}") for p in plane] + [F.col("y") == F.col("_y"), F.col("x") == F.col("_x")]
-    return df.join(near, on, "left").drop("_y", "_x", *[f"_p_{p}" for p in plane])
-
-
 def laplacian(df: DataFrame, value: str, plane: Sequence[str] = PLANE, out: str = "lap") -> DataFrame:
     """Adds the 4-neighbour Laplacian; at an edge the missing neighbour is the pixel itself."""
     total = -4 * F.col(value)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from petrilens.functions import quantiles
-from petrilens.operators import auction, graph, spatial, track
+from petrilens.operators import auction, graph, pixels, spatial, track
 
 
 def _frames(rng, n, gate):
@@ -123,3 +123,13 @@ def test_quantiles_of_groups(spark, monkeypatch, most, bins, final):
     assert {r["g"]: r["q"][0] for r in quantiles.group_quantiles(d, ["g", "h"], "v", own).collect()} == {"hot": pytest.approx(np.quantile(groups["hot"], 0.25)), "steps": 5.0}
     told = quantiles.with_group_quantiles(d, ["g", "h"], F.abs("v"), _m=0.5).where("g = 'none' or g is null").select("g", "_m").distinct().collect()
     assert {r["g"]: r["_m"] for r in told} == {"none": None, None: pytest.approx(np.median(groups[None]))}
+
+
+def test_median_of_squares(spark):
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 50, (7, 9)).astype(float)
+    d = spark.createDataFrame([("s", y, x, float(image[y, x])) for y in range(7) for x in range(9)] + [("t", 0, 0, 3.0)], "stack string, y int, x int, v double")
+    for half in (1, 2):
+        got = {(r["stack"], r["y"], r["x"]): r["m"] for r in pixels.median_filter(d, "v", ["stack"], "m", half).collect()}
+        assert got.pop(("t", 0, 0)) == 3.0
+        assert got == {("s", y, x): np.median(image[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1]) for y in range(7) for x in range(9)}
