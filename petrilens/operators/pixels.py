@@ -426,24 +426,50 @@ def clean_mask(
     return lab.join(good, [*plane, "component"], "left_semi").select(*plane, "y", "x")
 
 
-def morph(mask: DataFrame, plane: Sequence[str], offsets: Sequence[tuple[int, int]], *, width: int, height: int, erode: bool) -> DataFrame:
-    """Dilation of a mask by offsets, or erosion (pixels all of whose offsets in the image lie in the mask)."""
-    sign = -1 if erode else 1
-    moved = mask.select(*plane, "y", "x").withColumn("s", F.explode(_steps(offsets))).select(*plane, (F.col("y") + sign * F.col("s.dy")).alias("y"), (F.col("x") + sign * F.col("s.dx")).alias("x"))
-    moved = moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    n = moved.groupBy(*plane, "y", "x").agg(F.count(F.lit(1)).alias("_n"))
+def _runs(mask: DataFrame, plane: Sequence[str]) -> DataFrame:
+    """(plane, y, a, b): the unbroken runs of pixels of every row."""
+    at = mask.select(*plane, "y", "x").distinct().withColumn("_run", F.col("x") - F.row_number().over(Window.partitionBy(*plane, "y").orderBy("x")))
+    return at.groupBy(*plane, "y", "_run").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_run")
+
+
+def _gaps(runs: DataFrame, rows: DataFrame, plane: Sequence[str], width: int) -> DataFrame:
+    """The runs of the pixels that ``runs`` (apart from each other) leave free in the given rows (plane, y)."""
+    ends = runs.select(*plane, "y", "a", "b").union(rows.select(*plane, "y", F.lit(width).alias("a"), F.lit(width).alias("b")))
+    before = F.coalesce(F.lag("b").over(Window.partitionBy(*plane, "y").orderBy("a")), F.lit(-1))
+    free = ends.select(*plane, "y", (before + 1).alias("a"), (F.col("a") - 1).alias("b")).where("a <= b")
+    return free.join(rows, [*plane, "y"], "left_semi")
+
+
+def _widened(runs: DataFrame, plane: Sequence[str], spans: Sequence[tuple[int, int]], width: int, height: int) -> DataFrame:
+    """Runs moved to each row of the spans and widened there, cut to the image and joined where they meet."""
+    step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(half).alias("half")) for dy, half in spans])).alias("s")
+    moved = runs.select(*plane, "y", "a", "b", step).select(*plane, (F.col("y") + F.col("s.dy")).alias("y"), F.greatest(F.col("a") - F.col("s.half"), F.lit(0)).alias("a"), F.least(F.col("b") + F.col("s.half"), F.lit(width - 1)).alias("b"))
+    row = Window.partitionBy(*plane, "y").orderBy("a", "b")
+    reach = F.max("b").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = moved.where(F.col("y").between(0, height - 1)).withColumn("_new", (reach.isNull() | (F.col("a") > reach + 1)).cast("int"))
+    cuts = cuts.withColumn("_run", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return cuts.groupBy(*plane, "y", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
+
+
+def morph(mask: DataFrame, plane: Sequence[str], spans: Sequence[tuple[int, int]], *, width: int, height: int, erode: bool) -> DataFrame:
+    """Dilation of a mask by a shape of rows (dy, half width), or erosion (pixels all of whose neighbours under the shape
+    that the image has lie in the mask).  Rows of the mask are runs, and what is dealt out is a run for each row of the
+    shape; an erosion widens the runs of the background and takes what they leave."""
+    runs, pixel = _runs(mask, plane), F.explode(F.sequence("a", "b")).alias("x")
     if not erode:
-        return n.drop("_n")
-    there = sum(((F.col("y") + i).between(0, height - 1) & (F.col("x") + j).between(0, width - 1)).cast("int") for i, j in offsets)
-    return n.where(F.col("_n") == there).drop("_n")
+        return _widened(runs, plane, spans, width, height).select(*plane, "y", pixel)
+    every = mask.select(*plane).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    taken = _widened(_gaps(runs, every, plane, width), plane, spans, width, height)
+    return _gaps(taken, runs.select(*plane, "y").distinct(), plane, width).select(*plane, "y", pixel)
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
+    """Rows (dy, half width) of a disk."""
+    return [(dy, math.isqrt(radius * radius - dy * dy)) for dy in range(-radius, radius + 1)]
 
 
 def square(half: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1)]
+    return [(dy, half) for dy in range(-half, half + 1)]
 
 
 def rim_contrast(px: DataFrame, mask: DataFrame, plane: Sequence[str], *, value: str, half: int, width: int, height: int) -> DataFrame:

@@ -133,3 +133,21 @@ def test_median_of_squares(spark):
         got = {(r["stack"], r["y"], r["x"]): r["m"] for r in pixels.median_filter(d, "v", ["stack"], "m", half).collect()}
         assert got.pop(("t", 0, 0)) == 3.0
         assert got == {("s", y, x): np.median(image[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1]) for y in range(7) for x in range(9)}
+
+
+@pytest.mark.parametrize("shape", [pixels.disk(2), pixels.square(1), pixels.disk(4)])
+def test_morphology_by_runs(spark, shape):
+    rng = np.random.default_rng(6)
+    mask = rng.uniform(size=(9, 12)) < 0.7
+    mask[3:9, 2:11] |= rng.uniform(size=(6, 9)) < 0.9
+    mask[2] = False
+    d = spark.createDataFrame([("s", int(y), int(x)) for y, x in np.argwhere(mask)], "stack string, y int, x int")
+    offsets = [(dy, dx) for dy, half in shape for dx in range(-half, half + 1)]
+
+    def want(erode):
+        held = lambda y, x: [mask[y + i, x + j] for i, j in offsets if 0 <= y + i < 9 and 0 <= x + j < 12]
+        return {(y, x) for y in range(9) for x in range(12) if (all if erode else any)(held(y, x))}
+
+    for erode in (False, True):
+        got = [(r["y"], r["x"]) for r in pixels.morph(d, ["stack"], shape, width=12, height=9, erode=erode).collect()]
+        assert len(got) == len(set(got)) and set(got) == want(erode)
