@@ -128,18 +128,43 @@ def mode_profile(modes: DataFrame, mode: int, angles: int) -> DataFrame:
     return m.withColumn("amplitude", 2.0 / angles * F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).withColumn("phase", F.atan2("im", "re"))
 
 
-def power_spectrum(px: DataFrame, plane: Sequence[str]) -> DataFrame:
-    """Centred 2-D power spectrum of each mean-removed plane: plane, fy, fx (cycles per pixel), power.  A group is one
-    plane, whose size is bounded; only the transform runs on it."""
-    kinds = dict(px.dtypes)
+LINES = 64  # lines of a plane that one task transforms
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        img = pdf.pivot(index="y", columns="x", values="intensity").fillna(0.0).to_numpy()
-        p = np.abs(np.fft.fftshift(np.fft.fft2(img - img.mean()))) ** 2 / img.size
-        fy, fx = np.meshgrid(np.fft.fftshift(np.fft.fftfreq(img.shape[0])), np.fft.fftshift(np.fft.fftfreq(img.shape[1])), indexing="ij")
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in plane}, "fy": fy.ravel(), "fx": fx.ravel(), "power": p.ravel()})
 
-    return px.select(*plane, "y", "x", "intensity").groupBy(*plane).applyInPandas(transform, ", ".join(f"{k} {kinds[k]}" for k in plane) + ", fy double, fx double, power double")
+def power_spectrum(px: DataFrame, plane: Sequence[str]) -> DataFrame:
+    """Centred 2-D power spectrum of each mean-removed plane (the rectangle around its pixels; missing ones count 0):
+    plane, fy, fx (cycles per pixel), power.  Blocks of rows are transformed along x, the coefficients are dealt by
+    frequency, and blocks of columns are transformed along y, so a task holds ``LINES`` lines and never a plane.  Of a
+    real line half the frequencies are enough; the others mirror them.  The mean is the coefficient at 0, which is left
+    out."""
+    size = px.groupBy(*plane).agg(F.min("y").alias("_y0"), (F.max("y") - F.min("y") + 1).cast("int").alias("h"), F.min("x").alias("_x0"), (F.max("x") - F.min("x") + 1).cast("int").alias("w"))
+    value = F.coalesce(F.nanvl(F.col("intensity").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("v")
+    d = px.join(size, list(plane)).select(*plane, (F.col("y") - F.col("_y0")).cast("int").alias("y"), (F.col("x") - F.col("_x0")).cast("int").alias("x"), "h", "w", value)
+    head = ", ".join(f"{k} {dict(px.dtypes)[k]}" for k in plane)
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = int(pdf["w"].iloc[0])
+        y, line = np.unique(pdf["y"].to_numpy(), return_inverse=True)
+        img = np.zeros((len(y), w))
+        img[line, pdf["x"].to_numpy()] = pdf["v"].to_numpy()
+        f = np.fft.rfft(img, axis=1)
+        known = {k: pdf[k].iloc[0] for k in (*plane, "h", "w")}
+        return pd.DataFrame({**known, "y": np.repeat(y, f.shape[1]), "u": np.tile(np.arange(f.shape[1]), len(y)), "re": f.real.ravel(), "im": f.imag.ravel()})
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
+        u, column = np.unique(pdf["u"].to_numpy(), return_inverse=True)
+        half = np.zeros((h, len(u)), complex)
+        half[pdf["y"].to_numpy(), column] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        p = np.abs(np.fft.fft(half, axis=0)) ** 2 / (h * w)
+        p[0, u == 0] = 0.0
+        fy, fx, twin = np.fft.fftfreq(h), np.fft.fftfreq(w), (u > 0) & (2 * u < w)
+        at = np.concatenate([fx[u], fx[w - u[twin]]])
+        power = np.concatenate([p, p[-np.arange(h) % h][:, twin]], axis=1)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in plane}, "fy": np.repeat(fy, len(at)), "fx": np.tile(at, h), "power": power.ravel()})
+
+    lines = d.groupBy(*plane, F.floor(F.col("y") / LINES).alias("_block")).applyInPandas(rows, f"{head}, h int, w int, y int, u int, re double, im double")
+    return lines.groupBy(*plane, F.floor(F.col("u") / LINES).alias("_block")).applyInPandas(columns, f"{head}, fy double, fx double, power double")
 
 
 def spectral_features(spec: DataFrame, plane: Sequence[str], bins: int = 20, bands: Sequence[tuple[float, float]] = ((0, 0.1), (0.1, 0.25), (0.25, 0.5))) -> DataFrame:
