@@ -7,10 +7,12 @@ runs on tables as small as the times of all groups.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,18 +63,58 @@ def with_fitted(df: DataFrame, fit: DataFrame, keys: Sequence[str], time: str) -
     return df.join(f, [F.col(k) == F.col(f"_f_{k}") for k in keys]).withColumn("fitted", F.col("A") * (1 - F.exp(-F.col("k") * F.col(time)))).drop("A", "k", *[f"_f_{k}" for k in keys])
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Scrambles 32-bit words: every bit of the word depends on all bits of the one given."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+def replicate_weights(a: np.ndarray, b: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) weights (rows x replicates) from a counter: the r-th draw of a row is a scramble of its two words and
+    r.  Weights of 8 and more (one in 100,000) count as 8."""
+    limits = np.ceil(np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(8)]) * 2.0**32).astype(np.uint32)
+    steps = np.arange(1, replicates + 1, dtype=np.uint32) * np.uint32(0x9E3779B9)
+    draws = _mix(_mix(a.astype(np.uint32)[:, None] + steps) ^ b.astype(np.uint32)[:, None])
+    return sum((draws >= x).astype(np.uint8) for x in limits)
+
+
+def replicate_sums(df: DataFrame, keys: Sequence[str], row: Sequence[str], time: str, value: str, *, replicates: int, seed: int) -> DataFrame:
+    """keys, rep, t, n, sy, syy: ``time_sums`` of every replicate.  A row is never copied: it keeps two words of the md5
+    of the columns ``row``, and tasks add up its weights in arrays by group and time, a batch at a time."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in row]))
+    word = lambda i: F.conv(F.substring(digest, i, 8), 16, 10).cast("long")
+    d = df.where(F.col(time).isNotNull() & F.col(value).isNotNull())
+    d = d.select(*keys, F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("_y"), word(1).alias("_a"), word(9).alias("_b"))
+    groups = [*keys, "t"]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.stack([pc.fill_null(batch[c].dictionary_encode().indices, -1).to_numpy() for c in groups])
+            order = np.lexsort(codes)
+            codes = codes[:, order]
+            starts = np.flatnonzero(np.r_[True, (codes[:, 1:] != codes[:, :-1]).any(0)])
+            y = batch["_y"].to_numpy()[order, None]
+            w = replicate_weights(batch["_a"].to_numpy()[order], batch["_b"].to_numpy()[order], replicates).astype(float)
+            sums = [np.add.reduceat(w * k, starts, axis=0) for k in (np.ones_like(y), y, y * y)]
+            named = [batch[c].take(pa.array(order[starts])) for c in groups]
+            ends = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * replicates)
+            yield pa.RecordBatch.from_arrays([*named, *[pa.ListArray.from_arrays(ends, pa.array(s.ravel())) for s in sums]], [*groups, "n", "sy", "syy"])
+
+    kinds = dict(d.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in groups) + ", n array<double>, sy array<double>, syy array<double>"
+    some = d.mapInArrow(add_up, schema).select(*groups, F.posexplode(F.arrays_zip("n", "sy", "syy")).alias("rep", "s"))
+    sums = some.groupBy(*keys, (F.col("rep") + 1).alias("rep"), "t").agg(*[F.sum(f"s.{c}").alias(c) for c in ("n", "sy", "syy")])
+    return sums.where("n > 0")
+
+
 def bootstrap_band(df: DataFrame, keys: Sequence[str], row: Sequence[str], time: str, value: str, *, replicates: int = 200, last: float, step: float = 1.0, seed: int = 123) -> DataFrame:
-    """2.5 and 97.5 % of the plateau curve over replicates with Poisson(1) row weights from seeded hashes of the columns
-    ``row``, which name a row.  Weights are summed per group, replicate and time before anything is shuffled; weights of
-    8 and more (one in 100,000) count as 8."""
-    limits = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(8)]).tolist()
-    d = df.select(*keys, time, value, *[c for c in row if c not in (*keys, time, value)]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), *[F.col(c).cast("string") for c in row]))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    d = d.withColumn("_u", u)
-    weight = sum((F.when(F.col("_u") >= x, 1.0).otherwise(0.0) for x in limits), F.lit(0.0))
+    """2.5 and 97.5 % of the plateau curve over replicates with Poisson(1) row weights, drawn from the columns ``row``,
+    which name a row, and ``seed``."""
     g = [*keys, "rep"]
-    fit = plateau_from_sums(cut(time_sums(d, g, time, value, weight).where("n > 0")), g, rounds=4)
+    fit = plateau_from_sums(cut(replicate_sums(df, keys, row, time, value, replicates=replicates, seed=seed)), g, rounds=4)
     p = predict_grid(fit, g, last, step)
     return p.groupBy(*keys, "t").agg(F.percentile("fit", F.lit(0.025)).alias("low"), F.percentile("fit", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("replicates"))
 

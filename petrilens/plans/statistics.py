@@ -125,7 +125,18 @@ def growth_predictions(spark, sf):
 
 
 POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(i + 1)) for i in range(8)]
-DRAWS = f"""u AS (SELECT Condition, Time::DOUBLE AS t, Nuclear_Area AS y, rep, ('0x' || substr(md5(concat_ws('|', 123, rep, row_key, Slice)), 1, 8))::BIGINT::DOUBLE / {float(1 << 32)!r}::DOUBLE AS u FROM growth CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS rep)), w AS (SELECT Condition, rep, t, y, {" + ".join(f"CASE WHEN u >= {x!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0 END" for x in POISSON)} AS w FROM u),
+def _mixed(name: str, source: str, start: str) -> str:
+    """CTEs that scramble the 32-bit word ``start`` of ``source`` into column x of ``name``."""
+    word = "(x * {}::UBIGINT) % 4294967296::UBIGINT"
+    steps = [start, "xor(x, x >> 16)", word.format(0x7FEB352D), "xor(x, x >> 15)", word.format(0x846CA68B), "xor(x, x >> 16)"]
+    names = [source, *[f"{name}{i}" for i in range(len(steps) - 1)], name]
+    return ", ".join(f"{n} AS (SELECT Condition, t, y, rep, a, b, {x} AS x FROM {before})" for before, n, x in zip(names, names[1:], steps, strict=False))
+
+
+DRAWS = f"""h AS (SELECT Condition, Time::DOUBLE AS t, Nuclear_Area AS y, md5(concat_ws('|', 123, row_key, Slice)) AS m FROM growth),
+ ab AS (SELECT Condition, t, y, rep, ('0x' || substr(m, 1, 8))::UBIGINT AS a, ('0x' || substr(m, 9, 8))::UBIGINT AS b FROM h CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS rep)),
+ {_mixed("u", "ab", f"(a + rep::UBIGINT * {0x9E3779B9}::UBIGINT) % 4294967296::UBIGINT")}, {_mixed("v", "u", "xor(x, b)")},
+ w AS (SELECT Condition, rep, t, y, {" + ".join(f"CASE WHEN x::DOUBLE / {float(1 << 32)!r}::DOUBLE >= {p!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0 END" for p in POISSON)} AS w FROM v),
  sums AS MATERIALIZED (SELECT Condition, rep, t, sum(w) AS n, sum(w * y) AS sy, sum(w * y * y) AS syy FROM w GROUP BY 1, 2, 3 HAVING sum(w) > 0)"""
 
 
