@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from petrilens.functions.quantiles import group_quantiles, with_group_quantiles
 from petrilens.operators.graph import components_of, cut
+from petrilens.operators.nearest_seed import nearest_seed
 from petrilens.operators.spatial import near_pairs
 from petrilens.operators.summaries import histogram, min_max, otsu
 
@@ -196,12 +197,14 @@ def regions(labels: DataFrame, keys: Sequence[str], least_area: int = 1) -> Data
 
 
 def solidity(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, solidity: pixels over the area of their convex hull (corners of pixels).  A group holds one region's pixels."""
+    """keys, solidity: pixels over the area of their convex hull (corners of pixels).  Only the ends of its rows can be
+    corners of a region's hull, so a group holds two pixels a row of the region."""
+    rows = labels.groupBy(*keys, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n"))
     kinds = dict(labels.dtypes)
 
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(float), pdf["x"].to_numpy(float)
-        pts = np.unique(np.concatenate([np.stack([x + i, y + j], 1) for i in (-0.5, 0.5) for j in (-0.5, 0.5)]), axis=0)
+        y, a, b = (pdf[c].to_numpy(float) for c in ("y", "a", "b"))
+        pts = np.unique(np.concatenate([np.stack([x, y + j], 1) for x in (a - 0.5, b + 0.5) for j in (-0.5, 0.5)]), axis=0)
 
         def half(points: np.ndarray) -> list:
             out: list = []
@@ -213,9 +216,9 @@ def solidity(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
         h = np.array(half(pts) + half(pts[::-1]))
         area = abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "solidity": [len(pdf) / area]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "solidity": [pdf["n"].sum() / area]})
 
-    return labels.select(*keys, "y", "x").groupBy(*keys).applyInPandas(hull, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", solidity double")
+    return rows.groupBy(*keys).applyInPandas(hull, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", solidity double")
 
 
 def focus_objects(
@@ -319,16 +322,16 @@ def distances(px: DataFrame, labels: DataFrame, plane: Sequence[str], radius: fl
 
 def inside_distance(labels: DataFrame, plane: Sequence[str], radius: float, key: str = "label", px: DataFrame | None = None) -> DataFrame:
     """``labels`` with depth: distance of a pixel to the nearest pixel outside its label, ``radius`` + 1 where none is
-    within ``radius``.  With ``px`` only pixels of the image count as outside, else also places beyond its ends.  The
-    nearest one is a 4-neighbour of the label, so only these meet its pixels."""
+    within ``radius``.  With ``px`` (whole rectangles) only pixels of the image count as outside, else also places beyond
+    its ends.  The nearest one is a 4-neighbour of the label, so a label's pixels and these are all that is looked at."""
     slim = labels.select(*plane, key, "y", "x")
     rim = slim.withColumn("s", F.explode(_steps(_FOUR))).select(*plane, key, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).distinct()
     rim = rim.join(slim, [*plane, key, "y", "x"], "left_anti")
     if px is not None:
         rim = rim.join(px.select(*plane, "y", "x"), [*plane, "y", "x"], "left_semi")
-    rim = rim.select(*[F.col(p).alias(f"_r_{p}") for p in plane], F.col(key).alias("_rk"), F.col("y").alias("_ry"), F.col("x").alias("_rx"))
-    pairs = near_pairs(slim, rim, radius=radius, on=[*((p, f"_r_{p}") for p in plane), (key, "_rk")], xy=("x", "y"), right_xy=("_rx", "_ry"))
-    near = pairs.groupBy(*plane, key, "y", "x").agg(F.min("distance").alias("_d"))
+    cells = slim.withColumn("_seed", F.lit(None).cast("int")).unionByName(rim.withColumn("_seed", F.lit(1)))
+    near = nearest_seed(cells, plane, "_seed", apart=[key]).where(F.col("distance").between(0.5, radius))
+    near = near.select(*plane, key, "y", "x", F.col("distance").alias("_d"))
     return labels.join(near, [*plane, key, "y", "x"], "left").withColumn("depth", F.coalesce("_d", F.lit(radius + 1.0))).drop("_d")
 
 
@@ -387,9 +390,10 @@ def boundary_halos(px: DataFrame, labels: DataFrame, plane: Sequence[str], *, st
 
 def territories(px: DataFrame, nuclei: DataFrame, droplets: DataFrame, plane: Sequence[str], radius: float) -> DataFrame:
     """Pixels of a droplet within ``radius`` of a nucleus, each given to the nearest nucleus (ties: least label) of its
-    own droplet: plane, y, x, nucleus_id, droplet_id, distance."""
-    d = distances(px, nuclei, plane, radius, "nucleus_id")
-    near = d.groupBy(*plane, "y", "x").agg(F.min(F.struct("distance", "nucleus_id")).alias("m")).select(*plane, "y", "x", "m.distance", "m.nucleus_id")
+    own droplet: plane, y, x, nucleus_id, droplet_id, distance.  ``px`` holds whole planes."""
+    seeds = nuclei.groupBy(*plane, "y", "x").agg(F.min("nucleus_id").alias("nucleus_id"))
+    cells = px.select(*plane, "y", "x").join(seeds, [*plane, "y", "x"], "left")
+    near = nearest_seed(cells, plane, "nucleus_id").where(F.col("distance") <= radius)
     shared = nuclei.join(droplets, [*plane, "y", "x"]).groupBy(*plane, "nucleus_id", "droplet_id").agg(F.count(F.lit(1)).alias("_n"))
     home = shared.groupBy(*plane, "nucleus_id").agg(F.min(F.struct((-F.col("_n")).alias("n"), "droplet_id")).alias("h")).select(*plane, "nucleus_id", F.col("h.droplet_id").alias("_home"))
     j = near.join(droplets, [*plane, "y", "x"]).join(home, [*plane, "nucleus_id"])
