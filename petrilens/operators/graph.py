@@ -52,9 +52,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     halves, and a checkpoint ends the round's lineage.  While at most ``_FEW`` edges are left (counted each round), they
     lie in one partition, so that a round of a small graph shuffles nothing.  A hub is no hot key (see ``join_one``).
     """
-    e = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    loops = cut(e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("component")).distinct())
-    now = cut(e.where("x < y").distinct())
+    e = cut(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <= y").distinct())
+    loops = e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("component"))
+    now = e.where("x < y")
     seen = _mark(now, "x", "y")
     pair = lambda p, q, p_name, q_name: F.struct(p.alias(p_name), q.alias(q_name))
     while True:
