@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,11 +27,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """``df`` (narrow rows) from a checkpoint, in as few partitions as its rows need at ``rows`` each, and their number,
+    which the job that writes the checkpoint counts.  A small result of a shuffle then costs later steps a task or two
+    instead of one for each of its mostly empty partitions; a large one stays as it was dealt."""
+    seen = Observation()
+    held = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get.get("n")
+    n = held.count() if n is None else n
+    parts = max(1, -(-n // rows))
+    return (held.coalesce(parts) if parts < held.rdd.getNumPartitions() else held), n
+
+
 def _mark(df: DataFrame, *cols: str):
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).head())
 
 
-#: Edges up to which a round runs in one task, without any exchange.
+#: Edges up to which the rest of a graph is tied in one task, without any exchange.
 _FEW = 100_000
 #: At most so many keys are split off as hot: those that have more than this part of the rows.
 _HOT = 5_000
@@ -45,22 +59,45 @@ def join_one(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFrame:
     return light.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key))
 
 
+def _tie_few(edges: DataFrame) -> DataFrame:
+    """(node, component) for at most ``_FEW`` edges (x, y) of one partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+
+        def top(v):
+            while up.setdefault(v, v) != v:
+                up[v] = v = up[up[v]]
+            return v
+
+        for batch in batches:
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = top(x), top(y)
+                up[max(x, y)] = min(x, y)
+        yield pd.DataFrame({"node": list(up), "component": [top(v) for v in up]})
+
+    kind = edges.schema["x"].dataType.simpleString()
+    return edges.mapInPandas(run, f"node {kind}, component {kind}")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of the edges with the least node it reaches.
 
     Each round ties a node's larger neighbours, then its smaller ones, to its least neighbour; the longest path about
-    halves, and a checkpoint ends the round's lineage.  While at most ``_FEW`` edges are left (counted each round), they
-    lie in one partition, so that a round of a small graph shuffles nothing.  A hub is no hot key (see ``join_one``).
+    halves, and a checkpoint ends the round's lineage.  A hub is no hot key (see ``join_one``).  At most ``_FEW`` edges
+    (counted) between whole numbers or strings need no rounds: one task ties them.
     """
-    e = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    loops = cut(e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("component")).distinct())
-    now = cut(e.where("x < y").distinct())
+    e, n = packed(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct())
+    loops = e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("component"))
+    now = e.where("x < y")
+    if n <= _FEW and now.schema["x"].dataType.simpleString() in ("int", "bigint", "string"):
+        tied = cut(_tie_few(now.coalesce(1)))
+        return tied.union(loops.join(tied.select("node"), "node", "left_anti"))
     seen = _mark(now, "x", "y")
     pair = lambda p, q, p_name, q_name: F.struct(p.alias(p_name), q.alias(q_name))
     while True:
-        work = now.coalesce(1) if seen[0] <= _FEW else now
         x, y, m = F.col("x"), F.col("y"), F.col("m")
-        both = work.select(F.inline(F.array(pair(x, y, "u", "v"), pair(y, x, "u", "v"))))
+        both = now.select(F.inline(F.array(pair(x, y, "u", "v"), pair(y, x, "u", "v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         up = join_one(both.where("v > u"), least, "u", seen[0]).select(m.alias("x"), F.col("v").alias("y")).where("x < y").distinct()
         low = up.groupBy("y").agg(F.min("x").alias("m"))
