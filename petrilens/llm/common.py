@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrilens.operators.graph import cut, shared_dir
+from petrilens.operators.graph import cut, packed, shared_dir
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,4 +72,4 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
             spark.conf.set(key, str(most))
 
 
-__all__ = ["WORD", "bounded_batches", "cut", "fresh_path", "handing_back", "maybe_broadcast", "n_words", "shared_dir", "spread", "table"]
+__all__ = ["WORD", "bounded_batches", "cut", "fresh_path", "handing_back", "maybe_broadcast", "n_words", "packed", "shared_dir", "spread", "table"]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import bounded_batches, cut, handing_back, maybe_broadcast, spread
+from petrilens.llm.common import bounded_batches, cut, handing_back, maybe_broadcast, packed, spread
 from petrilens.operators.graph import connected_components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,26 +70,28 @@ def _ball(value: Column) -> Column:
     return F.transform(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)]), lambda m: value.bitwiseXOR(m))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, between all fingerprints of ``distinct(fp)`` at 2 or fewer differing bits."""
-    fps = spread(distinct.select("fp"), "fp")
+def links(distinct: DataFrame, name: str = "fp") -> DataFrame:
+    """Links (a, b) between all fingerprints of ``distinct(fp)`` at 2 or fewer differing bits, as fingerprints or as
+    what the long column ``name`` calls them; the lesser fingerprint of a link is ``a``'s."""
+    fps = spread(distinct.select("fp", F.col(name).alias("name")), "fp")
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
     entry = lambda segment, value: F.struct(F.lit(segment).cast("tinyint").alias("segment"), value.alias("value"))
-    table = fps.select("fp", F.explode(F.array(entry(0, low), entry(1, high))).alias("e")).select("fp", "e.segment", "e.value")
+    table = fps.select("fp", "name", F.explode(F.array(entry(0, low), entry(1, high))).alias("e")).select("fp", "name", "e.segment", "e.value")
     asked = F.concat(F.transform(_ball(low), lambda v: entry(0, v)), F.array(entry(1, high)))
-    probes = fps.select("fp", F.explode(asked).alias("e")).select(F.col("fp").alias("q"), "e.segment", "e.value")
-    hot = cut(table.groupBy("segment", "value").count().filter(F.col("count") > _MOST).select("segment", "value"))
+    probes = fps.select("fp", "name", F.explode(asked).alias("e")).select(F.col("fp").alias("q"), F.col("name").alias("q_name"), "e.segment", "e.value")
+    hot, n_hot = packed(table.groupBy("segment", "value").count().filter(F.col("count") > _MOST).select("segment", "value"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("q")))
 
     def matched(t: DataFrame, p: DataFrame, key: list[str]) -> DataFrame:
         met = t.join(p, key).filter((F.col("fp") != F.col("q")) & (distance <= 2))
-        return met.select(F.least("fp", "q").alias("a"), F.greatest("fp", "q").alias("b"))
+        first = F.col("fp") < F.col("q")
+        return met.select(F.when(first, F.col("name")).otherwise(F.col("q_name")).alias("a"), F.when(first, F.col("q_name")).otherwise(F.col("name")).alias("b"))
 
     key = ["segment", "value"]
-    if hot.isEmpty():
+    if not n_hot:
         return matched(table, probes, key).distinct()
-    hot = maybe_broadcast(hot)
+    hot = F.broadcast(hot) if n_hot <= 50_000 else hot
     other = lambda c: F.when(F.col("segment") == 0, F.shiftrightunsigned(c, 32)).otherwise(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     finer = lambda d, c: d.join(hot, key, "left_semi").withColumn("near", F.explode(_ball(other(c))))
     cold = matched(table.join(hot, key, "left_anti"), probes.join(hot, key, "left_anti"), key)
@@ -189,14 +191,15 @@ def similar_groups(texts: DataFrame, made: DataFrame, known: DataFrame, *, words
     held = classes.select("same", "n", F.posexplode("bands").alias("band", "key"))
     one = F.struct("same", "n")
     ends = held.groupBy("band", "key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    near = cut(held.join(ends, ["band", "key"]))
+    near, _ = packed(held.join(ends, ["band", "key"]))
     sides = [near.select(F.col(f"{e}.same").alias("a"), F.col(f"{e}.n").alias("n_a"), F.col("same").alias("b"), F.col("n").alias("n_b")) for e in ("lo", "hi")]
     # Sizes bound the similarity from above.
     pairs = sides[0].union(sides[1]).filter("a <> b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = cut(pairs.select("a", "b", "n_b").distinct())
+    pairs, _ = packed(pairs.select("a", "b", "n_b").distinct())
     crowds = near.filter("size > 3").select("same", "band", "key")
-    asked = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).union(crowds.select("same")).distinct()
-    reps = maybe_broadcast(cut(classes.join(asked, "same").select("rep").distinct()), 1_000_000)
+    asked = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).union(crowds.select("same"))
+    reps, n_reps = packed(classes.join(asked, "same", "left_semi").select("rep"), 1_000_000)
+    reps = F.broadcast(reps) if n_reps <= 1_000_000 else reps
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,36 +209,38 @@ def similar_groups(texts: DataFrame, made: DataFrame, known: DataFrame, *, words
 
     whole = texts.join(reps, F.col("id") == F.col("rep"), "left_semi").mapInPandas(handing_back(sets), "same long, shingles binary")
     whole = cut(whole.groupBy("same").agg(F.first("shingles").alias("shingles")))
-    similar = cut(verified(pairs, whole, similarity))
-    root = cut(connected_components(known.union(similar)).select(F.col("node").alias("same"), F.col("component").alias("root")))
+    similar, _ = packed(verified(pairs, whole, similarity))
+    root, _ = packed(connected_components(known.union(similar)).select(F.col("node").alias("same"), F.col("component").alias("root")))
     crowd = crowds.join(root, "same", "left").withColumn("root", F.coalesce("root", "same"))
     split = crowd.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
-    rest = cut(crowd.join(split.select("band", "key"), ["band", "key"], "left_semi").select("same", "root").distinct())
-    if rest.isEmpty():
+    rest, n_rest = packed(crowd.join(split.select("band", "key"), ["band", "key"], "left_semi").select("same", "root").distinct())
+    if not n_rest:
         return root
-    sizes = rest.join(classes.select(F.col("same").alias("b"), F.col("n").alias("n_b")).distinct(), F.col("same") == F.col("b")).select("b", "n_b")
-    open_ones = cut(open_pairs(whole.join(rest, "same").select(F.col("same").alias("id"), "root", "shingles"), similarity).join(sizes, "b").select("a", "b", "n_b"))
-    more = cut(verified(open_ones, whole, similarity))
-    if more.isEmpty():
+    sizes = rest.join(classes.select("same", F.col("n").alias("n_b")), "same").select(F.col("same").alias("b"), "n_b")
+    open_ones, n_open = packed(open_pairs(whole.join(rest, "same").select(F.col("same").alias("id"), "root", "shingles"), similarity).join(sizes, "b").select("a", "b", "n_b"))
+    if not n_open:
+        return root
+    more, n_more = packed(verified(open_ones, whole, similarity))
+    if not n_more:
         return root
     # The new links tie whole groups: only these are joined again.
     for side in ("a", "b"):
         more = more.join(root.select(F.col("same").alias(side), F.col("root").alias(f"r_{side}")), side, "left").withColumn(f"r_{side}", F.coalesce(f"r_{side}", side))
-    top = cut(connected_components(more.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).filter("a <> b")).toDF("node", "component"))
+    top, _ = packed(connected_components(more.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).filter("a <> b")).toDF("node", "component"))
     moved = root.join(top, F.col("root") == F.col("node"), "left").select("same", F.coalesce("component", "root").alias("root"))
     single = top.join(root.select("same"), F.col("node") == F.col("same"), "left_anti").select(F.col("node").alias("same"), F.col("component").alias("root"))
-    return cut(moved.union(single))
+    return packed(moved.union(single))[0]
 
 
 def verified(pairs: DataFrame, whole: DataFrame, similarity: float, most: int = 1 << 20) -> DataFrame:
-    """The links (a, b), a < b, of ``pairs(a, b, n_b)`` whose sets in ``whole(same, shingles)`` are similar enough.
+    """The links (a, b), a < b (some of them twice), of ``pairs(a, b, n_b)`` whose sets in ``whole(same, shingles)`` are similar enough.
 
     The partners of a set are dealt to parts of about ``most`` shingles, so a set with many partners is no hot key.  A
     part is a run of sorted rows, the set itself first and its partners after it; a task keeps one set and one batch.
     """
-    load = pairs.groupBy("a").agg((F.ceil(F.sum("n_b") / most)).cast("long").alias("parts")).filter("parts > 1")
-    dealt = pairs.join(maybe_broadcast(cut(load)), "a", "left")
-    dealt = cut(dealt.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("part")))
+    load, n_load = packed(pairs.groupBy("a").agg((F.ceil(F.sum("n_b") / most)).cast("long").alias("parts")).filter("parts > 1"))
+    dealt = pairs.join(F.broadcast(load) if n_load <= 50_000 else load, "a", "left") if n_load else pairs.withColumn("parts", F.lit(None).cast("long"))
+    dealt = dealt.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("part"))
     firsts = dealt.select("a", "part").distinct().join(whole, F.col("a") == F.col("same")).select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
     rows = firsts.unionByName(dealt.join(whole, F.col("b") == F.col("same")).select("a", "part", "b", "shingles"))
 
@@ -256,7 +261,7 @@ def verified(pairs: DataFrame, whole: DataFrame, similarity: float, most: int =
 
     # Text keeps all 64 bits of a name beside a null.
     keyed = rows.select("a", "part", F.col("b").cast("string").alias("b"), "shingles")
-    return spread(keyed, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInPandas(handing_back(run), "a long, b long").distinct()
+    return spread(keyed, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInPandas(handing_back(run), "a long, b long")
 
 
 def drop_near_duplicates(
@@ -266,24 +271,26 @@ def drop_near_duplicates(
     is repeated); rows with a null id stay.  Groups are the components of the fingerprint links, of the links of
     similar texts and of the rows that repeat an id."""
     named = docs.filter(F.col(id_col).isNotNull())
-    made = cut(signatures(named, id_col=id_col, text_col=text_col, words_in=words_in, bands=bands, rows=rows))
+    made, _ = packed(signatures(named, id_col=id_col, text_col=text_col, words_in=words_in, bands=bands, rows=rows), 20_000)
     texts = named.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    of_fp = cut(made.groupBy("fp").agg(F.min("same").alias("first"), F.max("same").alias("last")))
-    first = of_fp.select("fp", "first")
-    near = links(first).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    equal = made.join(of_fp.filter("first < last"), "fp").select("first", "same")
-    repeats = made.groupBy("id").agg(F.min("same").alias("x"), F.max("same").alias("y")).filter("x < y")
-    again = made.join(maybe_broadcast(cut(repeats)), "id").select("x", "same")
-    known = near.union(equal).union(again).toDF("a", "b").filter("a <> b")
-    root = similar_groups(texts, made, known, words_in=words_in, similarity=similarity)
-    whose = made.select("id", "same").join(root, "same", "left").select("id", F.coalesce("root", "same").alias("root"))
+    of_fp, _ = packed(made.groupBy("fp").agg(F.min("same").alias("first"), F.max("same").alias("last")))
+    known = links(of_fp, "first")
+    several, n_several = packed(of_fp.filter("first < last").select("fp", "first"))
+    if n_several:  # sets with one fingerprint
+        several = F.broadcast(several) if n_several <= 50_000 else several
+        known = known.union(made.join(several, "fp").select("first", "same").distinct())
+    often, n_often = packed(made.groupBy("id").agg(F.min("same").alias("x"), F.max("same").alias("y"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id", "x", "y"))
+    often = F.broadcast(often) if n_often <= 1_000_000 else often
+    if n_often:  # sets of one id
+        known = known.union(made.join(often.filter("x < y"), "id").select("x", "same"))
+    root = similar_groups(texts, made, known.toDF("a", "b").filter("a <> b"), words_in=words_in, similarity=similarity)
+    whose, _ = packed(made.select("id", "same").join(root, "same", "left").select("id", F.coalesce("root", "same").alias("root")))
     least = whose.groupBy("root").agg(F.min("id").alias("least"))
-    gone = maybe_broadcast(cut(whose.join(least, "root").filter("id <> least").select(F.col("id").alias("_gone")).distinct()), 1_000_000)
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    often = cut(made.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_often")))
-    if often.isEmpty():
+    gone, n_gone = packed(whose.join(least, "root").filter("id <> least").select(F.col("id").alias("_gone")), 1_000_000)
+    kept = docs.join(F.broadcast(gone) if n_gone <= 1_000_000 else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    if not n_often:
         return kept
-    often = maybe_broadcast(often, 1_000_000)
+    often = often.select(F.col("id").alias("_often"))
     w = Window.partitionBy(id_col).orderBy(text_col)
     one_each = kept.join(often, F.col(id_col) == F.col("_often"), "left_semi").withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
     return kept.join(often, F.col(id_col) == F.col("_often"), "left_anti").unionByName(one_each)
