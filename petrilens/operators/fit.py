@@ -223,3 +223,92 @@ def monotone_trend(df: DataFrame, keys: Sequence[str], time: str, value: str, *,
         return pdf[[*keys, "t"]].assign(trend=fit)
 
     return sums.groupBy(*keys).applyInPandas(pool, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", t double, trend double")
+
+
+def _rising(t: Column, step: Column, intervals: int) -> Column:
+    """Values at t of ``intervals`` + 3 functions that rise from 0 to 1 (the first is 1): sums of the cubic B-splines on
+    even knots from each one on."""
+
+    def bell(u: Column) -> Column:
+        a = F.abs(u)
+        return F.when(a < 1, 2 / 3 - a * a + a * a * a / 2).when(a < 2, F.pow(2 - a, F.lit(3.0)) / 6).otherwise(0.0)
+
+    bells = F.array(*[bell(t / step - j) for j in range(-1, intervals + 2)])
+    return F.aggregate(F.reverse(bells), F.array().cast("array<double>"), lambda got, x: F.concat(F.array(x + F.coalesce(F.get(got, F.lit(0)), F.lit(0.0))), got))
+
+
+def rising_solution(gram: np.ndarray, right: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Coefficients c, all but the first at least 0, of the least c'Gc - 2r'c + penalty * (differences of neighbours from
+    the second on)^2, and the effective degrees of freedom of the free ones."""
+    m = len(right)
+    d = np.diff(np.eye(m)[1:], axis=0)
+    scale = max(np.trace(gram) / m, 1e-300)
+    full = gram + penalty * scale * d.T @ d + 1e-10 * scale * np.eye(m)
+    free, c = np.zeros(m, bool), np.zeros(m)
+    free[0] = True
+    c[0] = right[0] / full[0, 0]
+    for _ in range(10 * m):
+        slope = right - full @ c
+        slope[free] = 0
+        if slope.max() <= 1e-9 * max(np.abs(right).max(), 1e-300):
+            break
+        free[slope.argmax()] = True
+        while True:
+            at = np.flatnonzero(free)
+            want = np.linalg.solve(full[np.ix_(at, at)], right[at])
+            bad = (want < 0) & (at > 0)
+            if not bad.any():
+                break
+            now = c[at]
+            share = (now[bad] / np.maximum(now[bad] - want[bad], 1e-300)).min()
+            c[at] = now + share * (want - now)
+            gone = at[bad & (c[at] <= 1e-14 * max(np.abs(c).max(), 1e-300))]
+            free[gone if len(gone) else at[bad][:1]] = False
+            c[~free] = 0
+        c[:] = 0
+        c[at] = want
+    at = np.flatnonzero(free)
+    return c, float(np.trace(np.linalg.solve(full[np.ix_(at, at)], gram[np.ix_(at, at)])))
+
+
+def monotone_spline(
+    df: DataFrame, keys: Sequence[str], time: str, value: str, *, onset: float = 0.0, intervals: int = 8, penalties: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)
+) -> DataFrame:
+    """Smooth increasing trend after ``onset`` per group, at its distinct times: a cubic spline on even knots whose
+    increments are non-negative, penalised by their differences; the penalty has the least generalised cross validation.
+    Columns: keys, t (time after the onset, 0 before it), trend, penalty.
+
+    The normal equations are grouped sums over the distinct times; a task then solves (``intervals`` + 3) unknowns a
+    group.  Rows with a null time or value are left out; a group with one time has its mean; null keys are a group;
+    there is at least one key.
+    """
+    m = intervals + 3
+    rows = df.withColumn("_since", F.greatest(F.lit(0.0), F.col(time).cast("double") - F.lit(float(onset))))
+    sums = cut(time_sums(rows.where(F.col(time).isNotNull()), keys, "_since", value))
+    named = lambda d, tag: d.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], *[c for c in d.columns if c not in keys])
+    every = lambda tag: [F.col(k).eqNullSafe(F.col(f"{tag}{k}")) for k in keys]
+    ends = named(sums.groupBy(*keys).agg(F.max("t").alias("_end")), "_e_")
+    step = F.when(F.col("_end") > 0, F.col("_end") / intervals).otherwise(1.0)
+    based = sums.join(ends, every("_e_")).withColumn("b", _rising(F.col("t"), step, intervals)).select(*keys, "t", "n", "sy", "syy", "b")
+    products = F.flatten(F.transform("b", lambda x: F.transform("b", lambda y: x * y * F.col("n"))))
+    parts = F.concat(products, F.transform("b", lambda x: x * F.col("sy")), F.array("n", "syy"))
+    added = based.select(*keys, F.posexplode(parts).alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
+    equations = added.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("sums"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for told in batch["sums"]:
+                g, r, (n, syy) = told[: m * m].reshape(m, m), told[m * m : m * m + m], told[-2:]
+                tried = []
+                for p in penalties:
+                    c, freedom = rising_solution(g, r, p)
+                    left = max(syy - 2 * c @ r + c @ g @ c, 0.0)
+                    tried.append((n * left / max(n - freedom, 1e-9) ** 2, p, c))
+                found.append(min(tried, key=lambda x: x[:2])[1:])
+            yield batch.drop(columns="sums").assign(penalty=[float(p) for p, _ in found], c=[list(c) for _, c in found])
+
+    kinds = dict(sums.dtypes)
+    solved = equations.mapInPandas(solve, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "penalty double", "c array<double>"]))
+    trend = F.aggregate(F.zip_with("b", "c", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return based.join(named(cut(solved), "_s_"), every("_s_")).select(*keys, "t", trend.alias("trend"), "penalty")

@@ -170,6 +170,11 @@ def monotone_trend(spark, sf):
     return fit.monotone_trend(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area", onset=3.0).select("Condition", "t", r("trend", 4).alias("trend"))
 
 
+@query("monotone_spline")
+def monotone_spline(spark, sf):
+    return fit.monotone_spline(X.growth(spark, sf), ["Condition"], "Time", "Nuclear_Area", onset=3.0).select("Condition", "t", r("trend", 4).alias("trend"))
+
+
 @query("halo_rank", f"""WITH {X.FIJI}, s AS (SELECT suppkey AS c, Slice AS sl FROM fiji QUALIFY row_number() OVER (PARTITION BY suppkey ORDER BY Area DESC, row_key, Slice) = 1), d AS (SELECT f.*, row_number() OVER (PARTITION BY suppkey ORDER BY Area, row_key, Slice) AS rn FROM fiji f JOIN s ON suppkey = c AND Slice = sl),
  g AS (SELECT suppkey, max(rn) AS n, any_value(Slice) AS Slice, max(Mean) FILTER (WHERE rn = 4) AS m4, max(Area) FILTER (WHERE rn = 1) AS a1, max(Area) FILTER (WHERE rn = 4) AS a4, max(Area) FILTER (WHERE rn = 5) AS a5, max(Area) FILTER (WHERE rn = 8) AS a8, max(IntDen) FILTER (WHERE rn = 5) AS i5, max(IntDen) FILTER (WHERE rn = 8) AS i8, max(m_IntDen) FILTER (WHERE rn = 1) AS q1, max(m_IntDen) FILTER (WHERE rn = 5) AS q5 FROM d GROUP BY 1)
  SELECT suppkey, Slice, round(m4 / (m4 + (i8 - i5) / nullif(a8 - a5, 0)), 6) AS N_C_V2, round((q5 - q1) - (a5 - a1) * q1 / a1, 1) AS Nuclear_Membrane, round(((q5 - q1) - (a5 - a1) * q1 / a1) / (2 * pi() * sqrt(a4 / (6.1538::DOUBLE * 6.1538) / pi())), 3) AS Nuclear_Membrane_BG_Subtracted FROM g WHERE n >= 8""")
