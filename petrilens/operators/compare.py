@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilens.functions.cdf import f_p, t_p, z_p
@@ -57,14 +58,20 @@ def rank_sum(df: DataFrame, *, bin: str, condition: str, value: str, pairs: Sequ
     return g.select(bin, "a", "b", "n_a", "n_b", "u", "z", "p", (F.col("_mb") - F.col("_ma")).alias("median_difference"))
 
 
-def adjust_bh(df: DataFrame, family: Sequence[str], p: str, key: Sequence[str], out: str = "p_adj") -> DataFrame:
-    """Adds Benjamini-Hochberg p values within a family; null p values stay null and don't count."""
-    known = F.col(p).isNotNull()
-    w = Window.partitionBy(*family, known).orderBy(F.col(p), *key)
-    d = df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(p).over(Window.partitionBy(*family, known)))
-    d = d.withColumn("_q", F.col(p) * F.col("_n") / F.col("_rn"))
-    ahead = Window.partitionBy(*family, known).orderBy("_rn").rowsBetween(0, Window.unboundedFollowing)
-    return d.withColumn(out, F.when(known, F.least(F.lit(1.0), F.min("_q").over(ahead)))).drop("_rn", "_n", "_q")
+def adjust_bh(df: DataFrame, family: Sequence[str], p: str, key: Sequence[str] = (), out: str = "p_adj") -> DataFrame:
+    """Adds Benjamini-Hochberg p values within a family; null p values stay null and don't count.
+
+    Equal p values share the adjusted one (that of the last rank among them), so the windows hold a family's distinct
+    p values, and both run from one end.  The result does not depend on ``key``, the order of rows with equal p values."""
+    names = {k: f"_f_{k}" for k in family}
+    seen = df.where(F.col(p).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in names.items()], F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    upto = Window.partitionBy(*names.values()).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*names.values()).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    all_of = seen.groupBy(*[F.col(n).alias(f"{n}_") for n in names.values()]).agg(F.sum("_k").alias("_n"))
+    same = lambda a, b: reduce(Column.__and__, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)], F.lit(True))
+    d = seen.withColumn("_rn", F.sum("_k").over(upto)).join(all_of, same(names.values(), [f"{n}_" for n in names.values()]))
+    d = d.withColumn("_q", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_n") / F.col("_rn")).over(ahead))).select(*names.values(), "_p", "_q")
+    return df.join(d, same([*family, p], [*names.values(), "_p"]), "left").withColumn(out, F.col("_q")).drop(*names.values(), "_p", "_q")
 
 
 def contrast_table(df: DataFrame, *, bin: str, condition: str, value: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -121,7 +128,7 @@ def halo_rank(df: DataFrame, *, cluster: str, px_per_um: float, key: Sequence[st
     g = d.groupBy(cluster).agg(F.max("_rn").alias("_n"), F.first("Slice").alias("Slice"), *cols).where("_n >= 8")
     outer = F.try_divide(F.col("IntDen8") - F.col("IntDen5"), F.col("Area8") - F.col("Area5"))
     area = F.col("Area4") / F.lit(px_per_um * px_per_um)
-    signal = lambda c: (F.col(f"{c}5") - F.col(f"{c}1")) - (F.col("Area5") - F.col("Area1")) * F.try_divide(F.col(f"{c}1"), F.col("Area1"))
+    signal = lambda c: (F.col(f"{c}5") - F.col(f"{c}1")) - F.try_divide((F.col("Area5") - F.col("Area1")) * F.col(f"{c}1"), F.col("Area1"))
     perimeter = 2 * F.pi() * F.sqrt(area / F.pi())
     return g.select(
         cluster, F.try_divide(F.col("Mean4"), F.col("Mean4") + outer).alias("N_C_V2"), signal("m_IntDen").alias("Nuclear_Membrane"), F.try_divide(signal("m_IntDen"), perimeter).alias("Nuclear_Membrane_BG_Subtracted"),
