@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilens.functions.broadcasts import with_totals
-from petrilens.functions.quantiles import group_quantiles, with_group_quantiles
-from petrilens.operators.graph import dense_ids
+from petrilens.functions.quantiles import _join as join_keys
+from petrilens.functions.quantiles import _maybe_broadcast as maybe_broadcast
+from petrilens.functions.quantiles import group_quantiles
+from petrilens.operators.graph import cut, dense_ids
 
 
 def describe_groups(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -100,11 +102,11 @@ def cluster_summary(df: DataFrame, keys: Sequence[str], *, distance: str, intens
 def weighted_focus(df: DataFrame, weights: dict[str, float], keys: Sequence[str], fallback: str, out: str = "focus") -> DataFrame:
     """Adds the weighted sum of the robust z of several scores within the group; where a score is null, the robust z of
     ``fallback``."""
-    d = df
-    for i, n in enumerate([*weights, fallback]):
-        d = robust_z(d, n, keys, f"_z{i}")
-    total = sum((w * F.col(f"_z{i}") for i, w in enumerate(weights.values())), F.lit(0.0))
-    return d.withColumn(out, F.coalesce(total, F.col(f"_z{len(weights)}"))).drop(*[f"_z{i}" for i in range(len(weights) + 1)])
+    names = list(dict.fromkeys([*weights, fallback]))
+    d = robust_zs(df, {n: f"_z{i}" for i, n in enumerate(names)}, keys)
+    z = lambda n: F.col(f"_z{names.index(n)}")
+    total = sum((w * z(n) for n, w in weights.items()), F.lit(0.0))
+    return d.withColumn(out, F.coalesce(total, z(fallback))).drop(*[f"_z{i}" for i in range(len(names))])
 
 
 def histogram_gap(df: DataFrame, value: str, bins: int = 100, share: float = 0.1) -> DataFrame:
@@ -125,9 +127,25 @@ def min_max(value: str, keys: Sequence[str]) -> Column:
 
 def robust_z(df: DataFrame, value: str, keys: Sequence[str], out: str, eps: float = 1e-9) -> DataFrame:
     """Adds (x - median) / (MAD + eps) within the group."""
-    d = with_group_quantiles(df, keys, value, _med=0.5)
-    d = with_group_quantiles(d, keys, F.abs(F.col(value) - F.col("_med")), _mad=0.5)
-    return d.withColumn(out, (F.col(value) - F.col("_med")) / (F.col("_mad") + eps)).drop("_med", "_mad")
+    return robust_zs(df, {value: out}, keys, eps)
+
+
+def robust_zs(df: DataFrame, values: dict[str, str], keys: Sequence[str], eps: float = 1e-9) -> DataFrame:
+    """Adds (x - median) / (MAD + eps) within the group for every column named, under the name beside it.  The medians of
+    all columns come from the same passes, over narrow rows (keys, column, value) in checkpoint, and so do the MADs."""
+    g = {k: f"_k{i}" for i, k in enumerate(keys)}
+    long = F.array(*[F.struct(F.lit(i).alias("which"), F.col(n).cast("double").alias("v")) for i, n in enumerate(values)])
+    rows = cut(df.select(*[F.col(k).alias(n) for k, n in g.items()], F.inline(long)).where("v is not null"))
+    at = [*g.values(), "which"]
+    med = cut(group_quantiles(rows, at, "v", (0.5,), "_q").select(*at, F.col("_q")[0].alias("_med")))
+    off = cut(join_keys(rows, maybe_broadcast(med), at).withColumn("v", F.abs(F.col("v") - F.col("_med"))).drop("_med"))
+    mad = group_quantiles(off, at, "v", (0.5,), "_q").select(*at, F.col("_q")[0].alias("_mad"))
+    one = lambda i, c: F.max(F.when(F.col("which") == i, F.col(c))).alias(f"{c}{i}")
+    told = join_keys(med, mad, at).groupBy(*g.values()).agg(*[one(i, c) for i in range(len(values)) for c in ("_med", "_mad")])
+    told = told.withColumnsRenamed({n: k for k, n in g.items()})
+    d = join_keys(df, maybe_broadcast(cut(told)), keys, "left")
+    d = d.withColumns({out: (F.col(n) - F.col(f"_med{i}")) / (F.col(f"_mad{i}") + eps) for i, (n, out) in enumerate(values.items())})
+    return d.drop(*[f"{c}{i}" for i in range(len(values)) for c in ("_med", "_mad")])
 
 
 def z_score(value: str, keys: Sequence[str]) -> Column:
@@ -189,11 +207,12 @@ def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
 
 def normalised_tables(flat: DataFrame, *, experiment: Sequence[str], cell: Sequence[str], measures: Sequence[str], row: Sequence[str]) -> dict[str, DataFrame]:
     """The tables experiments, cells and measurements of a flat one.  Ids are 1, 2, ... in the order of the columns that
-    name an experiment, a cell (beside its experiment) and a row; cells point to experiments, measurements to cells."""
-    exp = dense_ids(flat.select(*experiment).distinct().withColumn("_k", F.struct(*experiment)), "_k", "experiment_id").drop("_k")
+    name an experiment, a cell (beside its experiment) and a row; cells point to experiments, measurements to cells.  Few
+    experiments (or cells), counted, are broadcast: as keys of a join they would deal all rows to as many tasks."""
+    exp = maybe_broadcast(cut(dense_ids(flat.select(*experiment).distinct().withColumn("_k", F.struct(*experiment)), "_k", "experiment_id").drop("_k")))
     d = flat.join(exp, list(experiment))
     names = ["experiment_id", *cell]
-    cells = dense_ids(d.select(*names).distinct().withColumn("_k", F.struct(*names)), "_k", "cell_id").drop("_k")
+    cells = maybe_broadcast(cut(dense_ids(d.select(*names).distinct().withColumn("_k", F.struct(*names)), "_k", "cell_id").drop("_k")))
     d = d.join(cells, names)
     made = dense_ids(d.withColumn("_k", F.struct("cell_id", *row)), "_k", "measurement_id").drop("_k")
     return {"experiments": exp.select("experiment_id", *experiment), "cells": cells.select("cell_id", *names), "measurements": made.select("measurement_id", "cell_id", *measures)}
