@@ -177,6 +177,19 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, *, on: Sequence[st
     return points.join(found, F.col(point) == F.col("_k"), "left").withColumn("nearest", F.col("_b.key")).withColumn("nearest_px", F.col("_b.distance")).drop("_k", "_b")
 
 
+def nearest_within(
+    left: DataFrame, right: DataFrame, *, source: str, target: str, radius: float, on: Sequence[tuple[str, str]] = (), xy: tuple[str, str] = ("x", "y"), right_xy: tuple[str, str] | None = None, strict: bool = False, out: str = "distance"
+) -> DataFrame:
+    """(source, target, distance): each row of ``left`` with its nearest row of ``right`` (ties: least target) that agrees
+    on the column pairs of ``on`` and lies within ``radius``.  The pairs of ``near_pairs`` grow with the square of the
+    density; this goes down a tree of counts and makes one row a source."""
+    finite = F.abs("_x").between(0.0, 1.7e308) & F.abs("_y").between(0.0, 1.7e308)
+    ask, other = cut(_slim(left, source, [a for a, _ in on], xy).where(finite)), cut(_slim(right, target, [b for _, b in on], right_xy or xy).where(finite))
+    found = _nearest(ask, other, [f"_g{i}" for i in range(len(on))], False)
+    near = F.col("_b.distance") < radius if strict else F.col("_b.distance") <= radius
+    return found.where(near).select(F.col("_k").alias(source), F.col("_b.key").alias(target), F.col("_b.distance").alias(out))
+
+
 def parent_by_overlap(children: DataFrame, parents: DataFrame, *, pixel: Sequence[str], child: str = "child", parent: str = "parent") -> DataFrame:
     """Each child label with the parent label that shares most pixels (ties: least label; 0 without any)."""
     shared = children.join(parents, list(pixel)).groupBy(child, parent).agg(F.count(F.lit(1)).alias("overlap"))

@@ -35,7 +35,7 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _near(spark: SparkSession, sf: str, radius: float, strict: bool = False) -> DataFrame:
     a, b = _sides(spark, sf)
-    return spatial.near_pairs(a, b, radius=radius, on=[("t", "b_t"), ("z", "b_z")], xy=XY, right_xy=("b_centroid_x_px", "b_centroid_y_px"), strict=strict)
+    return spatial.nearest_within(a, b, source="label", target="b_label", radius=radius, on=[("t", "b_t"), ("z", "b_z")], xy=XY, right_xy=("b_centroid_x_px", "b_centroid_y_px"), strict=strict)
 
 
 @query("match_one_to_one", f"""WITH {X.OBJECTS}, p AS (SELECT a.label, b.label AS b_label, sqrt({D2}) AS distance FROM objects a JOIN objects b ON a.t = b.t AND b.z = a.z + 1 AND {D2} <= 92.6 * 92.6),
