@@ -29,10 +29,15 @@ def starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return new
 
 
-def by_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pa.Table], pa.Table], schema: StructType | str, spread: bool = False) -> DataFrame:
+def by_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pa.Table], pa.Table | Iterator[pa.Table]], schema: StructType | str, spread: bool = False) -> DataFrame:
     """``work`` on tables of whole groups of ``keys``, sorted by keys and ``order``.  A table holds about ``ROWS`` rows of
     as many groups, so that small groups cost no call each; a group larger than that is a table of its own.
-    With ``spread`` (work that costs far more than reading its rows) partitions are not merged for being small."""
+    Work whose result is larger than its table may yield it as several.  With ``spread`` (work that costs far more than reading its rows) partitions are not merged for being small."""
+
+    def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        told = work(table)
+        for t in (told,) if isinstance(told, pa.Table) else told:
+            yield from t.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -45,12 +50,12 @@ def by_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Ca
             table = pa.Table.from_batches(held)
             last = int(np.flatnonzero(starts(table, keys))[-1])
             if last:
-                yield from work(table.slice(0, last)).to_batches()
+                yield from made(table.slice(0, last))
                 table = table.slice(last)
             held, n = table.to_batches(), table.num_rows
             most = max(ROWS, 2 * n)  # the group goes on: looked at again at twice its rows
         if n:
-            yield from work(pa.Table.from_batches(held)).to_batches()
+            yield from made(pa.Table.from_batches(held))
 
     parts = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
     return df.repartition(*parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -83,23 +83,21 @@ def axes_layers(spark, sf):
     return d.groupBy("t", "z").agg(F.count(F.lit(1)).alias("n"), r(F.sum("intensity")).alias("total"))
 
 
-def _centres(spark: SparkSession, sf: str, keep_size: bool = False) -> DataFrame:
-    g = _labels(spark, sf).groupBy("t", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n"))
+def _centres(spark: SparkSession, sf: str, keep_size: bool = False, labels: DataFrame | None = None) -> DataFrame:
+    g = (_labels(spark, sf) if labels is None else labels).groupBy("t", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n"))
     return g.where("n >= 2").withColumn("object_id", F.col("label")).drop("label", *([] if keep_size else ["n"]))
 
 
 KEYS = ["t", "object_id"]
 
 
-def _modes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    grid = radial.polar_grid(_centres(spark, sf), angles=36, radii=8, first=2.0)
-    prof = radial.sample_bilinear(grid, _px(spark, sf), T, KEYS, 80, 80)
-    return prof, radial.angular_modes(prof, KEYS, 36, 6)
+def _modes(spark: SparkSession, sf: str, energy: int | None = None) -> DataFrame:
+    prof = radial.sample_bilinear(_centres(spark, sf), _px(spark, sf), T, 80, 80, angles=36, radii=8, first=2.0)
+    return radial.angular_modes(prof, KEYS, 36, 6, energy)
 
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    grid = radial.polar_grid(_centres(spark, sf), angles=36, radii=30)
-    return radial.sample_nearest(grid, _px(spark, sf), T, KEYS)
+    return radial.sample_nearest(_centres(spark, sf), _px(spark, sf), T, KEYS, angles=36, radii=30)
 
 
 PROFILE = f"""{LABELS}, cen AS (SELECT t, label AS object_id, avg(x) AS cx, avg(y) AS cy FROM labels GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -136,7 +134,7 @@ def best_plane_metrics(spark, sf):
     """Planes in series of two: the plane with the largest object, and that object's compaction and envelope."""
     c = _centres(spark, sf, keep_size=True).withColumn("series", F.floor(F.col("t") / 2))
     best = c.groupBy("series").agg(F.min(F.struct((-F.col("n")).alias("n"), "t", "object_id", "cx", "cy")).alias("b")).select("series", "b.t", "b.object_id", "b.cx", "b.cy")
-    prof = radial.sample_nearest(radial.polar_grid(best, angles=36, radii=30), _px(spark, sf), T, ["series", *KEYS])
+    prof = radial.sample_nearest(best, _px(spark, sf), T, ["series", *KEYS], angles=36, radii=30)
     keys = ["series", *KEYS]
     d = radial.compaction(prof, keys).join(radial.radial_metrics(prof, keys, search=12, inner=3, outer=28), keys)
     return d.select("series", F.col("t").alias("best_plane"), r("compaction", 5).alias("compaction"), "envelope_radius")
@@ -149,9 +147,9 @@ def best_plane_metrics(spark, sf):
 def radial_rays_to_edge(spark, sf):
     px = _px(spark, sf)
     drops = px.select("t", "y", "x", (F.floor(F.col("y") / 40) * 2 + F.floor(F.col("x") / 40)).alias("droplet_id"))
-    c = _centres(spark, sf).withColumn("nucleus_id", F.col("object_id")).withColumn("droplet_id", F.floor(F.rint("cy") / 40) * 2 + F.floor(F.rint("cx") / 40))
-    grid = radial.polar_grid(c, angles=36, radii=40)
-    d = radial.rays_to_edge(grid, px, drops, _labels(spark, sf).withColumnRenamed("label", "nucleus_id"), T, KEYS)
+    labels = _labels(spark, sf)
+    c = _centres(spark, sf, labels=labels).withColumn("droplet_id", F.floor(F.rint("cy") / 40) * 2 + F.floor(F.rint("cx") / 40))
+    d = radial.rays_to_edge(c, px, drops, labels, T, angles=36, radii=40)
     return d.groupBy(*KEYS, "droplet_id").agg(F.count(F.lit(1)).alias("n"), r(F.avg("intensity")).alias("mean"), r(F.avg("distance_norm")).alias("mean_norm"), r(F.max("ray_length_px")).alias("longest"))
 
 
@@ -167,15 +165,13 @@ RINGS = f"""{LABELS}, cen AS (SELECT t, label AS object_id, avg(x) AS cx, avg(y)
  SELECT t, object_id, dm::INT AS dominant_mode, round(top / turning, 6) AS dominant_share, round(turning / whole, 6) AS anisotropy_index, round(m2, 6) AS mode2_power FROM d JOIN s USING (t, object_id) JOIN c USING (t, object_id)""")
 def fourier_modes(spark, sf):
     """Rings by bilinear samples, angular modes, the dominant mode, and the mean square of its second mode's part."""
-    prof, modes = _modes(spark, sf)
-    part = radial.reconstruct(prof, modes, KEYS, 36, 2).groupBy(*KEYS).agg(r(F.avg(F.col("mode_component") * F.col("mode_component"))).alias("mode2_power"))
-    d = radial.dominant_mode(modes, KEYS).join(part, KEYS)
-    return d.select(*KEYS, "dominant_mode", r("dominant_share").alias("dominant_share"), r("anisotropy_index").alias("anisotropy_index"), "mode2_power")
+    d = radial.dominant_mode(_modes(spark, sf, 2), KEYS, "mode2_power")
+    return d.select(*KEYS, "dominant_mode", *[r(n).alias(n) for n in ("dominant_share", "anisotropy_index", "mode2_power")])
 
 
 @query("fourier_mode_profile", f"""WITH RECURSIVE {X.PIXELS}, {RINGS} SELECT t, object_id, q::INT AS r_index, round(2 * sqrt(re * re + im * im) / 36, 6) AS amplitude, round(atan2(im, re), 4) AS phase FROM modes WHERE m = 2""")
 def fourier_mode_profile(spark, sf):
-    d = radial.mode_profile(_modes(spark, sf)[1], 2, 36)
+    d = radial.mode_profile(_modes(spark, sf), 2, 36)
     return d.select(*KEYS, "r_index", r("amplitude").alias("amplitude"), r("phase", 4).alias("phase"))
 
 
