@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petrilens.functions.quantiles import _join, _maybe_broadcast, group_quantiles
 from petrilens.operators.graph import cut
 from petrilens.operators.summaries import robust_z, rolling_mode
 
@@ -49,34 +50,33 @@ def group_kmeans(df: DataFrame, *, keys: Sequence[str], features: Sequence[str],
     """Per group: chosen k and, for every k, n, wss; and the relative drop against the k before.
 
     Features are standardised in their group.  All groups and all k run together: centroids (groups x k rows) meet
-    the rows by group, and a round is one join and one average.  First centroids lie at even quantiles of the first
+    the rows where they lie (broadcast, if the groups are few), and a round is one average; no task needs to hold a
+    group.  First centroids lie at even quantiles of the first
     feature.  The elbow is the last k before the first drop under ``drop``, the largest k if there is none; groups
     with under ``least_rows`` rows get null.
     """
     dims = [f"_f{i}" for i in range(len(features))]
-    w = Window.partitionBy(*keys)
-    d = df.dropna(subset=list(features)).withColumn("_n", F.count(F.lit(1)).over(w))
-    for f, n in zip(features, dims, strict=True):
-        d = d.withColumn(n, F.coalesce(F.try_divide(F.col(f) - F.avg(f).over(w), F.stddev_samp(f).over(w)), F.lit(0.0)))
-    small = d.where(F.col("_n") < least_rows).select(*keys).distinct()
-    rows = cut(d.where(F.col("_n") >= least_rows).select(*keys, *dims).withColumn("_id", F.monotonically_increasing_id()))
-    parts = []
-    for k in ks:
-        at = F.array(*[F.lit((j + 0.5) / k) for j in range(k)])
-        q = rows.groupBy(*keys).agg(F.percentile(dims[0], at).alias("q"), *[F.avg(n).alias(f"m_{n}") for n in dims[1:]])
-        parts.append(q.select(*keys, F.lit(k).alias("k"), F.posexplode("q").alias("j", f"c{dims[0]}"), *[F.col(f"m_{n}").alias(f"c{n}") for n in dims[1:]]))
-    cent = parts[0]
-    for p in parts[1:]:
-        cent = cent.union(p)
+    d = cut(df.dropna(subset=list(features)).select(*keys, *features))
+    told = [x for f, n in zip(features, dims, strict=True) for x in (F.avg(f).alias(f"_avg{n}"), F.stddev_samp(f).alias(f"_sd{n}"))]
+    groups = cut(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *told))
+    small = groups.where(F.col("_n") < least_rows).select(*keys)
+    shaped = [F.coalesce(F.try_divide(F.col(f) - F.col(f"_avg{n}"), F.col(f"_sd{n}")), F.lit(0.0)).alias(n) for f, n in zip(features, dims, strict=True)]
+    # a large group is no hot key: its rows stay where they lie and get the one row of their group
+    rows = cut(_join(d, _maybe_broadcast(groups.where(F.col("_n") >= least_rows)), keys).select(*keys, *shaped))
+    places = sorted({(j + 0.5) / k for k in ks for j in range(k)})
+    q = group_quantiles(rows, keys, dims[0], places, "_q")
+    q = _join(q, rows.groupBy(*keys).agg(*[F.avg(n).alias(f"m_{n}") for n in dims[1:]]), keys) if dims[1:] else q
+    starts = [F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), F.col("_q")[places.index((j + 0.5) / k)].alias(f"c{dims[0]}"), *[F.col(f"m_{n}").alias(f"c{n}") for n in dims[1:]]) for k in ks for j in range(k)]
+    cent = q.select(*keys, F.inline(F.array(*starts)))
     names = [f"c{n}" for n in dims]
     cent = cut(cent.select(*keys, "k", "j", *names))
 
     def nearest(cent: DataFrame) -> DataFrame:
-        sq = sum(((F.col(n) - F.col(f"c{n}")) * (F.col(n) - F.col(f"c{n}")) for n in dims), F.lit(0.0))
-        per = cent.groupBy(*keys, "k").agg(F.collect_list(F.struct("j", *names)).alias("cs"))  # k entries
-        j = rows.join(per, list(keys)).withColumn("_c", F.explode("cs")).select(*keys, "k", "_id", *dims, F.col("_c.j").alias("j"), *[F.col(f"_c.{n}").alias(n) for n in names])
-        best = j.groupBy(*keys, "k", "_id").agg(F.min(F.struct(sq.alias("d"), "j", *dims)).alias("b"))
-        return best.select(*keys, "k", "b.d", "b.j", *[F.col(f"b.{n}").alias(n) for n in dims])
+        """Rows with, for every k, their nearest centroid, found among the group's centroids beside the row."""
+        sq = lambda c: sum(((F.col(n) - c[f"c{n}"]) * (F.col(n) - c[f"c{n}"]) for n in dims), F.lit(0.0))
+        per = cent.groupBy(*keys, "k").agg(F.collect_list(F.struct("j", *names)).alias("cs")).groupBy(*keys).agg(F.collect_list(F.struct("k", "cs")).alias("all"))
+        best = F.transform("all", lambda of: F.struct(of["k"].alias("k"), F.array_min(F.transform(of["cs"], lambda c: F.struct(sq(c).alias("d"), c["j"].alias("j")))).alias("b")))
+        return _join(rows, _maybe_broadcast(cut(per)), keys).select(*keys, *dims, F.inline(best)).select(*keys, "k", "b.d", "b.j", *dims)
 
     for _ in range(rounds):
         cent = cut(nearest(cent).groupBy(*keys, "k", "j").agg(*[F.avg(n).alias(f"c{n}") for n in dims]))
