@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrilens.llm.common import bounded_batches, cut, fresh_path, handing_back
+from petrilens.llm.common import bounded_batches, cut, fresh_path, hand_back, handing_back
 
 #: Selector -> (ids in a word, bits of an id); selector 0 is the escape: one id of up to 60 bits.
 PACKINGS = ((1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
@@ -110,9 +110,12 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = np.frombuffer(data, "<i8", 2 * n_docs, at - 16 * n_docs).reshape(-1, 2)
     words = np.frombuffer(data, "<u8", (at - 16 * n_docs - 4) // 8, 4)
     bounds = [*offsets.tolist(), len(words)]
-    ids = [decode_words(words[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-    out = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
-    if len(out) != n_ids:
+    out, n = np.zeros(n_ids, np.uint64), 0
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        ids = decode_words(words[a:b])
+        out[n : n + len(ids)] = ids[: max(n_ids - n, 0)]
+        n += len(ids)
+    if n != n_ids:
         raise ValueError("a token file is damaged")
     return table[:, 0], table[:, 1], out
 
@@ -121,7 +124,7 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts that are not cut at every space and line end: other white space, and runs or ends of white space.
 _ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}|^[ \n]|[ \n]$"
 #: Characters of text that are cut up and looked up together.
-_CHUNK = 8 << 20
+_CHUNK = 4 << 20
 
 
 @lru_cache(maxsize=4)
@@ -221,7 +224,7 @@ class Encoder:
         code, pieces = coded.indices.to_numpy(), coded.dictionary
         n = len(pieces)
         first_line, first_word = lines.offsets.to_numpy() - lines.offsets[0].as_py(), words.offsets.to_numpy() - words.offsets[0].as_py()
-        key = code.astype(np.int64)  # after a space; + n at a line's start, + 2 n at a text's start
+        key = code.astype(np.int32)  # after a space; + n at a line's start, + 2 n at a text's start
         key[first_word[:-1]] += n
         key[first_word[first_line[:-1]]] += n
         asked = np.zeros(3 * n, bool)
@@ -232,13 +235,15 @@ class Encoder:
         made = made + [self.line_end + b for b in bare] + bare
         asked = np.concatenate([after_space[made_at], at_start[bare_at] + n, at_start[bare_at] + 2 * n])
         ids = np.frombuffer(b"".join(made), np.uint32)
-        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        slot = np.zeros(3 * n, np.int64)
-        slot[asked] = np.arange(len(asked))
+        size = np.fromiter(map(len, made), np.int32, len(made)) // 4
+        slot = np.zeros(3 * n, np.int32)
+        slot[asked] = np.arange(len(asked), dtype=np.int32)
         at = slot[key]
         counts = size[at]
         ends = np.cumsum(counts)
-        take = np.repeat((np.cumsum(size) - size)[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        place = np.int64 if len(ends) and max(ends[-1], len(ids)) >> 31 else np.int32
+        take = np.repeat(((np.cumsum(size) - size)[at] - (ends - counts)).astype(place), counts)
+        take += np.arange(len(take), dtype=place)
         bounds = np.concatenate([[0], ends])[first_word[first_line]]
         all_ids = ids[take]
         out = [all_ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -270,7 +275,7 @@ def _read(path: str) -> bytes:
 
 
 def write_token_files(
-    docs: DataFrame, out_dir: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None, file_ids: int = 1 << 22, block_ids: int = 1 << 14
+    docs: DataFrame, out_dir: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None, file_ids: int = 1 << 21, block_ids: int = 1 << 14
 ) -> DataFrame:
     """Writes the token files of ``docs`` below ``out_dir`` and returns their manifest, in checkpoint.
 
@@ -301,6 +306,7 @@ def write_token_files(
                 if size >= file_ids:
                     yield close()
                     ids, held, size, k = [], [], 0, k + 1
+                    hand_back()
         if ids:
             yield close()
 
