@@ -84,7 +84,8 @@ def links(distinct: DataFrame, name: str = "fp") -> DataFrame:
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("q")))
 
     def matched(t: DataFrame, p: DataFrame, key: list[str]) -> DataFrame:
-        met = t.join(p, key).filter((F.col("fp") != F.col("q")) & (distance <= 2))
+        # Spark sizes an exploded table as if it had one row a row: without the hint it broadcasts all balls.
+        met = t.join(p.hint("merge"), key).filter((F.col("fp") != F.col("q")) & (distance <= 2))
         first = F.col("fp") < F.col("q")
         return met.select(F.when(first, F.col("name")).otherwise(F.col("q_name")).alias("a"), F.when(first, F.col("q_name")).otherwise(F.col("name")).alias("b"))
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from petrilens.llm import decontaminate, html_text, licenses, mixing, pii, queries, simhash, token_files, topk, toxicity, url_lists
+from petrilens.llm import common, decontaminate, html_text, licenses, mixing, pii, queries, simhash, token_files, topk, toxicity, url_lists
 from petrilens.llm.sql import SQL
 from petrilens.operators.graph import connected_components
 
@@ -247,6 +247,18 @@ def test_links_equal_brute_force(spark):
     assert [comp.get(signed[order[k]], signed[order[k]]) for k in range(len(fps))] == [signed[order[x]] for x in g]
 
 
+def test_balls_are_no_broadcast(spark):
+    """Spark sizes the 34 entries of a fingerprint as one; the table they make must not go through the driver."""
+    few = spark.range(200).selectExpr("id * 1000003 AS fp")
+    for fps in (few, few.union(spark.range(1, 150).selectExpr("id << 32"))):  # without and with a split entry
+        plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and not re.search(r"BroadcastHashJoin[^\n]*Inner", plan)
+    many = spark.range(20).select(F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k"))
+    for most, broadcast in ((180, True), (179, False)):
+        plan = spark.range(9).withColumnRenamed("id", "k").join(common.maybe_broadcast(many, most), "k")._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) is broadcast
+
+
 def test_simhash_edges(edge, none):
     got = simhash.near_duplicates(edge).toPandas()
     assert len(got) == len(EDGE) and got["doc_id"].isna().sum() == 1
