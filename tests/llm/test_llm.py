@@ -176,6 +176,31 @@ def test_toxicity_learns(spark):
     assert s.logit(rows[0][1], chunk=7) == pytest.approx(net.forward([toxicity.text_features(rows[0][1], net.buckets)])[0][0], abs=1e-4)
 
 
+def test_toxicity_learns_all_labels(spark):
+    """Words that only rows beyond the start have, and texts too long for it, are learned."""
+    r = np.random.default_rng(3)
+    words, bad = [f"w{i}" for i in range(100)], ["vilex", "grumpf", "zorrak", "quemby"]
+    rows = []
+    for i in range(4000):
+        text = list(r.choice(words, 15))
+        if i % 3 == 0:
+            text[int(r.integers(15))] = bad[i % 4]
+        rows.append((i, " ".join(text), "en" if i % 2 else None, int(i % 3 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").coalesce(2)
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    for bounds in ({"per_class": 3}, {"most_words": 5}):
+        model = toxicity.fit_toxicity(d, d.select("doc_id", "toxic"), use=~held, steps=5, batch=16, buckets=1 << 13, **bounds)
+        got = toxicity.score_toxicity(d, model).where(held).toPandas()
+        assert ((got["score"] >= 0.5) == (got["toxic"] == 1)).mean() > 0.97, bounds
+    long = [text for _, text, _, toxic in rows if not toxic]
+    x = [toxicity.text_features(" ".join(long[:2500] + ["vilex"] + long[2500:]), model.buckets)]
+    whole, toxicity._PIECE = model.forward(x)[0], 1000
+    try:
+        assert model.forward(x)[0] == pytest.approx(whole, abs=1e-4)
+    finally:
+        toxicity._PIECE = 1 << 15
+
+
 def test_toxicity_on_the_labels(spark):
     """Held-out rows of the given labels, by language."""
     sf = "/root/testdata/sf0.1"
